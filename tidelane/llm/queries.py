@@ -8,13 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelane.llm.common import table
 from tidelane.llm.packing import pack
+from tidelane.llm.quality import quality
+from tidelane.llm.toxicity import toxicity
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_toxicity": op6_toxicity,
+    "op8_quality": op8_quality,
     "op10_packing": op10_packing,
 }
 
