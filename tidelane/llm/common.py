@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,25 +47,68 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)).cast("int")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bounded number of words."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of the text in UTF-8, with A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def word_hashes(words: list[bytes], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), dtype=U64, count=len(words))
+#: Bytes of text hashed at a time: small enough for the processor's caches.
+CHUNK_BYTES = 1 << 19
+_space = np.zeros(256, dtype=bool)
+_space[[32, *range(9, 14)]] = True
+_rng = np.random.Generator(np.random.PCG64(20240229))
+#: A random number for each byte; A-Z have those of a-z.
+_values = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_values[65:91] = _values[97:123]
+_powers = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier's powers 0..n-1 modulo 2**64, and their inverses."""
+    if len(_powers[0]) < n:
+        inverse = U64(pow(int(MULTIPLIER), -1, 1 << 64))
+        for k, m in enumerate((MULTIPLIER, inverse)):
+            p = np.full(max(n, CHUNK_BYTES), m, dtype=U64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def text_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts' UTF-8 bytes in runs of rows: first row, bytes, bounds. Text k is bytes[bounds[k] : bounds[k + 1]]; null is empty."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    row = 0
+    while row < len(texts):
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] + most, "right")) - 1)
+        yield row, data[ends[row] : ends[last]], ends[row : last + 1] - ends[row]
+        row = last
+
+
+def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of each text, A-Z lower-cased, and the bounds of each text's words.
+
+    A word's hash is a polynomial in the multiplier over its bytes' random numbers, taken
+    from running sums, so that no word becomes a Python object.
+    """
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, U64), np.zeros(len(bounds), np.int64)
+    power, inverse = powers(n)
+    sums = np.zeros(n + 1, dtype=U64)
+    np.cumsum(_values[data] * power, out=sums[1:])
+    inside = np.zeros(n + 2, dtype=bool)
+    inside[1:-1] = ~_space[data]
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[bounds] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    return mixed(h + (ends - starts).astype(U64)), np.searchsorted(starts, bounds)
+
+
+def hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """hashed_words() of the texts in runs of rows: first row, hashes, bounds."""
+    for row, data, bounds in text_chunks(texts):
+        yield row, *hashed_words(data, bounds)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -78,7 +121,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of `size` words; of the whole if there are fewer."""
     if len(words) == 0:
         return words
@@ -88,7 +131,9 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for i in range(1, n):
         h *= MULTIPLIER
         h += words[i : m + i]
-    return np.unique(mixed(h))
+    h = mixed(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
