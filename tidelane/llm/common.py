@@ -1,8 +1,7 @@
-"""What the corpus operators share: tables, word rules, the shared work folder."""
+"""What the corpus operators share: tables, folds, word hashes."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FALLBACK_DIR = "file:///tmp/checkpoints/tidelane"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 U64 = np.uint64
 
@@ -19,20 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
-
-
-def saved(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/tidelane-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession, per_partition: int = 4) -> int:
     """Groups to deal rows into: a few for each shuffle partition, so that they balance."""
     return max(8, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelane.llm.common import table
 from tidelane.llm.decontamination import overlaps
+from tidelane.llm.jaccard_join import similar_documents
 from tidelane.llm.packing import pack
 from tidelane.llm.quality import quality
 from tidelane.llm.toxicity import toxicity
@@ -17,6 +18,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +35,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontamination": op2_decontamination,
     "op6_toxicity": op6_toxicity,
     "op8_quality": op8_quality,
