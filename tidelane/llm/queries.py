@@ -11,9 +11,14 @@ from tidelane.llm.decontamination import overlaps
 from tidelane.llm.jaccard_join import similar_documents
 from tidelane.llm.packing import pack
 from tidelane.llm.quality import quality
+from tidelane.llm.suffix_tree_lm import scored
 from tidelane.llm.toxicity import toxicity
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op6_toxicity": op6_toxicity,
     "op8_quality": op8_quality,
+    "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_packing": op10_packing,
 }
 
