@@ -11,6 +11,7 @@ from tidelane.llm.decontamination import overlaps
 from tidelane.llm.jaccard_join import similar_documents
 from tidelane.llm.packing import pack
 from tidelane.llm.quality import quality
+from tidelane.llm.suffix_dedup import remove_repeats
 from tidelane.llm.suffix_tree_lm import scored
 from tidelane.llm.toxicity import toxicity
 
@@ -35,6 +36,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontamination": op2_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_packing": op10_packing,
