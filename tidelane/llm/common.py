@@ -68,14 +68,21 @@ def text_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of each text, A-Z lower-cased, and the bounds of each text's words.
+    """placed_words() without the places."""
+    return placed_words(data, bounds)[:2]
+
+
+def placed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of each text, A-Z lower-cased, the bounds of each text's words,
+    and the first byte of each word and the byte after it.
 
     A word's hash is a polynomial in the multiplier over its bytes' random numbers, taken
     from running sums, so that no word becomes a Python object.
     """
     n = len(data)
     if n == 0:
-        return np.zeros(0, U64), np.zeros(len(bounds), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(len(bounds), np.int64), none, none
     power, inverse = powers(n)
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum(_values[data] * power, out=sums[1:])
@@ -86,7 +93,7 @@ def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
     h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mixed(h + (ends - starts).astype(U64)), np.searchsorted(starts, bounds)
+    return mixed(h + (ends - starts).astype(U64)), np.searchsorted(starts, bounds), starts, ends
 
 
 def hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelane.llm.chat_format import format_conversations
 from tidelane.llm.common import table
 from tidelane.llm.decontamination import overlaps
 from tidelane.llm.jaccard_join import similar_documents
+from tidelane.llm.license_scan import scan
 from tidelane.llm.packing import pack
 from tidelane.llm.quality import quality
 from tidelane.llm.suffix_dedup import remove_repeats
 from tidelane.llm.suffix_tree_lm import scored
+from tidelane.llm.top_k import top_k
 from tidelane.llm.toxicity import toxicity
 
 
@@ -32,6 +35,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +63,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontamination": op2_decontamination,
+    "op3_chat_format": op3_chat_format,
+    "op4_license_scan": op4_license_scan,
+    "op5_top_k": op5_top_k,
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
