@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from tidelane.llm.packing import FirstFit, pack, packed, pieces_of
 
-TEXTS = [None, "", "One two, don't 3,000 stop.", "Ünïcode spaces\x1c\x1d here é <|endoftext|>x", "word " * 9000, "a\tb\x0bc\r\nd", "same", "same"]
+TEXTS = [None, "", "One two, don't 3,000 stop.", "Ünïcode spaces\x1c\x1d here é <|endoftext|>x", "word " * 9000, "a\tb\x0bc\r\nd", "Word... word.) it's. 3,000; É! x?! <|EndOfText|> <|startoftext|>. A.B", "same", "same"]
 
 
 def test_first_fit_matches_a_plain_search():

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,9 @@ CAPACITY = 2048
 END_ID = 1
 #: Text bytes in a group, on average: about a thousand sequences.
 GROUP_BYTES = 4_000_000
-#: Chunks of text whose ids a worker remembers.
-CACHE = 300_000
+#: Chunks of text whose ids a worker remembers: about 350 MB.
+CACHE = 2_000_000
+POINTS = b".,;:!?"
 
 PACKED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
@@ -133,7 +135,7 @@ def pieces_of(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x, dtype=np.int64) for x in (docs, starts, lengths, bins, offsets))
 
 
-class ChunkIds(dict):
+class ChunkIds:
     """The ids, as little-endian unsigned 32-bit bytes, of the chunks between ASCII white space.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are its chunks' ids in a row.
@@ -144,19 +146,30 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            chunks = text.encode("utf-8", "surrogatepass").split() if text else []
-            try:
-                yield b"".join(map(self.__getitem__, chunks))
-            except KeyError:
-                if len(self) > CACHE:
-                    self.clear()
-                new = [c for c in dict.fromkeys(chunks) if c not in self]
-                for c, e in zip(new, self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)):
-                    self[c] = np.array(e.ids, dtype="<u4").tobytes()
-                yield b"".join(map(self.__getitem__, chunks))
+        for first in range(0, len(texts), 256):
+            raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts[first : first + 256]]
+            chunks = [(r if b"<|" in r else r.lower()).split() for r in raw]  # the tokenizer lower-cases all but the special tokens' strings
+            if len(self.known) > CACHE:
+                self.known.clear()
+            if new := set().union(*chunks).difference(self.known):
+                self.learn(new)
+            for c in chunks:
+                yield b"".join(map(self.known.__getitem__, c))
+
+    def learn(self, new: set[bytes]) -> None:
+        """Remembers the chunks' ids. A token never spans a letter and the points after it, so word and points have ids of their own."""
+        split = {}
+        for c in new:
+            word = c.rstrip(POINTS)
+            if word and len(word) < len(c) and word[-1:].isalnum():
+                split[c] = word, c[len(word) :]
+        single = list(new.difference(split).union(*split.values()).difference(self.known))
+        encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in single], add_special_tokens=False)
+        self.known.update(zip(single, (array("I", e.ids).tobytes() for e in encoded)))
+        self.known.update((c, self.known[word] + self.known[points]) for c, (word, points) in split.items())
 
 
 _chunk_ids: dict[str, ChunkIds] = {}
