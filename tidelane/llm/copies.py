@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tidelane.operators.materialise import saved
 
 
-def keyed(documents: DataFrame) -> DataFrame:
+def keyed(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (null: empty) and h, g, n: two hashes and the length that identify the text. Rows without an id are left out."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter("doc_id IS NOT NULL")
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n_bytes"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *carry).filter("doc_id IS NOT NULL")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n_bytes"), *carry)
 
 
 def first_copies(keyed_docs: DataFrame) -> DataFrame:

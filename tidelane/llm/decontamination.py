@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,20 +121,24 @@ class SeedIndex:
         return [(*key, *v[1:]) for key, v in best.items()]
 
 
+def _blocks(benchmark: DataFrame, masks: tuple[str, ...], block_items: int) -> Iterator[Broadcast]:
+    """The items' ids and words, a block at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") > 0)
+    n_blocks = max(1, -(-items.count() // block_items))
+    for k in range(n_blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
+        words = [h[a:b] for _, h, at in hashed(pa.array([r["text"] for r in rows], pa.string())) for a, b in zip(at, at[1:])]
+        yield benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], words, masks))
+
+
 def overlaps(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The overlaps of documents with benchmark items: doc_id, item_id, start, n_words, n_matched, item_start, item_words.
 
     Places and lengths count words. One row for each document and item, with the best run.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") > 0)
-    n_blocks = max(1, -(-items.count() // block_items))
     found = None
-    for k in range(n_blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()  # a block at a time
-        words = [h[a:b] for _, h, at in hashed(pa.array([r["text"] for r in rows], pa.string())) for a, b in zip(at, at[1:])]
-        shared = spark.sparkContext.broadcast(([r["item_id"] for r in rows], words, masks))
+    for shared in _blocks(benchmark, masks, block_items):
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = SeedIndex(*shared.value)
@@ -150,7 +155,18 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ..
     return found.dropDuplicates(["doc_id", "item_id"])
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that overlap with no item; rows with a null id are kept only if their text is clean, too."""
-    hit = overlaps(documents, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return documents.join(hit, documents["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+def clean(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The documents, as they are, that overlap with no item; text must be a string column. Nothing is shuffled."""
+    for shared in _blocks(benchmark, masks, block_items):
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = SeedIndex(*shared.value)
+            for b in batches:
+                sound = np.ones(b.num_rows, dtype=bool)
+                for first, words, bounds in hashed(b["text"]):
+                    for doc, *_ in index.overlaps(words, bounds, min_words, min_identity):
+                        sound[first + doc] = False
+                yield b.filter(pa.array(sound))
+
+        documents = documents.mapInArrow(keep, documents.schema)
+    return documents

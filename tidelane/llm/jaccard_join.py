@@ -165,3 +165,10 @@ def similar_documents(documents: DataFrame, *, size: int = SHINGLE_WORDS, thresh
     rows = firsts.select("doc_id", "first_id").join(known, "first_id")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first_id"))
     return rows.select("doc_id", "n_shingles", alone.alias("component_id"), "first_id")
+
+
+def one_of_each(documents: DataFrame, **options) -> DataFrame:
+    """The documents, as they are, without those that reach a smaller doc_id by links. Rows without a doc_id stay."""
+    classes = similar_documents(documents, **options)
+    gone = saved(classes.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")))
+    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

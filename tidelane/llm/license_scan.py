@@ -111,12 +111,13 @@ class TemplateIndex:
         out = []
         for k, ds in diagonals.items():
             ds.sort()
-            cuts = [0, *(i for i in range(1, len(ds)) if ds[i] - ds[i - 1] > BAND), len(ds)]
+            apart = min(BAND, len(self.words[k]) // 2)  # a short notice may follow itself
+            cuts = [0, *(i for i in range(1, len(ds)) if ds[i] - ds[i - 1] > apart), len(ds)]
             stretches = []
             for a, b in zip(cuts, cuts[1:]):
                 if b - a < MIN_HITS * self.prints[k]:
                     continue
-                matched, start, end = banded(self.words[k], words, (ds[a] + ds[b - 1]) // 2, BAND + (ds[b - 1] - ds[a]) // 2)
+                matched, start, end = banded(self.words[k], words, (ds[a] + ds[b - 1]) // 2, apart + (ds[b - 1] - ds[a]) // 2)
                 if matched >= MIN_COVERAGE * len(self.words[k]):
                     stretches.append((matched, start, end))
             taken: list[tuple[int, int]] = []

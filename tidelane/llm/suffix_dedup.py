@@ -20,7 +20,7 @@ sampled: every repeated string is found.
 Defined results: null and empty texts are empty; a text of fewer than LENGTH bytes stays whole;
 later copies of a text of LENGTH bytes or more go whole; rows without a doc_id are left out; rows
 that repeat a doc_id count once; an empty table gives no rows. Bytes are removed as bytes, so
-kept text that is read as UTF-8 may start or end inside a letter; see kept_text().
+kept text that is read as UTF-8 may start or end inside a letter; see deduplicated().
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidelane.llm.common import MULTIPLIER, U64, _rng, arrow_table, mixed, part_of, parts, text_chunks
 from tidelane.llm.copies import first_copies, keyed
@@ -222,21 +223,21 @@ def _unplaned(payload: bytes, at: int, n: int, width: int) -> tuple[np.ndarray,
     return out.view("<u8").ravel().astype(np.int64), at + n * width
 
 
-def _chosen(table: pa.Table, firsts: pa.Table) -> tuple[list[int], list[bool], pa.Array]:
-    """doc_id, whether it is the first copy, and text of each document of a part, by doc_id."""
+def _chosen(table: pa.Table, firsts: pa.Table) -> tuple[list[int], list[bool], pa.Array, list[int]]:
+    """doc_id, whether it is the first copy, text, and row in the table of each document of a part, by doc_id."""
     known = dict(zip(zip(firsts["doc_id"].to_pylist(), firsts["h"].to_pylist()), firsts["first_id"].to_pylist()))
     rows = []
     for k, key in enumerate(zip(table["doc_id"].to_pylist(), table["h"].to_pylist())):
         first = known.pop(key, None)
         if first is not None:
             rows.append((key[0], first == key[0], k))
-    rows.sort()
+    rows.sort(key=lambda r: r[0])
     texts = pa.concat_arrays(table["text"].take(pa.array([k for *_, k in rows], pa.int64())).chunks) if rows else pa.array([], pa.string())
-    return [r[0] for r in rows], [r[1] for r in rows], texts
+    return [r[0] for r in rows], [r[1] for r in rows], texts, [r[2] for r in rows]
 
 
 def _first_texts(table: pa.Table, firsts: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    ids, first, texts = _chosen(table, firsts)
+    ids, first, texts, _ = _chosen(table, firsts)
     rows = [k for k, f in enumerate(first) if f]
     return np.array(ids, np.int64)[rows], texts.take(pa.array(rows, pa.int64()))
 
@@ -246,13 +247,16 @@ REMOVED_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha
 _RIGHT = ("part", "payload", "doc_id", "h", "first_id")
 
 
-def remove_repeats(documents: DataFrame, *, with_kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document."""
+def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document.
+
+    carry names other columns of documents to give back beside them.
+    """
     spark = documents.sparkSession
-    docs = keyed(documents)
+    docs = keyed(documents, carry)
     firsts = first_copies(docs)
     n_parts, n_buckets = parts(spark, 4), parts(spark, 4)
-    dealt = docs.select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h", "text")
+    dealt = docs.select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h", "text", *carry)
     wanted = firsts.select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h", "first_id")
 
     def with_firsts(answers: DataFrame) -> DataFrame:
@@ -344,7 +348,7 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True) -> DataFrame
         rows = answers.filter(answers["payload"].is_null())
         marks = np.concatenate([np.zeros(0, MARKS), *(np.frombuffer(x, MARKS) for x in answers["payload"].to_pylist() if x is not None)])
         marks = marks[np.argsort(marks["doc_id"], kind="stable")]
-        ids, first, texts = _chosen(table, rows)
+        ids, first, texts, at = _chosen(table, rows)
         out = {name: [] for name in REMOVED.names}
         lo, hi = np.searchsorted(marks["doc_id"], ids, "left"), np.searchsorted(marks["doc_id"], ids, "right")
         for k, (doc_id, is_first, text) in enumerate(zip(ids, first, texts.cast(pa.binary()))):
@@ -362,12 +366,15 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True) -> DataFrame
             values = (doc_id, n, n - len(kept), int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept if with_kept else None)
             for name, value in zip(REMOVED.names, values):
                 out[name].append(value)
-        return arrow_table(REMOVED, **out)
+        done = arrow_table(REMOVED, **out)
+        for name in carry:
+            done = done.append_column(name, table[name].take(pa.array(at, pa.int64())))
+        return done
 
     counts = answered(dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(send, SENT_DDL), 2)
     offers = dealt.groupBy("part").cogroup(with_firsts(counts).groupBy("part")).applyInArrow(offer, SENT_DDL)
     marks = offers.groupBy("bucket").applyInArrow(mark, "part int, payload binary")
-    return dealt.groupBy("part").cogroup(with_firsts(marks).groupBy("part")).applyInArrow(remove, REMOVED_DDL)
+    return dealt.groupBy("part").cogroup(with_firsts(marks).groupBy("part")).applyInArrow(remove, StructType([*StructType.fromDDL(REMOVED_DDL).fields, *(dealt.schema[name] for name in carry)]))
 
 
 def _fragment_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -378,6 +385,24 @@ def _fragment_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mixed((sums[starts[1:]] - sums[starts[:-1]]) * inverse[starts[:-1]])
 
 
-def kept_text(column: str = "kept"):
-    """The kept bytes as text; letters that a removal cut through go."""
-    return F.try_validate_utf8(F.col(column).cast("string"))
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """The documents with what remains of their texts; n_chars, if they have it, follows. Letters that a removal cut through go.
+
+    Rows without a doc_id stay as they are; of rows that repeat a doc_id one stays.
+    """
+    others = tuple(c for c in documents.columns if c not in ("doc_id", "text"))
+    names = {c: f"_carried_{k}" for k, c in enumerate(others)}
+    kept = remove_repeats(documents.withColumnsRenamed(names), carry=tuple(names.values()))
+
+    def whole_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.decode("utf-8", "ignore") for x in b["kept"].to_pylist()]
+            yield b.set_column(b.schema.get_field_index("kept"), "kept", pa.array(texts, pa.string()))
+
+    rows = kept.select("doc_id", "kept", *names.values())
+    rows = rows.mapInArrow(whole_letters, StructType([*StructType.fromDDL("doc_id long, kept string").fields, *(rows.schema[n] for n in names.values())]))
+    rows = rows.withColumnsRenamed({v: k for k, v in names.items()}).withColumnRenamed("kept", "text")
+    if "n_chars" in others:
+        rows = rows.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType)).select(*documents.columns)
+    return rows.unionByName(documents.filter("doc_id IS NULL"))

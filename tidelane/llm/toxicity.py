@@ -18,12 +18,16 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from tidelane.llm.common import batch
 from tidelane.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample
@@ -138,31 +142,67 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return kept
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = EXCEPTIONS, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted, weight, n_matches, n_words of every document."""
-    spark = documents.sparkSession
-    sample = labelled_sample(documents, labels, "toxic", sample_rows)
-    weights = learn_lexicon(sample)
-    shared = spark.sparkContext.broadcast(weights)
+def weighing(weights: Broadcast, exceptions: tuple[str, ...], schema: pa.Schema):
+    """For mapInArrow: the rows with the columns of the schema's last three, weight, n_matches and n_words, after their own."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(shared.value, exceptions)
-        schema = pa.schema([("id", pa.int64()), ("weight", pa.float64()), ("n_matches", pa.int64()), ("n_words", pa.int64())])
+        lexicon = Lexicon(weights.value, exceptions)
         for b in batches:
             found = [lexicon.weigh(t) for t in b["text"].to_pylist()]
-            yield batch(schema, id=b["id"], weight=[f[0] for f in found], n_matches=[f[1] for f in found], n_words=[f[2] for f in found])
-
-    out = "id long, weight double, n_matches long, n_words long"
-    fitted = sample.select(F.col("label").cast("long").alias("id"), "text").mapInArrow(weigh, out).collect()  # sample_rows rows at most
-    y = np.array([r["id"] for r in fitted], dtype=float)
-    if weights:
-        b = logistic_fit(np.array([features(r["weight"], r["n_words"]) for r in fitted]), y)
-    else:
+            own = [b.column(k) for k, name in enumerate(b.schema.names) if name != "text" or "text" in schema.names]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.float64(), pa.int64(), pa.int64())))], schema=schema)
+
+    return weigh
+
+
+_FOUND = [("_weight", pa.float64()), ("_matches", pa.int64()), ("_words", pa.int64())]
+_FOUND_DDL = "_weight double, _matches long, _words long"
+
+
+@dataclass
+class ToxicityModel:
+    """A lexicon and the logistic curve over its summed weights."""
+
+    weights: dict[str, float]
+    curve: tuple[float, float, float]
+    exceptions: tuple[str, ...] = EXCEPTIONS
+
+    @classmethod
+    def learned(cls, documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
+        sample = labelled_sample(documents, labels, "toxic", sample_rows)
+        weights = learn_lexicon(sample)
+        shared = documents.sparkSession.sparkContext.broadcast(weights)
+        weigh = weighing(shared, exceptions, pa.schema([("label", pa.int32()), *_FOUND]))
+        fitted = sample.select("label", "text").mapInArrow(weigh, f"label int, {_FOUND_DDL}").collect()  # sample_rows rows at most
+        y = np.array([r["label"] for r in fitted], dtype=float)
+        if weights:
+            return cls(weights, tuple(logistic_fit(np.array([features(r["_weight"], r["_words"]) for r in fitted]), y).tolist()), exceptions)
         rate = y.mean() if len(y) else 0.0
-        b = np.array([math.log(max(rate, 1e-9) / max(1 - rate, 1e-9)), 0.0, 0.0])
-    docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    per_words = 100.0 * F.col("weight") / F.greatest("n_words", F.lit(20))
-    z = F.lit(float(b[0])) + F.lit(float(b[1])) * F.log1p("weight") + F.lit(float(b[2])) * F.log1p(per_words)
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))
-    scored = docs.mapInArrow(weigh, out).withColumnRenamed("id", "doc_id").withColumn("score", score)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "weight", "n_matches", "n_words")
+        return cls({}, (math.log(max(rate, 1e-9) / max(1 - rate, 1e-9)), 0.0, 0.0), exceptions)
+
+    def score(self) -> Column:
+        per_words = 100.0 * F.col("_weight") / F.greatest("_words", F.lit(20))
+        a, b, c = map(F.lit, self.curve)
+        z = a + b * F.log1p("_weight") + c * F.log1p(per_words)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))
+
+    def weighed(self, rows: DataFrame, keep_text: bool) -> DataFrame:
+        """The rows, which have a string column text, with _weight, _matches and _words."""
+        schema = [f for f in rows.schema.fields if keep_text or f.name != "text"]
+        arrow = pa.schema([*to_arrow_schema(StructType(schema)), *(pa.field(*f) for f in _FOUND)])
+        shared = rows.sparkSession.sparkContext.broadcast(self.weights)
+        return rows.mapInArrow(weighing(shared, self.exceptions, arrow), StructType([*(StructField(f.name, f.dataType) for f in schema), *StructType.fromDDL(_FOUND_DDL).fields]))
+
+
+def toxicity(documents: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = EXCEPTIONS, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
+    """doc_id, held_out, score, predicted, weight, n_matches, n_words of every document."""
+    model = ToxicityModel.learned(documents, labels, exceptions, sample_rows)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = model.weighed(docs, False).withColumn("score", model.score())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("_weight").alias("weight"), F.col("_matches").alias("n_matches"), F.col("_words").alias("n_words"))
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
+    """The documents, as they are, that score below the threshold; text must be a string column."""
+    model = ToxicityModel.learned(documents, labels, **options)
+    return model.weighed(documents, True).filter(model.score() < threshold).select(*documents.columns)
