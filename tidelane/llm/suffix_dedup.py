@@ -255,7 +255,7 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
     spark = documents.sparkSession
     docs = keyed(documents, carry)
     firsts = first_copies(docs)
-    n_parts, n_buckets = parts(spark, 4), parts(spark, 4)
+    n_parts, n_buckets, n_indexes = parts(spark, 2), parts(spark, 1), parts(spark, 2)
     dealt = docs.select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h", "text", *carry)
     wanted = firsts.select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h", "first_id")
 
@@ -310,7 +310,7 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
                 marks["doc_id"], marks["at"], marks["bits"] = doc[local], place[local], (1 << (size[local] - WINDOW + 1)) - 1
                 out["bucket"].append(-1 - part), out["part"].append(part), out["payload"].append(marks.tobytes())
             lead = np.concatenate([lead, order[same & own]])  # a document's own repeats wait for the same answer
-            bucket = (cut(code[lead]) >> U64(24)).astype(np.int64) * n_buckets >> 24
+            bucket = (cut(code[lead]) >> U64(24)).astype(np.int64) * n_indexes >> 24
             by = np.argsort(bucket, kind="stable")
             lead, bucket = lead[by], bucket[by]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
