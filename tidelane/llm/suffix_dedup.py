@@ -401,7 +401,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 
     rows = kept.select("doc_id", "kept", *names.values())
     rows = rows.mapInArrow(whole_letters, StructType([*StructType.fromDDL("doc_id long, kept string").fields, *(rows.schema[n] for n in names.values())]))
-    rows = rows.withColumnsRenamed({v: k for k, v in names.items()}).withColumnRenamed("kept", "text")
+    rows = rows.withColumnRenamed("kept", "text").withColumnsRenamed({v: k for k, v in names.items()})
     if "n_chars" in others:
         rows = rows.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     rows = rows.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType)).select(*documents.columns)
