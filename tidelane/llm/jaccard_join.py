@@ -5,6 +5,9 @@ tokens. The orders here all put rare tokens first, by their exact counts over th
 break ties by different hashes; a pair is a candidate only if it shares prefix tokens under
 every order. Candidates are then verified on the whole sets.
 
+A shared token that comes late in an order leaves too few tokens after it for a pair that shares
+none before it, so under each order a pair must meet at a token with room enough on both sides.
+
 Frequent tokens do not multiply pairs: a group of documents that share a prefix token is first
 tied to its least and greatest member; only where verified links leave a group in several
 components are the remaining pairs, those across components, looked at. So no link between
@@ -34,7 +37,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = 75
 #: Seeds of the hashes that break ties, one for each order.
 ORDERS = (0x1F83D9AB, 0x5BE0CD19, 0x243F6A88)
-UNITS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefixes", pa.list_(pa.list_(pa.int64()))), ("tokens", pa.binary())])
+UNITS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("single", pa.int64()), ("prefixes", pa.list_(pa.list_(pa.int64()))), ("tokens", pa.binary())])
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -70,9 +73,9 @@ def _sets(table: pa.Table, firsts: pa.Table, size: int) -> Iterator[tuple[int, n
 
 
 def token_sets(docs: DataFrame, firsts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """doc_id, n, prefixes, tokens of each first copy; the last two only of those that may link."""
+    """doc_id, n, single (tokens no other text has), prefixes, tokens of each first copy; the last two only of those that may link."""
     spark = docs.sparkSession
-    n_parts, n_buckets = parts(spark, 4), parts(spark, 2)
+    n_parts, n_buckets = parts(spark, 2), parts(spark, 1)
     dealt = docs.select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h", "text")
     wanted = firsts.filter("doc_id = first_id").select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h")
 
@@ -86,8 +89,10 @@ def token_sets(docs: DataFrame, firsts: DataFrame, size: int, threshold: int) ->
         df = received(answers["payload"].to_pylist())
         out = {name: [] for name in UNITS.names}
         for doc_id, tokens in _sets(table, firsts, size):
-            found = prefixes(tokens, looked_up(cut(tokens), df), threshold)
+            counts = looked_up(cut(tokens), df)
+            found = prefixes(tokens, counts, threshold)
             out["doc_id"].append(doc_id)
+            out["single"].append(int((counts < 2).sum()))
             out["n"].append(len(tokens))
             out["prefixes"].append(None if found is None else [p.view(np.int64) for p in found])
             out["tokens"].append(None if found is None else tokens.tobytes())
@@ -96,7 +101,7 @@ def token_sets(docs: DataFrame, firsts: DataFrame, size: int, threshold: int) ->
     sent_rows = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(send, SENT_DDL)
     answers = answered(sent_rows, 2).selectExpr("part", "payload", "CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS LONG) AS h")
     answers = answers.unionByName(wanted.selectExpr("part", "CAST(NULL AS BINARY) AS payload", "doc_id", "h"))
-    return saved(dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(use, "doc_id long, n long, prefixes array<array<long>>, tokens binary"))
+    return saved(dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(use, "doc_id long, n long, single long, prefixes array<array<long>>, tokens binary"))
 
 
 def verified(pairs: DataFrame, units: DataFrame, threshold: int) -> DataFrame:
@@ -128,9 +133,9 @@ def _fits(a: str, b: str, threshold: int):
 
 def links(units: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, shared, together) between different texts that hold every component together, and doc_id, component."""
-    prefix = saved(
-        units.filter("prefixes IS NOT NULL").select("doc_id", "n", F.posexplode("prefixes").alias("order", "prefix")).select("doc_id", "n", "order", F.explode("prefix").alias("token"))
-    )
+    orders = units.filter("prefixes IS NOT NULL").select("doc_id", "n", "single", F.posexplode("prefixes").alias("order", "prefix"))
+    placed = orders.select("doc_id", "n", "single", "order", F.posexplode("prefix").alias("place", "token"))
+    prefix = saved(placed.select("doc_id", "n", "order", "token", (F.col("n") - F.col("single") - F.col("place")).alias("reach")))
     ends = prefix.groupBy("order", "token").agg(F.min(F.struct("doc_id", "n")).alias("lo"), F.max(F.struct("doc_id", "n")).alias("hi")).filter("lo.doc_id <> hi.doc_id")
     tied = prefix.join(ends, ["order", "token"]).select("doc_id", "n", F.explode(F.array("lo", "hi")).alias("end")).filter("doc_id <> end.doc_id")
     tied = tied.filter(_fits("n", "end.n", threshold)).select(F.least("doc_id", "end.doc_id").alias("a"), F.greatest("doc_id", "end.doc_id").alias("b")).distinct()
@@ -140,13 +145,19 @@ def links(units: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Data
     marked = saved(prefix.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     group = ["order", "token"]
     split = marked.groupBy(*group).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*group)
-    open_ = marked.join(split, group)
-    parts_ = open_.select(*group, "component").distinct()
-    across = parts_.withColumnRenamed("component", "left").join(parts_.withColumnRenamed("component", "right"), group).filter("left < right")
-    left = open_.select(*group, F.col("component").alias("left"), F.col("doc_id").alias("x"), F.col("n").alias("nx"))
-    right = open_.select(*group, F.col("component").alias("right"), F.col("doc_id").alias("y"), F.col("n").alias("ny"))
-    met = across.join(left, [*group, "left"]).join(right, [*group, "right"]).filter(_fits("nx", "ny", threshold))
-    pairs = met.select("order", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    open_ = marked.join(split, group).withColumn("most", F.floor(F.col("reach") * (100 + threshold) / threshold) - F.col("n"))
+    # What the parts of a group allow: sizes, and the largest partner that the rest of an order leaves room for.
+    room = open_.groupBy(*group, "component").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("most").alias("most"))
+    sides = [room.select(*group, *[F.col(c).alias(f"{c}_{side}") for c in ("component", "least", "largest", "most")]) for side in "xy"]
+    fits = (F.col("component_x") < F.col("component_y")) & (F.col("least_y") <= F.col("most_x")) & (F.col("least_x") <= F.col("most_y")) & (F.col("largest_y") * 100 >= F.col("least_x") * threshold) & (F.col("largest_x") * 100 >= F.col("least_y") * threshold)
+    sides = [side.alias(name) for side, name in zip(sides, "xy")]
+    across = sides[0].join(sides[1], (F.col("x.order") == F.col("y.order")) & (F.col("x.token") == F.col("y.token")) & fits).select("x.order", "x.token", "component_x", "component_y")
+    left, right = (open_.select(*group, *[F.col(c).alias(f"{c}_{side}") for c in ("component", "doc_id", "n", "most")]) for side in "xy")
+    near = (F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y")) & _fits("n_x", "n_y", threshold)
+    half = across.join(left, [*group, "component_x"]).alias("l")
+    right = right.alias("r")
+    met = half.join(right, (F.col("l.order") == F.col("r.order")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.component_y") == F.col("r.component_y")) & near)
+    pairs = met.select("l.order", F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("orders")).filter(F.col("orders") == len(ORDERS)).select("a", "b")
     second = saved(verified(pairs, units, threshold))
     all_links = first.unionByName(second)
