@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.geo import mercator_x, mercator_y
@@ -76,6 +76,22 @@ def idw_filled(cells: DataFrame, value: str, k: int = 8, power: int = 2, x: str
     return joined.select("row_i", "col_j", F.round(F.coalesce(value, "mean"), 6).alias("value"), (F.col(value).isNull() & F.col("mean").isNotNull()).alias("filled"))
 
 
+def linear_filled(cells: DataFrame, value: str) -> DataFrame:
+    """row_i, col_j, value: missing cells get the mean of what lies between their neighbours along the row and the column; else the nearest value."""
+    def between(line: str, at: str) -> Column:
+        order = Window.partitionBy(line).orderBy(at)
+        known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("at"), F.col(value).alias("v")))
+        a = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        b = F.first(known, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+        return a["v"] + (b["v"] - a["v"]) * (F.col(at) - a["at"]) / (b["at"] - a["at"])
+
+    crossed = cells.select("row_i", "col_j", value, between("row_i", "col_j").alias("_x"), between("col_j", "row_i").alias("_y"))
+    mean = F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), (F.col("_x") + F.col("_y")) / 2).otherwise(F.coalesce("_x", "_y"))
+    linear = crossed.select("row_i", "col_j", F.coalesce(value, mean).alias("value"))
+    nearest_ = idw_filled(cells, value, k=1).select("row_i", "col_j", F.col("value").alias("_near"))
+    return linear.join(nearest_, ["row_i", "col_j"]).select("row_i", "col_j", F.round(F.coalesce("value", "_near"), 6).alias("value"))
+
+
 def corners(cells: DataFrame, value: str) -> DataFrame:
     """Each cell that has its three neighbours to the south and east, with all four values."""
     def moved(di, dj, name):

@@ -92,6 +92,21 @@ def knn8_idw_fill(spark, sf_dir):
     return raster.idw_filled(gappy(spark, sf_dir), "height")
 
 
+def _between(line: str, at: str) -> str:
+    return f"""(SELECT row_i, col_j, av + (bv - av) * ({at} - ap) / (bp - ap) AS v FROM (SELECT row_i, col_j,
+    last_value(height IGNORE NULLS) OVER b AS av, last_value(CASE WHEN height IS NOT NULL THEN {at} END IGNORE NULLS) OVER b AS ap,
+    first_value(height IGNORE NULLS) OVER a AS bv, first_value(CASE WHEN height IS NOT NULL THEN {at} END IGNORE NULLS) OVER a AS bp FROM gappy
+    WINDOW b AS (PARTITION BY {line} ORDER BY {at} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY {line} ORDER BY {at} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)))"""
+
+
+@query(f"""WITH {GAPPY}, near AS (SELECT a.row_i, a.col_j, b.height, row_number() OVER (PARTITION BY a.row_i, a.col_j ORDER BY (a.row_i - b.row_i) * (a.row_i - b.row_i) + (a.col_j - b.col_j) * (a.col_j - b.col_j), b.row_i, b.col_j) AS k
+    FROM gappy a, gappy b WHERE a.height IS NULL AND b.height IS NOT NULL)
+SELECT g.row_i, g.col_j, round(coalesce(g.height, CASE WHEN x.v IS NOT NULL AND y.v IS NOT NULL THEN (x.v + y.v) / 2 ELSE coalesce(x.v, y.v) END, n.height), 6) AS value
+FROM gappy g JOIN {_between('row_i', 'col_j')} x USING (row_i, col_j) JOIN {_between('col_j', 'row_i')} y USING (row_i, col_j) LEFT JOIN near n ON n.row_i = g.row_i AND n.col_j = g.col_j AND n.k = 1""")
+def linear_fill(spark, sf_dir):
+    return raster.linear_filled(gappy(spark, sf_dir), "height")
+
+
 @query(f"""WITH {CELLS} SELECT a.row_i, a.col_j, a.height AS v00, b.height AS v10, c.height AS v11, d.height AS v01 FROM cells a
 JOIN cells b ON b.row_i = a.row_i + 1 AND b.col_j = a.col_j JOIN cells c ON c.row_i = a.row_i + 1 AND c.col_j = a.col_j + 1 JOIN cells d ON d.row_i = a.row_i AND d.col_j = a.col_j + 1""")
 def cell_corners(spark, sf_dir):
