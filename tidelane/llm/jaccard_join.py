@@ -2,11 +2,12 @@
 
 Two sets that are alike enough share a token among the first of each, under any order of all
 tokens. The orders here all put rare tokens first, by their exact counts over the corpus, and
-break ties by different hashes; a pair is a candidate only if it shares prefix tokens under
-every order. Candidates are then verified on the whole sets.
+break ties by different hashes. Pairs that share a prefix token under the first order are held
+against the others; those that share prefix tokens under every order are verified on the whole
+sets.
 
 A shared token that comes late in an order leaves too few tokens after it for a pair that shares
-none before it, so under each order a pair must meet at a token with room enough on both sides.
+none before it, so a pair must meet at a token with room enough on both sides.
 
 Frequent tokens do not multiply pairs: a group of documents that share a prefix token is first
 tied to its least and greatest member; only where verified links leave a group in several
@@ -105,15 +106,23 @@ def token_sets(docs: DataFrame, firsts: DataFrame, size: int, threshold: int) ->
 
 
 def verified(pairs: DataFrame, units: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough, with the sizes of intersection and union."""
-    sets = units.filter("tokens IS NOT NULL").select("doc_id", "tokens")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("right")), "b")
+    """The pairs (a, b) whose sets are alike enough, with the sizes of intersection and union.
+
+    Pairs come from the first order. They are candidates if they share prefix tokens under the
+    other orders, too; only candidates' sets are compared.
+    """
+    sets = units.filter("tokens IS NOT NULL").select("doc_id", F.slice("prefixes", 2, len(ORDERS) - 1).alias("others"), "tokens")
+    left, right = (sets.select(F.col("doc_id").alias(name), F.struct("others", "tokens").alias(f"set_{name}")) for name in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("together", pa.int64())])
         for rows in batches:
             out = {name: [] for name in schema.names}
-            for a, b, x, y in zip(rows["a"].to_pylist(), rows["b"].to_pylist(), rows["left"], rows["right"]):
+            (others_x, x_sets), (others_y, y_sets) = (rows[c].flatten() for c in ("set_a", "set_b"))
+            for a, b, f, g, x, y in zip(rows["a"].to_pylist(), rows["b"].to_pylist(), others_x, others_y, x_sets, y_sets):
+                if not all(np.intersect1d(i.values.to_numpy(), j.values.to_numpy(), assume_unique=True).size for i, j in zip(f, g)):
+                    continue
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 all_ = np.concatenate([x, y])
                 all_.sort()
@@ -123,7 +132,7 @@ def verified(pairs: DataFrame, units: DataFrame, threshold: int) -> DataFrame:
                         out[name].append(value)
             yield batch(schema, **out)
 
-    return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long, shared long, together long")
+    return both.mapInArrow(check, "a long, b long, shared long, together long")
 
 
 def _fits(a: str, b: str, threshold: int):
@@ -133,32 +142,28 @@ def _fits(a: str, b: str, threshold: int):
 
 def links(units: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, shared, together) between different texts that hold every component together, and doc_id, component."""
-    orders = units.filter("prefixes IS NOT NULL").select("doc_id", "n", "single", F.posexplode("prefixes").alias("order", "prefix"))
-    placed = orders.select("doc_id", "n", "single", "order", F.posexplode("prefix").alias("place", "token"))
-    prefix = saved(placed.select("doc_id", "n", "order", "token", (F.col("n") - F.col("single") - F.col("place")).alias("reach")))
-    ends = prefix.groupBy("order", "token").agg(F.min(F.struct("doc_id", "n")).alias("lo"), F.max(F.struct("doc_id", "n")).alias("hi")).filter("lo.doc_id <> hi.doc_id")
-    tied = prefix.join(ends, ["order", "token"]).select("doc_id", "n", F.explode(F.array("lo", "hi")).alias("end")).filter("doc_id <> end.doc_id")
+    placed = units.filter("prefixes IS NOT NULL").select("doc_id", "n", "single", F.posexplode(F.col("prefixes")[0]).alias("place", "token"))
+    prefix = saved(placed.select("doc_id", "n", "token", (F.col("n") - F.col("single") - F.col("place")).alias("reach")))
+    ends = prefix.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("lo"), F.max(F.struct("doc_id", "n")).alias("hi")).filter("lo.doc_id <> hi.doc_id")
+    tied = prefix.join(ends, "token").select("doc_id", "n", F.explode(F.array("lo", "hi")).alias("end")).filter("doc_id <> end.doc_id")
     tied = tied.filter(_fits("n", "end.n", threshold)).select(F.least("doc_id", "end.doc_id").alias("a"), F.greatest("doc_id", "end.doc_id").alias("b")).distinct()
     first = saved(verified(tied, units, threshold))
     joined = connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     marked = saved(prefix.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    group = ["order", "token"]
-    split = marked.groupBy(*group).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*group)
-    open_ = marked.join(split, group).withColumn("most", F.floor(F.col("reach") * (100 + threshold) / threshold) - F.col("n"))
-    # What the parts of a group allow: sizes, and the largest partner that the rest of an order leaves room for.
-    room = open_.groupBy(*group, "component").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("most").alias("most"))
-    sides = [room.select(*group, *[F.col(c).alias(f"{c}_{side}") for c in ("component", "least", "largest", "most")]) for side in "xy"]
-    fits = (F.col("component_x") < F.col("component_y")) & (F.col("least_y") <= F.col("most_x")) & (F.col("least_x") <= F.col("most_y")) & (F.col("largest_y") * 100 >= F.col("least_x") * threshold) & (F.col("largest_x") * 100 >= F.col("least_y") * threshold)
-    sides = [side.alias(name) for side, name in zip(sides, "xy")]
-    across = sides[0].join(sides[1], (F.col("x.order") == F.col("y.order")) & (F.col("x.token") == F.col("y.token")) & fits).select("x.order", "x.token", "component_x", "component_y")
-    left, right = (open_.select(*group, *[F.col(c).alias(f"{c}_{side}") for c in ("component", "doc_id", "n", "most")]) for side in "xy")
+    split = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+    open_ = marked.join(split, "token").withColumn("most", F.floor(F.col("reach") * (100 + threshold) / threshold) - F.col("n"))
+    # What the parts of a group allow: sizes, and the largest partner that the rest of the order leaves room for.
+    room = open_.groupBy("token", "component").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("largest"), F.max("most").alias("most"))
+    x, y = (room.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("component", "members", "least", "largest", "most")]).alias(side) for side in "xy")
+    fits = (F.col("least_y") <= F.col("most_x")) & (F.col("least_x") <= F.col("most_y")) & (F.col("largest_y") * 100 >= F.col("least_x") * threshold) & (F.col("largest_x") * 100 >= F.col("least_y") * threshold)
+    smaller_first = F.struct("members_x", "component_x") < F.struct("members_y", "component_y")
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller_first & fits).select("x.token", "component_x", "component_y")
+    left, right = (open_.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("component", "doc_id", "n", "most")]) for side in "xy")
     near = (F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y")) & _fits("n_x", "n_y", threshold)
-    half = across.join(left, [*group, "component_x"]).alias("l")
-    right = right.alias("r")
-    met = half.join(right, (F.col("l.order") == F.col("r.order")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.component_y") == F.col("r.component_y")) & near)
-    pairs = met.select("l.order", F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("orders")).filter(F.col("orders") == len(ORDERS)).select("a", "b")
+    half = across.join(left, ["token", "component_x"]).alias("l")
+    met = half.join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.component_y") == F.col("r.component_y")) & near)
+    pairs = met.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct().join(tied, ["a", "b"], "left_anti")
     second = saved(verified(pairs, units, threshold))
     all_links = first.unionByName(second)
     if second.isEmpty():

@@ -43,6 +43,8 @@ LENGTH, ANCHOR = 50, 32
 #: Strings of LENGTH bytes that one anchor may stand for: places of the anchor in them.
 PLACES = LENGTH - ANCHOR + 1
 CODE = 8
+#: Letters that a bucket indexes at a time, about: what a task holds.
+INDEX_LETTERS = 600_000
 WINDOW = LENGTH - ANCHOR + CODE
 MOST = ~U64(0)
 _bytes = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -71,7 +73,6 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         g = h[:-k] * U64(m)
         g += h[k:]
         h, m, k = g, m * m % (1 << 64), 2 * k
-    h = mixed(h)
     np.minimum(h, MOST - U64(1), out=h)
     real = np.ones(n + 1, dtype=bool)  # starts of strings within one text
     sizes = np.diff(bounds)
@@ -87,10 +88,14 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts = np.flatnonzero(real)
     if not len(starts):
         return none, np.zeros(0, U64), none, none
-    # The leftmost least of each string: walk from string to string, as a string's anchor stays until it is left or beaten.
     low = least[starts]
-    place = _leftmost(h, starts, low)
-    change = np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
+    joined = starts[1:] == starts[:-1] + 1
+    run = np.flatnonzero(np.concatenate([[True], ~joined | (low[1:] != low[:-1])]))
+    # Neighbouring strings with the same least share its place, but for those that begin after it.
+    place = np.repeat(_leftmost(h, starts[run], low[run]), np.diff(np.concatenate([run, [len(starts)]])))
+    after = np.flatnonzero(starts > place)
+    place[after] = _leftmost(h, starts[after], low[after])
+    change = np.concatenate([[True], (place[1:] != place[:-1]) | ~joined])
     first = np.flatnonzero(change)
     last = np.concatenate([first[1:], [len(starts)]]) - 1
     at = place[first]
@@ -98,7 +103,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _leftmost(h: np.ndarray, starts: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """For each string the first place where h is its least: the next place, from its start, that is least of a string and equals it."""
+    """For each string the first place in it where h is its least."""
     place = np.full(len(starts), -1, dtype=np.int64)
     todo = np.arange(len(starts))
     for offset in range(PLACES):
@@ -213,6 +218,11 @@ def fragments_of(data: np.ndarray, at: np.ndarray, h: np.ndarray, first: np.ndar
     return out, starts
 
 
+def _taken(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of the text, one after the other."""
+    return text[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 def _planes(x: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
@@ -310,29 +320,40 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
                 marks["doc_id"], marks["at"], marks["bits"] = doc[local], place[local], (1 << (size[local] - WINDOW + 1)) - 1
                 out["bucket"].append(-1 - part), out["part"].append(part), out["payload"].append(marks.tobytes())
             lead = np.concatenate([lead, order[same & own]])  # a document's own repeats wait for the same answer
-            bucket = (cut(code[lead]) >> U64(24)).astype(np.int64) * n_indexes >> 24
-            by = np.argsort(bucket, kind="stable")
-            lead, bucket = lead[by], bucket[by]
+            slot = (cut(code[lead]) >> U64(24)).astype(np.int64) * n_indexes >> 16  # a bucket has 256 slots
+            by = np.argsort(slot, kind="stable")
+            lead, slot = lead[by], slot[by]
+            bucket = slot >> 8
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 k = lead[a:b]
-                taken = np.repeat(starts[k] - (np.cumsum(size[k]) - size[k]), size[k]) + np.arange(size[k].sum())
                 out["bucket"].append(int(bucket[a])), out["part"].append(part)
-                out["payload"].append(struct.pack("<I", len(k)) + _planes(size[k], 1) + _planes(doc[k], 8) + _planes(place[k], 4) + text[taken].tobytes())
+                out["payload"].append(struct.pack("<I", len(k)) + _planes(slot[a:b] & 255, 1) + _planes(size[k], 1) + _planes(doc[k], 8) + _planes(place[k], 4) + _taken(text, starts[k], size[k]).tobytes())
         return pa.Table.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["part"], pa.int32()), pa.array(out["payload"], pa.binary())], names=["bucket", "part", "payload"])
 
     def mark(key, table):
         if key[0].as_py() < 0:
             return table.select(["part", "payload"])
-        parts_, sizes, docs, places, letters = [], [], [], [], []
+        parts_, slots, sizes, docs, places, letters = [], [], [], [], [], []
         for part, payload in zip(table["part"].to_pylist(), table["payload"].to_pylist()):
             (n,), at = struct.unpack_from("<I", payload), 4
+            slot, at = _unplaned(payload, at, n, 1)
             size, at = _unplaned(payload, at, n, 1)
             doc, at = _unplaned(payload, at, n, 8)
             place, at = _unplaned(payload, at, n, 4)
-            parts_.append(np.full(n, part)), sizes.append(size), docs.append(doc), places.append(place), letters.append(np.frombuffer(payload, np.uint8, offset=at))
-        part, size, doc, place, text = (np.concatenate(x) for x in (parts_, sizes, docs, places, letters))
-        bits = repeated(text, np.concatenate([[0], np.cumsum(size)]), doc)
+            parts_.append(np.full(n, part)), slots.append(slot), sizes.append(size), docs.append(doc), places.append(place), letters.append(np.frombuffer(payload, np.uint8, offset=at))
+        part, slot, size, doc, place, text = (np.concatenate(x) for x in (parts_, slots, sizes, docs, places, letters))
+        starts = np.cumsum(size) - size
+        by = np.argsort(slot, kind="stable")
+        ends = np.cumsum(size[by])
+        bits = np.zeros(len(size), dtype=np.int64)
+        begin = 0
+        while begin < len(by):  # equal fragments have equal slots: an index for a few slots at a time
+            end = int(np.searchsorted(ends, ends[begin] + INDEX_LETTERS, "right"))
+            end = int(np.searchsorted(slot[by], slot[by[max(end, begin + 1) - 1]], "right"))
+            k = by[begin:end]
+            bits[k] = repeated(_taken(text, starts[k], size[k]), np.concatenate([[0], np.cumsum(size[k])]), doc[k])
+            begin = end
         hit = np.flatnonzero(bits)
         hit = hit[np.argsort(part[hit], kind="stable")]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part[hit])) + 1, [len(hit)]]) if len(hit) else np.zeros(1, np.int64)
