@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidelane.llm.common import MULTIPLIER, U64, _rng, arrow_table, mixed, part_of, parts, text_chunks
+from tidelane.llm.common import MULTIPLIER, U64, _rng, arrow_table, mixed, part_of, parts, powers, text_chunks
 from tidelane.llm.copies import first_copies, keyed
 from tidelane.llm.exchange import SENT_DDL, answered, cut, looked_up, received, sent
 
@@ -45,6 +45,8 @@ PLACES = LENGTH - ANCHOR + 1
 CODE = 8
 #: Letters that a bucket indexes at a time, about: what a task holds.
 INDEX_LETTERS = 600_000
+#: Bytes of text whose anchors are sought at a time: small, as each byte takes several 8-byte numbers meanwhile.
+SOUGHT_BYTES = 1 << 17
 WINDOW = LENGTH - ANCHOR + CODE
 MOST = ~U64(0)
 _bytes = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -275,7 +277,7 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
 
     def chunks(table: pa.Table, firsts: pa.Table) -> Iterator[tuple]:
         ids, texts = _first_texts(table, firsts)
-        for row, data, bounds in text_chunks(texts):
+        for row, data, bounds in text_chunks(texts, SOUGHT_BYTES):
             found = anchors(data, bounds)
             yield ids, row + np.searchsorted(bounds, found[0], "right") - 1, data, bounds, row, *found
 
@@ -296,19 +298,18 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
         part = key[0].as_py()
         df = received(answers["payload"].to_pylist())
         rows = answers.filter(answers["payload"].is_null())
-        letters, sizes, docs, places, codes = [], [], [], [], []
+        letters, sizes, docs, places, codes, hashed_ = [], [], [], [], [], []
         for ids, row, data, bounds, first_row, at, h, first, last in chunks(table, rows):
             keep = looked_up(cut(h), df) >= 2
             row, at, h, first, last = row[keep], at[keep], h[keep], first[keep], last[keep]
             text, starts = fragments_of(data, at, h, first, last)
             letters.append(text), sizes.append(np.diff(starts)), docs.append(ids[row]), codes.append(h)
-            places.append(first - bounds[row - first_row])
+            places.append(first - bounds[row - first_row]), hashed_.append(_fragment_hashes(text, starts))
         out = {"bucket": [], "part": [], "payload": []}
         if letters and sum(map(len, sizes)):
-            text, size, doc, place, code = (np.concatenate(x) for x in (letters, sizes, docs, places, codes))
+            text, size, doc, place, code, hashes = (np.concatenate(x) for x in (letters, sizes, docs, places, codes, hashed_))
             starts = np.concatenate([[0], np.cumsum(size)])
             # Equal fragments of a part: the least document's stands for them, and decides for the others.
-            hashes = _fragment_hashes(text, starts)
             order = np.lexsort((place, doc, hashes))
             same = np.concatenate([[False], (hashes[order][1:] == hashes[order][:-1]) & (size[order][1:] == size[order][:-1])])
             lead = order[~same]
@@ -399,8 +400,6 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
 
 
 def _fragment_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    from tidelane.llm.common import powers
-
     power, inverse = powers(len(text))
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(_bytes[text] * power)])
     return mixed((sums[starts[1:]] - sums[starts[:-1]]) * inverse[starts[:-1]])
