@@ -101,7 +101,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = np.flatnonzero(change)
     last = np.concatenate([first[1:], [len(starts)]]) - 1
     at = place[first]
-    return at, h[at], starts[first], starts[last]
+    # Least hashes crowd at the low end; mixed, which keeps different ones different, they fill buckets evenly.
+    return at, mixed(h[at]), starts[first], starts[last]
 
 
 def _leftmost(h: np.ndarray, starts: np.ndarray, low: np.ndarray) -> np.ndarray:
