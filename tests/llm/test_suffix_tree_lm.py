@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from tidelane.llm.common import text_chunks
-from tidelane.llm.suffix_tree_lm import DEPTH, END, SuffixAutomaton, learned, runs, scored, symbols
+from tidelane.llm.suffix_tree_lm import DEPTH, END, SuffixAutomaton, gains, learned, run_counts, runs, scored, symbols, tree
 
 
 def corpus(n=120):
@@ -73,3 +73,22 @@ def test_long_texts_score_as_in_one_piece(spark):
             total += float(model.log10[state, model.column[x]])
         state = int(model.step[state, model.column[x]])
     assert abs(model.score(stream, np.array([0, len(stream)]))[0] - total) < 1e-3
+
+
+def test_every_context_that_passes_is_kept_and_scores(spark):
+    """A corpus with more passing contexts than the 12,000 that used to be kept, scored as its whole tree scores."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4000)]
+    rows = [(i, " ".join(words[(i * 100 + k) % 4000] for k in range(100))) for i in range(1600)] + [(1600, "tide\0 Zz"), (1601, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    counts = run_counts(docs.filter(~docs.doc_id.isin([i for i in held if held[i]])).selectExpr("text", "false AS held_out"))
+    passing = sum(gains(counts, depth).count() for depth in range(1, DEPTH + 1))
+    kept = sum(level.count() for level in tree(counts))
+    assert passing > 12_000 and kept >= passing
+    model = learned(docs.filter(~docs.doc_id.isin([i for i in held if held[i]])))
+    assert len(model.step) == kept + 1
+    got = {r.doc_id: r.score for r in scored(docs).collect()}
+    for first, data, bounds in text_chunks(pa.array([t for _, t in rows])):
+        for k, want in enumerate(model.score(*symbols(data, bounds))):
+            assert abs(got[rows[first + k][0]] - want) < 1e-2, rows[first + k][0]

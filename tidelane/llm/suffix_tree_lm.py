@@ -4,13 +4,16 @@ The tree's symbols are the bytes of the lower-cased words, one space between wor
 Its contexts are the runs of up to DEPTH symbols before a symbol. A context stays if it is
 frequent enough and the next symbols after it diverge enough from those after its parent (the
 context less its oldest symbol): its number of occurrences times the Kullback-Leibler divergence
-must pass a threshold. Next-symbol distributions are smoothed with the parent's, each by the
-number of different symbols seen. The tree is turned into an automaton whose states are the
-contexts kept (with their suffixes and prefixes), so a text is scored by table steps: after each
-symbol the state is the longest context kept that ends there.
+must pass a threshold. Every context that passes stays, with its suffixes and prefixes, so the
+tree grows with the corpus. Next-symbol distributions are smoothed with the parent's, each by the
+number of different symbols seen. A symbol is scored by the longest context kept before it; the
+zeros before a text count as symbols of contexts.
 
-All counts cover all training documents: symbol runs are counted in tasks and summed by key,
-word counts go through the exchange. Only the tree, whose size is a parameter, is broadcast.
+All counts cover all training documents: symbol runs (a symbol and the DEPTH before it) are
+counted in tasks and summed by key, word counts go through the exchange. The tree is a table by
+depth and context and is never gathered. It gives every run that occurs anywhere its log
+probability, depth by depth; documents are dealt into parts, each part asks for its distinct runs
+and gets their logs.
 
 Defined results: null and empty texts are the end alone; rows with a null id are scored and
 learned from; repeated rows count each; an empty table gives no rows.
@@ -27,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import U64, _space, arrow_table, batch, crc_mod, hashed_words, part_of, parts, text_chunks
-from tidelane.llm.exchange import ANSWER_DDL, SENT_DDL, TOTALS, answered, looked_up, received, sent
+from tidelane.llm.common import U64, _space, arrow_table, batch, crc_mod, hashed_words, mixed, part_of, parts, text_chunks
+from tidelane.llm.exchange import ANSWER, ANSWER_DDL, SENT, SENT_DDL, TOTALS, answered, looked_up, packed, received, sent, unpacked
 from tidelane.operators.materialise import saved
 
 DEPTH = 5
-#: Contexts kept, at most: those with the largest gains. The model's size.
-MAX_CONTEXTS = 12_000
-MIN_COUNT, MIN_SHARE, MIN_GAIN = 20, 2e-6, 30.0
+#: What a context needs: occurrences, and those times the divergence.
+MIN_COUNT, MIN_GAIN = 20, 30.0
 END, SPACE = 10, 32
 #: The end as a word, for the base.
 END_WORD = U64(0xE5D0E5D0E5D0E5D0)
@@ -89,15 +91,21 @@ def counted(parts_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def run_counts(documents: DataFrame) -> DataFrame:
-    """run, n over the texts of all rows; saved."""
+    """run, n over the texts of all rows; n is 0 where a run is in held_out rows only. Saved."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("run", pa.int64()), ("n", pa.int64())])
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for rows in batches:
-            for _, data, bounds in text_chunks(rows["text"], 1 << 21):
-                held.append(np.unique(runs(*symbols(data, bounds)), return_counts=True))
-                if len(held) > 1 and sum(len(k) for k, _ in held[1:]) > max(1_000_000, len(held[0][0])):
+            learn = ~rows["held_out"].to_numpy(zero_copy_only=False)
+            for first, data, bounds in text_chunks(rows["text"], 1 << 21):
+                stream, starts = symbols(data, bounds)
+                code = runs(stream, starts)
+                in_learn = np.repeat(learn[first : first + len(starts) - 1], np.diff(starts) - DEPTH)
+                held.append(np.unique(code[in_learn], return_counts=True))
+                only = np.unique(code[~in_learn])
+                held.append((only, np.zeros(len(only), np.int64)))
+                if len(held) > 2 and sum(len(k) for k, _ in held[1:]) > max(1_000_000, len(held[0][0])):
                     held = [counted(held)]
                     if len(held[0][0]) > 4_000_000:
                         yield batch(schema, run=held[0][0].view(np.int64), n=held[0][1])
@@ -107,7 +115,7 @@ def run_counts(documents: DataFrame) -> DataFrame:
             for a in range(0, len(keys), 100_000):
                 yield batch(schema, run=keys[a : a + 100_000].view(np.int64), n=n[a : a + 100_000])
 
-    return saved(documents.mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")))
+    return saved(documents.select("text", "held_out").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")))
 
 
 def _next_counts(counts: DataFrame, depth: int) -> DataFrame:
@@ -116,21 +124,50 @@ def _next_counts(counts: DataFrame, depth: int) -> DataFrame:
     return counts.groupBy(context.alias("context"), F.col("run").bitwiseAND(F.lit(255)).alias("next")).agg(F.sum("n").alias("n"))
 
 
-def gains(counts: DataFrame, depth: int, least: float) -> DataFrame:
-    """context and gain of the contexts of one length with `least` occurrences and a gain over MIN_GAIN."""
+def gains(counts: DataFrame, depth: int) -> DataFrame:
+    """context and gain of the contexts of one length with MIN_COUNT occurrences and a gain of MIN_GAIN."""
     own = _next_counts(counts, depth)
-    total = own.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
+    total = own.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total") >= MIN_COUNT)
     up = _next_counts(counts, depth - 1).select(F.col("context").alias("parent"), "next", F.col("n").alias("up"))
     up_total = up.groupBy("parent").agg(F.sum("up").alias("up_total"))
     parent = F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1)) if depth > 1 else F.lit(0).cast("long")
     joined = own.join(total, "context").withColumn("parent", parent).join(up, ["parent", "next"]).join(up_total, "parent")
     gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("up") / F.col("up_total"))))
-    return joined.groupBy("context").agg(gain.alias("gain")).filter(F.col("gain") >= MIN_GAIN).withColumn("depth", F.lit(depth))
+    return joined.groupBy("context").agg(gain.alias("gain")).filter(F.col("gain") >= MIN_GAIN)
+
+
+def tree(counts: DataFrame) -> list[DataFrame]:
+    """The contexts kept, by depth less 1: all that pass, closed under suffixes and prefixes. Saved."""
+    learnt = counts.filter("n > 0")
+    levels: list[DataFrame] = []
+    for depth in range(DEPTH, 0, -1):
+        level = gains(learnt, depth).select("context")
+        if levels:
+            longer = levels[0]
+            suffixes = longer.select(F.col("context").bitwiseAND(F.lit((1 << 8 * depth) - 1)).alias("context"))
+            level = level.unionByName(suffixes).unionByName(longer.select(F.shiftright("context", 8).alias("context"))).distinct()
+        levels.insert(0, saved(level))
+    return levels
+
+
+def run_logs(counts: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """run and log: the log10 probability of each run's symbol after the longest context kept."""
+    own = _next_counts(counts, 0)
+    total, kinds = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.greatest(F.count_if(F.col("n") > 0), F.lit(1))).first()
+    p = own.select("context", "next", ((F.col("n") + kinds / 256) / F.lit(float(total + kinds))).alias("p"))
+    for depth, kept in enumerate(levels, 1):
+        own = _next_counts(counts, depth)
+        sizes = own.filter("n > 0").groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(kept, "context", "left_semi")
+        parent = F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1)) if depth > 1 else F.lit(0).cast("long")
+        up = p.select(F.col("context").alias("parent"), "next", F.col("p").alias("up"))
+        smoothed = (F.col("n") + F.col("kinds") * F.col("up")) / (F.col("total") + F.col("kinds"))
+        p = own.join(sizes, "context", "left").withColumn("parent", parent).join(up, ["parent", "next"]).select("context", "next", F.coalesce(smoothed, "up").alias("p"))
+    return p.select((F.col("context") * 256 + F.col("next")).alias("run"), F.log10("p").cast("float").alias("log"))
 
 
 @dataclass
 class SuffixAutomaton:
-    """States are contexts; step[s, column] is the state after a symbol and log10[s, column] its log probability."""
+    """The tree as one table, where it fits one machine; scored() needs none. States are contexts; step[s, column] is the state after a symbol and log10[s, column] its log probability."""
 
     column: np.ndarray
     step: np.ndarray
@@ -141,7 +178,7 @@ class SuffixAutomaton:
         """kept: contexts, oldest symbol first, closed under suffixes and prefixes. tables: the counts of the symbols after each."""
         contexts = sorted(kept | {b""}, key=lambda c: (len(c), c))
         number = {c: k for k, c in enumerate(contexts)}
-        seen = sorted(tables.get(b"", {}))
+        seen = sorted({0, *tables.get(b"", {})})  # texts begin after zeros
         column = np.full(256, len(seen), dtype=np.int64)
         column[seen] = np.arange(len(seen))
         unseen = 256 - len(seen)
@@ -150,7 +187,7 @@ class SuffixAutomaton:
         root = np.zeros(len(seen) + 1)
         for x, n in tables.get(b"", {}).items():
             root[column[x]] = n
-        kinds = max(len(seen), 1)
+        kinds = max(len(tables.get(b"", {})), 1)
         p[0] = (root + kinds * np.append(np.full(len(seen), 1 / 256), unseen / 256)) / (root.sum() + kinds)
         for k, c in enumerate(contexts):
             up = number[c[1:]] if c else 0
@@ -192,40 +229,32 @@ class SuffixAutomaton:
         return np.bincount(doc, sums, len(sizes))
 
 
-def learned(documents: DataFrame, max_contexts: int = MAX_CONTEXTS) -> SuffixAutomaton:
-    """The tree over the texts of all rows. Its contexts are few enough to gather: max_contexts and their suffixes and prefixes."""
-    spark = documents.sparkSession
-    counts = run_counts(documents)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = None
-    for depth in range(1, DEPTH + 1):
-        level = gains(counts, depth, max(MIN_COUNT, MIN_SHARE * total))
-        found = level if found is None else found.unionByName(level)
-    best = found.orderBy(F.desc("gain"), "depth", "context").limit(max_contexts).collect()
-    kept: set[bytes] = set()
-    for r in best:
-        context = int(r["context"]).to_bytes(DEPTH, "big")[DEPTH - r["depth"] :]
-        kept.update(context[a:b] for a in range(len(context)) for b in range(a + 1, len(context) + 1))
-    rows = [(len(c), int.from_bytes(c, "big")) for c in sorted(kept)] + [(0, 0)]
-    wanted = spark.createDataFrame(rows, "depth int, context long")
+def learned(documents: DataFrame) -> SuffixAutomaton:
+    """The tree over the texts of all rows, gathered as an automaton: for corpora whose tree fits one machine."""
+    counts = run_counts(documents.select("text", F.lit(False).alias("held_out")))
     tables: dict[bytes, dict[int, int]] = {}
-    for depth in range(DEPTH + 1):
-        got = _next_counts(counts, depth).join(F.broadcast(wanted.filter(F.col("depth") == depth)), "context").select("context", "next", "n").toArrow()
+    for depth, level in enumerate([None, *tree(counts)]):
+        own = _next_counts(counts, depth)
+        got = (own.join(level, "context", "left_semi") if depth else own).select("context", "next", "n").toArrow()
         for c, x, n in zip(*(got[k].to_pylist() for k in ("context", "next", "n"))):
             tables.setdefault(c.to_bytes(DEPTH, "big")[DEPTH - depth :], {})[int(x)] = n
-    return SuffixAutomaton.built(kept, tables)
+    return SuffixAutomaton.built({c for c in tables if c}, tables)
+
+
+def _buckets(code: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(code) >> U64(40)).astype(np.int64) * n >> 24
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("kinds", pa.int64()), ("total", pa.int64())])
 
 
-def scored(documents: DataFrame, *, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def scored(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = documents.sparkSession
     n_parts, n_buckets = parts(spark, 2), parts(spark, 1)
     held = F.coalesce(crc_mod("doc_id", FOLD) == HELD_OUT, F.lit(False))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held)
-    model = spark.sparkContext.broadcast(learned(docs.filter(~F.col("held_out")).select("text"), max_contexts))
+    counts = run_counts(docs)
     dealt = docs.select(part_of(n_parts, "doc_id", "text").alias("part"), "doc_id", "text", "held_out")
 
     def words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -244,19 +273,59 @@ def scored(documents: DataFrame, *, max_contexts: int = MAX_CONTEXTS) -> DataFra
         known, at = np.unique(hashes, return_inverse=True)
         return sent(key[0].as_py(), known, np.bincount(at, learn, len(known)).astype(np.int64), n_buckets, 64)
 
+    def ask(key, table):
+        """A part's distinct runs, for their buckets."""
+        held: list[np.ndarray] = []
+        for _, data, bounds in text_chunks(pa.concat_arrays(table["text"].chunks), 1 << 21):
+            held.append(np.unique(runs(*symbols(data, bounds))))
+            if sum(map(len, held[1:])) > max(500_000, len(held[0])):
+                held = [np.unique(np.concatenate(held))]
+        code = np.unique(np.concatenate(held))
+        bucket = _buckets(code, n_buckets)
+        by = np.argsort(bucket, kind="stable")
+        code, bucket = code[by], bucket[by]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
+        payloads = [packed(code[a:b], np.zeros(b - a, np.int64)) for a, b in zip(cuts, cuts[1:])]
+        return pa.Table.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([key[0].as_py()] * len(payloads), pa.int32()), pa.array(payloads, pa.binary())], schema=SENT)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket = _buckets(b["run"].to_numpy().view(U64), n_buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b["run"], b["log"]], names=["to", "run", "log"])
+
+    def answer(key, asked, model):
+        """The log of each run asked for; its bits travel as a count."""
+        code, log = model["run"].to_numpy().view(U64), model["log"].to_numpy()
+        order = np.argsort(code)
+        code, bits = code[order], log[order].astype("<f4").view("<u4")
+        got = [unpacked(x)[0] for x in asked["payload"].to_pylist()]
+        return pa.Table.from_arrays([asked["part"].combine_chunks(), pa.array([packed(t, bits[np.searchsorted(code, t)]) for t in got], pa.binary())], schema=ANSWER)
+
     def use(key, table, answers):
         if key[0].as_py() == TOTALS:
             sums = np.array([struct.unpack("<qq", x) for x in answers["payload"].to_pylist()]).sum(0)
             return arrow_table(OUT, **{n: [None] for n in OUT.names} | {"kinds": sums[:1], "total": sums[1:]})
-        counts = received(answers["payload"].to_pylist())
+        of_runs = answers["of_runs"].to_pylist()
+        payloads = answers["payload"].to_pylist()
+        counts = received([x for x, r in zip(payloads, of_runs) if not r])
         hashes, row = words(table)
         c = looked_up(hashes, counts)
         n = table.num_rows
-        scores = np.concatenate([model.value.score(*symbols(data, bounds)) for _, data, bounds in text_chunks(pa.concat_arrays(table["text"].chunks), 1 << 22)])
+        code, bits = received([x for x, r in zip(payloads, of_runs) if r])
+        logs = bits.astype("<u4").view("<f4")
+        scores = []
+        for _, data, bounds in text_chunks(pa.concat_arrays(table["text"].chunks), 1 << 20):
+            stream, starts = symbols(data, bounds)
+            sizes = np.diff(starts) - DEPTH
+            scores.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs[np.searchsorted(code, runs(stream, starts))], len(sizes)))
         none = [None] * n
-        return arrow_table(OUT, doc_id=pa.concat_arrays(table["doc_id"].chunks), held_out=pa.concat_arrays(table["held_out"].chunks), n_tokens=np.bincount(row, minlength=n), n_known=np.bincount(row[c > 0], minlength=n), logs=np.bincount(row, np.log10(c + 1.0), n), score=scores, kinds=none, total=none)
+        return arrow_table(OUT, doc_id=pa.concat_arrays(table["doc_id"].chunks), held_out=pa.concat_arrays(table["held_out"].chunks), n_tokens=np.bincount(row, minlength=n), n_known=np.bincount(row[c > 0], minlength=n), logs=np.bincount(row, np.log10(c + 1.0), n), score=np.concatenate(scores), kinds=none, total=none)
 
+    model = run_logs(counts, tree(counts)).mapInArrow(deal, "to int, run long, log float")
+    asked = dealt.groupBy("part").applyInArrow(ask, SENT_DDL)
+    logs = asked.groupBy("bucket").cogroup(model.groupBy("to")).applyInArrow(answer, ANSWER_DDL)
     answers = answered(dealt.groupBy("part").applyInArrow(send, SENT_DDL), 1, with_totals=True)
+    answers = answers.withColumn("of_runs", F.lit(False)).unionByName(logs.withColumn("of_runs", F.lit(True)))
     rows = saved(dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(use, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, kinds long, total long"))
     totals = rows.filter("total IS NOT NULL").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("train_kinds"))
     base = F.col("logs") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("train_kinds") + 1).cast("double"))
