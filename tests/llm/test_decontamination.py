@@ -1,8 +1,9 @@
 from itertools import combinations
 
+import numpy as np
 import pytest
 
-from tidelane.llm.decontamination import MASKS, clean, overlaps
+from tidelane.llm.decontamination import MASKS, best_run, clean, overlaps
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards brew some strong potion tonight".split()
 
@@ -43,3 +44,23 @@ def test_clean_keeps_whole_rows(tables):
     kept = clean(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
     assert clean(docs.limit(0), bench).count() == 0 and clean(docs, bench.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("changed", [0.1, 0.2, 0.3, 0.5])
+def test_best_run_is_that_of_an_exhaustive_search(changed):
+    rng = np.random.default_rng(int(changed * 10))
+    for n in [0, 1, 2, *rng.integers(3, 60, 150)]:
+        same = rng.random(n) >= changed
+        sums = np.concatenate([[0], np.cumsum(same)]).tolist()
+        every = [(sums[b] - sums[a], a - b, -a) for a in range(n) for b in range(a + 1, n + 1) if sums[b] > sums[a] and 5 * (sums[b] - sums[a]) >= 4 * (b - a)]
+        most, less, start = max(every, default=(0, 0, 0))
+        assert best_run(same, 0.8) == (-start, -start - less, most)
+
+
+def test_exact_runs_between_changed_stretches_are_found(spark):
+    words = [f"w{k}" for k in range(51)]
+    text = [w if k % 19 < 13 else "other" for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.n_words, r.n_matched) for r in overlaps(docs, bench).collect()] == [(1, 7, 32, 26)]
+    assert [r.doc_id for r in clean(docs, bench).collect()] == [2]

@@ -3,8 +3,8 @@
 A seed is the hash of the words at the kept positions of a fixed mask; the mask's other
 positions may hold any word. The seeds of the benchmark items are joined with those of every
 document; each hit fixes a diagonal, along which item and document are compared word by word.
-The best-scoring run of the diagonal is reported if it is long and alike enough, so
-substituted words are tolerated inside it.
+Of the runs of the diagonal that are long and alike enough, the one with the most agreeing words
+is reported, so substituted words are tolerated inside it.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, each of which
 goes over all rows. Whatever its size, a block's index is all that a task holds.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,6 @@ from tidelane.llm.common import MULTIPLIER, U64, batch, hashed, mixed
 MASKS = ("111111", "11011011", "110010111", "1010110011")
 #: Words that must agree, and their share of the run. Shorter items must agree in that share of all their words.
 MIN_WORDS, MIN_IDENTITY = 10, 0.8
-#: A changed word costs so many agreeing ones.
-PENALTY = 2
 #: Characters of benchmark text in a block, and rows.
 BLOCK_ITEMS = 20_000
 
@@ -53,13 +52,26 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mixed(h)
 
 
-def best_run(same: np.ndarray, penalty: int = PENALTY) -> tuple[int, int, int]:
-    """Start, end and score of the run with the highest score: agreeing words less penalty times the others."""
-    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -penalty))])
-    gain = sums - np.minimum.accumulate(sums)
-    end = int(gain.argmax())
-    start = int(np.flatnonzero(sums[: end + 1] == sums[: end + 1].min())[-1])
-    return start, end, int(gain[end])
+def best_run(same: np.ndarray, min_identity: float = MIN_IDENTITY) -> tuple[int, int, int]:
+    """Start, end and agreeing words of the run with the most agreeing words among all in which their share is min_identity; the shortest, then leftmost.
+
+    An agreeing word scores 1 - min_identity, another -min_identity, in whole numbers: a run's
+    share is enough if its sum isn't negative. For each end the earliest such start has the most.
+    """
+    share = Fraction(min_identity).limit_denominator(1_000_000)
+    sums = np.concatenate([[0], np.cumsum(np.where(same, share.denominator, 0) - share.numerator)])
+    agreed = np.concatenate([[0], np.cumsum(same)])
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    matched = agreed - agreed[first]
+    most = int(matched.max())
+    if not most:
+        return 0, 0, 0
+    places = np.flatnonzero(same)  # the run with its outer changed words off
+    tails = np.flatnonzero(matched == most)
+    heads = places[agreed[first[tails]]]
+    ends = places[agreed[tails] - 1] + 1
+    k = int((ends - heads).argmin())
+    return int(heads[k]), int(ends[k]), most
 
 
 @dataclass
@@ -108,15 +120,15 @@ class SeedIndex:
 
     def overlaps(self, words: np.ndarray, bounds: np.ndarray, min_words: int, min_identity: float) -> list[tuple[int, int, int, int, int, int]]:
         """Document, item, start, length and agreeing words of the best run, and its start in the item, where they overlap enough."""
-        best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
+        best: dict[tuple[int, int], tuple[tuple[int, int], int, int, int, int]] = {}
         for doc, k, diagonal in self.hits(words, bounds):
             item = self.items[k]
             a, b = max(int(bounds[doc]), diagonal), min(int(bounds[doc + 1]), diagonal + len(item))
             same = words[a:b] == item[a - diagonal : b - diagonal]
-            start, end, score = best_run(same)
-            matched = int(same[start:end].sum())
+            start, end, matched = best_run(same, min_identity)
             least = min(min_words, int(np.ceil(min_identity * len(item))))
-            if matched >= least and matched >= min_identity * (end - start) and score > best.get((doc, k), (0,))[0]:
+            score = (matched, start - end)
+            if matched >= least and score > best.get((doc, k), ((0, 0),))[0]:
                 best[doc, k] = (score, a + start - int(bounds[doc]), end - start, matched, a + start - diagonal)
         return [(*key, *v[1:]) for key, v in best.items()]
 
