@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from brute import kept_bytes
-from tidelane.llm.suffix_dedup import RunLengthIndex, deduplicated, remove_repeats, repeated, suffix_array
+from tidelane.llm.suffix_dedup import RunLengthIndex, deduplicated, remove_repeats, repeated, single, suffix_array
 
 SCHEMA = "doc_id long, text string, kept string, n_chars long"
 
@@ -62,3 +62,22 @@ def test_index_steps_and_groups(seed):
             first[w] = min(first.get(w, 99), d)
     expected = [sum((first[raw[s + k : s + k + 18]] < d) << k for k in range(13)) for d, s in zip(docs.tolist(), starts.tolist())]
     assert repeated(text, starts, docs.astype(np.int64), 18).tolist() == expected
+
+
+def test_strings_of_a_heavy_anchor_travel_alone():
+    heavy, at, first, last = np.array([True, False, True]), np.array([9, 30, 60]), np.array([5, 20, 60]), np.array([7, 30, 60])
+    got = single(heavy, at, first, last)
+    assert [x.tolist() for x in got] == [[9, 9, 9, 30, 60], [5, 6, 7, 20, 60], [5, 6, 7, 30, 60]]
+
+
+def test_heavy_anchors_give_the_same_marks_in_smaller_groups(spark):
+    rng = random.Random(5)
+    line = "this stock line of forty-nine bytes is in them all"[:49]
+    def chars(n):
+        return "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    rows = {i: chars(40) + line + chars(40) for i in range(60)} | {100 + i: chars(9) + rows_ for i, rows_ in enumerate([chars(30) + line + "same end"] * 4)} | {200: "a" * 300, 201: "b" + "a" * 200}
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows.items()], SCHEMA)
+    for heavy in (1, 10):
+        got = {r.doc_id: bytes(r.kept) for r in remove_repeats(docs, heavy=heavy).collect()}
+        assert got == {i: bytes(b for b, c in zip(data, covered) if not c) for i, (data, covered) in kept_bytes(rows).items()}

@@ -7,7 +7,9 @@ it, the one with the least hash. Equal strings have equal anchors, so
 1. the documents' anchors are counted over the corpus (see exchange), and those of a single
    document end there;
 2. the strings around every other anchor travel to a bucket by the anchor's hash: consecutive
-   strings with one anchor are one fragment, in which the anchor itself is its 8-byte hash;
+   strings with one anchor are one fragment, in which the anchor itself is its 8-byte hash; the
+   strings of an anchor that very many documents share are fragments of their own and go to
+   buckets by the hash of the whole, so that no bucket has all of such an anchor;
 3. each bucket builds a suffix array of its fragments and from it a run-compressed
    Burrows-Wheeler transform with samples at the run ends, and streams the fragments through it
    from right to left. At each step the matching statistic is cut at LENGTH bytes: the rows that
@@ -43,6 +45,8 @@ LENGTH, ANCHOR = 50, 32
 #: Strings of LENGTH bytes that one anchor may stand for: places of the anchor in them.
 PLACES = LENGTH - ANCHOR + 1
 CODE = 8
+#: Documents that may share an anchor before its strings travel one by one, dealt by all their letters.
+HEAVY = 4_000
 #: Letters that a bucket indexes at a time, about: what a task holds.
 INDEX_LETTERS = 600_000
 #: Bytes of text whose anchors are sought at a time: small, as each byte takes several 8-byte numbers meanwhile.
@@ -260,7 +264,17 @@ REMOVED_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha
 _RIGHT = ("part", "payload", "doc_id", "h", "first_id")
 
 
-def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def single(heavy: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of which the heavy ones are cut into their single strings; the last two columns are the first and last string."""
+    *others, first, last = columns
+    n = np.where(heavy, last - first + 1, 1)
+    k = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+    begin = first[k] + nth
+    return (*(c[k] for c in others), begin, np.where(heavy[k], begin, last[k]))
+
+
+def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple[str, ...] = (), heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document.
 
     carry names other columns of documents to give back beside them.
@@ -301,11 +315,13 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
         rows = answers.filter(answers["payload"].is_null())
         letters, sizes, docs, places, codes, hashed_ = [], [], [], [], [], []
         for ids, row, data, bounds, first_row, at, h, first, last in chunks(table, rows):
-            keep = looked_up(cut(h), df) >= 2
-            row, at, h, first, last = row[keep], at[keep], h[keep], first[keep], last[keep]
+            n_docs = looked_up(cut(h), df)
+            keep = n_docs >= 2
+            row, at, h, n_docs, first, last = single(n_docs[keep] > heavy, row[keep], at[keep], h[keep], n_docs[keep], first[keep], last[keep])
             text, starts = fragments_of(data, at, h, first, last)
-            letters.append(text), sizes.append(np.diff(starts)), docs.append(ids[row]), codes.append(h)
-            places.append(first - bounds[row - first_row]), hashed_.append(_fragment_hashes(text, starts))
+            hashes = _fragment_hashes(text, starts)
+            letters.append(text), sizes.append(np.diff(starts)), docs.append(ids[row]), codes.append(np.where(n_docs > heavy, hashes, h))
+            places.append(first - bounds[row - first_row]), hashed_.append(hashes)
         out = {"bucket": [], "part": [], "payload": []}
         if letters and sum(map(len, sizes)):
             text, size, doc, place, code, hashes = (np.concatenate(x) for x in (letters, sizes, docs, places, codes, hashed_))
