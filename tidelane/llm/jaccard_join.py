@@ -11,8 +11,9 @@ none before it, so a pair must meet at a token with room enough on both sides.
 
 Frequent tokens do not multiply pairs: a group of documents that share a prefix token is first
 tied to its least and greatest member; only where verified links leave a group in several
-components are the remaining pairs, those across components, looked at. So no link between
-different texts is lost, and a group of near copies costs a few pairs a member.
+components are the remaining pairs, those across components, looked at. So no component is torn, and a
+group of near copies costs a few pairs a member. The verified links are a spanning subset of all
+links: other pairs within a component may be linked, too, and are not verified or returned.
 
 Defined results: texts without words, null texts included, have the empty set and link with
 nothing; equal texts are one class and share its component; rows without a doc_id are left out;
