@@ -1,4 +1,4 @@
-"""Removal of long byte strings that an earlier document has, found with a run-length index.
+"""Removal of long byte strings that an earlier document has, found with suffix arrays.
 
 A string of LENGTH bytes is repeated if it starts in a document with a smaller doc_id, too. To
 bring equal strings together, each one is known by its anchor: of the ANCHOR-byte strings in
@@ -10,10 +10,9 @@ it, the one with the least hash. Equal strings have equal anchors, so
    strings with one anchor are one fragment, in which the anchor itself is its 8-byte hash; the
    strings of an anchor that very many documents share are fragments of their own and go to
    buckets by the hash of the whole, so that no bucket has all of such an anchor;
-3. each bucket builds a suffix array of its fragments and from it a run-compressed
-   Burrows-Wheeler transform with samples at the run ends, and streams the fragments through it
-   from right to left. At each step the matching statistic is cut at LENGTH bytes: the rows that
-   agree in so many hold every occurrence, and the least doc_id among them decides;
+3. each bucket builds a full suffix array of its fragments. Its rows that agree in a whole string
+   are a group that holds every occurrence, and the least doc_id of the group decides; a
+   run-compressed Burrows-Wheeler transform only steps from a string's row to its left neighbour's;
 4. the marks return to the documents, whose covered bytes go.
 
 Texts are dealt by doc_id and travel once; equal texts are one text until the end. Nothing is
@@ -155,7 +154,7 @@ def _ranks(key: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform of fragments, with samples at run ends."""
+    """A run-compressed Burrows-Wheeler transform of fragments, beside their full suffix array."""
 
     def __init__(self, text: np.ndarray):
         self.order, self.rank, self.at16 = suffix_array(text)
@@ -165,7 +164,6 @@ class RunLengthIndex:
         self.run_start = np.flatnonzero(change)
         self.run_char = before[self.run_start]
         size = np.diff(np.concatenate([self.run_start, [len(text)]]))
-        self.run_end_sample = self.order[self.run_start + size - 1]
         # Where a run's rows go, one letter to the left: after the runs of lesser letters and the earlier runs of its
         # own. The last letter has a run of its own, in front: the suffix of no letters precedes it.
         chars, sizes = np.concatenate([text[-1:].astype(np.int16), self.run_char]), np.concatenate([[1], size])
