@@ -1,94 +1,108 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
-
-from tidelane.llm.common import text_chunks
-from tidelane.llm.suffix_tree_lm import DEPTH, END, SuffixAutomaton, gains, learned, run_counts, runs, scored, symbols, tree
-
-
-def corpus(n=120):
-    rng = random.Random(9)
-    words = ["The", "quick", "tide", "turns", "é", "slowly."]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for i in range(n)]
-    return rows + [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "tide " * 3000), (5, rows[5][1]), (None, "tide")]
-
-
-def test_symbols_and_runs():
-    for _, data, bounds in text_chunks(pa.array(["Ab  c\n", "", None, "d"])):
-        stream, starts = symbols(data, bounds)
-        zeros = [0] * DEPTH
-        assert stream.tolist() == zeros + [*b"ab c", END] + zeros + [END] + zeros + [END] + zeros + [*b"d", END]
-        assert starts.tolist() == [0, 10, 16, 22, 29]
-        assert runs(stream, starts)[1] == int.from_bytes(bytes([0, 0, 0, 0, 97, 98]), "big")
-
-
-def test_automaton_follows_the_longest_context():
-    tables = {b"": {97: 6, 98: 3, END: 2}, b"a": {98: 3, 97: 1}, b"ba": {97: 2, END: 1}, b"b": {97: 3}}
-    model = SuffixAutomaton.built({b"a", b"b", b"ba"}, tables)
-
-    def p(context, x):
-        c = tables[context]
-        kinds, up = len(c), (1 / 256 if not context else p(context[1:], x))
-        return (c.get(x, 0) + kinds * up) / (sum(c.values()) + kinds)
+import pytest
+from pyspark.sql import functions as F
+
+from tidelane.llm.suffix_tree_lm import DEPTH, DISCOUNT, MIN_GAIN, STEPS, Question, added_up, scored
+
+SCHEMA = "doc_id long, text string, score string, part long, held_out string"
+
+
+def corpus(n=150, seed=9):
+    rng = random.Random(seed)
+    vocabulary = ["The", "quick", "tide", "turns", "é", "slowly.", *(f"w{k}" for k in range(60))]
+    passages = [" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(5)]
+    rows = [(i, " ".join(rng.choice([rng.choice(vocabulary), rng.choice(passages)]) for _ in range(rng.randint(1, 30)))) for i in range(n)]
+    rows += [(1000 + i, rng.choice(["one tall ship sails", "two tall ship sinks"])) for i in range(60)]  # three words tell what follows
+    return rows + [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "tide " * 3000), (5, rows[5][1]), (n + 4, "nul\0 word \0"), (None, "tide turns")]
+
+
+def by_hand(rows):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base, score) of every row, from counts in dictionaries."""
+    tokens = [[*(t or "").encode().lower().split(), None] for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    n = [defaultdict(Counter) for _ in range(DEPTH + 1)]
+    for ws, out in zip(tokens, held):
+        for k in range(len(ws)) if not out else ():
+            for d in range(min(DEPTH, k) + 1):
+                n[d][tuple(ws[k - d : k])][ws[k]] += 1
+    total, kinds = sum(n[0][()].values()), len(n[0][()])
+    kept = {}
+
+    def p(c, x):
+        """After the longest kept context that ends c."""
+        if not c:
+            return (n[0][()][x] + 1) / (total + kinds + 1)
+        up = p(c[1:], x)
+        here = n[len(c)].get(c)
+        if here is None or sum(here.values()) < 2:
+            return up
+        again = {w: k for w, k in here.items() if k >= 2}
+        size = sum(here.values())
+        rest = size - sum(again.values()) + DISCOUNT * len(again)
+        if c not in kept:
+            once = size - sum(again.values())
+            gain = sum(k * (math.log((k - DISCOUNT) / size) + min(255, round(-STEPS * math.log(p(c[1:], w)))) / STEPS) for w, k in again.items())
+            kept[c] = bool(again) and gain + (once * math.log(rest / size) if once else 0) >= MIN_GAIN
+        return (max(again.get(x, 0) - DISCOUNT, 0) + rest * up) / size if kept[c] else up
+
+    out = []
+    for (i, _), ws, h in zip(rows, tokens, held):
+        base = sum(math.log10((n[0][()][w] + 1) / (total + kinds + 1)) for w in ws)
+        score = sum(math.log10(p(tuple(ws[max(0, k - DEPTH) : k]), w)) for k, w in enumerate(ws))
+        out.append((i, h, len(ws), sum(n[0][()][w] > 0 for w in ws), total, base, score))
+    return out, kept
+
+
+@pytest.mark.parametrize("heavy", [2_000_000, 50])
+def test_scores_match_a_tree_built_by_hand(spark, heavy):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA).repartition(3)
+    def key(r):
+        return r[0] is None, r[0], r[2], r[6]
 
-    text = b"abaabzbaa"
-    expected, state = 0.0, b""
-    for x in [*text, END]:
-        expected += math.log10(p(state, x))
-        state = next((s for s in (b"ba", b"a", b"b") if (state + bytes([x])).endswith(s)), b"")
-    stream = np.array([0] * DEPTH + [*text, END], np.uint8)
-    assert abs(model.score(stream, np.array([0, len(stream)]))[0] - expected) < 1e-4
-    assert abs(sum(10.0 ** model.log10[1][model.column[x]] for x in range(256)) - 1) < 1e-5
+    got = sorted(map(tuple, scored(docs, heavy=heavy, part_bytes=4000).collect()), key=key)
+    want, kept = by_hand(rows)
+    assert len(got) == len(want) and {len(c) for c, k in kept.items() if k} == {1, 2, 3} and not all(kept.values())
+    for g, w in zip(got, sorted(want, key=key)):
+        assert g[:5] == w[:5]
+        assert g[5] == pytest.approx(w[5], abs=1e-6) and g[6] == pytest.approx(w[6], abs=1e-4, rel=1e-6), g[0]
 
 
-def test_base_scores_and_held_out(spark):
-    rows = corpus()
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
-    got = sorted(scored(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))
-    tokens = [(i, [*(t or "").encode().lower().split(), None]) for i, t in rows]
-    held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    counts = Counter(w for i, ws in tokens if not held[i] for w in ws)
-    n, kinds = sum(counts.values()), len(counts)
-    want = sorted(((i, held[i], len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + kinds + 1)) for w in ws)) for i, ws in tokens), key=lambda r: (r[0] is None, r[0], r[2]))
-    assert len(got) == len(want)
-    for g, w in zip(got, want):
-        assert (g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens) == w[:5] and abs(g.base_score - w[5]) < 1e-6
-    own = [g for g in got if g.held_out and g.n_tokens > 5]
-    assert own and sum(g.score for g in own) > sum(g.base_score for g in own) - 20 * len(own)
+def test_empty_table_and_no_training_rows(spark):
+    docs = spark.createDataFrame([(i, "a b", "x", 1, "y") for i in range(40)], SCHEMA)
     assert scored(docs.limit(0)).count() == 0
-
-
-def test_long_texts_score_as_in_one_piece(spark):
-    docs = spark.createDataFrame([(i, "the tide turns " * 40) for i in range(30)], "doc_id long, text string")
-    model = learned(docs.select("text"))
-    text = b"the tide turns again and again " * 90
-    stream = np.array([0] * DEPTH + [*text.strip(), END], np.uint8)
-    state, total = 0, 0.0
-    for k, x in enumerate(stream):
-        if k >= DEPTH:
-            total += float(model.log10[state, model.column[x]])
-        state = int(model.step[state, model.column[x]])
-    assert abs(model.score(stream, np.array([0, len(stream)]))[0] - total) < 1e-3
-
-
-def test_every_context_that_passes_is_kept_and_scores(spark):
-    """A corpus with more passing contexts than the 12,000 that used to be kept, scored as its whole tree scores."""
-    rng = random.Random(4)
-    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4000)]
-    rows = [(i, " ".join(words[(i * 100 + k) % 4000] for k in range(100))) for i in range(1600)] + [(1600, "tide\0 Zz"), (1601, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    counts = run_counts(docs.filter(~docs.doc_id.isin([i for i in held if held[i]])).selectExpr("text", "false AS held_out"))
-    passing = sum(gains(counts, depth).count() for depth in range(1, DEPTH + 1))
-    kept = sum(level.count() for level in tree(counts))
-    assert passing > 12_000 and kept >= passing
-    model = learned(docs.filter(~docs.doc_id.isin([i for i in held if held[i]])))
-    assert len(model.step) == kept + 1
-    got = {r.doc_id: r.score for r in scored(docs).collect()}
-    for first, data, bounds in text_chunks(pa.array([t for _, t in rows])):
-        for k, want in enumerate(model.score(*symbols(data, bounds))):
-            assert abs(got[rows[first + k][0]] - want) < 1e-2, rows[first + k][0]
+    out = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = scored(docs.filter(F.col("doc_id").isin(out))).collect()
+    assert len(got) == len(out) and all(r.held_out and r.train_tokens == 0 and r.base_score == r.score == 0 for r in got)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_tree_beats_the_base_on_held_out_texts(spark, sf):
+    documents = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    held = scored(documents).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.avg((F.col("score") > F.col("base_score")).cast("int")).alias("better")).first()
+    assert held.score > held.base and held.better > 0.8
+
+
+def test_probabilities_after_a_context_sum_to_one():
+    counts = {1: 9, 2: 5, 3: 2, 4: 1, 5: 1}
+    size = sum(counts.values())
+    whole = Question(np.array([7], np.uint64), np.array([size]), np.array([5]), np.array(list(counts), np.uint64), np.array(list(counts.values())), np.full(5, 40, np.uint8))
+    halves = [Question(whole.context, whole.total, whole.sizes, whole.next, np.array(n), whole.parent) for n in ([9, 0, 1, 0, 1], [0, 5, 1, 1, 0])]
+    for (a,), (b, c) in [(tuple(added_up([whole], 1)), tuple(added_up(halves, 1)))]:
+        assert a == b == c
+    words, kinds = 16, 3
+    rest = size - words + DISCOUNT * kinds
+    assert sum(k - DISCOUNT for k in counts.values() if k >= 2) + rest == pytest.approx(size)
+
+
+def test_questions_travel_whole():
+    q = Question(np.array([1 << 8, 1 << 63], np.uint64), np.array([5, 1 << 33]), np.array([2, 1]), np.array([4, 9, 2], np.uint64), np.array([1, 300, 0]), np.array([0, 255, 7], np.uint8))
+    got = [Question.read(m) for _, m in q.messages(4)]
+    assert [b for b, _ in q.messages(4)] == [0, 2]
+    for name in ("context", "total", "sizes", "next", "count", "parent"):
+        assert np.concatenate([getattr(x, name) for x in got]).tolist() == getattr(q, name).tolist()

@@ -1,332 +1,316 @@
-"""Language-model scores from a probabilistic suffix tree, beside an add-one unigram base.
-
-The tree's symbols are the bytes of the lower-cased words, one space between words, and an end.
-Its contexts are the runs of up to DEPTH symbols before a symbol. A context stays if it is
-frequent enough and the next symbols after it diverge enough from those after its parent (the
-context less its oldest symbol): its number of occurrences times the Kullback-Leibler divergence
-must pass a threshold. Every context that passes stays, with its suffixes and prefixes, so the
-tree grows with the corpus. Next-symbol distributions are smoothed with the parent's, each by the
-number of different symbols seen. A symbol is scored by the longest context kept before it; the
-zeros before a text count as symbols of contexts.
-
-All counts cover all training documents: symbol runs (a symbol and the DEPTH before it) are
-counted in tasks and summed by key, word counts go through the exchange. The tree is a table by
-depth and context and is never gathered. It gives every run that occurs anywhere its log
-probability, depth by depth; documents are dealt into parts, each part asks for its distinct runs
-and gets their logs.
+"""Language-model scores from a probabilistic suffix tree over words, beside an add-one unigram base.
+
+The tree's symbols are the lower-cased words, an end, and one symbol for all words that no training
+text has. Its contexts are the runs of up to DEPTH words before a word. A context c has N(c) training
+words after it; of those, the ones seen there at least twice, n(c, x) times, have estimates of their
+own. A discount on each of them, and the share of the words seen once, go to the parent, the context
+less its oldest word:
+
+    P(x | c) = (max(n(c, x) - DISCOUNT, 0) + R(c) P(x | parent)) / N(c),   R(c) = N(c) - sum of (n - DISCOUNT)
+
+A context stays only if its distribution diverges enough from its parent's: what it adds to the
+log-likelihood of its own words, N(c) times the divergence, must reach MIN_GAIN. A context that
+fails passes its parent's distribution on, so a word is scored by the longest kept context before
+it. The root is the base's distribution: (n(x) + 1) / (N + V + 1), an unknown word counting 0.
+
+All counts cover all training documents, and the tree grows with them; it is never gathered. The
+texts are dealt into parts. For each length of context every part asks, in packed messages, for the
+counts of the runs of words that it holds; buckets by context add up and give back the counts and
+what the divergence test needs. A run can repeat only if the shorter runs in it do, so of longer
+runs only those are asked for. A context with more than HEAVY words after it is dealt over several
+buckets by the next word, so that no bucket has all of it.
+
+Capacity: a part has about 8 MB of text, a bucket the messages about twice as much, and of one
+context HEAVY words at most. Words are known by 64-bit hashes, next words by the context's and 32 bits.
 
 Defined results: null and empty texts are the end alone; rows with a null id are scored and
-learned from; repeated rows count each; an empty table gives no rows.
+learned from; repeated rows count each; without training rows all scores are 0; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import U64, _space, arrow_table, batch, crc_mod, hashed_words, mixed, part_of, parts, text_chunks
-from tidelane.llm.exchange import ANSWER, ANSWER_DDL, SENT, SENT_DDL, TOTALS, answered, looked_up, packed, received, sent, unpacked
-from tidelane.operators.materialise import saved
+from tidelane.llm.common import MULTIPLIER, U64, arrow_table, batch, crc_mod, hashed_words, mixed, text_chunks
+from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, spread, text_bytes, unpacked_rows
 
-DEPTH = 5
-#: What a context needs: occurrences, and those times the divergence.
-MIN_COUNT, MIN_GAIN = 20, 30.0
-END, SPACE = 10, 32
-#: The end as a word, for the base.
+#: Words of the longest context; what a word seen again keeps of its count; nats that a context must add.
+DEPTH, DISCOUNT, MIN_GAIN = 3, 0.75, 4.0
+#: Words after one context that one bucket may get.
+HEAVY = 2_000_000
+#: The end as a word.
 END_WORD = U64(0xE5D0E5D0E5D0E5D0)
 FOLD, HELD_OUT = 7, 2
-LANE = 512
-_lower = np.arange(256, dtype=np.uint8)
-_lower[65:91] += 32
-
-
-def symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's symbols with DEPTH zeros before them, in a row, and where each text's zeros begin."""
-    n, docs = len(data), len(bounds) - 1
-    inside = np.zeros(n + 1, dtype=bool)
-    inside[:n] = ~_space[data]
-    last = np.zeros(n, dtype=bool)  # a word's last byte
-    edge = np.zeros(n + 1, dtype=bool)
-    edge[bounds] = True
-    last[:] = inside[:n] & (~inside[1:] | edge[1:])
-    doc = np.searchsorted(bounds, np.flatnonzero(inside[:n]), "right") - 1
-    ends = last[inside[:n]]
-    n_bytes, n_words = np.bincount(doc, minlength=docs), np.bincount(doc[ends], minlength=docs)
-    sizes = DEPTH + n_bytes + np.maximum(n_words, 1)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.zeros(starts[-1], dtype=np.uint8)
-    words_before = np.cumsum(ends) - ends
-    base = starts[:-1] + DEPTH - np.concatenate([[0], np.cumsum(n_bytes + n_words)[:-1]])
-    at = base[doc] + np.arange(len(doc)) + words_before
-    out[at] = _lower[data[inside[:n]]]
-    out[at[ends] + 1] = SPACE
-    out[starts[1:] - 1] = END
-    return out, starts
-
-
-def runs(stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Each symbol with the DEPTH symbols before it, as one number: the symbol in the low byte, the one before it in the next."""
-    wide = stream.astype(U64)
-    code = wide.copy()
-    for k in range(1, DEPTH + 1):
-        code[k:] |= wide[:-k] << U64(8 * k)
-    real = np.ones(len(stream), dtype=bool)
-    real[(starts[:-1, None] + np.arange(DEPTH)).ravel()] = False
-    return code[real]
-
-
-def counted(parts_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the counts of equal keys."""
-    keys, counts = np.concatenate([k for k, _ in parts_]), np.concatenate([c for _, c in parts_])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
-
-
-def run_counts(documents: DataFrame) -> DataFrame:
-    """run, n over the texts of all rows; n is 0 where a run is in held_out rows only. Saved."""
+#: Words that a task counts before it gives their counts away.
+COUNTED = 1_000_000
+#: Parent probabilities travel as a byte: steps of an eighth of a nat.
+STEPS = 8
+MESSAGE = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
+MESSAGE_DDL = "bucket int, part int, payload binary"
+ANSWER = pa.schema([("part", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
+ANSWER_DDL = "part int, level int, bucket int, payload binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("run", pa.int64()), ("n", pa.int64())])
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for rows in batches:
-            learn = ~rows["held_out"].to_numpy(zero_copy_only=False)
-            for first, data, bounds in text_chunks(rows["text"], 1 << 21):
-                stream, starts = symbols(data, bounds)
-                code = runs(stream, starts)
-                in_learn = np.repeat(learn[first : first + len(starts) - 1], np.diff(starts) - DEPTH)
-                held.append(np.unique(code[in_learn], return_counts=True))
-                only = np.unique(code[~in_learn])
-                held.append((only, np.zeros(len(only), np.int64)))
-                if len(held) > 2 and sum(len(k) for k, _ in held[1:]) > max(1_000_000, len(held[0][0])):
-                    held = [counted(held)]
-                    if len(held[0][0]) > 4_000_000:
-                        yield batch(schema, run=held[0][0].view(np.int64), n=held[0][1])
-                        held = []
-        if held:
-            keys, n = counted(held)
-            for a in range(0, len(keys), 100_000):
-                yield batch(schema, run=keys[a : a + 100_000].view(np.int64), n=n[a : a + 100_000])
-
-    return saved(documents.select("text", "held_out").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")))
-
-
-def _next_counts(counts: DataFrame, depth: int) -> DataFrame:
-    """context, next, n for contexts of one length."""
-    context = F.shiftright("run", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1)) if depth else F.lit(0).cast("long")
-    return counts.groupBy(context.alias("context"), F.col("run").bitwiseAND(F.lit(255)).alias("next")).agg(F.sum("n").alias("n"))
-
-
-def gains(counts: DataFrame, depth: int) -> DataFrame:
-    """context and gain of the contexts of one length with MIN_COUNT occurrences and a gain of MIN_GAIN."""
-    own = _next_counts(counts, depth)
-    total = own.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total") >= MIN_COUNT)
-    up = _next_counts(counts, depth - 1).select(F.col("context").alias("parent"), "next", F.col("n").alias("up"))
-    up_total = up.groupBy("parent").agg(F.sum("up").alias("up_total"))
-    parent = F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1)) if depth > 1 else F.lit(0).cast("long")
-    joined = own.join(total, "context").withColumn("parent", parent).join(up, ["parent", "next"]).join(up_total, "parent")
-    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("up") / F.col("up_total"))))
-    return joined.groupBy("context").agg(gain.alias("gain")).filter(F.col("gain") >= MIN_GAIN)
-
-
-def tree(counts: DataFrame) -> list[DataFrame]:
-    """The contexts kept, by depth less 1: all that pass, closed under suffixes and prefixes. Saved."""
-    learnt = counts.filter("n > 0")
-    levels: list[DataFrame] = []
-    for depth in range(DEPTH, 0, -1):
-        level = gains(learnt, depth).select("context")
-        if levels:
-            longer = levels[0]
-            suffixes = longer.select(F.col("context").bitwiseAND(F.lit((1 << 8 * depth) - 1)).alias("context"))
-            level = level.unionByName(suffixes).unionByName(longer.select(F.shiftright("context", 8).alias("context"))).distinct()
-        levels.insert(0, saved(level))
-    return levels
-
-
-def run_logs(counts: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """run and log: the log10 probability of each run's symbol after the longest context kept."""
-    own = _next_counts(counts, 0)
-    total, kinds = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.greatest(F.count_if(F.col("n") > 0), F.lit(1))).first()
-    p = own.select("context", "next", ((F.col("n") + kinds / 256) / F.lit(float(total + kinds))).alias("p"))
-    for depth, kept in enumerate(levels, 1):
-        own = _next_counts(counts, depth)
-        sizes = own.filter("n > 0").groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(kept, "context", "left_semi")
-        parent = F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1)) if depth > 1 else F.lit(0).cast("long")
-        up = p.select(F.col("context").alias("parent"), "next", F.col("p").alias("up"))
-        smoothed = (F.col("n") + F.col("kinds") * F.col("up")) / (F.col("total") + F.col("kinds"))
-        p = own.join(sizes, "context", "left").withColumn("parent", parent).join(up, ["parent", "next"]).select("context", "next", F.coalesce(smoothed, "up").alias("p"))
-    return p.select((F.col("context") * 256 + F.col("next")).alias("run"), F.log10("p").cast("float").alias("log"))
-
-
-@dataclass
-class SuffixAutomaton:
-    """The tree as one table, where it fits one machine; scored() needs none. States are contexts; step[s, column] is the state after a symbol and log10[s, column] its log probability."""
-
-    column: np.ndarray
-    step: np.ndarray
-    log10: np.ndarray
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of whole numbers, byte plane by byte plane, so that equal high bytes compress away."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplaned(payload: bytes, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(payload, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel(), at + n * width
+
+
+def bucket_of(context: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of contexts of equal width."""
+    return (context >> U64(40)).astype(np.int64) * buckets >> 24
+
+
+class Question:
+    """What a part asks of one level: contexts, sorted, and under each the next words, sorted."""
+
+    def __init__(self, context: np.ndarray, total: np.ndarray, sizes: np.ndarray, next_: np.ndarray, count: np.ndarray, parent: np.ndarray):
+        self.context, self.total, self.sizes, self.next, self.count, self.parent = context, total, sizes, next_, count, parent
+
+    def messages(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        where = bucket_of(self.context, buckets)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]]).tolist() if len(where) else [0]
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        for a, b in zip(cuts, cuts[1:]):
+            x, y = int(ends[a]), int(ends[b])
+            yield int(where[a]), struct.pack("<II", b - a, y - x) + planes(self.context[a:b], 8) + planes(self.total[a:b], 5) + planes(self.sizes[a:b], 4) + planes(self.next[x:y], 4) + planes(self.count[x:y], 4) + self.parent[x:y].tobytes()
 
     @classmethod
-    def built(cls, kept: set[bytes], tables: dict[bytes, dict[int, int]]) -> SuffixAutomaton:
-        """kept: contexts, oldest symbol first, closed under suffixes and prefixes. tables: the counts of the symbols after each."""
-        contexts = sorted(kept | {b""}, key=lambda c: (len(c), c))
-        number = {c: k for k, c in enumerate(contexts)}
-        seen = sorted({0, *tables.get(b"", {})})  # texts begin after zeros
-        column = np.full(256, len(seen), dtype=np.int64)
-        column[seen] = np.arange(len(seen))
-        unseen = 256 - len(seen)
-        p = np.zeros((len(contexts), len(seen) + 1))
-        step = np.zeros((len(contexts), len(seen) + 1), dtype=np.int32)
-        root = np.zeros(len(seen) + 1)
-        for x, n in tables.get(b"", {}).items():
-            root[column[x]] = n
-        kinds = max(len(tables.get(b"", {})), 1)
-        p[0] = (root + kinds * np.append(np.full(len(seen), 1 / 256), unseen / 256)) / (root.sum() + kinds)
-        for k, c in enumerate(contexts):
-            up = number[c[1:]] if c else 0
-            if c:
-                own = np.zeros(len(seen) + 1)
-                for x, n in tables.get(c, {}).items():
-                    own[column[x]] = n
-                kinds = max(int((own > 0).sum()), 1)
-                p[k] = (own + kinds * p[up]) / (own.sum() + kinds)
-                step[k] = step[up]
-            for j, x in enumerate(seen):
-                longer = number.get(c + bytes([x]))
-                if longer is not None:
-                    step[k, j] = longer
-        p[:, -1] /= max(unseen, 1)
-        return cls(column, step, np.log10(np.maximum(p, 1e-300)).astype(np.float32))
-
-    def score(self, stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of symbols()."""
-        sizes = np.diff(starts) - DEPTH
-        pieces = -(-sizes // LANE)
-        doc = np.repeat(np.arange(len(sizes)), pieces)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        length = np.minimum(sizes[doc] - nth * LANE, LANE)
-        order = np.argsort(-length, kind="stable")  # lanes in step; those that end drop off the tail
-        doc, at, length = doc[order], (starts[doc] + nth * LANE)[order], length[order]
-        live = np.searchsorted(-length, -np.arange(LANE), "left")
-        columns = self.column[stream].astype(np.int32)
-        width = self.step.shape[1]
-        step, log10 = self.step.ravel(), self.log10.ravel()
-        state, sums = np.zeros(len(doc), np.int64), np.zeros(len(doc))
-        for t in range(DEPTH):
-            state = step[state * width + columns[at + t]].astype(np.int64)
-        for t in range(int(length[0]) if len(length) else 0):
-            n = live[t]
-            cell = state[:n] * width + columns[at[:n] + (DEPTH + t)]
-            sums[:n] += log10[cell]
-            state[:n] = step[cell]
-        return np.bincount(doc, sums, len(sizes))
-
-
-def learned(documents: DataFrame) -> SuffixAutomaton:
-    """The tree over the texts of all rows, gathered as an automaton: for corpora whose tree fits one machine."""
-    counts = run_counts(documents.select("text", F.lit(False).alias("held_out")))
-    tables: dict[bytes, dict[int, int]] = {}
-    for depth, level in enumerate([None, *tree(counts)]):
-        own = _next_counts(counts, depth)
-        got = (own.join(level, "context", "left_semi") if depth else own).select("context", "next", "n").toArrow()
-        for c, x, n in zip(*(got[k].to_pylist() for k in ("context", "next", "n"))):
-            tables.setdefault(c.to_bytes(DEPTH, "big")[DEPTH - depth :], {})[int(x)] = n
-    return SuffixAutomaton.built({c for c in tables if c}, tables)
-
-
-def _buckets(code: np.ndarray, n: int) -> np.ndarray:
-    return (mixed(code) >> U64(40)).astype(np.int64) * n >> 24
-
-
-OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("kinds", pa.int64()), ("total", pa.int64())])
-
-
-def scored(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    spark = documents.sparkSession
-    n_parts, n_buckets = parts(spark, 2), parts(spark, 1)
-    held = F.coalesce(crc_mod("doc_id", FOLD) == HELD_OUT, F.lit(False))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held)
-    counts = run_counts(docs)
-    dealt = docs.select(part_of(n_parts, "doc_id", "text").alias("part"), "doc_id", "text", "held_out")
-
-    def words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """The words of a part's rows, each row's followed by the end, and the row of each."""
-        found, rows = [], []
-        for first, data, bounds in text_chunks(pa.concat_arrays(table["text"].chunks)):
-            h, at = hashed_words(data, bounds)
-            n = np.diff(at)
-            found.append(np.insert(h, at[1:], END_WORD))
-            rows.append(first + np.repeat(np.arange(len(n)), n + 1))
-        return np.concatenate(found), np.concatenate(rows)
-
-    def send(key, table):
-        hashes, row = words(table)
-        learn = ~table["held_out"].to_numpy(zero_copy_only=False)[row]
-        known, at = np.unique(hashes, return_inverse=True)
-        return sent(key[0].as_py(), known, np.bincount(at, learn, len(known)).astype(np.int64), n_buckets, 64)
-
-    def ask(key, table):
-        """A part's distinct runs, for their buckets."""
+    def read(cls, payload: bytes) -> Question:
+        (n, m), at = struct.unpack_from("<II", payload), 8
+        context, at = unplaned(payload, at, n, 8)
+        total, at = unplaned(payload, at, n, 5)
+        sizes, at = unplaned(payload, at, n, 4)
+        next_, at = unplaned(payload, at, m, 4)
+        count, at = unplaned(payload, at, m, 4)
+        return cls(context, total, sizes.astype(np.int64), next_, count, np.frombuffer(payload, np.uint8, m, at))
+
+
+def added_up(questions: list[Question], level: int, heavy: int = HEAVY, discount: float = DISCOUNT, min_gain: float = MIN_GAIN) -> Iterator[bytes]:
+    """The answer to each question, in its order: for each context the words counted there that were seen again, their kinds and
+    what they add to the log-likelihood; for each next word its count, 0 if it was seen once.
+
+    Contexts that are whole in their bucket and fail the divergence test have zeros. Of level 0 each word's count is the answer.
+    """
+    contexts, which = np.unique(np.concatenate([q.context for q in questions]), return_inverse=True)
+    ends = np.cumsum([0, *(len(q.context) for q in questions)])
+    if level == 0:
+        count = np.bincount(which, np.concatenate([q.total for q in questions]), len(contexts)).astype(np.int64)
+        yield from (struct.pack("<II", 0, b - a) + planes(count[which[a:b]], 5) for a, b in zip(ends, ends[1:]))
+        return
+    total = np.zeros(len(contexts), np.int64)
+    total[which] = np.concatenate([q.total for q in questions]).astype(np.int64)
+    key = np.concatenate([np.repeat(which[a:b], q.sizes).astype(U64) << U64(32) | q.next for q, a, b in zip(questions, ends, ends[1:])])
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(key)]
+    first = np.flatnonzero(new)
+    n = np.add.reduceat(np.concatenate([q.count for q in questions]).astype(np.int64)[order], first) if len(first) else np.zeros(0, np.int64)
+    n[n < 2] = 0
+    parent = np.concatenate([q.parent for q in questions])[order[first]]
+    again = np.flatnonzero(n)
+    of = (ordered[first[again]] >> U64(32)).astype(np.int64)
+    words, kinds = np.bincount(of, n[again], len(contexts)), np.bincount(of, minlength=len(contexts))
+    added = np.bincount(of, n[again] * (np.log(n[again] - discount) + parent[again] / STEPS), len(contexts))
+    fails = (total <= heavy) & (gain(total, words, kinds, added, discount) < min_gain)
+    words[fails] = kinds[fails] = added[fails] = 0
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    at = 0
+    for q, a, b in zip(questions, ends, ends[1:]):
+        k = which[a:b]
+        yield struct.pack("<II", len(k), len(q.next)) + planes(words[k], 5) + planes(kinds[k], 4) + planes(added[k].astype("<f4").view("<u4"), 4) + planes(n[place[at : at + len(q.next)]], 5)
+        at += len(q.next)
+
+
+def gain(total: np.ndarray, words: np.ndarray, kinds: np.ndarray, added: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
+    """What a context adds to the log-likelihood of the words after it: its own estimates against its parent's, less what the others lose."""
+    once = total - words
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = added - words * np.log(total) + np.where(once > 0, once * np.log((once + discount * kinds) / total), 0.0)
+    return np.where((kinds > 0) & (once >= 0), out, -np.inf)
+
+
+def with_ends(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The words of texts in a row, each text's followed by the end."""
+    return np.insert(hashes, at[1:], END_WORD)
+
+
+class Part:
+    """The words of a part's texts in a row, each text's followed by the end, and what is known of the probability of each."""
+
+    def __init__(self, packed: list[bytes], totals: tuple[int, int]):
+        hashes, rows, learn, self.ids, self.held = [], [], [], [], []
+        n = 0
+        for rows_ in map(unpacked_rows, packed):
+            self.ids.append(rows_["doc_id"]), self.held.append(rows_["held_out"])
+            for first, data, bounds in text_chunks(rows_["text"]):
+                h, at = hashed_words(data, bounds)
+                sizes = np.diff(at)
+                hashes.append(with_ends(h, at))
+                rows.append(n + first + np.repeat(np.arange(len(sizes)), sizes + 1))
+            n += rows_.num_rows
+        self.n_rows, self.totals = n, totals
+        self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        held = np.concatenate([h.to_numpy(zero_copy_only=False) for h in self.held]) if self.held else np.zeros(0, bool)
+        self.learn = ~held[self.row]
+        self.word, self.at = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, U64), return_inverse=True)
+        self.level = 0
+        # Of the run of words that ends at each place: its number among the distinct ones of its length, and their hashes and counts.
+        self.run, self.run_hash = self.at, self.word
+        self.p = None
+
+    def question(self, heavy: int = HEAVY) -> Question:
+        """Level 0 asks for words. Others ask for the contexts seen twice or more, and the next words whose shorter run was."""
+        if self.level == 0:
+            n = np.bincount(self.at, self.learn, len(self.word)).astype(np.int64)
+            return Question(self.word, n, np.zeros(len(n), np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint8))
+        before = np.full(len(self.run), -1)
+        before[1:] = self.run[:-1]
+        before[np.concatenate([[True], self.row[1:] != self.row[:-1]])[: len(before)]] = -1
+        before[before >= 0] = np.where(self.count[before[before >= 0]] >= 2, before[before >= 0], -1)
+        here = np.flatnonzero(before >= 0)
+        context, next_ = before[here], self.at[here]
+        total = self.count[context]
+        shares = -(-total // heavy)
+        virtual = np.where(shares > 1, mixed(self.run_hash[context] + U64(1) + (self.word[next_] >> U64(32)) % np.maximum(shares, 1).astype(U64)), self.run_hash[context])
+        # All shares of a heavy context are asked for, those without a next word here, too: their sums belong to it.
+        own, at_own = np.unique(context, return_inverse=True)
+        n_shares = -(-self.count[own] // heavy)
+        share_of = np.repeat(np.arange(len(own)), n_shares)
+        nth = np.arange(len(share_of)) - np.repeat(np.cumsum(n_shares) - n_shares, n_shares)
+        all_ = np.where(n_shares[share_of] > 1, mixed(self.run_hash[own][share_of] + U64(1) + nth.astype(U64)), self.run_hash[own][share_of])
+        by = np.argsort(all_)
+        self.contexts, self.owner = all_[by], share_of[by]
+        self.own, self.own_at = own, at_own
+        repeats = self.run_count[here] >= 2
+        asked = here[repeats]
+        rank = np.searchsorted(self.contexts, virtual[repeats])
+        key = rank.astype(U64) << U64(32) | self.word[next_[repeats]] & U64(0xFFFFFFFF)
+        pairs, pair = np.unique(key, return_inverse=True)
+        parent = np.zeros(len(pairs), np.uint8)
+        parent[pair] = np.clip(np.round(-STEPS * np.log(self.p[asked])), 0, 255)
+        n = np.bincount(pair, self.learn[asked], len(pairs)).astype(np.int64)
+        self.here, self.asked_at, self.pair, self.n_pairs = here, asked, pair, len(pairs)
+        return Question(self.contexts, self.count[own][self.owner], np.bincount((pairs >> U64(32)).astype(np.int64), minlength=len(self.contexts)), pairs & U64(0xFFFFFFFF), n, parent)
+
+    def take(self, answers: list[bytes]) -> None:
+        """The answers to the question at hand, by bucket: probabilities follow, and the next level."""
+        words, kinds, added, n = [], [], [], []
+        for payload in answers:
+            (c, m), at = struct.unpack_from("<II", payload), 8
+            for out, count, width in ((words, c, 5), (kinds, c, 4), (added, c, 4), (n, m, 5)):
+                x, at = unplaned(payload, at, count, width)
+                out.append(x)
+        words, kinds, added, n = (np.concatenate(x) if x else np.zeros(0, U64) for x in (words, kinds, added, n))
+        n = n.astype(np.int64)
+        if self.level == 0:
+            self.count = n
+            self.run_count = n[self.at]
+            self.known = self.run_count > 0
+            self.base = (self.run_count + 1) / (sum(self.totals) + 1)
+            self.p = self.base.copy()
+        else:
+            words, kinds = (np.bincount(self.owner, x, len(self.own)) for x in (words, kinds))
+            added = np.bincount(self.owner, added.astype("<u4").view("<f4"), len(self.own))
+            total = self.count[self.own]
+            kept = gain(total, words, kinds, added) >= MIN_GAIN
+            rest = total - words + DISCOUNT * kinds
+            run_count = np.zeros(len(self.at), np.int64)
+            run_count[self.asked_at] = n[self.pair]
+            k = self.own_at
+            seen = run_count[self.here]
+            deeper = (np.where(seen >= 2, seen - DISCOUNT, 0.0) + rest[k] * self.p[self.here]) / total[k]
+            self.p[self.here] = np.where(kept[k], deeper, self.p[self.here])
+            hashes = np.zeros(self.n_pairs, U64)
+            hashes[self.pair] = mixed(self.run_hash[self.run[self.asked_at - 1]] * MULTIPLIER + self.word[self.at[self.asked_at]])
+            run = np.full(len(self.at), -1)
+            run[self.asked_at] = self.pair
+            self.run, self.run_hash, self.count, self.run_count = run, hashes, n, run_count
+        self.level += 1
+
+
+def vocabulary(docs: DataFrame) -> tuple[int, int]:
+    """Words of the training rows, ends included, and how many are distinct."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
         held: list[np.ndarray] = []
-        for _, data, bounds in text_chunks(pa.concat_arrays(table["text"].chunks), 1 << 21):
-            held.append(np.unique(runs(*symbols(data, bounds))))
-            if sum(map(len, held[1:])) > max(500_000, len(held[0])):
-                held = [np.unique(np.concatenate(held))]
-        code = np.unique(np.concatenate(held))
-        bucket = _buckets(code, n_buckets)
-        by = np.argsort(bucket, kind="stable")
-        code, bucket = code[by], bucket[by]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
-        payloads = [packed(code[a:b], np.zeros(b - a, np.int64)) for a, b in zip(cuts, cuts[1:])]
-        return pa.Table.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([key[0].as_py()] * len(payloads), pa.int32()), pa.array(payloads, pa.binary())], schema=SENT)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+        def counts() -> pa.RecordBatch:
+            word, n = np.unique(np.concatenate([np.zeros(0, U64), *held]), return_counts=True)
+            held.clear()
+            return batch(schema, word=word.view(np.int64), n=n)
+
         for b in batches:
-            bucket = _buckets(b["run"].to_numpy().view(U64), n_buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b["run"], b["log"]], names=["to", "run", "log"])
+            for _, data, bounds in text_chunks(b["text"]):
+                held.append(with_ends(*hashed_words(data, bounds)))
+                if sum(map(len, held)) > COUNTED:
+                    yield counts()
+        yield counts()
 
-    def answer(key, asked, model):
-        """The log of each run asked for; its bits travel as a count."""
-        code, log = model["run"].to_numpy().view(U64), model["log"].to_numpy()
-        order = np.argsort(code)
-        code, bits = code[order], log[order].astype("<f4").view("<u4")
-        got = [unpacked(x)[0] for x in asked["payload"].to_pylist()]
-        return pa.Table.from_arrays([asked["part"].combine_chunks(), pa.array([packed(t, bits[np.searchsorted(code, t)]) for t in got], pa.binary())], schema=ANSWER)
+    words = docs.filter(~F.col("held_out")).select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return tuple(words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+
+
+OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def scored(documents: DataFrame, *, depth: int = DEPTH, heavy: int = HEAVY, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    held = F.coalesce(crc_mod("doc_id", FOLD) == HELD_OUT, F.lit(False))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held)
+    size = text_bytes(docs)
+    buckets = n_parts(size, docs, 2 * part_bytes)
+    totals = vocabulary(docs)
+    parts = n_parts(size, docs, part_bytes)
+    texts = dealt(docs, spread(parts, "doc_id", "text")).repartition(parts, "part")
+
+    def known(table: pa.Table, answers: pa.Table | None) -> Part:
+        part = Part(table["packed"].to_pylist(), totals)
+        by: dict[int, list[tuple[int, bytes]]] = {}
+        for level, bucket, payload in zip(*(answers[c].to_pylist() for c in ("level", "bucket", "payload"))) if answers else ():
+            by.setdefault(level, []).append((bucket, payload))
+        for level in sorted(by):
+            part.question(heavy)
+            part.take([payload for _, payload in sorted(by[level])])
+        return part
+
+    def messages(key, table, answers=None):
+        asked = list(known(table, answers).question(heavy).messages(buckets))
+        return arrow_table(MESSAGE, bucket=[b for b, _ in asked], part=[key[0].as_py()] * len(asked), payload=[m for _, m in asked])
+
+    def answering(level: int):
+        def answer(key, table):
+            questions = [Question.read(m) for m in table["payload"].to_pylist()]
+            return arrow_table(ANSWER, part=table["part"].combine_chunks(), level=[level] * len(questions), bucket=table["bucket"].combine_chunks(), payload=list(added_up(questions, level, heavy)))
+
+        return answer
 
     def use(key, table, answers):
-        if key[0].as_py() == TOTALS:
-            sums = np.array([struct.unpack("<qq", x) for x in answers["payload"].to_pylist()]).sum(0)
-            return arrow_table(OUT, **{n: [None] for n in OUT.names} | {"kinds": sums[:1], "total": sums[1:]})
-        of_runs = answers["of_runs"].to_pylist()
-        payloads = answers["payload"].to_pylist()
-        counts = received([x for x, r in zip(payloads, of_runs) if not r])
-        hashes, row = words(table)
-        c = looked_up(hashes, counts)
-        n = table.num_rows
-        code, bits = received([x for x, r in zip(payloads, of_runs) if r])
-        logs = bits.astype("<u4").view("<f4")
-        scores = []
-        for _, data, bounds in text_chunks(pa.concat_arrays(table["text"].chunks), 1 << 20):
-            stream, starts = symbols(data, bounds)
-            sizes = np.diff(starts) - DEPTH
-            scores.append(np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs[np.searchsorted(code, runs(stream, starts))], len(sizes)))
-        none = [None] * n
-        return arrow_table(OUT, doc_id=pa.concat_arrays(table["doc_id"].chunks), held_out=pa.concat_arrays(table["held_out"].chunks), n_tokens=np.bincount(row, minlength=n), n_known=np.bincount(row[c > 0], minlength=n), logs=np.bincount(row, np.log10(c + 1.0), n), score=np.concatenate(scores), kinds=none, total=none)
-
-    model = run_logs(counts, tree(counts)).mapInArrow(deal, "to int, run long, log float")
-    asked = dealt.groupBy("part").applyInArrow(ask, SENT_DDL)
-    logs = asked.groupBy("bucket").cogroup(model.groupBy("to")).applyInArrow(answer, ANSWER_DDL)
-    answers = answered(dealt.groupBy("part").applyInArrow(send, SENT_DDL), 1, with_totals=True)
-    answers = answers.withColumn("of_runs", F.lit(False)).unionByName(logs.withColumn("of_runs", F.lit(True)))
-    rows = saved(dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(use, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, kinds long, total long"))
-    totals = rows.filter("total IS NOT NULL").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("train_kinds"))
-    base = F.col("logs") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("train_kinds") + 1).cast("double"))
-    return rows.filter("total IS NULL").join(F.broadcast(totals)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
+        part = known(table, answers)
+        n, log = part.n_rows, lambda p: np.bincount(part.row, np.log10(p), part.n_rows)
+        return arrow_table(
+            OUT, doc_id=pa.concat_arrays(part.ids), held_out=pa.concat_arrays(part.held), n_tokens=np.bincount(part.row, minlength=n), n_known=np.bincount(part.row[part.known], minlength=n),
+            train_tokens=np.full(n, totals[0]), base_score=log(part.base), score=log(part.p),
+        )
+
+    answers = None
+    for level in range(depth + 1):
+        asked = texts.groupBy("part").applyInArrow(lambda key, table: messages(key, table), MESSAGE_DDL) if answers is None else texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(messages, MESSAGE_DDL)
+        got = asked.groupBy("bucket").applyInArrow(answering(level), ANSWER_DDL).repartition(parts, "part")  # each level's answers are shuffled once and read again
+        answers = got if answers is None else answers.unionByName(got)
+    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(use, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
