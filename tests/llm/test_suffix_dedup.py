@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from brute import kept_bytes
-from tidelane.llm.suffix_dedup import RunLengthIndex, deduplicated, remove_repeats, repeated, single, suffix_array
+from tidelane.llm.suffix_dedup import RunLengthIndex, deduplicated, marks_of, remove_repeats, repeated, single, sorted_strings
 
 SCHEMA = "doc_id long, text string, kept string, n_chars long"
 
@@ -44,24 +44,44 @@ def test_null_ids_repeats_and_empty_table(spark):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_index_steps_and_groups(seed):
+@pytest.mark.parametrize("seed", range(40))
+def test_index_and_marks_match_brute_force(seed):
     rng = np.random.default_rng(seed)
-    text = rng.integers(97, 99, 300, dtype=np.uint8)
-    order, rank, _ = suffix_array(text)
-    raw = text.tobytes()
-    assert order.tolist() == sorted(range(len(raw)), key=lambda k: raw[k:])
-    index = RunLengthIndex(text)
-    places = np.arange(1, len(text))
-    assert (index.left(rank[places]) == rank[places - 1]).all()
-    docs, starts = rng.integers(0, 6, 10), np.arange(0, 301, 30)
+    text = rng.integers(97, 98 + seed % 4, 300, dtype=np.uint8) if seed % 5 else rng.integers(0, 3, 300, dtype=np.uint8)
+    raw, width = text.tobytes(), int(rng.integers(1, 27))
+    order, number = sorted_strings(text, width)
+    assert order.tolist() == sorted(range(len(raw)), key=lambda k: (raw[k : k + width], k))
+    assert number.tolist() == [sorted({raw[k : k + width] for k in range(300)}).index(raw[k : k + width]) for k in order]
+    starts = np.concatenate([[0], np.sort(rng.choice(np.arange(1, 300), 12, replace=False)), [300]])
+    docs = np.sort(rng.integers(0, 6, 13))
+    index = RunLengthIndex(text, width)
+    for step, (k, row, length) in enumerate(index.stream(starts[:-1], starts[1:])):
+        at = starts[1:][k] - 1 - step
+        assert (length == np.minimum(step + 1, width)).all()  # every stretch is in the index itself
+        assert all(raw[index.order[r] :][:n] == raw[a : a + n] for a, r, n in zip(at.tolist(), row.tolist(), length.tolist()))
     first = {}
+    spans = [(int(s), int(e), int(d)) for s, e, d in zip(starts, starts[1:], docs)]
+    for s, e, d in spans:
+        for k in range(s, e - width + 1):
+            first[raw[k : k + width]] = min(first.get(raw[k : k + width], 99), d)
+    expected = [sum((first[raw[k : k + width]] < d) << k - s for k in range(s, e - width + 1)) for s, e, d in spans]
+    if np.diff(starts).max() < 60:
+        assert repeated(text, starts, docs, width).tolist() == expected
+
+
+def test_equal_fragments_and_crowded_slots():
+    rng = np.random.default_rng(3)
+    made = [rng.integers(97, 99, 40, dtype=np.uint8) for _ in range(4)]
+    made.append(np.concatenate([made[0][5:], made[1][:5]]))
+    pick = rng.integers(0, 5, 60)
+    docs, text = rng.integers(0, 9, 60), np.concatenate([made[k] for k in pick])
+    starts = np.arange(0, 2401, 40)
+    slot = np.where((pick == 0) | (pick == 4), 7, pick)
+    raw, first = text.tobytes(), {}
     for d, s in zip(docs.tolist(), starts.tolist()):
-        for k in range(30 - 18 + 1):
-            w = raw[s + k : s + k + 18]
-            first[w] = min(first.get(w, 99), d)
-    expected = [sum((first[raw[s + k : s + k + 18]] < d) << k for k in range(13)) for d, s in zip(docs.tolist(), starts.tolist())]
-    assert repeated(text, starts, docs.astype(np.int64), 18).tolist() == expected
+        for k in range(40 - 26 + 1):
+            first[raw[s + k : s + k + 26]] = min(first.get(raw[s + k : s + k + 26], 99), d)
+    assert marks_of(slot, text, starts, docs).tolist() == [sum((first[raw[s + k : s + k + 26]] < d) << k for k in range(15)) for d, s in zip(docs.tolist(), starts.tolist())]
 
 
 def test_strings_of_a_heavy_anchor_travel_alone():

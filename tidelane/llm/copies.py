@@ -22,5 +22,6 @@ def first_copies(keyed_docs: DataFrame) -> DataFrame:
     """
     one = keyed_docs.groupBy("doc_id").agg(F.min(F.struct("h", "g", "n_bytes")).alias("k")).select("doc_id", "k.*")
     one = saved(one)
-    least = one.groupBy("h", "g", "n_bytes").agg(F.min("doc_id").alias("first_id"))
-    return saved(one.join(least, ["h", "g", "n_bytes"]).select("doc_id", "h", "n_bytes", "first_id"))
+    # Counted before the join, and read again for it, so that a text with very many copies is a skewed key that Spark can split.
+    least = saved(one.groupBy("h", "g", "n_bytes").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    return saved(one.join(least, ["h", "g", "n_bytes"], "left").select("doc_id", "h", "n_bytes", F.coalesce("first_id", "doc_id").alias("first_id")))

@@ -1,4 +1,4 @@
-"""Removal of long byte strings that an earlier document has, found with suffix arrays.
+"""Removal of long byte strings that an earlier document has, by run-length indexes.
 
 A string of LENGTH bytes is repeated if it starts in a document with a smaller doc_id, too. To
 bring equal strings together, each one is known by its anchor: of the ANCHOR-byte strings in
@@ -10,18 +10,20 @@ it, the one with the least hash. Equal strings have equal anchors, so
    strings with one anchor are one fragment, in which the anchor itself is its 8-byte hash; the
    strings of an anchor that very many documents share are fragments of their own and go to
    buckets by the hash of the whole, so that no bucket has all of such an anchor;
-3. each bucket builds a full suffix array of its fragments. Its rows that agree in a whole string
-   are a group that holds every occurrence, and the least doc_id of the group decides; a
-   run-compressed Burrows-Wheeler transform only steps from a string's row to its left neighbour's;
+3. in a bucket, equal fragments are one: its least document decides for the others. Fragments that
+   differ but share an anchor go through a run-compressed Burrows-Wheeler transform: each streams
+   its matching statistics, letter by letter from its end, through the runs and the samples at
+   their ends; where the match is a whole string, the least document that has it marks the others;
 4. the marks return to the documents, whose covered bytes go.
 
-Texts are dealt by doc_id and travel once; equal texts are one text until the end. Nothing is
-sampled: every repeated string is found.
+Texts are dealt by doc_id and travel once, in compressed batches, to parts of bounded size; equal
+texts are one text until the end. Nothing is sampled: every repeated string is found.
 
 Defined results: null and empty texts are empty; a text of fewer than LENGTH bytes stays whole;
 later copies of a text of LENGTH bytes or more go whole; rows without a doc_id are left out; rows
-that repeat a doc_id count once; an empty table gives no rows. Bytes are removed as bytes, so
-kept text that is read as UTF-8 may start or end inside a letter; see deduplicated().
+that repeat a doc_id count once; an empty table gives no rows; extra columns are ignored. Bytes are
+removed as bytes, so kept text that is read as UTF-8 may start or end inside a letter; see
+deduplicated().
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidelane.llm.common import MULTIPLIER, U64, _rng, arrow_table, mixed, part_of, parts, powers, text_chunks
+from tidelane.llm.common import MULTIPLIER, U64, _rng, mixed, part_of, powers, text_chunks
 from tidelane.llm.copies import first_copies, keyed
+from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, text_bytes, unpacked_rows
 from tidelane.llm.exchange import SENT_DDL, answered, cut, looked_up, received, sent
 
 LENGTH, ANCHOR = 50, 32
@@ -121,87 +124,129 @@ def _leftmost(h: np.ndarray, starts: np.ndarray, low: np.ndarray) -> np.ndarray:
     return place
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix array, its inverse, and the ranks of the suffixes by their first 16 bytes, by doubling."""
+def sorted_strings(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the text by the `width` letters from each, equal ones by place; and for each in turn the number of different strings before it."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(16, np.uint8)]).astype(U64)
-    key = np.zeros(n, dtype=U64)
-    for k in range(8):
-        key = (key << U64(8)) | padded[k : n + k]
-    rank, width, at16 = _ranks(key), 8, None
-    while True:
-        if width == 16:
-            at16 = rank
-        if width >= 16 and int(rank.max(initial=0)) == n - 1:
-            break
-        if width > n + 16:
-            break
-        after = np.zeros(n, dtype=np.int64)
-        after[: max(n - width, 0)] = rank[width:] + 1
-        rank = _ranks((rank.astype(U64) << U64(32)) | after.astype(U64))
-        width *= 2
-    order = np.empty(n, dtype=np.int64)
-    order[rank] = np.arange(n)
-    return order, rank, at16
+    padded = np.zeros(n + 4, dtype=U64)  # 0 is beyond the text
+    padded[:n] = text
+    padded[:n] += U64(1)
+    key, known = np.zeros(n, dtype=U64), min(4, width)
+    for k in range(known):
+        key = (key << U64(9)) | padded[k : n + k]
+    order, number = _numbered(key, 9 * known, n)
+    while known < width:
+        step = min(known, width - known)
+        rank = np.zeros(n + step, dtype=U64)
+        rank[order] = number + U64(1)
+        bits = max(1, int(n).bit_length())
+        order, number = _numbered(rank[:n] << U64(bits) | rank[step:], 2 * bits, n)
+        known += step
+    return order, number
+
+
+def _numbered(key: np.ndarray, bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places by key, equal keys by place, and the number of different keys before each."""
+    wide = max(1, int(n).bit_length())
+    if bits + wide <= 64:  # the place in the low bits: one plain sort, which is several times faster
+        both = np.sort(key << U64(wide) | np.arange(n, dtype=U64))
+        order, ordered = (both & U64((1 << wide) - 1)).astype(np.int64), both >> U64(wide)
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    number = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if n else np.zeros(0, np.int64)
+    return order, number.astype(U64)
 
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    sorted_ = key[order]
-    rank = np.empty(len(key), dtype=np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]])) if len(key) else 0
-    return rank
+class RunLengthIndex:
+    """A run-compressed Burrows-Wheeler transform with the places at either end of each run.
 
+    Rows are sorted by `width` letters, equal ones by place: matches up to that length are exact.
+    """
 
-class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform of fragments, beside their full suffix array."""
-
-    def __init__(self, text: np.ndarray):
-        self.order, self.rank, self.at16 = suffix_array(text)
-        before = text[self.order - 1].astype(np.int16)
-        before[self.rank[:1]] = 256  # nothing stands before the whole text
-        change = np.concatenate([[True], before[1:] != before[:-1]])
-        self.run_start = np.flatnonzero(change)
+    def __init__(self, text: np.ndarray, width: int):
+        order, self.string = sorted_strings(text, width)
+        self.text, self.width, n = text, width, len(text)
+        before = text[order - 1].astype(np.int64)
+        before[order == 0] = 256  # nothing stands before the whole text
+        self.run_start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        run_end = np.concatenate([self.run_start[1:], [n]])
         self.run_char = before[self.run_start]
-        size = np.diff(np.concatenate([self.run_start, [len(text)]]))
+        self.first, self.last = order[self.run_start], order[run_end - 1]
         # Where a run's rows go, one letter to the left: after the runs of lesser letters and the earlier runs of its
         # own. The last letter has a run of its own, in front: the suffix of no letters precedes it.
-        chars, sizes = np.concatenate([text[-1:].astype(np.int16), self.run_char]), np.concatenate([[1], size])
+        chars, sizes = np.concatenate([text[-1:].astype(np.int64), self.run_char]), np.concatenate([[1], run_end - self.run_start])
         by_char = np.argsort(chars, kind="stable")
         target = np.empty(len(sizes), dtype=np.int64)
         target[by_char] = np.concatenate([[0], np.cumsum(sizes[by_char])[:-1]])
-        self.run_target = target[1:]
-
-    def left(self, row: np.ndarray) -> np.ndarray:
-        """The rows of the suffixes one letter longer to the left."""
-        run = np.searchsorted(self.run_start, row, "right") - 1
-        return self.run_target[run] + row - self.run_start[run]
-
-    def groups(self, width: int) -> np.ndarray:
-        """For each row the number of the rows before it, or itself, at which a different string of `width` letters begins; width is 16 to 32."""
-        head, tail = self.at16[self.order], self.at16[np.minimum(self.order + width - 16, len(self.order) - 1)]
-        return np.cumsum(np.concatenate([[0], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]))
+        self.run_target, self.run_end, self.own_row = target[1:], run_end, int(target[0])
+        self.by_char = np.sort(self.run_char * (len(self.run_char) + 1) + np.arange(len(self.run_char)))  # each letter's runs, in order
+        words = np.concatenate([text, np.zeros(width + 8, np.uint8)])
+        self.eight = np.zeros(n + width + 1, dtype=U64)  # the eight letters from each place
+        for k in range(8):
+            self.eight = self.eight << U64(8) | words[k : n + width + 1 + k]
+        self.order = order
+
+    def alike(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Letters that the places a and b have in common, `most` at most."""
+        out, going = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+        for k in range(0, self.width, 8):
+            x = self.eight[np.minimum(a + k, len(self.eight) - 1)] ^ self.eight[np.minimum(b + k, len(self.eight) - 1)]
+            same = np.where(x == 0, 8, 0)
+            for j in range(1, 8):
+                same += (x < U64(1 << 8 * j)) & (x != 0)
+            out += np.where(going, same, 0)
+            going &= x == 0
+        return np.minimum(out, np.minimum(most, len(self.text) - np.maximum(a, b)))
+
+    def stream(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of the stretches text[starts[k] : ends[k]], each from its end, a letter a step: the stretches
+        still going, the row of a longest match that begins at the letter, and its length, `width` at most.
+        """
+        live, at = np.flatnonzero(ends > starts), ends.copy()
+        row, place, length = (np.zeros(len(starts), np.int64) for _ in range(3))
+        n_runs = len(self.run_char) + 1
+        while len(live):
+            at[live] -= 1
+            c = self.text[at[live]].astype(np.int64)
+            run = np.searchsorted(self.run_start, row[live], "right") - 1
+            turn = np.flatnonzero((self.run_char[run] != c) | (length[live] == 0))
+            if len(turn):
+                k, letter = live[turn], c[turn]
+                after = np.searchsorted(self.by_char, letter * n_runs + run[turn])
+                best = np.full(len(turn), -1)
+                for near, row_of, place_of in ((after - 1, self.run_end - 1, self.last), (after, self.run_start, self.first)):
+                    other = self.by_char[np.clip(near, 0, len(self.by_char) - 1)]
+                    there = np.flatnonzero((near >= 0) & (near < len(self.by_char)) & (other // n_runs == letter))
+                    r = other[there] % n_runs
+                    common = self.alike(place_of[r], at[k[there]] + 1, length[k[there]])
+                    better = common > best[there]
+                    j = there[better]
+                    best[j], run[turn[j]], row[k[j]], place[k[j]] = common[better], r[better], row_of[r[better]], place_of[r[better]]
+                length[k] = np.maximum(best, 0)
+                lost = k[best < 0]  # the letter stands before the text's end alone
+                row[lost], place[lost], length[lost] = -1, len(self.text), 0
+            row[live] = np.where(row[live] < 0, self.own_row, self.run_target[run] + row[live] - self.run_start[run])
+            place[live] -= 1
+            length[live] = np.minimum(length[live] + 1, self.width)
+            yield live, row[live], length[live]
+            live = live[at[live] > starts[live]]
 
 
 def repeated(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each fragment, text[starts[k] : starts[k + 1]] of document docs[k], bits of its windows that a smaller document has. Bit 0 is the first window."""
-    index = RunLengthIndex(text)
+    index = RunLengthIndex(text, window)
     sizes = np.diff(starts)
     windows = np.maximum(sizes - window + 1, 0)
     owner = np.full(len(text), np.iinfo(np.int64).max)
     offset = np.arange(len(text)) - np.repeat(starts[:-1], sizes)
     valid = offset < np.repeat(windows, sizes)
     owner[valid] = np.repeat(docs, sizes)[valid]
-    group = index.groups(window)
-    least = np.minimum.reduceat(owner[index.order], np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))
+    least = np.minimum.reduceat(owner[index.order], np.flatnonzero(np.concatenate([[True], index.string[1:] != index.string[:-1]])))
     bits = np.zeros(len(sizes), dtype=np.int64)
-    live = np.flatnonzero(windows)
-    row = np.zeros(len(sizes), dtype=np.int64)
-    row[live] = index.rank[starts[live] + windows[live] - 1]
-    for step in range(int(windows.max(initial=0))):
-        k = live[windows[live] > step]
-        bits[k] |= (least[group[row[k]]] < docs[k]).astype(np.int64) << (windows[k] - 1 - step)
-        row[k] = index.left(row[k])
+    for step, (k, row, length) in enumerate(index.stream(starts[:-1], starts[1:])):
+        at = sizes[k] - 1 - step
+        hit = np.flatnonzero((length == window) & (at < windows[k]))
+        bits[k[hit]] |= (least[index.string[row[hit]].astype(np.int64)] < docs[k[hit]]).astype(np.int64) << at[hit]
     return bits
 
 
@@ -238,27 +283,18 @@ def _unplaned(payload: bytes, at: int, n: int, width: int) -> tuple[np.ndarray,
     return out.view("<u8").ravel().astype(np.int64), at + n * width
 
 
-def _chosen(table: pa.Table, firsts: pa.Table) -> tuple[list[int], list[bool], pa.Array, list[int]]:
-    """doc_id, whether it is the first copy, text, and row in the table of each document of a part, by doc_id."""
+def _chosen(packed: list[bytes], firsts: pa.Table) -> Iterator[tuple[pa.RecordBatch, list[int], list[bool]]]:
+    """A part's rows, a batch at a time: one of each document, by the batch's order, and whether it is the first copy of its text."""
     known = dict(zip(zip(firsts["doc_id"].to_pylist(), firsts["h"].to_pylist()), firsts["first_id"].to_pylist()))
-    rows = []
-    for k, key in enumerate(zip(table["doc_id"].to_pylist(), table["h"].to_pylist())):
-        first = known.pop(key, None)
-        if first is not None:
-            rows.append((key[0], first == key[0], k))
-    rows.sort(key=lambda r: r[0])
-    texts = pa.concat_arrays(table["text"].take(pa.array([k for *_, k in rows], pa.int64())).chunks) if rows else pa.array([], pa.string())
-    return [r[0] for r in rows], [r[1] for r in rows], texts, [r[2] for r in rows]
-
-
-def _first_texts(table: pa.Table, firsts: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    ids, first, texts, _ = _chosen(table, firsts)
-    rows = [k for k, f in enumerate(first) if f]
-    return np.array(ids, np.int64)[rows], texts.take(pa.array(rows, pa.int64()))
+    for rows in map(unpacked_rows, packed):
+        at, first = [], []
+        for k, key in enumerate(zip(rows["doc_id"].to_pylist(), rows["h"].to_pylist())):
+            id_ = known.pop(key, None)
+            if id_ is not None:
+                at.append(k), first.append(id_ == key[0])
+        yield rows, at, first
 
 
-REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-REMOVED_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _RIGHT = ("part", "payload", "doc_id", "h", "first_id")
 
 
@@ -272,39 +308,66 @@ def single(heavy: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return (*(c[k] for c in others), begin, np.where(heavy[k], begin, last[k]))
 
 
-def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple[str, ...] = (), heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document.
+def marks_of(slot: np.ndarray, text: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """repeated() of a bucket's fragments; those that may have windows in common have one slot."""
+    sizes = np.diff(starts)
+    # Equal fragments: the least document's stands for them, and decides for the others.
+    hashes = _fragment_hashes(text, starts)
+    order = np.lexsort((docs, sizes, hashes))
+    new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])])[: len(order)]
+    lead, nth = order[new], np.cumsum(new) - 1
+    # Of the others only those with company in their slot have anything to look for.
+    lead_bits = np.zeros(len(lead), np.int64)
+    by = np.lexsort((docs[lead], slot[lead]))
+    crowd = slot[lead][by]
+    by = by[np.concatenate([[False], crowd[1:] == crowd[:-1]])[: len(by)] | np.concatenate([crowd[1:] == crowd[:-1], [False]])[: len(by)]]
+    ends, crowd = np.cumsum(sizes[lead[by]]), slot[lead[by]]
+    begin = 0
+    while begin < len(by):  # an index for a few slots at a time
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + INDEX_LETTERS, "right")))
+        end = int(np.searchsorted(crowd, crowd[end - 1], "right"))
+        some = by[begin:end]
+        some = some[np.argsort(docs[lead[some]], kind="stable")]
+        k = lead[some]
+        lead_bits[some] = repeated(_taken(text, starts[k], sizes[k]), np.concatenate([[0], np.cumsum(sizes[k])]), docs[k])
+        begin = end
+    bits = np.empty(len(sizes), np.int64)
+    bits[order] = np.where(docs[order] == docs[lead][nth], lead_bits[nth], (1 << (sizes[order] - WINDOW + 1)) - 1)
+    return bits
 
-    carry names other columns of documents to give back beside them.
-    """
-    spark = documents.sparkSession
+
+def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, carry: tuple[str, ...] = (), heavy: int = HEAVY) -> DataFrame:
+    """For every document what row_of(doc_id, bytes, covered) gives of the fields, and the columns `carry`."""
     docs = keyed(documents, carry)
     firsts = first_copies(docs)
-    n_parts, n_buckets, n_indexes = parts(spark, 2), parts(spark, 1), parts(spark, 2)
-    dealt = docs.select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h", "text", *carry)
-    wanted = firsts.select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h", "first_id")
+    size = text_bytes(docs)
+    parts, n_buckets, n_indexes = n_parts(size, docs), n_parts(size, docs, 2 * PART_BYTES), n_parts(size, docs)
+    dealt_docs = dealt(docs.select("doc_id", "h", "text", *carry), part_of(parts, "doc_id")).repartition(parts, "part")
+    wanted = firsts.select(part_of(parts, "doc_id").alias("part"), "doc_id", "h", "first_id")
 
     def with_firsts(answers: DataFrame) -> DataFrame:
         nulls = [f"CAST(NULL AS LONG) AS {c}" for c in _RIGHT[2:]]
         return answers.selectExpr("part", "payload", *nulls).unionByName(wanted.selectExpr("part", "CAST(NULL AS BINARY) AS payload", *_RIGHT[2:]))
 
     def chunks(table: pa.Table, firsts: pa.Table) -> Iterator[tuple]:
-        ids, texts = _first_texts(table, firsts)
-        for row, data, bounds in text_chunks(texts, SOUGHT_BYTES):
-            found = anchors(data, bounds)
-            yield ids, row + np.searchsorted(bounds, found[0], "right") - 1, data, bounds, row, *found
+        """Of some first copies at a time: each anchor's doc_id, its place in the text, and anchors()."""
+        for rows, at, first in _chosen(table["packed"].to_pylist(), firsts):
+            own = pa.array([k for k, f in zip(at, first) if f], pa.int64())
+            ids, texts = rows["doc_id"].take(own).to_numpy(), rows["text"].take(own)
+            for row, data, bounds in text_chunks(texts, SOUGHT_BYTES):
+                found = anchors(data, bounds)
+                k = np.searchsorted(bounds, found[0], "right") - 1
+                yield ids[row + k], bounds[k], data, *found
 
     def send(key, table, firsts):
         h, doc = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for _, row, _, _, _, _, hashes, _, _ in chunks(table, firsts):
-            h.append(cut(hashes)), doc.append(row)
-        h, doc = np.concatenate(h), np.concatenate(doc)
-        order = np.argsort(h, kind="stable")  # documents stay in order under each anchor
-        h, doc = h[order], doc[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-        other = (new | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(h)]).astype(np.int64)
-        at = np.flatnonzero(new)
-        return sent(key[0].as_py(), h[at], np.add.reduceat(other, at) if len(at) else other, n_buckets)
+        for ids, _, _, _, hashes, _, _ in chunks(table, firsts):
+            own = np.lexsort((ids, hashes))  # an anchor counts once for a document
+            a, b = cut(hashes)[own], ids[own]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+            h.append(a[new]), doc.append(b[new])
+        tokens, counts = np.unique(np.concatenate(h), return_counts=True)
+        return sent(key[0].as_py(), tokens, counts, n_buckets)
 
     def offer(key, table, answers):
         """Fragments around shared anchors for the buckets; marks that are certain within the part for the part."""
@@ -312,14 +375,14 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
         df = received(answers["payload"].to_pylist())
         rows = answers.filter(answers["payload"].is_null())
         letters, sizes, docs, places, codes, hashed_ = [], [], [], [], [], []
-        for ids, row, data, bounds, first_row, at, h, first, last in chunks(table, rows):
+        for ids, text_start, data, at, h, first, last in chunks(table, rows):
             n_docs = looked_up(cut(h), df)
             keep = n_docs >= 2
-            row, at, h, n_docs, first, last = single(n_docs[keep] > heavy, row[keep], at[keep], h[keep], n_docs[keep], first[keep], last[keep])
+            ids, text_start, at, h, n_docs, first, last = single(n_docs[keep] > heavy, ids[keep], text_start[keep], at[keep], h[keep], n_docs[keep], first[keep], last[keep])
             text, starts = fragments_of(data, at, h, first, last)
             hashes = _fragment_hashes(text, starts)
-            letters.append(text), sizes.append(np.diff(starts)), docs.append(ids[row]), codes.append(np.where(n_docs > heavy, hashes, h))
-            places.append(first - bounds[row - first_row]), hashed_.append(hashes)
+            letters.append(text), sizes.append(np.diff(starts)), docs.append(ids), codes.append(np.where(n_docs > heavy, hashes, h))
+            places.append(first - text_start), hashed_.append(hashes)
         out = {"bucket": [], "part": [], "payload": []}
         if letters and sum(map(len, sizes)):
             text, size, doc, place, code, hashes = (np.concatenate(x) for x in (letters, sizes, docs, places, codes, hashed_))
@@ -336,15 +399,15 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
                 marks["doc_id"], marks["at"], marks["bits"] = doc[local], place[local], (1 << (size[local] - WINDOW + 1)) - 1
                 out["bucket"].append(-1 - part), out["part"].append(part), out["payload"].append(marks.tobytes())
             lead = np.concatenate([lead, order[same & own]])  # a document's own repeats wait for the same answer
-            slot = (cut(code[lead]) >> U64(24)).astype(np.int64) * n_indexes >> 16  # a bucket has 256 slots
+            slot = (cut(code[lead]) >> U64(16)).astype(np.int64) * n_indexes >> 16  # a bucket has 65,536 slots
             by = np.argsort(slot, kind="stable")
             lead, slot = lead[by], slot[by]
-            bucket = slot >> 8
+            bucket = slot >> 16
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 k = lead[a:b]
                 out["bucket"].append(int(bucket[a])), out["part"].append(part)
-                out["payload"].append(struct.pack("<I", len(k)) + _planes(slot[a:b] & 255, 1) + _planes(size[k], 1) + _planes(doc[k], 8) + _planes(place[k], 4) + _taken(text, starts[k], size[k]).tobytes())
+                out["payload"].append(struct.pack("<I", len(k)) + _planes(slot[a:b] & 65535, 2) + _planes(size[k], 1) + _planes(doc[k], 8) + _planes(place[k], 4) + _taken(text, starts[k], size[k]).tobytes())
         return pa.Table.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["part"], pa.int32()), pa.array(out["payload"], pa.binary())], names=["bucket", "part", "payload"])
 
     def mark(key, table):
@@ -353,23 +416,13 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
         parts_, slots, sizes, docs, places, letters = [], [], [], [], [], []
         for part, payload in zip(table["part"].to_pylist(), table["payload"].to_pylist()):
             (n,), at = struct.unpack_from("<I", payload), 4
-            slot, at = _unplaned(payload, at, n, 1)
+            slot, at = _unplaned(payload, at, n, 2)
             size, at = _unplaned(payload, at, n, 1)
             doc, at = _unplaned(payload, at, n, 8)
             place, at = _unplaned(payload, at, n, 4)
             parts_.append(np.full(n, part)), slots.append(slot), sizes.append(size), docs.append(doc), places.append(place), letters.append(np.frombuffer(payload, np.uint8, offset=at))
         part, slot, size, doc, place, text = (np.concatenate(x) for x in (parts_, slots, sizes, docs, places, letters))
-        starts = np.cumsum(size) - size
-        by = np.argsort(slot, kind="stable")
-        ends = np.cumsum(size[by])
-        bits = np.zeros(len(size), dtype=np.int64)
-        begin = 0
-        while begin < len(by):  # equal fragments have equal slots: an index for a few slots at a time
-            end = int(np.searchsorted(ends, ends[begin] + INDEX_LETTERS, "right"))
-            end = int(np.searchsorted(slot[by], slot[by[max(end, begin + 1) - 1]], "right"))
-            k = by[begin:end]
-            bits[k] = repeated(_taken(text, starts[k], size[k]), np.concatenate([[0], np.cumsum(size[k])]), doc[k])
-            begin = end
+        bits = marks_of(slot, text, np.concatenate([[0], np.cumsum(size)]), doc)
         hit = np.flatnonzero(bits)
         hit = hit[np.argsort(part[hit], kind="stable")]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part[hit])) + 1, [len(hit)]]) if len(hit) else np.zeros(1, np.int64)
@@ -385,33 +438,43 @@ def remove_repeats(documents: DataFrame, *, with_kept: bool = True, carry: tuple
         rows = answers.filter(answers["payload"].is_null())
         marks = np.concatenate([np.zeros(0, MARKS), *(np.frombuffer(x, MARKS) for x in answers["payload"].to_pylist() if x is not None)])
         marks = marks[np.argsort(marks["doc_id"], kind="stable")]
-        ids, first, texts, at = _chosen(table, rows)
-        out = {name: [] for name in REMOVED.names}
-        lo, hi = np.searchsorted(marks["doc_id"], ids, "left"), np.searchsorted(marks["doc_id"], ids, "right")
-        for k, (doc_id, is_first, text) in enumerate(zip(ids, first, texts.cast(pa.binary()))):
-            data = np.frombuffer(text.as_buffer(), np.uint8)
-            n = len(data)
-            begins = np.zeros(n + 1, dtype=np.int32)
-            if not is_first:
-                begins[: max(n - LENGTH + 1, 0)] = 1
-            for bit in range(PLACES):
+        done = []
+        for batch, at, first in _chosen(table["packed"].to_pylist(), rows):
+            chosen = batch.take(pa.array(at, pa.int64()))
+            ids = chosen["doc_id"].to_numpy()
+            lo, hi = np.searchsorted(marks["doc_id"], ids, "left"), np.searchsorted(marks["doc_id"], ids, "right")
+            out = {name: [] for name in fields.names}
+            for k, (doc_id, is_first, text) in enumerate(zip(ids.tolist(), first, chosen["text"].cast(pa.binary()))):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                n = len(data)
+                begins = np.zeros(n + 1, dtype=np.int32)
+                if not is_first:
+                    begins[: max(n - LENGTH + 1, 0)] = 1
                 m = marks[lo[k] : hi[k]]
-                begins[m["at"][(m["bits"] >> np.uint32(bit)) & 1 == 1].astype(np.int64) + bit] = 1
-            sums = np.cumsum(begins)
-            covered = (sums[:n] - np.concatenate([np.zeros(min(LENGTH, n), np.int32), sums[: max(n - LENGTH, 0)]])) > 0
-            kept = data[~covered].tobytes()
-            values = (doc_id, n, n - len(kept), int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept if with_kept else None)
-            for name, value in zip(REMOVED.names, values):
-                out[name].append(value)
-        done = arrow_table(REMOVED, **out)
-        for name in carry:
-            done = done.append_column(name, table[name].take(pa.array(at, pa.int64())))
-        return done
-
-    counts = answered(dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(send, SENT_DDL), 2)
-    offers = dealt.groupBy("part").cogroup(with_firsts(counts).groupBy("part")).applyInArrow(offer, SENT_DDL)
+                for bit in range(PLACES):
+                    begins[m["at"][(m["bits"] >> np.uint32(bit)) & 1 == 1].astype(np.int64) + bit] = 1
+                sums = np.cumsum(begins)
+                covered = (sums[:n] - np.concatenate([np.zeros(min(LENGTH, n), np.int32), sums[: max(n - LENGTH, 0)]])) > 0
+                for name, value in zip(fields.names, row_of(doc_id, data, covered)):
+                    out[name].append(value)
+            done.append(pa.table([*(pa.array(out[f.name], f.type) for f in fields), *(chosen[name] for name in carry)], names=[*fields.names, *carry]))
+        return pa.concat_tables(done)
+
+    counts = answered(dealt_docs.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(send, SENT_DDL), 2)
+    offers = dealt_docs.groupBy("part").cogroup(with_firsts(counts).groupBy("part")).applyInArrow(offer, SENT_DDL)
     marks = offers.groupBy("bucket").applyInArrow(mark, "part int, payload binary")
-    return dealt.groupBy("part").cogroup(with_firsts(marks).groupBy("part")).applyInArrow(remove, StructType([*StructType.fromDDL(REMOVED_DDL).fields, *(dealt.schema[name] for name in carry)]))
+    return dealt_docs.groupBy("part").cogroup(with_firsts(marks).groupBy("part")).applyInArrow(remove, StructType([*ddl.fields, *(docs.schema[name] for name in carry)]))
+
+
+def remove_repeats(documents: DataFrame, *, with_kept: bool = True, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document."""
+
+    def row(doc_id: int, data: np.ndarray, covered: np.ndarray) -> tuple:
+        kept = data[~covered].tobytes()
+        return doc_id, len(data), len(data) - len(kept), int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept if with_kept else None
+
+    fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    return _removed(documents, fields, StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), row, heavy=heavy)
 
 
 def _fragment_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -423,21 +486,18 @@ def _fragment_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents with what remains of their texts; n_chars, if they have it, follows. Letters that a removal cut through go.
 
-    Rows without a doc_id stay as they are; of rows that repeat a doc_id one stays.
+    Rows without a doc_id stay as they are; of rows that repeat a doc_id one stays. Other columns
+    are kept, whatever their names.
     """
-    others = tuple(c for c in documents.columns if c not in ("doc_id", "text"))
-    names = {c: f"_carried_{k}" for k, c in enumerate(others)}
-    kept = remove_repeats(documents.withColumnsRenamed(names), carry=tuple(names.values()))
-
-    def whole_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x.decode("utf-8", "ignore") for x in b["kept"].to_pylist()]
-            yield b.set_column(b.schema.get_field_index("kept"), "kept", pa.array(texts, pa.string()))
-
-    rows = kept.select("doc_id", "kept", *names.values())
-    rows = rows.mapInArrow(whole_letters, StructType([*StructType.fromDDL("doc_id long, kept string").fields, *(rows.schema[n] for n in names.values())]))
-    rows = rows.withColumnRenamed("kept", "text").withColumnsRenamed({v: k for k, v in names.items()})
-    if "n_chars" in others:
-        rows = rows.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType)).select(*documents.columns)
-    return rows.unionByName(documents.filter("doc_id IS NULL"))
+    others = [f for f in documents.schema.fields if f.name not in ("doc_id", "text")]
+    rows = documents.select("doc_id", "text", *([F.struct(*(F.col(f"`{f.name}`") for f in others)).alias("others")] if others else []))
+    carry = ("others",) if others else ()
+
+    def row(doc_id: int, data: np.ndarray, covered: np.ndarray) -> tuple[int, str]:
+        return doc_id, data[~covered].tobytes().decode("utf-8", "ignore")
+
+    kept = _removed(rows, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), StructType.fromDDL("doc_id long, text string"), row, carry)
+    own = {"doc_id": F.col("doc_id").cast(documents.schema["doc_id"].dataType), "text": F.col("text")} | {f.name: F.col("others").getField(f.name) for f in others}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType)
+    return kept.select(*(own[name].alias(name) for name in documents.columns)).unionByName(documents.filter("doc_id IS NULL"))
