@@ -1,6 +1,8 @@
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidelane.llm.common import distinct, numbered
 from tidelane.llm.dealing import dealt, n_parts, spread, text_bytes, unpacked_rows
 
 
@@ -21,3 +23,15 @@ def test_parts_follow_the_bytes(spark):
     assert docs.select(spread(3, "doc_id")).distinct().count() <= 3
     assert unpacked_rows(bytes(dealt(docs.limit(1), F.lit(2)).first().packed)).schema.names == ["doc_id", "text"]
     assert isinstance(unpacked_rows(bytes(dealt(docs.limit(1), F.lit(2)).first().packed)), pa.RecordBatch)
+
+
+def test_numbered_and_distinct():
+    rng = np.random.default_rng(2)
+    for bits in (3, 40, 60):
+        key = rng.integers(0, 1 << bits, 500, dtype=np.uint64)
+        key[200:300] = key[:100]
+        order, number = numbered(key, bits)
+        assert order.tolist() == sorted(range(500), key=lambda k: (key[k], k)) and number.tolist() == np.unique(key[order], return_inverse=True)[1].tolist()
+    for hashes in (key, np.repeat(np.array([1 << 60, (1 << 60) + 1, 5], np.uint64), 9), key[:0]):
+        words, at = distinct(hashes)
+        assert words.tolist() == sorted(set(hashes.tolist())) and (words[at] == hashes).all()

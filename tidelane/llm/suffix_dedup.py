@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidelane.llm.common import MULTIPLIER, U64, _rng, mixed, part_of, powers, text_chunks
+from tidelane.llm.common import MULTIPLIER, U64, _rng, mixed, numbered, part_of, powers, text_chunks
 from tidelane.llm.copies import first_copies, keyed
 from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, text_bytes, unpacked_rows
 from tidelane.llm.exchange import SENT_DDL, answered, cut, looked_up, received, sent
@@ -133,30 +133,17 @@ def sorted_strings(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     key, known = np.zeros(n, dtype=U64), min(4, width)
     for k in range(known):
         key = (key << U64(9)) | padded[k : n + k]
-    order, number = _numbered(key, 9 * known, n)
+    order, number = numbered(key, 9 * known)
     while known < width:
         step = min(known, width - known)
         rank = np.zeros(n + step, dtype=U64)
         rank[order] = number + U64(1)
         bits = max(1, int(n).bit_length())
-        order, number = _numbered(rank[:n] << U64(bits) | rank[step:], 2 * bits, n)
+        order, number = numbered(rank[:n] << U64(bits) | rank[step:], 2 * bits)
         known += step
     return order, number
 
 
-def _numbered(key: np.ndarray, bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places by key, equal keys by place, and the number of different keys before each."""
-    wide = max(1, int(n).bit_length())
-    if bits + wide <= 64:  # the place in the low bits: one plain sort, which is several times faster
-        both = np.sort(key << U64(wide) | np.arange(n, dtype=U64))
-        order, ordered = (both & U64((1 << wide) - 1)).astype(np.int64), both >> U64(wide)
-    else:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-    number = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if n else np.zeros(0, np.int64)
-    return order, number.astype(U64)
-
-
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler transform with the places at either end of each run.
 

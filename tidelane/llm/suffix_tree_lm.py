@@ -21,7 +21,8 @@ runs only those are asked for. A context with more than HEAVY words after it is
 buckets by the next word, so that no bucket has all of it.
 
 Capacity: a part has about 8 MB of text, a bucket the messages about twice as much, and of one
-context HEAVY words at most. Words are known by 64-bit hashes, next words by the context's and 32 bits.
+context HEAVY words at most. Words are known by 64-bit hashes, contexts by 48 bits of theirs, and
+the next words after one context by 32.
 
 Defined results: null and empty texts are the end alone; rows with a null id are scored and
 learned from; repeated rows count each; without training rows all scores are 0; an empty table
@@ -32,13 +33,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import MULTIPLIER, U64, arrow_table, batch, crc_mod, hashed_words, mixed, text_chunks
+from tidelane.llm.common import MULTIPLIER, U64, arrow_table, batch, crc_mod, distinct, hashed_words, mixed, numbered, text_chunks
 from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, spread, text_bytes, unpacked_rows
 
 #: Words of the longest context; what a word seen again keeps of its count; nats that a context must add.
@@ -52,6 +54,7 @@ FOLD, HELD_OUT = 7, 2
 COUNTED = 1_000_000
 #: Parent probabilities travel as a byte: steps of an eighth of a nat.
 STEPS = 8
+CONTEXT_BITS = ~U64((1 << 16) - 1)
 MESSAGE = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 MESSAGE_DDL = "bucket int, part int, payload binary"
 ANSWER = pa.schema([("part", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -74,29 +77,53 @@ def bucket_of(context: np.ndarray, buckets: int) -> np.ndarray:
     return (context >> U64(40)).astype(np.int64) * buckets >> 24
 
 
+def steps_of(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers; where `first` holds, the number itself."""
+    return np.where(first, x, np.diff(x, prepend=U64(0)))
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    """Whether each row is the first of its group."""
+    first = np.zeros(int(sizes.sum()), bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return first
+
+
+@dataclass
 class Question:
-    """What a part asks of one level: contexts, sorted, and under each the next words, sorted."""
+    """What a part asks of one level: contexts, sorted, with the number of words after each, and of the next words under each,
+    sorted, how often the part's training rows have them there and their probability after the parent."""
 
-    def __init__(self, context: np.ndarray, total: np.ndarray, sizes: np.ndarray, next_: np.ndarray, count: np.ndarray, parent: np.ndarray):
-        self.context, self.total, self.sizes, self.next, self.count, self.parent = context, total, sizes, next_, count, parent
+    context: np.ndarray
+    total: np.ndarray
+    sizes: np.ndarray
+    next: np.ndarray
+    count: np.ndarray
+    parent: np.ndarray
 
     def messages(self, buckets: int) -> Iterator[tuple[int, bytes]]:
         where = bucket_of(self.context, buckets)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]]).tolist() if len(where) else [0]
         ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        steps = steps_of(self.next, starts_of(self.sizes))
         for a, b in zip(cuts, cuts[1:]):
             x, y = int(ends[a]), int(ends[b])
-            yield int(where[a]), struct.pack("<II", b - a, y - x) + planes(self.context[a:b], 8) + planes(self.total[a:b], 5) + planes(self.sizes[a:b], 4) + planes(self.next[x:y], 4) + planes(self.count[x:y], 4) + self.parent[x:y].tobytes()
+            whole = planes(steps_of(self.context[a:b], np.arange(b - a) == 0), 8) + planes(self.total[a:b], 5) + planes(self.sizes[a:b], 4) + planes(steps[x:y], 4) + planes(self.count[x:y], 4) + self.parent[x:y].tobytes()
+            yield int(where[a]), struct.pack("<II", b - a, y - x) + pa.compress(whole, "zstd", asbytes=True)
 
     @classmethod
     def read(cls, payload: bytes) -> Question:
-        (n, m), at = struct.unpack_from("<II", payload), 8
-        context, at = unplaned(payload, at, n, 8)
-        total, at = unplaned(payload, at, n, 5)
-        sizes, at = unplaned(payload, at, n, 4)
-        next_, at = unplaned(payload, at, m, 4)
-        count, at = unplaned(payload, at, m, 4)
-        return cls(context, total, sizes.astype(np.int64), next_, count, np.frombuffer(payload, np.uint8, m, at))
+        n, m = struct.unpack_from("<II", payload)
+        whole, at = pa.decompress(payload[8:], 17 * n + 9 * m, "zstd", asbytes=True), 0
+        context, at = unplaned(whole, at, n, 8)
+        total, at = unplaned(whole, at, n, 5)
+        sizes, at = unplaned(whole, at, n, 4)
+        steps, at = unplaned(whole, at, m, 4)
+        count, at = unplaned(whole, at, m, 4)
+        sizes = sizes.astype(np.int64)
+        sums = np.cumsum(steps)
+        before = np.concatenate([np.zeros(1, U64), sums])[np.cumsum(sizes) - sizes]
+        return cls(np.cumsum(context), total, sizes, sums - np.repeat(before, sizes), count, np.frombuffer(whole, np.uint8, m, at))
 
 
 def added_up(questions: list[Question], level: int, heavy: int = HEAVY, discount: float = DISCOUNT, min_gain: float = MIN_GAIN) -> Iterator[bytes]:
@@ -109,7 +136,7 @@ def added_up(questions: list[Question], level: int, heavy: int = HEAVY, discount
     ends = np.cumsum([0, *(len(q.context) for q in questions)])
     if level == 0:
         count = np.bincount(which, np.concatenate([q.total for q in questions]), len(contexts)).astype(np.int64)
-        yield from (struct.pack("<II", 0, b - a) + planes(count[which[a:b]], 5) for a, b in zip(ends, ends[1:]))
+        yield from (answer_of(*[np.zeros(0)] * 3, count[which[a:b]]) for a, b in zip(ends, ends[1:]))
         return
     total = np.zeros(len(contexts), np.int64)
     total[which] = np.concatenate([q.total for q in questions]).astype(np.int64)
@@ -132,10 +159,24 @@ def added_up(questions: list[Question], level: int, heavy: int = HEAVY, discount
     at = 0
     for q, a, b in zip(questions, ends, ends[1:]):
         k = which[a:b]
-        yield struct.pack("<II", len(k), len(q.next)) + planes(words[k], 5) + planes(kinds[k], 4) + planes(added[k].astype("<f4").view("<u4"), 4) + planes(n[place[at : at + len(q.next)]], 5)
+        yield answer_of(words[k], kinds[k], added[k], n[place[at : at + len(q.next)]])
         at += len(q.next)
 
 
+def answer_of(words: np.ndarray, kinds: np.ndarray, added: np.ndarray, n: np.ndarray) -> bytes:
+    return struct.pack("<II", len(words), len(n)) + pa.compress(planes(words, 5) + planes(kinds, 4) + planes(added.astype("<f4").view("<u4"), 4) + planes(n, 5), "zstd", asbytes=True)
+
+
+def answer_read(payload: bytes) -> tuple[np.ndarray, ...]:
+    c, m = struct.unpack_from("<II", payload)
+    whole, at = pa.decompress(payload[8:], 13 * c + 5 * m, "zstd", asbytes=True), 0
+    words, at = unplaned(whole, at, c, 5)
+    kinds, at = unplaned(whole, at, c, 4)
+    added, at = unplaned(whole, at, c, 4)
+    n, at = unplaned(whole, at, m, 5)
+    return words, kinds, added.astype("<u4").view("<f4"), n.astype(np.int64)
+
+
 def gain(total: np.ndarray, words: np.ndarray, kinds: np.ndarray, added: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
     """What a context adds to the log-likelihood of the words after it: its own estimates against its parent's, less what the others lose."""
     once = total - words
@@ -167,7 +208,7 @@ class Part:
         self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         held = np.concatenate([h.to_numpy(zero_copy_only=False) for h in self.held]) if self.held else np.zeros(0, bool)
         self.learn = ~held[self.row]
-        self.word, self.at = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, U64), return_inverse=True)
+        self.word, self.at = distinct(np.concatenate([np.zeros(0, U64), *hashes]))
         self.level = 0
         # Of the run of words that ends at each place: its number among the distinct ones of its length, and their hashes and counts.
         self.run, self.run_hash = self.at, self.word
@@ -184,39 +225,37 @@ class Part:
         before[before >= 0] = np.where(self.count[before[before >= 0]] >= 2, before[before >= 0], -1)
         here = np.flatnonzero(before >= 0)
         context, next_ = before[here], self.at[here]
-        total = self.count[context]
-        shares = -(-total // heavy)
-        virtual = np.where(shares > 1, mixed(self.run_hash[context] + U64(1) + (self.word[next_] >> U64(32)) % np.maximum(shares, 1).astype(U64)), self.run_hash[context])
-        # All shares of a heavy context are asked for, those without a next word here, too: their sums belong to it.
-        own, at_own = np.unique(context, return_inverse=True)
-        n_shares = -(-self.count[own] // heavy)
-        share_of = np.repeat(np.arange(len(own)), n_shares)
-        nth = np.arange(len(share_of)) - np.repeat(np.cumsum(n_shares) - n_shares, n_shares)
-        all_ = np.where(n_shares[share_of] > 1, mixed(self.run_hash[own][share_of] + U64(1) + nth.astype(U64)), self.run_hash[own][share_of])
-        by = np.argsort(all_)
-        self.contexts, self.owner = all_[by], share_of[by]
-        self.own, self.own_at = own, at_own
-        repeats = self.run_count[here] >= 2
+        there = np.zeros(len(self.count), bool)
+        there[context] = True
+        self.own, self.own_at = np.flatnonzero(there), (np.cumsum(there) - 1)[context]
+        # A heavy context is dealt by the next word into shares, each a context of its own. All of them are asked for, those
+        # without a next word here, too: their sums belong to it.
+        shares = -(-self.count[self.own] // heavy)
+        owner, begin = np.repeat(np.arange(len(self.own)), shares), np.cumsum(shares) - shares
+        nth = (np.arange(len(owner)) - begin[owner]).astype(U64)
+        hashes = self.run_hash[self.own][owner]
+        hashes = np.where(shares[owner] > 1, mixed(hashes + U64(1) + nth), hashes) & CONTEXT_BITS
+        by = np.argsort(hashes)
+        contexts, self.owner = hashes[by], owner[by]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        repeats = np.flatnonzero(self.run_count[here] >= 2)
+        k = self.own_at[repeats]
+        rank = rank[begin[k] + (self.word[next_[repeats]] % shares[k].astype(U64)).astype(np.int64)].astype(U64)
+        wide = len(self.word).bit_length()
+        order, number = numbered(rank << U64(wide) | next_[repeats].astype(U64), len(by).bit_length() + wide)
+        pair = np.empty(len(order), np.int64)
+        pair[order] = number
+        one = order[np.concatenate([[True], number[1:] != number[:-1]])[: len(order)]]
         asked = here[repeats]
-        rank = np.searchsorted(self.contexts, virtual[repeats])
-        key = rank.astype(U64) << U64(32) | self.word[next_[repeats]] & U64(0xFFFFFFFF)
-        pairs, pair = np.unique(key, return_inverse=True)
-        parent = np.zeros(len(pairs), np.uint8)
-        parent[pair] = np.clip(np.round(-STEPS * np.log(self.p[asked])), 0, 255)
-        n = np.bincount(pair, self.learn[asked], len(pairs)).astype(np.int64)
-        self.here, self.asked_at, self.pair, self.n_pairs = here, asked, pair, len(pairs)
-        return Question(self.contexts, self.count[own][self.owner], np.bincount((pairs >> U64(32)).astype(np.int64), minlength=len(self.contexts)), pairs & U64(0xFFFFFFFF), n, parent)
+        parent = np.clip(np.round(-STEPS * np.log(self.p[asked[one]])), 0, 255).astype(np.uint8)
+        self.here, self.asked_at, self.pair, self.n_pairs = here, asked, pair, len(one)
+        n = np.bincount(pair, self.learn[asked], len(one)).astype(np.int64)
+        return Question(contexts, self.count[self.own][self.owner], np.bincount(rank[one].astype(np.int64), minlength=len(contexts)), self.word[next_[repeats][one]] >> U64(32), n, parent)
 
     def take(self, answers: list[bytes]) -> None:
         """The answers to the question at hand, by bucket: probabilities follow, and the next level."""
-        words, kinds, added, n = [], [], [], []
-        for payload in answers:
-            (c, m), at = struct.unpack_from("<II", payload), 8
-            for out, count, width in ((words, c, 5), (kinds, c, 4), (added, c, 4), (n, m, 5)):
-                x, at = unplaned(payload, at, count, width)
-                out.append(x)
-        words, kinds, added, n = (np.concatenate(x) if x else np.zeros(0, U64) for x in (words, kinds, added, n))
-        n = n.astype(np.int64)
+        words, kinds, added, n = (np.concatenate(x) for x in zip(*(answer_read(a) for a in answers))) if answers else [np.zeros(0, np.int64)] * 4
         if self.level == 0:
             self.count = n
             self.run_count = n[self.at]
@@ -225,7 +264,7 @@ class Part:
             self.p = self.base.copy()
         else:
             words, kinds = (np.bincount(self.owner, x, len(self.own)) for x in (words, kinds))
-            added = np.bincount(self.owner, added.astype("<u4").view("<f4"), len(self.own))
+            added = np.bincount(self.owner, added, len(self.own))
             total = self.count[self.own]
             kept = gain(total, words, kinds, added) >= MIN_GAIN
             rest = total - words + DISCOUNT * kinds
