@@ -3,11 +3,13 @@ import random
 import numpy as np
 import pytest
 
-from brute import components
+from brute import components, shingle_set
+from pyspark.sql import functions as F
+from tidelane.llm.copies import first_copies, keyed
 from tidelane.llm.common import hashed
-from tidelane.llm.jaccard_join import ORDERS, one_of_each, prefixes, similar_documents
+from tidelane.llm.jaccard_join import ORDERS, candidates, links, one_of_each, prefix_length, prefixes, similar_documents, token_sets
 
-SCHEMA = "doc_id long, text string, lang string, component_id long, a long"
+SCHEMA = "doc_id long, text string, gone string, component_id long, a long"
 
 
 def texts(seed):
@@ -53,7 +55,38 @@ def test_prefixes_of_alike_sets_meet_under_every_order():
             continue
         counts = {t: int(rng.integers(2, 9)) for t in all_.tolist()}
         pa, pb = (prefixes(x, np.array([counts[t] if t in set(a.tolist()) & set(b.tolist()) else 1 for t in x.tolist()])) for x in (a, b))
-        assert len(pa) == len(ORDERS) and all(len(np.intersect1d(x, y)) for x, y in zip(pa, pb))
+        needed = -(-75 * (len(a) + len(b)) // 175) - max(len(a) - prefix_length(len(a)), len(b) - prefix_length(len(b)))
+        assert len(pa) == len(ORDERS) and all(len(np.intersect1d(x, y)) >= max(1, needed) for x, y in zip(pa, pb))
+
+
+def test_every_order_filters_and_none_loses_a_link(spark):
+    """Each order removes candidates, all orders together more than any of them; links stay."""
+    rng = random.Random(3)
+    rows = {}
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    pool = [words(50) for _ in range(10)]
+    for g in range(30):  # a rare passage that few share, in texts of frequent ones
+        rare = words(40)
+        for i in range(5):
+            w = rare + sum(rng.sample(pool, 3), [])
+            rows[g * 10 + i] = " ".join(w)
+            if i == 0:
+                w[rng.randrange(190)] = "changed"
+                rows[g * 10 + 9] = " ".join(w)
+    docs = keyed(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    units = token_sets(docs, first_copies(docs), 5, 75)
+    prefix = units.select("doc_id", F.explode("prefix_0").alias("t"))
+    pairs = prefix.alias("x").join(prefix.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    found = candidates(pairs, units, 75).collect()
+    by_order = [sum(r[f"passes_{k}"] for r in found) for k in range(len(ORDERS))]
+    passing = {(r.a, r.b) for r in found if all(r[f"passes_{k}"] for k in range(len(ORDERS)))}
+    sets = {i: shingle_set(t) for i, t in rows.items()}
+    linked = {(a, b) for r in found for a, b in [(r.a, r.b)] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    print("candidates", len(found), "by order", by_order, "together", len(passing), "links", len(linked))
+    assert linked and linked <= passing and len(passing) < min(by_order) <= max(by_order) < len(found)
+    assert {(r.a, r.b) for r in links(units)[0].collect()} <= linked
 
 
 def test_word_hashes_follow_the_words():

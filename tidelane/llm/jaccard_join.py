@@ -1,10 +1,11 @@
 """Jaccard self-join of documents' word n-gram sets with prefix filters under several global orders.
 
-Two sets that are alike enough share a token among the first of each, under any order of all
-tokens. The orders here all put rare tokens first, by their exact counts over the corpus, and
-break ties by different hashes. Pairs that share a prefix token under the first order are held
-against the others; those that share prefix tokens under every order are verified on the whole
-sets.
+Two sets that are alike enough share tokens among the first of each, under any order of all tokens:
+as many as their intersection must have beyond what the rest of either set can hold. The first
+order puts rare tokens first, by their exact counts over the corpus; the others are hashes that
+know nothing of the counts, so that each order is a filter of its own. Pairs that share a prefix
+token under the first order are counted out under every order, on the prefixes alone; the whole
+sets are fetched for the pairs that pass all of them, and only these are verified.
 
 A shared token that comes late in an order leaves too few tokens after it for a pair that shares
 none before it, so a pair must meet at a token with room enough on both sides.
@@ -29,17 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import U64, arrow_table, batch, hashed, mixed, part_of, parts, shingles
-from tidelane.llm.copies import first_copies, keyed
+from tidelane.llm.common import U64, arrow_table, batch, hashed, mixed, part_of, shingles
+from tidelane.llm.copies import first_copies, first_texts, keyed
+from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, text_bytes
 from tidelane.llm.exchange import ANSWER_DDL, SENT_DDL, answered, cut, looked_up, received, sent
 from tidelane.operators.components import connected_components
 from tidelane.operators.materialise import saved
 
 SHINGLE_WORDS = 5
 THRESHOLD = 75
-#: Seeds of the hashes that break ties, one for each order.
+#: Seeds of the orders' hashes. The first order goes by counts and breaks ties by its hash; the others go by theirs.
 ORDERS = (0x1F83D9AB, 0x5BE0CD19, 0x243F6A88)
-UNITS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("single", pa.int64()), ("prefixes", pa.list_(pa.list_(pa.int64()))), ("tokens", pa.binary())])
+_PREFIXES = [(f"prefix_{k}", pa.list_(pa.int64())) for k in range(len(ORDERS))]
+UNITS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("single", pa.int64()), *_PREFIXES, ("tokens", pa.binary())])
+UNITS_DDL = f"doc_id long, n long, single long, {', '.join(f'{name} array<long>' for name, _ in _PREFIXES)}, tokens binary"
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -48,38 +52,31 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
 
 
 def prefixes(tokens: np.ndarray, counts: np.ndarray, threshold: int = THRESHOLD) -> list[np.ndarray] | None:
-    """The prefix under each order, without the tokens of a single document (count 0 or 1); None if nothing is left."""
+    """The prefix under each order, less the tokens of a single document (count 0 or 1); None if the first has nothing left."""
     shared = counts >= 2
-    n = prefix_length(len(tokens), threshold) - int((~shared).sum())
-    if n <= 0:
+    n = prefix_length(len(tokens), threshold)
+    if n <= int((~shared).sum()):
         return None
-    own, df = tokens[shared], counts[shared]
-    return [own[np.lexsort((mixed(own ^ U64(seed)), df))[:n]] for seed in ORDERS]
+    by_count, *by_hash = (mixed(tokens ^ U64(seed)) for seed in ORDERS)
+    orders = [np.lexsort((by_count, np.maximum(counts, 1))), *(np.argsort(h) for h in by_hash)]
+    return [tokens[k[:n][shared[k[:n]]]] for k in orders]
 
 
 def _sets(table: pa.Table, firsts: pa.Table, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """doc_id and token set of each first copy in a part."""
-    wanted = set(zip(firsts["doc_id"].to_pylist(), firsts["h"].to_pylist()))
-    ids = list(zip(table["doc_id"].to_pylist(), table["h"].to_pylist()))
-    rows = []
-    for k, key in enumerate(ids):
-        if key in wanted:
-            wanted.discard(key)
-            rows.append(k)
-    if not rows:
-        return
-    texts = pa.concat_arrays(table["text"].take(pa.array(rows)).chunks)
-    for first, words, at in hashed(texts):
-        for k in range(len(at) - 1):
-            yield ids[rows[first + k]][0], shingles(words[at[k] : at[k + 1]], size)
+    for ids, texts in first_texts(table["packed"].to_pylist(), firsts):
+        ids = ids.to_pylist()
+        for first, words, at in hashed(texts):
+            for k in range(len(at) - 1):
+                yield ids[first + k], shingles(words[at[k] : at[k + 1]], size)
 
 
 def token_sets(docs: DataFrame, firsts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """doc_id, n, single (tokens no other text has), prefixes, tokens of each first copy; the last two only of those that may link."""
-    spark = docs.sparkSession
-    n_parts, n_buckets = parts(spark, 2), parts(spark, 1)
-    dealt = docs.select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h", "text")
-    wanted = firsts.filter("doc_id = first_id").select(part_of(n_parts, "doc_id").alias("part"), "doc_id", "h")
+    """doc_id, n, single (tokens no other text has), prefix_0..., tokens of each first copy; the last ones only of those that may link."""
+    text_size = text_bytes(docs)
+    parts, n_buckets = n_parts(text_size, docs), n_parts(text_size, docs, 2 * PART_BYTES)
+    dealt_docs = dealt(docs.select("doc_id", "h", "text"), part_of(parts, "doc_id")).repartition(parts, "part")
+    wanted = firsts.filter("doc_id = first_id").select(part_of(parts, "doc_id").alias("part"), "doc_id", "h", "first_id")
 
     def send(key, table, firsts):
         sets = [cut(s) for _, s in _sets(table, firsts, size)]
@@ -96,34 +93,39 @@ def token_sets(docs: DataFrame, firsts: DataFrame, size: int, threshold: int) ->
             out["doc_id"].append(doc_id)
             out["single"].append(int((counts < 2).sum()))
             out["n"].append(len(tokens))
-            out["prefixes"].append(None if found is None else [p.view(np.int64) for p in found])
+            for k in range(len(ORDERS)):
+                out[f"prefix_{k}"].append(None if found is None else found[k].view(np.int64))
             out["tokens"].append(None if found is None else tokens.tobytes())
         return arrow_table(UNITS, **out)
 
-    sent_rows = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(send, SENT_DDL)
-    answers = answered(sent_rows, 2).selectExpr("part", "payload", "CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS LONG) AS h")
-    answers = answers.unionByName(wanted.selectExpr("part", "CAST(NULL AS BINARY) AS payload", "doc_id", "h"))
-    return saved(dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(use, "doc_id long, n long, single long, prefixes array<array<long>>, tokens binary"))
+    sent_rows = dealt_docs.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(send, SENT_DDL)
+    nulls = [f"CAST(NULL AS LONG) AS {c}" for c in ("doc_id", "h", "first_id")]
+    answers = answered(sent_rows, 2).selectExpr("part", "payload", *nulls)
+    answers = answers.unionByName(wanted.selectExpr("part", "CAST(NULL AS BINARY) AS payload", "doc_id", "h", "first_id"))
+    return saved(dealt_docs.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(use, UNITS_DDL))
 
 
-def verified(pairs: DataFrame, units: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough, with the sizes of intersection and union.
+def candidates(pairs: DataFrame, units: DataFrame, threshold: int) -> DataFrame:
+    """a, b and, for each order, passes_k: whether the prefixes share as many tokens as the pair needs."""
+    p = "n - ceil(n * {t} / 100) + 1".format(t=threshold)  # prefix_length()
+    sides = [units.filter("tokens IS NOT NULL").selectExpr(f"doc_id AS {s}", f"n AS n_{s}", f"{p} AS p_{s}", *(f"prefix_{k} AS prefix_{k}_{s}" for k in range(len(ORDERS)))) for s in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * threshold / F.lit(100 + threshold)) - F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    passes = [(F.size(F.array_intersect(f"prefix_{k}_a", f"prefix_{k}_b")) >= F.greatest(needed, F.lit(1))).alias(f"passes_{k}") for k in range(len(ORDERS))]
+    return both.select("a", "b", *passes)
+
 
-    Pairs come from the first order. They are candidates if they share prefix tokens under the
-    other orders, too; only candidates' sets are compared.
-    """
-    sets = units.filter("tokens IS NOT NULL").select("doc_id", F.slice("prefixes", 2, len(ORDERS) - 1).alias("others"), "tokens")
-    left, right = (sets.select(F.col("doc_id").alias(name), F.struct("others", "tokens").alias(f"set_{name}")) for name in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+def verified(pairs: DataFrame, units: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sets are alike enough, with the sizes of intersection and union."""
+    left = saved(candidates(pairs, units, threshold).filter(" AND ".join(f"passes_{k}" for k in range(len(ORDERS)))).select("a", "b"))
+    sets = [units.filter("tokens IS NOT NULL").selectExpr(f"doc_id AS {s}", f"tokens AS set_{s}") for s in "ab"]
+    both = left.join(sets[0], "a").join(sets[1], "b").select("a", "b", "set_a", "set_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("together", pa.int64())])
         for rows in batches:
             out = {name: [] for name in schema.names}
-            (others_x, x_sets), (others_y, y_sets) = (rows[c].flatten() for c in ("set_a", "set_b"))
-            for a, b, f, g, x, y in zip(rows["a"].to_pylist(), rows["b"].to_pylist(), others_x, others_y, x_sets, y_sets):
-                if not all(np.intersect1d(i.values.to_numpy(), j.values.to_numpy(), assume_unique=True).size for i, j in zip(f, g)):
-                    continue
+            for a, b, x, y in zip(rows["a"].to_pylist(), rows["b"].to_pylist(), rows["set_a"], rows["set_b"]):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 all_ = np.concatenate([x, y])
                 all_.sort()
@@ -143,7 +145,7 @@ def _fits(a: str, b: str, threshold: int):
 
 def links(units: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, shared, together) between different texts that hold every component together, and doc_id, component."""
-    placed = units.filter("prefixes IS NOT NULL").select("doc_id", "n", "single", F.posexplode(F.col("prefixes")[0]).alias("place", "token"))
+    placed = units.filter("tokens IS NOT NULL").select("doc_id", "n", "single", F.posexplode("prefix_0").alias("place", "token"))
     prefix = saved(placed.select("doc_id", "n", "token", (F.col("n") - F.col("single") - F.col("place")).alias("reach")))
     ends = prefix.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("lo"), F.max(F.struct("doc_id", "n")).alias("hi")).filter("lo.doc_id <> hi.doc_id")
     tied = prefix.join(ends, "token").select("doc_id", "n", F.explode(F.array("lo", "hi")).alias("end")).filter("doc_id <> end.doc_id")
@@ -178,7 +180,8 @@ def similar_documents(documents: DataFrame, *, size: int = SHINGLE_WORDS, thresh
     firsts = first_copies(docs)
     units = token_sets(docs, firsts, size, threshold)
     _, component = links(units, threshold)
-    known = units.select(F.col("doc_id").alias("first_id"), F.col("n").alias("n_shingles")).join(component.withColumnRenamed("doc_id", "first_id"), "first_id", "left")
+    # Written before the join with all documents, so that a text with very many copies is a skewed key that Spark can split.
+    known = saved(units.select(F.col("doc_id").alias("first_id"), F.col("n").alias("n_shingles")).join(component.withColumnRenamed("doc_id", "first_id"), "first_id", "left"))
     rows = firsts.select("doc_id", "first_id").join(known, "first_id")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first_id"))
     return rows.select("doc_id", "n_shingles", alone.alias("component_id"), "first_id")
@@ -187,5 +190,5 @@ def similar_documents(documents: DataFrame, *, size: int = SHINGLE_WORDS, thresh
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """The documents, as they are, without those that reach a smaller doc_id by links. Rows without a doc_id stay."""
     classes = similar_documents(documents, **options)
-    gone = saved(classes.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")))
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = saved(classes.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")))
+    return documents.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")

@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidelane.llm.common import MULTIPLIER, U64, _rng, mixed, numbered, part_of, powers, text_chunks
-from tidelane.llm.copies import first_copies, keyed
-from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, text_bytes, unpacked_rows
+from tidelane.llm.copies import chosen, first_copies, first_texts, keyed
+from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, text_bytes
 from tidelane.llm.exchange import SENT_DDL, answered, cut, looked_up, received, sent
 
 LENGTH, ANCHOR = 50, 32
@@ -270,18 +270,6 @@ def _unplaned(payload: bytes, at: int, n: int, width: int) -> tuple[np.ndarray,
     return out.view("<u8").ravel().astype(np.int64), at + n * width
 
 
-def _chosen(packed: list[bytes], firsts: pa.Table) -> Iterator[tuple[pa.RecordBatch, list[int], list[bool]]]:
-    """A part's rows, a batch at a time: one of each document, by the batch's order, and whether it is the first copy of its text."""
-    known = dict(zip(zip(firsts["doc_id"].to_pylist(), firsts["h"].to_pylist()), firsts["first_id"].to_pylist()))
-    for rows in map(unpacked_rows, packed):
-        at, first = [], []
-        for k, key in enumerate(zip(rows["doc_id"].to_pylist(), rows["h"].to_pylist())):
-            id_ = known.pop(key, None)
-            if id_ is not None:
-                at.append(k), first.append(id_ == key[0])
-        yield rows, at, first
-
-
 _RIGHT = ("part", "payload", "doc_id", "h", "first_id")
 
 
@@ -338,9 +326,8 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
 
     def chunks(table: pa.Table, firsts: pa.Table) -> Iterator[tuple]:
         """Of some first copies at a time: each anchor's doc_id, its place in the text, and anchors()."""
-        for rows, at, first in _chosen(table["packed"].to_pylist(), firsts):
-            own = pa.array([k for k, f in zip(at, first) if f], pa.int64())
-            ids, texts = rows["doc_id"].take(own).to_numpy(), rows["text"].take(own)
+        for own, texts in first_texts(table["packed"].to_pylist(), firsts):
+            ids = own.to_numpy()
             for row, data, bounds in text_chunks(texts, SOUGHT_BYTES):
                 found = anchors(data, bounds)
                 k = np.searchsorted(bounds, found[0], "right") - 1
@@ -426,7 +413,7 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
         marks = np.concatenate([np.zeros(0, MARKS), *(np.frombuffer(x, MARKS) for x in answers["payload"].to_pylist() if x is not None)])
         marks = marks[np.argsort(marks["doc_id"], kind="stable")]
         done = []
-        for batch, at, first in _chosen(table["packed"].to_pylist(), rows):
+        for batch, at, first in chosen(table["packed"].to_pylist(), rows):
             chosen = batch.take(pa.array(at, pa.int64()))
             ids = chosen["doc_id"].to_numpy()
             lo, hi = np.searchsorted(marks["doc_id"], ids, "left"), np.searchsorted(marks["doc_id"], ids, "right")
