@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parts(spark: SparkSession, per_partition: int = 4) -> int:
-    """Groups to deal rows into: a few for each shuffle partition, so that they balance."""
-    return max(8, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, after as many underscores as make it differ, in any case, from all that are taken."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
 
 
 def part_of(n: int, *cols: str) -> Column:

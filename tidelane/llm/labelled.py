@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import crc_mod
+from tidelane.operators.materialise import saved
 
 #: Labelled rows used for a fit, at most: those with the least hash of their id.
 SAMPLE_ROWS = 20_000
@@ -17,10 +18,11 @@ def held_out(column: str = "doc_id"):
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, text, label of at most `rows` labelled documents outside the held-out fold.
+    """doc_id, text, label of at most `rows` labelled documents outside the held-out fold, one row for each. Saved.
 
-    Labels other than 0 and 1, and null ids, are ignored; if an id has several labels the largest counts.
-    The broadcast side has `rows` rows at most, whatever the size of the tables.
+    Labels other than 0 and 1, and null ids, are ignored; if an id has several labels the largest counts,
+    and if it has several texts the one with the least hash does. The broadcast side has `rows` rows at most,
+    whatever the size of the tables.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -28,4 +30,5 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(F.broadcast(known), "doc_id")
+    one = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label")).alias("row"))
+    return saved(one.select("doc_id", "row.text", "row.label"))

@@ -27,9 +27,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from tidelane.llm.common import batch
+from tidelane.llm.common import batch, free_name
 from tidelane.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample
 
 #: Cyrillic and Greek letters that look like Latin ones.
@@ -39,7 +39,7 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 #: Contexts in which a listed word is harmless.
 EXCEPTIONS = ("clown fish", "circus clown", "trash can", "trash bin", "sore loser", "idiot proof", "worthless currency", "not stupid")
 PREFIXES = range(4, 9)
-MIN_DOCS, MIN_LOG_ODDS, MAX_ENTRIES, MAX_WEIGHT = 4, 2.0, 5000, 6.0
+MIN_DOCS, MIN_LOG_ODDS, MAX_WEIGHT = 4, 2.0, 6.0
 
 _table = {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(k.upper()): v for k, v in HOMOGLYPHS.items() if len(k.upper()) == 1}
 _letters = bytes(ord(SIGNS.get(chr(c).lower(), chr(c).lower())) if chr(c).isalpha() or chr(c) in SIGNS else 32 for c in range(128)) + b" " * 128
@@ -61,9 +61,8 @@ def entries_of(text: str | None) -> set[str]:
     """What the lexicon may hold of a text: ' word ' and ' beginning'."""
     found: set[str] = set()
     for word in set(folded(text).split()):
-        if len(word) <= 40:
-            found.add(f" {word} ")
-            found.update(f" {word[:n]}" for n in PREFIXES if n <= len(word))
+        found.add(f" {word} ")
+        found.update(f" {word[:n]}" for n in PREFIXES if n <= len(word))
     return found
 
 
@@ -116,7 +115,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Entry to weight. The result has MAX_ENTRIES entries at most: a parameter of the model's size."""
+    """Entry to weight: every entry that MIN_DOCS toxic documents of the sample have and whose log odds reach MIN_LOG_ODDS."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("entry", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
@@ -133,7 +132,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n[0] + 1.0))
     summed = sample.mapInArrow(counts, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rows = summed.filter(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "entry").limit(MAX_ENTRIES).collect()
+    rows = summed.filter(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS).collect()  # of a bounded sample
     kept: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["entry"]), r["entry"])):  # a longer entry stays only if it says more
         shorter = [kept[r["entry"][:k]] for k in range(2, len(r["entry"])) if r["entry"][:k] in kept]
@@ -155,8 +154,9 @@ def weighing(weights: Broadcast, exceptions: tuple[str, ...], schema: pa.Schema)
     return weigh
 
 
-_FOUND = [("_weight", pa.float64()), ("_matches", pa.int64()), ("_words", pa.int64())]
-_FOUND_DDL = "_weight double, _matches long, _words long"
+def found_fields(taken: list[str]) -> StructType:
+    """weight, matches and words, under names that no column has."""
+    return StructType([StructField(free_name(name, taken), t) for name, t in (("weight", DoubleType()), ("matches", LongType()), ("words", LongType()))])
 
 
 @dataclass
@@ -172,37 +172,41 @@ class ToxicityModel:
         sample = labelled_sample(documents, labels, "toxic", sample_rows)
         weights = learn_lexicon(sample)
         shared = documents.sparkSession.sparkContext.broadcast(weights)
-        weigh = weighing(shared, exceptions, pa.schema([("label", pa.int32()), *_FOUND]))
-        fitted = sample.select("label", "text").mapInArrow(weigh, f"label int, {_FOUND_DDL}").collect()  # sample_rows rows at most
+        schema = StructType([StructField("label", IntegerType()), *found_fields([])])
+        fitted = sample.select("label", "text").mapInArrow(weighing(shared, exceptions, to_arrow_schema(schema)), schema).collect()  # sample_rows rows at most
         y = np.array([r["label"] for r in fitted], dtype=float)
         if weights:
-            return cls(weights, tuple(logistic_fit(np.array([features(r["_weight"], r["_words"]) for r in fitted]), y).tolist()), exceptions)
+            return cls(weights, tuple(logistic_fit(np.array([features(r["weight"], r["words"]) for r in fitted]), y).tolist()), exceptions)
         rate = y.mean() if len(y) else 0.0
         return cls({}, (math.log(max(rate, 1e-9) / max(1 - rate, 1e-9)), 0.0, 0.0), exceptions)
 
-    def score(self) -> Column:
-        per_words = 100.0 * F.col("_weight") / F.greatest("_words", F.lit(20))
+    def score(self, weight: str, words: str) -> Column:
+        """The score of weighed() rows by the names of two of their columns."""
+        per_words = 100.0 * F.col(weight) / F.greatest(words, F.lit(20))
         a, b, c = map(F.lit, self.curve)
-        z = a + b * F.log1p("_weight") + c * F.log1p(per_words)
+        z = a + b * F.log1p(weight) + c * F.log1p(per_words)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))
 
-    def weighed(self, rows: DataFrame, keep_text: bool) -> DataFrame:
-        """The rows, which have a string column text, with _weight, _matches and _words."""
-        schema = [f for f in rows.schema.fields if keep_text or f.name != "text"]
-        arrow = pa.schema([*to_arrow_schema(StructType(schema)), *(pa.field(*f) for f in _FOUND)])
+    def weighed(self, rows: DataFrame, keep_text: bool) -> tuple[DataFrame, list[str]]:
+        """The rows, which have a string column text, with three more columns, and the names of those: weight, matches, words."""
+        own = [f for f in rows.schema.fields if keep_text or f.name != "text"]
+        found = found_fields(rows.columns)
         shared = rows.sparkSession.sparkContext.broadcast(self.weights)
-        return rows.mapInArrow(weighing(shared, self.exceptions, arrow), StructType([*(StructField(f.name, f.dataType) for f in schema), *StructType.fromDDL(_FOUND_DDL).fields]))
+        schema = StructType([*own, *found])
+        return rows.mapInArrow(weighing(shared, self.exceptions, to_arrow_schema(schema)), schema), found.names
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = EXCEPTIONS, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted, weight, n_matches, n_words of every document."""
     model = ToxicityModel.learned(documents, labels, exceptions, sample_rows)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = model.weighed(docs, False).withColumn("score", model.score())
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("_weight").alias("weight"), F.col("_matches").alias("n_matches"), F.col("_words").alias("n_words"))
+    rows, (weight, matches, words) = model.weighed(docs, False)
+    scored = rows.withColumn("score", model.score(weight, words))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col(weight).alias("weight"), F.col(matches).alias("n_matches"), F.col(words).alias("n_words"))
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
     """The documents, as they are, that score below the threshold; text must be a string column."""
     model = ToxicityModel.learned(documents, labels, **options)
-    return model.weighed(documents, True).filter(model.score() < threshold).select(*documents.columns)
+    rows, (weight, _, words) = model.weighed(documents, True)
+    return rows.filter(model.score(weight, words) < threshold).drop(*rows.columns[-3:])
