@@ -17,7 +17,7 @@ def corpus(n=150, seed=9):
     vocabulary = ["The", "quick", "tide", "turns", "é", "slowly.", *(f"w{k}" for k in range(60))]
     passages = [" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(5)]
     rows = [(i, " ".join(rng.choice([rng.choice(vocabulary), rng.choice(passages)]) for _ in range(rng.randint(1, 30)))) for i in range(n)]
-    rows += [(1000 + i, rng.choice(["one tall ship sails", "two tall ship sinks"])) for i in range(60)]  # three words tell what follows
+    rows += [(1000 + i, rng.choice(["one tall ship sails", "two tall ship sinks"])) for i in range(60)]
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "tide " * 3000), (5, rows[5][1]), (n + 4, "nul\0 word \0"), (None, "tide turns")]
 
 
@@ -67,7 +67,7 @@ def test_scores_match_a_tree_built_by_hand(spark, heavy):
 
     got = sorted(map(tuple, scored(docs, heavy=heavy, part_bytes=4000).collect()), key=key)
     want, kept = by_hand(rows)
-    assert len(got) == len(want) and {len(c) for c, k in kept.items() if k} == {1, 2, 3} and not all(kept.values())
+    assert len(got) == len(want) and {len(c) for c, k in kept.items() if k} == {1, 2} and not all(kept.values())
     for g, w in zip(got, sorted(want, key=key)):
         assert g[:5] == w[:5]
         assert g[5] == pytest.approx(w[5], abs=1e-6) and g[6] == pytest.approx(w[6], abs=1e-4, rel=1e-6), g[0]

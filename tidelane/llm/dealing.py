@@ -46,7 +46,7 @@ def dealt(rows: DataFrame, part: Column) -> DataFrame:
         first, payloads = 0, []
         for _, n in counts:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, arrow, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, arrow, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as out:
                 out.write_table(rows_.slice(first, n).combine_chunks().cast(arrow))
             payloads.append(sink.getvalue().to_pybytes())
             first += n

@@ -22,7 +22,7 @@ buckets by the next word, so that no bucket has all of it.
 
 Capacity: a part has about 8 MB of text, a bucket the messages about twice as much, and of one
 context HEAVY words at most. Words are known by 64-bit hashes, contexts by 48 bits of theirs, and
-the next words after one context by 32.
+the next words after one by NEXT_BITS more than their number needs, 32 at most.
 
 Defined results: null and empty texts are the end alone; rows with a null id are scored and
 learned from; repeated rows count each; without training rows all scores are 0; an empty table
@@ -42,9 +42,10 @@ from pyspark.sql import functions as F
 
 from tidelane.llm.common import MULTIPLIER, U64, arrow_table, batch, crc_mod, distinct, hashed_words, mixed, numbered, text_chunks
 from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, spread, text_bytes, unpacked_rows
+from tidelane.llm.exchange import SENT_DDL, answered, sent
 
 #: Words of the longest context; what a word seen again keeps of its count; nats that a context must add.
-DEPTH, DISCOUNT, MIN_GAIN = 3, 0.75, 4.0
+DEPTH, DISCOUNT, MIN_GAIN = 2, 0.75, 4.0
 #: Words after one context that one bucket may get.
 HEAVY = 2_000_000
 #: The end as a word.
@@ -52,9 +53,11 @@ END_WORD = U64(0xE5D0E5D0E5D0E5D0)
 FOLD, HELD_OUT = 7, 2
 #: Words that a task counts before it gives their counts away.
 COUNTED = 1_000_000
-#: Parent probabilities travel as a byte: steps of an eighth of a nat.
-STEPS = 8
+#: Parent probabilities travel as a byte: steps of a quarter of a nat.
+STEPS = 4
 CONTEXT_BITS = ~U64((1 << 16) - 1)
+#: Bits that tell the words after a context apart, besides those of their number: one pair in 2 ** NEXT_BITS may be mistaken.
+NEXT_BITS = 18
 MESSAGE = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 MESSAGE_DDL = "bucket int, part int, payload binary"
 ANSWER = pa.schema([("part", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -130,7 +133,7 @@ def added_up(questions: list[Question], level: int, heavy: int = HEAVY, discount
     """The answer to each question, in its order: for each context the words counted there that were seen again, their kinds and
     what they add to the log-likelihood; for each next word its count, 0 if it was seen once.
 
-    Contexts that are whole in their bucket and fail the divergence test have zeros. Of level 0 each word's count is the answer.
+    Contexts that are whole in their bucket are tested there: those that fail have zeros. Of level 0 each word's count is the answer.
     """
     contexts, which = np.unique(np.concatenate([q.context for q in questions]), return_inverse=True)
     ends = np.cumsum([0, *(len(q.context) for q in questions)])
@@ -152,8 +155,10 @@ def added_up(questions: list[Question], level: int, heavy: int = HEAVY, discount
     of = (ordered[first[again]] >> U64(32)).astype(np.int64)
     words, kinds = np.bincount(of, n[again], len(contexts)), np.bincount(of, minlength=len(contexts))
     added = np.bincount(of, n[again] * (np.log(n[again] - discount) + parent[again] / STEPS), len(contexts))
-    fails = (total <= heavy) & (gain(total, words, kinds, added, discount) < min_gain)
-    words[fails] = kinds[fails] = added[fails] = 0
+    whole = total <= heavy
+    fails = whole & (gain(total, words, kinds, added, discount) < min_gain)
+    words[fails] = kinds[fails] = 0
+    added[whole] = 0
     place = np.empty(len(key), np.int64)
     place[order] = np.cumsum(new) - 1
     at = 0
@@ -251,9 +256,11 @@ class Part:
         parent = np.clip(np.round(-STEPS * np.log(self.p[asked[one]])), 0, 255).astype(np.uint8)
         self.here, self.asked_at, self.pair, self.n_pairs = here, asked, pair, len(one)
         n = np.bincount(pair, self.learn[asked], len(one)).astype(np.int64)
-        return Question(contexts, self.count[self.own][self.owner], np.bincount(rank[one].astype(np.int64), minlength=len(contexts)), self.word[next_[repeats][one]] >> U64(32), n, parent)
+        total = self.count[self.own]
+        bits = np.minimum(NEXT_BITS + np.ceil(np.log2(np.maximum(total, 1) + 1.0)), 32).astype(U64)
+        return Question(contexts, total[self.owner], np.bincount(rank[one].astype(np.int64), minlength=len(contexts)), self.word[next_[repeats][one]] >> (U64(64) - bits[k[one]]), n, parent)
 
-    def take(self, answers: list[bytes]) -> None:
+    def take(self, answers: list[bytes], heavy: int = HEAVY) -> None:
         """The answers to the question at hand, by bucket: probabilities follow, and the next level."""
         words, kinds, added, n = (np.concatenate(x) for x in zip(*(answer_read(a) for a in answers))) if answers else [np.zeros(0, np.int64)] * 4
         if self.level == 0:
@@ -266,7 +273,7 @@ class Part:
             words, kinds = (np.bincount(self.owner, x, len(self.own)) for x in (words, kinds))
             added = np.bincount(self.owner, added, len(self.own))
             total = self.count[self.own]
-            kept = gain(total, words, kinds, added) >= MIN_GAIN
+            kept = np.where(total <= heavy, kinds > 0, gain(total, words, kinds, added) >= MIN_GAIN)
             rest = total - words + DISCOUNT * kinds
             run_count = np.zeros(len(self.at), np.int64)
             run_count[self.asked_at] = n[self.pair]
@@ -282,27 +289,33 @@ class Part:
         self.level += 1
 
 
-def vocabulary(docs: DataFrame) -> tuple[int, int]:
+def vocabulary(docs: DataFrame, buckets: int) -> tuple[int, int]:
     """Words of the training rows, ends included, and how many are distinct."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
         held: list[np.ndarray] = []
 
-        def counts() -> pa.RecordBatch:
+        def counts() -> list[pa.RecordBatch]:
             word, n = np.unique(np.concatenate([np.zeros(0, U64), *held]), return_counts=True)
             held.clear()
-            return batch(schema, word=word.view(np.int64), n=n)
+            return sent(0, word, n, buckets, 64).to_batches()
 
         for b in batches:
             for _, data, bounds in text_chunks(b["text"]):
                 held.append(with_ends(*hashed_words(data, bounds)))
                 if sum(map(len, held)) > COUNTED:
-                    yield counts()
-        yield counts()
+                    yield from counts()
+        yield from counts()
 
-    words = docs.filter(~F.col("held_out")).select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return tuple(words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("kinds", pa.int64()), ("total", pa.int64())])
+        for b in batches:
+            pairs = [struct.unpack("<qq", x) for x in b["payload"].to_pylist()]
+            yield batch(schema, kinds=[k for k, _ in pairs], total=[n for _, n in pairs])
+
+    words = docs.filter(~F.col("held_out")).select("text").mapInArrow(count, SENT_DDL)
+    totals = answered(words, 1 << 62, with_totals=True).mapInArrow(sums, "kinds long, total long")  # only the totals reach that count
+    return tuple(totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first())
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -314,7 +327,7 @@ def scored(documents: DataFrame, *, depth: int = DEPTH, heavy: int = HEAVY, part
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held)
     size = text_bytes(docs)
     buckets = n_parts(size, docs, 2 * part_bytes)
-    totals = vocabulary(docs)
+    totals = vocabulary(docs, buckets)
     parts = n_parts(size, docs, part_bytes)
     texts = dealt(docs, spread(parts, "doc_id", "text")).repartition(parts, "part")
 
@@ -325,7 +338,7 @@ def scored(documents: DataFrame, *, depth: int = DEPTH, heavy: int = HEAVY, part
             by.setdefault(level, []).append((bucket, payload))
         for level in sorted(by):
             part.question(heavy)
-            part.take([payload for _, payload in sorted(by[level])])
+            part.take([payload for _, payload in sorted(by[level])], heavy)
         return part
 
     def messages(key, table, answers=None):
