@@ -23,26 +23,27 @@ def test_masks_find_every_overlap_of_14_words_with_two_changed():
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    docs = [(0, mixed_in()), (1, mixed_in((4, 11))), (2, mixed_in(range(0, 16, 2))), (3, " ".join(ITEM[:6])), (4, None), (5, ""), (6, "tiny item Here"), (7, "word " * 40_000 + mixed_in((7,))), (8, mixed_in((15,)) + " " + mixed_in()), (None, mixed_in())]
-    bench = [(0, " ".join(ITEM).upper(), "x"), (1, None, "x"), (2, "", "x"), (3, "tiny ITEM here", "x"), (0, " ".join(ITEM), "x")]
+    docs = [(0, mixed_in()), (1, mixed_in((4, 11))), (2, mixed_in(range(0, 16, 2))), (3, " ".join(ITEM[:6])), (4, None), (5, ""), (6, "tiny item Here"), (9, "a tiny item here, in a longer text"), (10, "the"), (7, "word " * 40_000 + mixed_in((7,))), (8, mixed_in((15,)) + " " + mixed_in()), (None, mixed_in())]
+    docs += [(11, "before such an item of eight words, no more after"), (12, "such an item of")]
+    bench = [(0, " ".join(ITEM).upper(), "x"), (1, None, "x"), (2, "", "x"), (3, "tiny ITEM here", "x"), (0, " ".join(ITEM), "x"), (4, "the", "x"), (5, "such an item of eight words, no more", "x")]
     return spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, start int"), spark.createDataFrame(bench, "item_id long, text string, doc_id string")
 
 
 def test_substitutions_are_tolerated(tables):
     got = {(r.doc_id, r.item_id): r for r in overlaps(*tables).collect()}
-    assert set(got) == {(0, 0), (1, 0), (6, 3), (7, 0), (8, 0), (None, 0)}
+    assert set(got) == {(0, 0), (1, 0), (6, 3), (7, 0), (8, 0), (None, 0), (10, 4), (11, 5)}
     assert (got[1, 0].n_words, got[1, 0].n_matched, got[1, 0].start) == (17, 15, 30)
     assert got[7, 0].start == 40_030 and got[8, 0].n_matched == 17
 
 
 def test_blocks_of_items_give_the_same(tables):
-    assert sorted(map(str, overlaps(*tables, block_items=1).collect())) == sorted(map(str, overlaps(*tables).collect()))
+    assert sorted(map(str, overlaps(*tables, block_bytes=60).collect())) == sorted(map(str, overlaps(*tables).collect()))
 
 
 def test_clean_keeps_whole_rows(tables):
     docs, bench = tables
     kept = clean(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5, 9, 12]
     assert clean(docs.limit(0), bench).count() == 0 and clean(docs, bench.limit(0)).count() == docs.count()
 
 
@@ -64,3 +65,11 @@ def test_exact_runs_between_changed_stretches_are_found(spark):
     bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.n_words, r.n_matched) for r in overlaps(docs, bench).collect()] == [(1, 7, 32, 26)]
     assert [r.doc_id for r in clean(docs, bench).collect()] == [2]
+
+
+def test_many_items_with_one_passage_are_met_one_document_at_a_time(spark):
+    words = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(i, f"d{i} {words} e{i} " + " ".join([words] * 20)) for i in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"x{i} {words} y{i}") for i in range(40)], "item_id long, text string")
+    got = overlaps(docs, bench).collect()
+    assert len(got) == 30 * 40 and all((r.n_words, r.n_matched) == (12, 12) for r in got)

@@ -6,13 +6,16 @@ document; each hit fixes a diagonal, along which item and document are compared
 Of the runs of the diagonal that are long and alike enough, the one with the most agreeing words
 is reported, so substituted words are tolerated inside it.
 
-The benchmark is the stated query set: it is taken in blocks of bounded size, each of which
-goes over all rows. Whatever its size, a block's index is all that a task holds.
+The benchmark is the stated query set: it is taken in blocks of bounded size, one after the other,
+each of which goes over all rows. Whatever its size, the driver and every task hold one block.
 
-Defined results: null and empty texts, on either side, match nothing; items with fewer words
-than the shortest mask are compared as a whole by their own exact hash; repeated rows are
-reported each once per (doc_id, item_id); empty tables give no rows; null ids are kept as
-they are; extra columns are ignored.
+An item shorter than the shortest mask says too little to be looked for inside texts: it matches the
+documents that are that item and nothing else, word for word. Items of up to nine words have one seed
+of all their words beside the masks': one changed word may hide such an item.
+
+Defined results: null and empty texts, on either side, match nothing; repeated rows are reported
+once per (doc_id, item_id); empty tables give no rows; null ids are kept as they are; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import MULTIPLIER, U64, batch, hashed, mixed
+from tidelane.operators.materialise import saved
 
 #: Kept positions of each mask. Together they find every 14-word overlap with 2 words changed.
 MASKS = ("111111", "11011011", "110010111", "1010110011")
 #: Words that must agree, and their share of the run. Shorter items must agree in that share of all their words.
 MIN_WORDS, MIN_IDENTITY = 10, 0.8
-#: Characters of benchmark text in a block, and rows.
-BLOCK_ITEMS = 20_000
+#: Bytes of benchmark text in a block, about.
+BLOCK_BYTES = 8 << 20
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("n_matched", pa.int64()), ("item_start", pa.int64()), ("item_words", pa.int64())])
 
@@ -83,15 +87,18 @@ class SeedIndex:
     masks: tuple[str, ...] = MASKS
 
     def __post_init__(self):
-        own = {}  # an item shorter than a mask has a seed of its own: all its words
+        own: dict[int, list[int]] = {}  # an item shorter than a mask has a seed of its own: all its words
+        whole: dict[bytes, list[int]] = {}
         all_, who, where = [], [], []
         for k, words in enumerate(self.items):
             for mask in self.masks:
                 s = seeds(words, mask)
                 all_.append(s), who.append(np.full(len(s), k)), where.append(np.arange(len(s)))
-            if 0 < len(words) < max(map(len, self.masks)):
+            if min(map(len, self.masks)) <= len(words) < max(map(len, self.masks)):
                 own.setdefault(len(words), []).append(k)
-        self.short = own
+            elif 0 < len(words) < min(map(len, self.masks)):
+                whole.setdefault(words.tobytes(), []).append(k)
+        self.short, self.whole = own, whole
         for n, members in own.items():
             for k in members:
                 all_.append(seeds(self.items[k], "1" * n)), who.append(np.array([k])), where.append(np.array([0]))
@@ -101,10 +108,11 @@ class SeedIndex:
         self.low = np.zeros(1 << 20, dtype=bool)  # most windows end at this table
         self.low[self.seed & U64((1 << 20) - 1)] = True
 
-    def hits(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
-        """(document, item, diagonal) of every seed that a document and an item share; a diagonal is a place in `words`.
+    def hits(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Of each document with a seed that an item has, the distinct (item, diagonal); a diagonal is a place in `words`.
 
-        Document d is words[bounds[d] : bounds[d + 1]]. Windows that cross documents are dropped.
+        Document d is words[bounds[d] : bounds[d + 1]]. Windows that cross documents are dropped. Seeds
+        are told apart first; pairs are made for one document at a time.
         """
         found = []
         for mask in dict.fromkeys((*self.masks, *("1" * n for n in self.short))):
@@ -113,44 +121,58 @@ class SeedIndex:
             left, right = np.searchsorted(self.seed, s[at], "left"), np.searchsorted(self.seed, s[at], "right")
             docs = np.searchsorted(bounds, at, "right") - 1
             real = (left < right) & (at + len(mask) <= bounds[docs + 1])
-            at, docs, left, n = at[real], docs[real], left[real], (right - left)[real]
-            k = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            found.append(np.column_stack([np.repeat(docs, n), self.who[k], np.repeat(at, n) - self.where[k]]))
-        return list(map(tuple, np.unique(np.concatenate(found), axis=0).tolist())) if found else []
-
-    def overlaps(self, words: np.ndarray, bounds: np.ndarray, min_words: int, min_identity: float) -> list[tuple[int, int, int, int, int, int]]:
+            found.append(np.column_stack([docs[real], at[real], left[real], right[real]]))
+        seen = np.concatenate(found)
+        seen = seen[np.argsort(seen[:, 0], kind="stable")]
+        for own in np.split(seen, np.flatnonzero(np.diff(seen[:, 0])) + 1) if len(seen) else ():
+            met: list[np.ndarray] = []
+            for _, at, left, right in own.tolist():
+                met.append((self.who[left:right] << 40) + (at - self.where[left:right]) + (1 << 39))
+                if sum(map(len, met)) > 1_000_000:
+                    met = [np.unique(np.concatenate(met))]
+            pairs = np.unique(np.concatenate(met))
+            yield int(own[0, 0]), np.column_stack([pairs >> 40, (pairs & (1 << 40) - 1) - (1 << 39)])
+
+    def overlaps(self, words: np.ndarray, bounds: np.ndarray, min_words: int, min_identity: float) -> Iterator[tuple[int, int, int, int, int, int]]:
         """Document, item, start, length and agreeing words of the best run, and its start in the item, where they overlap enough."""
-        best: dict[tuple[int, int], tuple[tuple[int, int], int, int, int, int]] = {}
-        for doc, k, diagonal in self.hits(words, bounds):
-            item = self.items[k]
-            a, b = max(int(bounds[doc]), diagonal), min(int(bounds[doc + 1]), diagonal + len(item))
-            same = words[a:b] == item[a - diagonal : b - diagonal]
-            start, end, matched = best_run(same, min_identity)
-            least = min(min_words, int(np.ceil(min_identity * len(item))))
-            score = (matched, start - end)
-            if matched >= least and score > best.get((doc, k), ((0, 0),))[0]:
-                best[doc, k] = (score, a + start - int(bounds[doc]), end - start, matched, a + start - diagonal)
-        return [(*key, *v[1:]) for key, v in best.items()]
-
-
-def _blocks(benchmark: DataFrame, masks: tuple[str, ...], block_items: int) -> Iterator[Broadcast]:
-    """The items' ids and words, a block at a time."""
+        for doc, pairs in self.hits(words, bounds):
+            best: dict[int, tuple[tuple[int, int], int, int, int, int]] = {}
+            for k, diagonal in pairs.tolist():
+                item = self.items[k]
+                a, b = max(int(bounds[doc]), diagonal), min(int(bounds[doc + 1]), diagonal + len(item))
+                same = words[a:b] == item[a - diagonal : b - diagonal]
+                start, end, matched = best_run(same, min_identity)
+                least = min(min_words, int(np.ceil(min_identity * len(item))))
+                score = (matched, start - end)
+                if matched >= least and score > best.get(k, ((0, 0),))[0]:
+                    best[k] = (score, a + start - int(bounds[doc]), end - start, matched, a + start - diagonal)
+            yield from ((doc, k, *v[1:]) for k, v in best.items())
+        for doc in np.flatnonzero(np.diff(bounds) < min(map(len, self.masks))).tolist() if self.whole else ():
+            own = words[bounds[doc] : bounds[doc + 1]]
+            yield from ((doc, k, 0, len(own), len(own), 0) for k in self.whole.get(own.tobytes(), ()))
+
+
+def _blocks(benchmark: DataFrame, masks: tuple[str, ...], block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The items' ids and words, a block at a time, and whether more follow."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") > 0)
-    n_blocks = max(1, -(-items.count() // block_items))
+    n_blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     for k in range(n_blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
         words = [h[a:b] for _, h, at in hashed(pa.array([r["text"] for r in rows], pa.string())) for a, b in zip(at, at[1:])]
-        yield benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], words, masks))
+        shared = benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], words, masks))
+        yield shared, k + 1 < n_blocks
+        if k + 1 < n_blocks:
+            shared.destroy()
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def overlaps(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The overlaps of documents with benchmark items: doc_id, item_id, start, n_words, n_matched, item_start, item_words.
 
     Places and lengths count words. One row for each document and item, with the best run.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for shared in _blocks(benchmark, masks, block_items):
+    for shared, more in _blocks(benchmark, masks, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = SeedIndex(*shared.value)
@@ -163,13 +185,17 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ..
                 yield batch(FOUND, **out)
 
         block = docs.mapInArrow(scan, "doc_id long, item_id long, start long, n_words long, n_matched long, item_start long, item_words long")
+        block = saved(block) if more else block
         found = block if found is None else found.unionByName(block)
     return found.dropDuplicates(["doc_id", "item_id"])
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The documents, as they are, that overlap with no item; text must be a string column. Nothing is shuffled."""
-    for shared in _blocks(benchmark, masks, block_items):
+def clean(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, as they are, that overlap with no item; text must be a string column. Nothing is shuffled.
+
+    A document that is one short item and nothing else goes, too.
+    """
+    for shared, more in _blocks(benchmark, masks, block_bytes):
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = SeedIndex(*shared.value)
@@ -181,4 +207,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...]
                 yield b.filter(pa.array(sound))
 
         documents = documents.mapInArrow(keep, documents.schema)
+        documents = saved(documents) if more else documents
     return documents
