@@ -5,7 +5,7 @@ import pytest
 
 from tidelane.llm.chat_format import ENDING, FAR, FOOTER, HEADER, NEXT, ROLES, START, STEPS, block_matrix, edges, format_conversations, repair
 from tidelane.llm.license_scan import TEMPLATES, scan, winnowed
-from tidelane.llm.top_k import Blocks, top_k
+from tidelane.llm.top_k import Best, Blocks, products, top_k
 
 
 def cheapest(roles):
@@ -106,10 +106,34 @@ def test_top_k_matches_brute_force(spark):
     assert top_k(table.limit(0), table).count() == 0 and top_k(table, table.limit(0)).count() == 0
 
 
+def test_scores_beyond_doubles_are_exact_and_overflow_is_an_error(spark):
+    rng = np.random.default_rng(4)
+    x = [[float(v) for v in rng.integers(-(1 << 20), 1 << 20, 6)] for _ in range(120)]
+    table = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    whole = [[int(1024 * v) for v in row] for row in x]
+    got = {}
+    for r in top_k(table, table.filter("vec_id % 100 = 0"), 5, group_queries=1).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 100):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v)), k) for k, v in enumerate(whole) if k != q)[:5]
+        assert max(-s for s, _ in want) > 1 << 53
+        assert sorted(got[q]) == [(i + 1, k, -s) for i, (s, k) in enumerate(want)]
+    big = np.full((1, 2), 1 << 31)
+    assert products(np.array([[1 << 31, -(1 << 31) + 1]]), big[0]).tolist() == [1 << 31]
+    with pytest.raises(OverflowError):
+        products(big << 1, big[0])
+
+
 def test_blocks_are_pruned_where_rows_are_alike():
+    """Of rows in clusters a twentieth of the blocks or so is scored; the scores of all rows give the same."""
     rng = np.random.default_rng(3)
-    x = np.floor(np.repeat(rng.normal(0, 1000, (20, 16)), 64, axis=0) + rng.normal(0, 5, (1280, 16)))
-    blocks = Blocks(np.arange(1280), x)
-    bounds = np.maximum(x[0], 0) @ blocks.top.T + np.minimum(x[0], 0) @ blocks.low.T
-    kth = np.sort(x @ x[0])[-11]
-    assert (bounds >= kth).sum() <= 3
+    x = np.floor(np.repeat(rng.normal(0, 1000, (40, 16)), 64, axis=0) + rng.normal(0, 5, (2560, 16))).astype(np.int64)
+    ids, queries = np.arange(2560), np.arange(0, 2560, 100)
+    blocks, best = Blocks(ids, x), Best(queries, 10)
+    blocks.improve(best, 0, x[queries])
+    share = blocks.scored / (len(queries) * len(blocks.at))
+    print("blocks scored", share)
+    assert share < 0.1
+    for i, q in enumerate(queries.tolist()):
+        want = sorted((-int(x[q] @ x[k]), k) for k in range(2560) if k != q)[:10]
+        assert list(zip((-best.scores[i]).tolist(), best.ids[i].tolist())) == want

@@ -1,18 +1,24 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-A vector's dimensions are terms. Rows are laid out in blocks; a block keeps the rows' values as
-its forward index, and for each term the largest and the least value in it. A query's bound for a
-block sums, over its terms, the query's value times the extreme that suits its sign. Each task
-takes a query's blocks in order of their bounds and scores whole blocks through the forward index
-until the next bound falls below the kth score so far; ties at the bound are still scored.
+A vector's dimensions are terms. Rows are laid out in ranges by a coarse key of their largest terms,
+so that neighbours are alike, and each range in blocks; a block keeps the rows' values as its forward
+index, and for each term the largest and the least value in it. A query's bound for a block sums,
+over its terms, the query's value times the extreme that suits its sign. A task takes a query's
+blocks in order of their bounds and scores whole blocks through the forward index until the next
+bound falls below the kth score so far; ties at the bound are still scored. The kth scores stand
+from one batch of rows to the next, and a task gives each query's k best once, at its end.
 
-Queries go over all rows in groups of bounded size, so what is broadcast does not grow. Each task
-gives its own k best per query, and a window picks the k best of those.
+Queries go over all rows in groups of bounded size, one after the other, so that the driver and a
+task hold one group; a window picks the k best of the tasks' results.
+
+Scores are exact 64-bit integers. Values and their products are summed in doubles only where the
+sums stay below 2**53; larger ones are split into halves and added up as integers. A score outside
+the 64-bit range is an error, not a wrong number.
 
 Defined results: vectors that are null, or hold null or non-finite components, and rows without a
 vec_id, take no part; shorter vectors count as padded with zeros; a candidate with the query's own
 vec_id is the query itself; repeated rows of a query count as one query, repeated candidates each
-count; equal scores go to the smaller vec_id; empty tables give no rows.
+count; equal scores go to the smaller vec_id; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ SCALE = 1024
 BLOCK_ROWS = 64
 #: Queries in a group, at most: about 10 MB of 64 dimensions.
 GROUP_QUERIES = 20_000
+#: Of a vector's terms, the largest that say which range it is in.
+RANGE_TERMS = 2
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -42,25 +50,44 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
-    """Rows of a list column, padded with zeros. A double holds these integers and their sums exactly."""
+    """Rows of a list column, padded with zeros."""
     sizes = np.diff(lists.offsets.to_numpy())
     values = lists.flatten().to_numpy(zero_copy_only=False)
     width = int(sizes.max(initial=0)) if width is None else max(width, int(sizes.max(initial=0)))
-    out = np.zeros((len(sizes), width))
+    out = np.zeros((len(sizes), width), np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
     return out
 
 
+def small(*arrays: np.ndarray) -> bool:
+    """Whether doubles hold all sums of products of the arrays' rows exactly."""
+    most = [max(-int(x.min(initial=0)), int(x.max(initial=0))) for x in arrays]
+    return most[0] * most[1] * max(x.shape[-1] for x in arrays) < 1 << 53
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x with q, as exact integers."""
+    if small(x, q[None]):
+        return (x.astype(float) @ q.astype(float)).astype(np.int64)
+    most = sum(abs(a) * b for a, b in zip(q.tolist(), [max(-lo, hi) for lo, hi in zip(x.min(0).tolist(), x.max(0).tolist())]))
+    if most >= 1 << 63:
+        big = x.astype(object) @ q.astype(object)
+        if any(not -(1 << 63) <= v < 1 << 63 for v in big):
+            raise OverflowError("an inner product is outside the 64-bit range")
+        return big.astype(np.int64)
+    return x @ q
+
+
 class Blocks:
-    """A task's rows in blocks of neighbours, so that a block's extremes lie close."""
+    """A batch's rows in blocks of neighbours, so that a block's extremes lie close."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, rows: int = BLOCK_ROWS):
         order = self.layout(x, rows)
         self.ids, self.x = ids[order], x[order]
         self.at = np.arange(0, len(ids), rows)
-        self.top, self.low = np.maximum.reduceat(self.x, self.at, axis=0), np.minimum.reduceat(self.x, self.at, axis=0)
-        self.rows = rows
+        self.top, self.low = np.maximum.reduceat(self.x, self.at, axis=0).astype(float), np.minimum.reduceat(self.x, self.at, axis=0).astype(float)
+        self.rows, self.scored = rows, 0
 
     @staticmethod
     def layout(x: np.ndarray, rows: int) -> np.ndarray:
@@ -77,52 +104,91 @@ class Blocks:
             runs += [k[by[half:]], k[by[:half]]]
         return np.concatenate(done)
 
-    def best(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its k best rows here: query id, vec_ids, scores."""
-        for first in range(0, len(q), 512):
-            some = q[first : first + 512]
-            bounds = np.maximum(some, 0) @ self.top.T + np.minimum(some, 0) @ self.low.T
-            for i, by in enumerate(np.argsort(-bounds, axis=1, kind="stable")):
-                own, ids, scores, kth = query_ids[first + i], np.zeros(0, np.int64), np.zeros(0), -np.inf
-                for b in by.tolist():
-                    if bounds[i, b] < kth:
-                        break
-                    at = slice(self.at[b], self.at[b] + self.rows)
-                    score = self.x[at] @ some[i]
-                    take = (score >= kth) & (self.ids[at] != own)
-                    if take.any():
-                        ids, scores = np.concatenate([ids, self.ids[at][take]]), np.concatenate([scores, score[take]])
-                        if len(ids) > k:
-                            top = np.lexsort((ids, -scores))[:k]
-                            ids, scores = ids[top], scores[top]
-                        if len(ids) == k:
-                            kth = scores.min()
-                yield own, ids, scores
+    def improve(self, best: Best, first: int, q: np.ndarray) -> None:
+        """Better rows for the queries `first` and on, whose vectors are q."""
+        wide = q.astype(float)
+        bounds = np.maximum(wide, 0) @ self.top.T + np.minimum(wide, 0) @ self.low.T
+        if not small(self.x, q):  # above what rounding may have taken off
+            bounds += np.abs(bounds) * 2.0**-40 + 1
+        for i, by in enumerate(np.argsort(-bounds, axis=1, kind="stable")):
+            for b in by.tolist():
+                if best.full(first + i) and bounds[i, b] < best.kth(first + i):
+                    break
+                at = slice(self.at[b], self.at[b] + self.rows)
+                self.scored += 1
+                best.take(first + i, self.ids[at], products(self.x[at], q[i]))
+
+
+class Best:
+    """The k best rows so far of every query."""
+
+    def __init__(self, own: np.ndarray, k: int):
+        self.own, self.k = own, k
+        self.ids, self.scores = np.zeros((len(own), k), np.int64), np.zeros((len(own), k), np.int64)
+        self.n = np.zeros(len(own), np.int64)
+
+    def full(self, i: int) -> bool:
+        return self.n[i] == self.k
+
+    def kth(self, i: int) -> int:
+        return int(self.scores[i, self.k - 1])
+
+    def take(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        other = ids != self.own[i]
+        if self.full(i):
+            other &= scores >= self.scores[i, self.k - 1]
+        if not other.any():
+            return
+        n = self.n[i]
+        ids, scores = np.concatenate([self.ids[i, :n], ids[other]]), np.concatenate([self.scores[i, :n], scores[other]])
+        top = np.lexsort((ids, ~scores))[: self.k]  # ~ turns the order without overflow
+        self.n[i] = len(top)
+        self.ids[i, : len(top)], self.scores[i, : len(top)] = ids[top], scores[top]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for first in range(0, len(self.own), 10_000):
+            n = self.n[first : first + 10_000]
+            there = np.arange(self.k) < n[:, None]
+            yield batch(FOUND, query_id=np.repeat(self.own[first : first + 10_000], n), vec_id=self.ids[first : first + 10_000][there], score=self.scores[first : first + 10_000][there])
+
+
+def laid_out(rows: DataFrame, terms: int = RANGE_TERMS) -> DataFrame:
+    """The rows in ranges by their largest terms, in order of their sizes and with their signs: rows of a range are alike."""
+    sized = F.sort_array(F.transform("x", lambda v, i: F.struct((-F.abs(v)).alias("size"), F.when(v < 0, -i - 1).otherwise(i).alias("term"))))
+    key = F.transform(F.slice(sized, 1, terms), lambda s: s["term"])
+    return rows.withColumn("range", key).repartitionByRange("range", "vec_id").sortWithinPartitions("range").drop("range")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = SCALE, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows of vectors, its own row left out."""
     spark = vectors.sparkSession
-    rows = quantised(vectors, scale)
+    rows = laid_out(quantised(vectors, scale))
     asked = saved(quantised(queries, scale).groupBy("vec_id").agg(F.min("x").alias("x")))
     n_groups = max(1, -(-asked.count() // group_queries))
+    rows = saved(rows) if n_groups > 1 else rows
     found = None
     for g in range(n_groups):
         group = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)) == g).orderBy("vec_id").toArrow()  # a group at a time
-        shared = spark.sparkContext.broadcast((group["vec_id"].to_numpy(), matrix(group["x"].combine_chunks()) if group.num_rows else np.zeros((0, 0))))
+        shared = spark.sparkContext.broadcast((group["vec_id"].to_numpy(), matrix(group["x"].combine_chunks()) if group.num_rows else np.zeros((0, 0), np.int64)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_ids, q = shared.value
+            best = Best(query_ids, k)
             for b in batches:
                 if not b.num_rows or not len(query_ids):
                     continue
                 x = matrix(b["x"], q.shape[1])
-                wide = np.zeros((len(q), x.shape[1]))
+                wide = np.zeros((len(q), x.shape[1]), np.int64)
                 wide[:, : q.shape[1]] = q
-                best = list(Blocks(b["vec_id"].to_numpy(), x).best(query_ids, wide, k))
-                yield batch(FOUND, query_id=np.repeat([own for own, _, _ in best], [len(ids) for _, ids, _ in best]), vec_id=np.concatenate([ids for _, ids, _ in best]), score=np.concatenate([scores for *_, scores in best]).astype(np.int64))
+                blocks = Blocks(b["vec_id"].to_numpy(), x)
+                for first in range(0, len(wide), 512):
+                    blocks.improve(best, first, wide[first : first + 512])
+            yield from best.rows()
 
         part = rows.mapInArrow(scan, "query_id long, vec_id long, score long")
+        if n_groups > 1:
+            part = saved(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
