@@ -413,12 +413,12 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
         marks = np.concatenate([np.zeros(0, MARKS), *(np.frombuffer(x, MARKS) for x in answers["payload"].to_pylist() if x is not None)])
         marks = marks[np.argsort(marks["doc_id"], kind="stable")]
         done = []
-        for batch, at, first in chosen(table["packed"].to_pylist(), rows):
-            chosen = batch.take(pa.array(at, pa.int64()))
-            ids = chosen["doc_id"].to_numpy()
+        for found, at, first in chosen(table["packed"].to_pylist(), rows):
+            own = found.take(pa.array(at, pa.int64()))
+            ids = own["doc_id"].to_numpy()
             lo, hi = np.searchsorted(marks["doc_id"], ids, "left"), np.searchsorted(marks["doc_id"], ids, "right")
             out = {name: [] for name in fields.names}
-            for k, (doc_id, is_first, text) in enumerate(zip(ids.tolist(), first, chosen["text"].cast(pa.binary()))):
+            for k, (doc_id, is_first, text) in enumerate(zip(ids.tolist(), first, own["text"].cast(pa.binary()))):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 n = len(data)
                 begins = np.zeros(n + 1, dtype=np.int32)
@@ -431,7 +431,7 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
                 covered = (sums[:n] - np.concatenate([np.zeros(min(LENGTH, n), np.int32), sums[: max(n - LENGTH, 0)]])) > 0
                 for name, value in zip(fields.names, row_of(doc_id, data, covered)):
                     out[name].append(value)
-            done.append(pa.table([*(pa.array(out[f.name], f.type) for f in fields), *(chosen[name] for name in carry)], names=[*fields.names, *carry]))
+            done.append(pa.table([*(pa.array(out[f.name], f.type) for f in fields), *(own[name] for name in carry)], names=[*fields.names, *carry]))
         return pa.concat_tables(done)
 
     counts = answered(dealt_docs.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(send, SENT_DDL), 2)
