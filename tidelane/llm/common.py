@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,14 +120,19 @@ def numbered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Places by key, equal keys by place, and the number of different keys before each. Keys are below 2 ** bits."""
     n = len(key)
     wide = max(1, n.bit_length())
+    small = np.int32 if wide < 32 else np.int64
     if bits + wide <= 64:  # the place in the low bits: one plain sort, which is several times faster
-        both = np.sort(key << U64(wide) | np.arange(n, dtype=U64))
-        order, ordered = (both & U64((1 << wide) - 1)).astype(np.int64), both >> U64(wide)
+        ordered = key << U64(wide)
+        ordered |= np.arange(n, dtype=U64)
+        ordered.sort()
+        order = (ordered & U64((1 << wide) - 1)).astype(small)
+        ordered >>= U64(wide)
     else:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable").astype(small)
         ordered = key[order]
-    number = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if n else np.zeros(0, np.int64)
-    return order, number.astype(U64)
+    number = np.zeros(n, small)
+    np.cumsum(ordered[1:] != ordered[:-1], out=number[1:])
+    return order, number
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +143,34 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = hashes[order]
     if ((ordered[1:] != ordered[:-1]) & (number[1:] == number[:-1])).any():  # two that agree in their high bits
         return np.unique(hashes, return_inverse=True)
-    at = np.empty(n, np.int64)
+    at = np.empty_like(number)
     at[order] = number
     return ordered[np.concatenate([[True], number[1:] != number[:-1]])[:n]], at
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def given_back(f: Callable) -> Callable:
+    """f over a group, or two: memory that it freed goes back to the system before the worker waits for its next group."""
+
+    def grouped(key, table):
+        out = f(key, table)
+        _give_back()
+        return out
+
+    def cogrouped(key, table, other):
+        out = f(key, table, other)
+        _give_back()
+        return out
+
+    return cogrouped if f.__code__.co_argcount == 3 else grouped
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of `size` words; of the whole if there are fewer."""
     if len(words) == 0:

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidelane.llm.common import given_back
+
 CUT_BITS = 48
 SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 ANSWER = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
@@ -60,6 +62,7 @@ TOTALS = -1
 def merging(least: int, with_totals: bool = False) -> Callable:
     """For applyInArrow over a bucket: answers each part with the summed counts of its tokens, of those that reach `least`."""
 
+    @given_back
     def merge(key, table):
         parts = table["part"].to_pylist()
         got = [unpacked(x) for x in table["payload"].to_pylist()]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import U64, arrow_table, batch, hashed, mixed, part_of, shingles
+from tidelane.llm.common import U64, arrow_table, batch, given_back, hashed, mixed, part_of, shingles
 from tidelane.llm.copies import first_copies, first_texts, keyed
 from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, text_bytes
 from tidelane.llm.exchange import ANSWER_DDL, SENT_DDL, answered, cut, looked_up, received, sent
@@ -78,11 +78,13 @@ def token_sets(docs: DataFrame, firsts: DataFrame, size: int, threshold: int) ->
     dealt_docs = dealt(docs.select("doc_id", "h", "text"), part_of(parts, "doc_id")).repartition(parts, "part")
     wanted = firsts.filter("doc_id = first_id").select(part_of(parts, "doc_id").alias("part"), "doc_id", "h", "first_id")
 
+    @given_back
     def send(key, table, firsts):
         sets = [cut(s) for _, s in _sets(table, firsts, size)]
         tokens, counts = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_counts=True)
         return sent(key[0].as_py(), tokens, counts, n_buckets)
 
+    @given_back
     def use(key, table, answers):
         firsts = answers.filter(answers["payload"].is_null())
         df = received(answers["payload"].to_pylist())

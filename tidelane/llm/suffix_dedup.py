@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidelane.llm.common import MULTIPLIER, U64, _rng, mixed, numbered, part_of, powers, text_chunks
+from tidelane.llm.common import MULTIPLIER, U64, _rng, given_back, mixed, numbered, part_of, powers, text_chunks
 from tidelane.llm.copies import chosen, first_copies, first_texts, keyed
 from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, text_bytes
 from tidelane.llm.exchange import SENT_DDL, answered, cut, looked_up, received, sent
@@ -333,6 +333,7 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
                 k = np.searchsorted(bounds, found[0], "right") - 1
                 yield ids[row + k], bounds[k], data, *found
 
+    @given_back
     def send(key, table, firsts):
         h, doc = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for ids, _, _, _, hashes, _, _ in chunks(table, firsts):
@@ -343,6 +344,7 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
         tokens, counts = np.unique(np.concatenate(h), return_counts=True)
         return sent(key[0].as_py(), tokens, counts, n_buckets)
 
+    @given_back
     def offer(key, table, answers):
         """Fragments around shared anchors for the buckets; marks that are certain within the part for the part."""
         part = key[0].as_py()
@@ -384,6 +386,7 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
                 out["payload"].append(struct.pack("<I", len(k)) + _planes(slot[a:b] & 65535, 2) + _planes(size[k], 1) + _planes(doc[k], 8) + _planes(place[k], 4) + _taken(text, starts[k], size[k]).tobytes())
         return pa.Table.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["part"], pa.int32()), pa.array(out["payload"], pa.binary())], names=["bucket", "part", "payload"])
 
+    @given_back
     def mark(key, table):
         if key[0].as_py() < 0:
             return table.select(["part", "payload"])
@@ -408,6 +411,7 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
             out.append((int(part[k[0]]), marks.tobytes()))
         return pa.Table.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], names=["part", "payload"])
 
+    @given_back
     def remove(key, table, answers):
         rows = answers.filter(answers["payload"].is_null())
         marks = np.concatenate([np.zeros(0, MARKS), *(np.frombuffer(x, MARKS) for x in answers["payload"].to_pylist() if x is not None)])

@@ -20,7 +20,7 @@ what the divergence test needs. A run can repeat only if the shorter runs in it
 runs only those are asked for. A context with more than HEAVY words after it is dealt over several
 buckets by the next word, so that no bucket has all of it.
 
-Capacity: a part has about 8 MB of text, a bucket the messages about twice as much, and of one
+Capacity: a part has about 6 MB of text, a bucket the messages about twice as much, and of one
 context HEAVY words at most. Words are known by 64-bit hashes, contexts by 48 bits of theirs, and
 the next words after one by NEXT_BITS more than their number needs, 32 at most.
 
@@ -40,14 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import MULTIPLIER, U64, arrow_table, batch, crc_mod, distinct, hashed_words, mixed, numbered, text_chunks
-from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, spread, text_bytes, unpacked_rows
+from tidelane.llm.common import MULTIPLIER, U64, arrow_table, batch, crc_mod, distinct, given_back, hashed_words, mixed, numbered, text_chunks
+from tidelane.llm.dealing import dealt, n_parts, spread, text_bytes, unpacked_rows
 from tidelane.llm.exchange import SENT_DDL, answered, sent
 
 #: Words of the longest context; what a word seen again keeps of its count; nats that a context must add.
 DEPTH, DISCOUNT, MIN_GAIN = 2, 0.75, 4.0
 #: Words after one context that one bucket may get.
 HEAVY = 2_000_000
+#: Bytes of text in a part: a worker takes some twenty times as much.
+TREE_PART_BYTES = 6 << 20
 #: The end as a word.
 END_WORD = U64(0xE5D0E5D0E5D0E5D0)
 FOLD, HELD_OUT = 7, 2
@@ -207,10 +209,10 @@ class Part:
                 h, at = hashed_words(data, bounds)
                 sizes = np.diff(at)
                 hashes.append(with_ends(h, at))
-                rows.append(n + first + np.repeat(np.arange(len(sizes)), sizes + 1))
+                rows.append(np.repeat(np.arange(n + first, n + first + len(sizes), dtype=np.int32), sizes + 1))
             n += rows_.num_rows
         self.n_rows, self.totals = n, totals
-        self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.row = np.concatenate([np.zeros(0, np.int32), *rows])
         held = np.concatenate([h.to_numpy(zero_copy_only=False) for h in self.held]) if self.held else np.zeros(0, bool)
         self.learn = ~held[self.row]
         self.word, self.at = distinct(np.concatenate([np.zeros(0, U64), *hashes]))
@@ -224,15 +226,15 @@ class Part:
         if self.level == 0:
             n = np.bincount(self.at, self.learn, len(self.word)).astype(np.int64)
             return Question(self.word, n, np.zeros(len(n), np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint8))
-        before = np.full(len(self.run), -1)
+        before = np.full_like(self.run, -1)
         before[1:] = self.run[:-1]
         before[np.concatenate([[True], self.row[1:] != self.row[:-1]])[: len(before)]] = -1
         before[before >= 0] = np.where(self.count[before[before >= 0]] >= 2, before[before >= 0], -1)
-        here = np.flatnonzero(before >= 0)
+        here = np.flatnonzero(before >= 0).astype(self.row.dtype)
         context, next_ = before[here], self.at[here]
         there = np.zeros(len(self.count), bool)
         there[context] = True
-        self.own, self.own_at = np.flatnonzero(there), (np.cumsum(there) - 1)[context]
+        self.own, self.own_at = np.flatnonzero(there), (np.cumsum(there, dtype=self.run.dtype) - 1)[context]
         # A heavy context is dealt by the next word into shares, each a context of its own. All of them are asked for, those
         # without a next word here, too: their sums belong to it.
         shares = -(-self.count[self.own] // heavy)
@@ -244,12 +246,16 @@ class Part:
         contexts, self.owner = hashes[by], owner[by]
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        repeats = np.flatnonzero(self.run_count[here] >= 2)
+        repeats = np.flatnonzero(self.run_count[here] >= 2).astype(self.row.dtype)
         k = self.own_at[repeats]
-        rank = rank[begin[k] + (self.word[next_[repeats]] % shares[k].astype(U64)).astype(np.int64)].astype(U64)
+        nth_share = (self.word[next_[repeats]] % shares[k].astype(U64)).astype(np.int64) if len(shares) and shares.max() > 1 else 0
+        rank = rank[begin[k] + nth_share].astype(U64)
         wide = len(self.word).bit_length()
-        order, number = numbered(rank << U64(wide) | next_[repeats].astype(U64), len(by).bit_length() + wide)
-        pair = np.empty(len(order), np.int64)
+        rank <<= U64(wide)
+        rank |= next_[repeats].astype(U64)
+        order, number = numbered(rank, len(by).bit_length() + wide)
+        rank >>= U64(wide)
+        pair = np.empty_like(number)
         pair[order] = number
         one = order[np.concatenate([[True], number[1:] != number[:-1]])[: len(order)]]
         asked = here[repeats]
@@ -283,7 +289,7 @@ class Part:
             self.p[self.here] = np.where(kept[k], deeper, self.p[self.here])
             hashes = np.zeros(self.n_pairs, U64)
             hashes[self.pair] = mixed(self.run_hash[self.run[self.asked_at - 1]] * MULTIPLIER + self.word[self.at[self.asked_at]])
-            run = np.full(len(self.at), -1)
+            run = np.full_like(self.run, -1)
             run[self.asked_at] = self.pair
             self.run, self.run_hash, self.count, self.run_count = run, hashes, n, run_count
         self.level += 1
@@ -321,7 +327,7 @@ def vocabulary(docs: DataFrame, buckets: int) -> tuple[int, int]:
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def scored(documents: DataFrame, *, depth: int = DEPTH, heavy: int = HEAVY, part_bytes: int = PART_BYTES) -> DataFrame:
+def scored(documents: DataFrame, *, depth: int = DEPTH, heavy: int = HEAVY, part_bytes: int = TREE_PART_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     held = F.coalesce(crc_mod("doc_id", FOLD) == HELD_OUT, F.lit(False))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held)
@@ -341,17 +347,20 @@ def scored(documents: DataFrame, *, depth: int = DEPTH, heavy: int = HEAVY, part
             part.take([payload for _, payload in sorted(by[level])], heavy)
         return part
 
-    def messages(key, table, answers=None):
+    @given_back
+    def messages(key, table, answers):
         asked = list(known(table, answers).question(heavy).messages(buckets))
         return arrow_table(MESSAGE, bucket=[b for b, _ in asked], part=[key[0].as_py()] * len(asked), payload=[m for _, m in asked])
 
     def answering(level: int):
+        @given_back
         def answer(key, table):
             questions = [Question.read(m) for m in table["payload"].to_pylist()]
             return arrow_table(ANSWER, part=table["part"].combine_chunks(), level=[level] * len(questions), bucket=table["bucket"].combine_chunks(), payload=list(added_up(questions, level, heavy)))
 
         return answer
 
+    @given_back
     def use(key, table, answers):
         part = known(table, answers)
         n, log = part.n_rows, lambda p: np.bincount(part.row, np.log10(p), part.n_rows)
@@ -362,7 +371,7 @@ def scored(documents: DataFrame, *, depth: int = DEPTH, heavy: int = HEAVY, part
 
     answers = None
     for level in range(depth + 1):
-        asked = texts.groupBy("part").applyInArrow(lambda key, table: messages(key, table), MESSAGE_DDL) if answers is None else texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(messages, MESSAGE_DDL)
+        asked = texts.groupBy("part").applyInArrow(lambda key, table: messages(key, table, None), MESSAGE_DDL) if answers is None else texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(messages, MESSAGE_DDL)
         got = asked.groupBy("bucket").applyInArrow(answering(level), ANSWER_DDL).repartition(parts, "part")  # each level's answers are shuffled once and read again
         answers = got if answers is None else answers.unionByName(got)
     return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(use, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
