@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that go to Python at a time: texts may be long, and a batch is held several times over on its way.
+BATCH_BYTES = "4m"
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """The rows, as they are, in a session whose Arrow batches are bounded by bytes, too; a limit that it has stays."""
+    conf = rows.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return rows
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """The name, after as many underscores as make it differ, in any case, from all that are taken."""
     known = {t.lower() for t in taken}

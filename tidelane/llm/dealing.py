@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidelane.llm.common import bounded
+
 #: Bytes of text in a part, about, and those that a task gathers before it deals them out.
 PART_BYTES, GATHERED_BYTES = 8 << 20, 16 << 20
 PACKED = pa.schema([("part", pa.int32()), ("packed", pa.binary())])
@@ -63,7 +65,7 @@ def dealt(rows: DataFrame, part: Column) -> DataFrame:
         if held:
             yield from packed(pa.Table.from_batches(held))
 
-    return rows.withColumn("part", part).mapInArrow(pack, PACKED_DDL)
+    return bounded(rows).withColumn("part", part).mapInArrow(pack, PACKED_DDL)
 
 
 def unpacked_rows(packed: bytes) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import MULTIPLIER, U64, batch, hashed, mixed
+from tidelane.llm.common import MULTIPLIER, U64, batch, bounded, hashed, mixed
 from tidelane.operators.materialise import saved
 
 #: Kept positions of each mask. Together they find every 14-word overlap with 2 words changed.
@@ -184,7 +184,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ..
                             out[name].append(value)
                 yield batch(FOUND, **out)
 
-        block = docs.mapInArrow(scan, "doc_id long, item_id long, start long, n_words long, n_matched long, item_start long, item_words long")
+        block = bounded(docs).mapInArrow(scan, "doc_id long, item_id long, start long, n_words long, n_matched long, item_start long, item_words long")
         block = saved(block) if more else block
         found = block if found is None else found.unionByName(block)
     return found.dropDuplicates(["doc_id", "item_id"])
@@ -206,6 +206,6 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...]
                         sound[first + doc] = False
                 yield b.filter(pa.array(sound))
 
-        documents = documents.mapInArrow(keep, documents.schema)
+        documents = bounded(documents).mapInArrow(keep, documents.schema)
         documents = saved(documents) if more else documents
     return documents

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import U64, arrow_table, batch, given_back, hashed, mixed, part_of, shingles
+from tidelane.llm.common import U64, arrow_table, batch, bounded, given_back, hashed, mixed, part_of, shingles
 from tidelane.llm.copies import first_copies, first_texts, keyed
 from tidelane.llm.dealing import PART_BYTES, dealt, n_parts, text_bytes
 from tidelane.llm.exchange import ANSWER_DDL, SENT_DDL, answered, cut, looked_up, received, sent
@@ -137,7 +137,7 @@ def verified(pairs: DataFrame, units: DataFrame, threshold: int) -> DataFrame:
                         out[name].append(value)
             yield batch(schema, **out)
 
-    return both.mapInArrow(check, "a long, b long, shared long, together long")
+    return bounded(both).mapInArrow(check, "a long, b long, shared long, together long")
 
 
 def _fits(a: str, b: str, threshold: int):

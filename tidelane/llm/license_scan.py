@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import MULTIPLIER, U64, batch, mixed, placed_words, text_chunks
+from tidelane.llm.common import MULTIPLIER, U64, batch, bounded, mixed, placed_words, text_chunks
 
 GRAM, WINNOW, BAND, MIN_COVERAGE, MIN_HITS = 3, 4, 8, 0.8, 0.25
 #: Notices as their publishers word them.
@@ -152,4 +152,4 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataF
                         out.append((ids[row + d], index.names[k], matched / n, matched, n, int(first[at[d] + start] - bounds[d]), int(after[at[d] + end - 1] - bounds[d])))
             yield batch(FOUND, **{n: [r[i] for r in out] for i, n in enumerate(FOUND.names)})
 
-    return docs.mapInArrow(look, "doc_id long, license string, coverage double, matched_words long, template_words long, start_byte long, end_byte long")
+    return bounded(docs).mapInArrow(look, "doc_id long, license string, coverage double, matched_words long, template_words long, start_byte long, end_byte long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import batch
+from tidelane.llm.common import batch, bounded
 from tidelane.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample
 
 FEATURES = ("log_words", "word_length", "longest_word", "lower", "upper", "digit", "space", "newline", "point", "exclaim", "symbol", "pipe", "beyond_ascii", "distinct_words", "top_word", "distinct_pairs", "distinct_lines", "words_per_line")
@@ -157,7 +157,7 @@ def quality(documents: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPL
         for b in batches:
             yield batch(schema, label=b["label"], x=[features_of(t) for t in b["text"].to_pylist()])
 
-    fitted = labelled_sample(documents, labels, "quality", sample_rows).orderBy("doc_id").select("label", "text").mapInArrow(rows, "label int, x array<double>").collect()
+    fitted = bounded(labelled_sample(documents, labels, "quality", sample_rows)).orderBy("doc_id").select("label", "text").mapInArrow(rows, "label int, x array<double>").collect()
     x = np.array([r["x"] for r in fitted]).reshape(-1, len(FEATURES))
     learned = (model or AdditiveModel()).fit(x, np.array([r["label"] for r in fitted], dtype=float))
     shared = spark.sparkContext.broadcast(learned)
@@ -169,5 +169,5 @@ def quality(documents: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPL
                 yield batch(schema, doc_id=b["doc_id"], score=shared.value.score(np.array([features_of(t) for t in b["text"].to_pylist()])))
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = docs.mapInArrow(scores, "doc_id long, score double")
+    scored = bounded(docs).mapInArrow(scores, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import MULTIPLIER, U64, arrow_table, batch, crc_mod, distinct, given_back, hashed_words, mixed, numbered, text_chunks
+from tidelane.llm.common import MULTIPLIER, U64, arrow_table, batch, bounded, crc_mod, distinct, given_back, hashed_words, mixed, numbered, text_chunks
 from tidelane.llm.dealing import dealt, n_parts, spread, text_bytes, unpacked_rows
 from tidelane.llm.exchange import SENT_DDL, answered, sent
 
@@ -319,7 +319,7 @@ def vocabulary(docs: DataFrame, buckets: int) -> tuple[int, int]:
             pairs = [struct.unpack("<qq", x) for x in b["payload"].to_pylist()]
             yield batch(schema, kinds=[k for k, _ in pairs], total=[n for _, n in pairs])
 
-    words = docs.filter(~F.col("held_out")).select("text").mapInArrow(count, SENT_DDL)
+    words = bounded(docs).filter(~F.col("held_out")).select("text").mapInArrow(count, SENT_DDL)
     totals = answered(words, 1 << 62, with_totals=True).mapInArrow(sums, "kinds long, total long")  # only the totals reach that count
     return tuple(totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first())
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from tidelane.llm.common import batch, free_name
+from tidelane.llm.common import batch, bounded, free_name
 from tidelane.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample
 
 #: Cyrillic and Greek letters that look like Latin ones.
@@ -131,7 +131,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     if not n.get(0) or not n.get(1):
         return {}
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n[0] + 1.0))
-    summed = sample.mapInArrow(counts, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    summed = bounded(sample).mapInArrow(counts, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rows = summed.filter(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS).collect()  # of a bounded sample
     kept: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["entry"]), r["entry"])):  # a longer entry stays only if it says more
@@ -193,7 +193,7 @@ class ToxicityModel:
         found = found_fields(rows.columns)
         shared = rows.sparkSession.sparkContext.broadcast(self.weights)
         schema = StructType([*own, *found])
-        return rows.mapInArrow(weighing(shared, self.exceptions, to_arrow_schema(schema)), schema), found.names
+        return bounded(rows).mapInArrow(weighing(shared, self.exceptions, to_arrow_schema(schema)), schema), found.names
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = EXCEPTIONS, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
