@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Upper bounds of the wave height classes in metres, and of the period classes in seconds.
 HEIGHT_CLASSES = (("calm", 0.5), ("moderate", 1.5), ("high", 2.5), ("very high", None))
 PERIOD_CLASSES = (("short", 2.0), ("medium", 5.0), ("long", 8.0), ("very long", None))
-#: A channel is base + slope * ratio.
-RAMPS = {"htsgwsfc": ((0, 255), (0, 0), (255, -255)), "perpwsfc": ((0, 255), (255, -255), (0, 0)), "dirpwsfc": ((0, 0), (0, 255), (255, -255))}
-GREY = "rgb(128, 128, 128)"
+#: A channel is base + span * shape(ratio), with the shapes of SHAPES. A variable without a ramp has that of the direction.
+RAMPS = {
+    "htsgwsfc": ((120, 100, "rise"), (80, 100, "fall"), (50, 50, "fall")),
+    "perpwsfc": ((0, 30, "fall"), (100, 120, "rise"), (120, 50, "late")),
+    "dirpwsfc": ((100, 100, "early"), (50, 50, "fall"), (150, 50, "rise")),
+}
+OPACITY = "0.8"
+GREY = "rgba(128, 128, 128, 0.8)"
+#: Seconds before a wave's animation starts, at the least and on top of that at random, by height class.
+DELAYS = {"calm": (2.0, 3.5), "moderate": (1.5, 3.0), "high": (1.0, 2.5), "very high": (0.0, 1.0)}
 GAUGE_FLOORS = {"height": 5.0, "period": 15.0}
 
 
@@ -30,14 +39,31 @@ def period_class(period: Column) -> Column:
 
 
 def ratio(value: Column, low: Column, high: Column) -> Column:
-    """Place of a value between two others, from 0 to 1; null if they don't differ."""
-    return F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / F.nullif(high - low, F.lit(0.0)))))
+    """Place of a value between two others, 0 to 1 if it lies between them; null if they don't differ."""
+    return F.when(high > low, (value - low) / F.nullif(high - low, F.lit(0.0)))
+
+
+def _shaped(r: Column, shape: str) -> Column:
+    """A ramp's course; beyond the ends the bent ones stay where they end."""
+    if shape == "late":
+        return 1 - F.sqrt(F.greatest(F.lit(0.0), 1 - r))
+    if shape == "early":
+        return F.pow(F.greatest(F.lit(0.0), r), F.lit(0.7))
+    return r if shape == "rise" else 1 - r
 
 
 def colour(variable: str, value: Column, low: Column, high: Column) -> Column:
+    """The colour of a value between two others; grey where they don't differ or the variable is none."""
+    if variable == "none":
+        return F.lit(GREY)
     r = ratio(value, low, high)
-    channels = [F.round(base + slope * r).cast("int").cast("string") for base, slope in RAMPS[variable]]
-    return F.when(r.isNull(), GREY).otherwise(F.concat(F.lit("rgb("), F.concat_ws(", ", *channels), F.lit(")")))
+    channels = [F.floor(base + span * _shaped(r, shape) + 0.5).cast("int").cast("string") for base, span, shape in RAMPS.get(variable, RAMPS["dirpwsfc"])]
+    return F.when(r.isNull(), GREY).otherwise(F.concat(F.lit("rgba("), F.concat_ws(",", *channels, F.lit(OPACITY)), F.lit(")")))
+
+
+def fixed(value: Column, digits: int = 6) -> Column:
+    """The number with so many digits after the point, as text; half goes away from zero."""
+    return F.format_string(f"%.{digits}f", value)
 
 
 def line_width(period: Column) -> Column:
@@ -55,9 +81,9 @@ def arrow_tip(x: Column, y: Column, height: Column, direction: Column) -> tuple[
 
 
 def start_delay(wave_class: Column, seed: int = 0) -> Column:
-    """A pseudo-random delay in milliseconds; higher classes start sooner."""
-    base = F.when(wave_class == "calm", 800).when(wave_class == "moderate", 500).when(wave_class == "high", 200).otherwise(0)
-    return base + F.rand(seed) * 400
+    """A pseudo-random delay in seconds; higher classes start sooner."""
+    least, span = (functools.reduce(lambda c, k: c.when(wave_class == k, DELAYS[k][i]), DELAYS, F.when(F.lit(False), 0.0)) for i in (0, 1))
+    return least + F.rand(seed) * span
 
 
 def phase(time_ms: Column, delay_ms: Column, cycle_ms: float = 1200.0) -> Column:

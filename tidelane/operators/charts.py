@@ -42,12 +42,23 @@ def progress(points: DataFrame, by: list[str], order: str) -> DataFrame:
     return points.withColumn("percent", F.round(100 * F.percent_rank().over(Window.partitionBy(*by).orderBy(order)), 6))
 
 
-def percent_labels(points: DataFrame, order: str, every: int = 5) -> DataFrame:
-    """step and label about every `every` percent: the first is the arrival, the last the departure."""
-    numbered = points.select((F.row_number().over(Window.orderBy(order)) - 1).alias("k"), F.col(order).alias("step"), F.count("*").over(Window.partitionBy()).alias("n"))
-    stride = F.greatest(F.lit(1), F.floor(F.col("n") * every / 100).cast("int"))
-    label = F.when(F.col("k") == 0, "arrival").when(F.col("k") == F.col("n") - 1, "Departure").otherwise(F.concat(F.round(100 * F.col("k") / F.greatest(F.col("n") - 1, F.lit(1))).cast("int").cast("string"), F.lit("%")))
-    return numbered.filter((F.col("k") % stride == 0) | (F.col("k") == F.col("n") - 1)).select("step", label.alias("label"))
+def percent_labels(points: DataFrame, every: int = 5) -> DataFrame:
+    """position and label of an axis over the points: arrival, a label every `every` percent as long as its point comes before the last, Departure."""
+    steps = 100 // every
+    n, i = F.col("n"), F.col("i")
+    at = i * F.floor(n / steps)
+    marks = points.agg(F.count("*").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"))
+    kept = marks.filter((i == 0) | (i == steps) | ((n >= 2) & (at < n - 1)))
+    label = F.when(i == 0, "arrival").when(i == steps, "Departure").otherwise(F.concat((i * every).cast("string"), F.lit("%")))
+    # The labels between the ends are a beginning of the series, so only the last one moves up.
+    before = F.when(n < 2, 0).when(n < steps, steps - 1).otherwise(F.least(F.lit(steps - 1), F.ceil((n - 1) / F.floor(n / steps)) - 1))
+    return kept.select(F.when(i == steps, before + 1).otherwise(i).cast("int").alias("position"), label.alias("label"))
+
+
+def same_length(series: DataFrame, chart: str, name: str) -> DataFrame:
+    """chart, n_series, same_length, any_values: whether all of a chart's series have as many points, and whether any has a value."""
+    sizes = series.groupBy(chart, name).agg(F.count("*").alias("n"), F.bool_or(F.col("value").isNotNull()).alias("filled"))
+    return sizes.groupBy(chart).agg(F.count("*").alias("n_series"), (F.min("n") == F.max("n")).alias("same_length"), F.bool_or("filled").alias("any_values"))
 
 
 def legend(rows: DataFrame, measure: str, variable: str, steps: int = 4) -> DataFrame:

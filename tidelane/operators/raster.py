@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.functions.geo import mercator_x, mercator_y
+from tidelane.functions.geo import mercator_x, mercator_y, utm, utm_inverse
+from tidelane.operators.materialise import saved
 from tidelane.operators.nearest import nearest
 
 EXTENT = {"min_lat": -15.0, "max_lat": 10.0, "min_lon": 92.0, "max_lon": 141.0}
@@ -76,6 +77,19 @@ def idw_filled(cells: DataFrame, value: str, k: int = 8, power: int = 2, x: str
     return joined.select("row_i", "col_j", F.round(F.coalesce(value, "mean"), 6).alias("value"), (F.col(value).isNull() & F.col("mean").isNotNull()).alias("filled"))
 
 
+def processed(cells: DataFrame, value: str, k: int = 8) -> DataFrame:
+    """row_i, col_j, lon, lat, value, filled: the values cleaned, projected, their gaps filled from the k nearest by metres, and projected back.
+
+    Places are taken to the millimetre, so that equal distances are equal.
+    """
+    east, north = utm(F.col("lon"), F.col("lat"))
+    # Written, as the projection is long and used twice.
+    flat = saved(cells.select("row_i", "col_j", cleaned(F.col(value)).alias(value), F.round(east, 3).alias("east"), F.round(north, 3).alias("north")))
+    filled = idw_filled(flat, value, k, x="east", y="north")
+    lon, lat = utm_inverse(F.col("east"), F.col("north"))
+    return filled.join(flat.select("row_i", "col_j", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat")), ["row_i", "col_j"]).select("row_i", "col_j", "lon", "lat", "value", "filled")
+
+
 def linear_filled(cells: DataFrame, value: str) -> DataFrame:
     """row_i, col_j, value: missing cells get the mean of what lies between their neighbours along the row and the column; else the nearest value."""
     def between(line: str, at: str) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidelane.functions import display
-from tidelane.operators.materialise import saved
+from tidelane.operators import charts
+from tidelane.operators.materialise import work_dir
 from tidelane.operators.nearest import nearest_poi
 from tidelane.plans.derived import SLOTS, SUPPLIERS, slots, suppliers, table
 from tidelane.plans.registry import query
@@ -97,15 +100,56 @@ def request_digest(spark, sf_dir):
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE event_id % 3 <> 0) WHERE k = 1")
 def cache_first_match(spark, sf_dir):
-    """The item a look-up finds under each key: the first stored that is fixed."""
-    cache = table(spark, sf_dir, "events").filter("event_id % 3 <> 0")
-    return cache.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    """The item a look-up finds under each key: the first stored that is fixed, as two thirds of the events are."""
+    cache = table(spark, sf_dir, "events").select(F.struct("user_id", "event_type").alias("key"), (F.col("event_id") % 3 != 0).alias("fixed"), F.struct("ts", "event_id").alias("stored_at"), "event_id")
+    return stores.first_stored(cache).select("key.user_id", "key.event_type", "event_id")
+
+
+@query("""WITH stored AS (SELECT o_custkey % 50 AS place, o_orderkey % 4 AS condition, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 50, o_orderkey % 4 ORDER BY o_orderdate, o_orderkey) AS k FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 1)
+SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey FROM customer LEFT JOIN stored ON place = c_custkey % 50 AND condition = c_nationkey % 4 AND k = 1""")
+def route_cache_lookup(spark, sf_dir):
+    """Results written to the store, and the one that each request finds, or -1: the first fixed one with its start and condition, of searches with the model."""
+    k = F.col("o_orderkey")
+    key = stores.cache_key((F.col("o_custkey") % 50).alias("start"), (k % 4).alias("condition"))
+    results = table(spark, sf_dir, "orders").select(F.lit("20240101-06z").alias("wave_data_id"), (k % 2 == 1).alias("use_model"), key.alias("key"), (k % 3 != 0).alias("fixed"), F.struct("o_orderdate", "o_orderkey").alias("stored_at"), "o_orderkey")
+    path = f"{work_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    stores.write_results(results, path)
+    stored = stores.first_stored(stores.read_results(spark, path, "20240101-06z", True)).select("key", "o_orderkey")
+    asked = table(spark, sf_dir, "customer").select("c_custkey", stores.cache_key((F.col("c_custkey") % 50).alias("start"), (F.col("c_nationkey").cast("long") % 4).alias("condition")).alias("key"))
+    return asked.join(stored, "key", "left").select("c_custkey", F.coalesce("o_orderkey", F.lit(-1).cast("long")).alias("o_orderkey"))
+
+
+@query(f"WITH {SUPPLIERS} SELECT a.id, round(a.lon, 6) AS lon, round(a.lat, 6) AS lat, b.id AS neighbour FROM suppliers a JOIN suppliers b ON b.id = a.id + 1")
+def graph_round_trip(spark, sf_dir):
+    """Nodes and edges written to the store and read again."""
+    path = f"{work_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    own = suppliers(spark, sf_dir)
+    following = own.select(F.col("id").alias("dst"))
+    stores.write_graph(own, own.select(F.col("id").alias("src")).join(following, F.col("dst") == F.col("src") + 1), path)
+    nodes, edges = stores.read_graph(spark, path)
+    return nodes.join(edges, nodes["id"] == edges["src"]).select("id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.col("dst").alias("neighbour"))
 
 
-@query(f"WITH {SUPPLIERS} SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM suppliers")
-def graph_round_trip(spark, sf_dir):
-    """Nodes written to the store and read again."""
-    return saved(suppliers(spark, sf_dir)).select("id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+@query("SELECT o_orderkey, o_custkey % 4 > 1 AND o_custkey % 5 <> 0 AS valid FROM orders")
+def valid_path_points(spark, sf_dir):
+    """Points of one, two or three numbers, some null."""
+    c = F.col("o_custkey")
+    x = c.cast("double")
+    point = F.when(c % 4 > 1, F.array(F.when(c % 5 != 0, x), x)).when(c % 4 == 1, F.array(x)).otherwise(F.array(x, x, x))
+    return table(spark, sf_dir, "orders").select("o_orderkey", requests.valid_point(point).alias("valid"))
+
+
+@query("SELECT user_id, count(*) AS n_series, min(n) = max(n) AS same_length, bool_or(filled) AS any_values FROM (SELECT user_id, event_type, count(*) AS n, bool_or(event_id % 7 = 0) AS filled FROM events GROUP BY 1, 2) GROUP BY user_id")
+def chart_series_lengths(spark, sf_dir):
+    """Each user's events as series by kind, a seventh of them with a value."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.when(F.col("event_id") % 7 == 0, F.col("event_id")).alias("value"))
+    return charts.same_length(rows, "user_id", "event_type")
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('%.6f', CAST(l_quantity AS DOUBLE)) AS quantity, printf('%.2f', CAST(l_linenumber AS DOUBLE) / 4) AS share FROM lineitem")
+def fixed_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", display.fixed(F.col("l_quantity").cast("double")).alias("quantity"), display.fixed(F.col("l_linenumber").cast("double") / 4, 2).alias("share"))
 
 
 @query("SELECT event_type, max(event_id) AS event_id FROM events e WHERE ts = (SELECT max(ts) FROM events f WHERE f.event_type = e.event_type) GROUP BY event_type")
@@ -137,9 +181,12 @@ def stream_debounce(spark, sf_dir):
     return snapshots.run_once(snapshots.debounced(_stream(spark, sf_dir)), "debounce")
 
 
-@query()
+@query("""WITH m AS (SELECT user_id, event_id, props, CASE WHEN event_id % 97 = 0 THEN 'final' WHEN event_id % 5 = 0 THEN 'partial_path' ELSE 'expansion' END AS kind FROM events),
+f AS (SELECT *, min(CASE WHEN kind = 'final' THEN event_id END) OVER (PARTITION BY user_id) AS fin FROM m)
+SELECT user_id AS search_id, count(*) FILTER (kind = 'expansion' AND event_id < coalesce(fin, event_id + 1)) AS expansions,
+arg_max(props, event_id) FILTER (kind = 'partial_path' AND event_id < coalesce(fin, event_id + 1)) AS last_partial, bool_or(fin IS NOT NULL) AS closed FROM f GROUP BY user_id""")
 def stream_search_progress(spark, sf_dir):
     """Search messages by user: each event is an expansion, a partial path or the end."""
     kind = F.when(F.col("event_id") % 97 == 0, "final").when(F.col("event_id") % 5 == 0, "partial_path").otherwise("expansion")
     messages = _stream(spark, sf_dir).select(F.col("user_id").alias("search_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("props").alias("payload"))
-    return snapshots.run_once(snapshots.search_progress(messages), "progress", "update")
+    return snapshots.run_once(snapshots.search_progress(messages), "progress", "update", ("search_id",))

@@ -158,13 +158,34 @@ def grid_snap(spark, sf_dir):
     return parts(spark, sf_dir).select("id", F.round(geo.snapped(F.col("lon"), 92.0, 141.0), 6).alias("lon"), F.round(geo.snapped(F.col("lat"), -15.0, 10.0), 6).alias("lat"))
 
 
-@query(f"WITH {PARTS} SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM parts")
+def _utm_sql(source: str) -> str:
+    """The source's rows with east and north: the projection written out for DuckDB."""
+    e, alphas = geo._e, list(enumerate(geo.ALPHA, 1))
+    north = " + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in alphas)
+    east = " + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in alphas)
+    return f"""(SELECT *, {geo.FALSE_EAST!r}::DOUBLE + {geo.SCALE * geo._A!r} * (eta + {east}) AS east, {geo.FALSE_NORTH!r}::DOUBLE + {geo.SCALE * geo._A!r} * (xi + {north}) AS north
+    FROM (SELECT *, atan2(tau, cos(lam)) AS xi, asinh(sin(lam) / sqrt(tau * tau + cos(lam) * cos(lam))) AS eta
+    FROM (SELECT *, t * sqrt(1 + s * s) - s * sqrt(1 + t * t) AS tau FROM (SELECT *, sinh({e!r} * atanh({e!r} * t / sqrt(1 + t * t))) AS s
+    FROM (SELECT *, radians(lon - {geo.CENTRAL_LON!r}) AS lam, tan(radians(lat)) AS t FROM {source})))))"""
+
+
+@query(f"WITH {PARTS} SELECT id, round(east, 3) AS east, round(north, 3) AS north, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {_utm_sql('parts')}")
 def utm_round_trip(spark, sf_dir):
-    """Zone 49 south and back: what comes back is what went in."""
+    """Zone 49 south, and back: what comes back is what went in."""
     east, north = geo.utm(F.col("lon"), F.col("lat"))
     there = parts(spark, sf_dir).select("id", east.alias("east"), north.alias("north"))
     lon, lat = geo.utm_inverse(F.col("east"), F.col("north"))
-    return there.select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+    return there.select("id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query(f"""WITH {GAPPY}, flat AS (SELECT row_i, col_j, lon, lat, CASE WHEN height <> 0 AND abs(height) <= 1e10 THEN height END AS v, round(east, 3) AS x, round(north, 3) AS y FROM {_utm_sql('gappy')}),
+near AS (SELECT a.row_i, a.col_j, b.v, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, row_number() OVER (PARTITION BY a.row_i, a.col_j ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.row_i, b.col_j) AS k
+    FROM flat a, flat b WHERE a.v IS NULL AND b.v IS NOT NULL),
+mean AS (SELECT row_i, col_j, sum(v / d2) / sum(1e0 / d2) AS m FROM near WHERE k <= 8 GROUP BY row_i, col_j)
+SELECT row_i, col_j, round(lon, 6) AS lon, round(lat, 6) AS lat, round(coalesce(v, m), 6) AS value, v IS NULL AND m IS NOT NULL AS filled FROM flat LEFT JOIN mean USING (row_i, col_j)""")
+def raster_pipeline(spark, sf_dir):
+    """Clean, project, fill from the eight nearest by metres, project back."""
+    return raster.processed(gappy(spark, sf_dir), "height")
 
 
 @query(f"WITH {GAPPY} SELECT min(coalesce(height, 0)) AS low, max(coalesce(height, 0)) AS high FROM gappy")
@@ -187,22 +208,29 @@ def axis_range(spark, sf_dir):
     return charts.axis_range(cells(spark, sf_dir).unpivot(["row_i", "col_j"], ["height", "period"], "series", "value"))
 
 
-_RATIO = "greatest(0, least(1, ({v} - low) / (high - low)))"
+def _rgba(v: str, low: str, high: str, *channels: str) -> str:
+    """A colour by its channels, in r, the value's place between two others."""
+    r = f"(({v} - {low}) / nullif({high} - {low}, 0))"
+    parts_ = " || ',' || ".join(f"CAST(CAST(floor({c.format(r=r)} + 5e-1) AS INTEGER) AS VARCHAR)" for c in channels)
+    return f"CASE WHEN {high} > {low} THEN 'rgba(' || {parts_} || ',0.8)' ELSE 'rgba(128, 128, 128, 0.8)' END"
 
 
-def _rgb(v: str) -> str:
-    r = _RATIO.format(v=v)
-    return f"CASE WHEN high > low THEN 'rgb(' || CAST(CAST(round(0 + 255 * {r}) AS INTEGER) AS VARCHAR) || ', 0, ' || CAST(CAST(round(255 - 255 * {r}) AS INTEGER) AS VARCHAR) || ')' ELSE 'rgb(128, 128, 128)' END"
+_HEIGHT = ("120 + 100 * {r}", "80 + 100 * (1 - {r})", "50 + 50 * (1 - {r})")
+_PERIOD = ("30 * (1 - {r})", "100 + 120 * {r}", "120 + 50 * (1 - pow(1 - {r}, 5e-1))")
+_DIRECTION = ("100 + 100 * pow({r}, 7e-1)", "50 + 50 * (1 - {r})", "150 + 50 * {r}")
 
 
-@query(f"WITH {CELLS}, ends AS (SELECT min(height) AS low, max(height) AS high FROM cells) SELECT row_i, col_j, {_rgb('height')} AS colour FROM cells, ends")
+@query(f"""WITH {CELLS}, ends AS (SELECT min(height) AS h0, max(height) AS h1, min(period) AS p0, max(period) AS p1, min(direction) AS d0, max(direction) AS d1 FROM cells)
+SELECT row_i, col_j, {_rgba('height', 'h0', 'h1', *_HEIGHT)} AS height, {_rgba('period', 'p0', 'p1', *_PERIOD)} AS period, {_rgba('direction', 'd0', 'd1', *_DIRECTION)} AS direction, 'rgba(128, 128, 128, 0.8)' AS "none" FROM cells, ends""")
 def colour_ramp(spark, sf_dir):
     rows = cells(spark, sf_dir)
-    return rows.join(F.broadcast(charts.extremes(rows, "height"))).select("row_i", "col_j", display.colour("htsgwsfc", F.col("height"), F.col("low"), F.col("high")).alias("colour"))
+    ends = rows.agg(*(f(c).alias(f"{c}_{n}") for c in MEASURES for f, n in ((F.min, "low"), (F.max, "high"))))
+    colours = [display.colour(v, F.col(c), F.col(f"{c}_low"), F.col(f"{c}_high")).alias(c) for c, v in (("height", "htsgwsfc"), ("period", "perpwsfc"), ("direction", "dirpwsfc"))]
+    return rows.join(F.broadcast(ends)).select("row_i", "col_j", *colours, display.colour("none", F.col("height"), F.col("height_low"), F.col("height_high")).alias("none"))
 
 
 @query(f"""WITH {CELLS}, ends AS (SELECT min(height) AS low, max(height) AS high FROM cells)
-SELECT CAST(k AS INTEGER) AS step, round(low + k * ((high - low) / 4), 6) AS "from", round(low + k * ((high - low) / 4) + (high - low) / 4, 6) AS "to", {_rgb('(low + k * ((high - low) / 4) + (high - low) / 4 / 2)')} AS colour FROM ends, range(4) r(k)""")
+SELECT CAST(k AS INTEGER) AS step, round(low + k * ((high - low) / 4), 6) AS "from", round(low + k * ((high - low) / 4) + (high - low) / 4, 6) AS "to", {_rgba('(low + k * ((high - low) / 4) + (high - low) / 4 / 2)', 'low', 'high', *_HEIGHT)} AS colour FROM ends, range(4) r(k)""")
 def legend_steps(spark, sf_dir):
     return charts.legend(cells(spark, sf_dir), "height", "htsgwsfc")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidelane.operators import charts, lattice, motion, route
-from tidelane.operators.materialise import saved
-from tidelane.plans.derived import ALONE, CELLS, LINKED, MOVED, RAYS, WATER, cells, water
+from tidelane.operators.materialise import saved, work_dir
+from tidelane.operators.nearest import nearest
+from tidelane.plans.derived import ALONE, CELLS, LINKED, MOVED, RAYS, WATER, bearing, cells, km, water
 from tidelane.plans.registry import query
+from tidelane.sources import stores
 
 #: A node in the west of the western basin, one in its east, and one in the other basin.
 START, END, FAR = 1_000_004, 18_000_005, 40_000_001
@@ -75,7 +79,17 @@ def component_count(spark, sf_dir):
     return sizes.agg(F.count("*").alias("components"), F.max("n").alias("largest"), (F.count("*") == 1).alias("connected"))
 
 
-@query()
+#: All edges of a lattice `water`: rays, connectors of isolated nodes, and for each component but the first the closest pair with what precedes it.
+_BUILT = f"""{RAYS}, {ALONE}, {LINKED},
+first_edges AS (SELECT * FROM rays UNION ALL SELECT * FROM linked), both_ways AS (SELECT src, dst FROM first_edges UNION SELECT dst, src FROM first_edges),
+reached AS (SELECT node_id AS node, node_id AS label FROM water UNION SELECT r.node, b.dst FROM reached r JOIN both_ways b ON b.src = r.label WHERE b.dst <> r.node),
+placed AS (SELECT w.*, component FROM water w JOIN (SELECT node AS node_id, min(label) AS component FROM reached GROUP BY node) USING (node_id)),
+closest AS (SELECT a.component, a.node_id AS src, b.node_id AS dst, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2,
+    row_number() OVER (PARTITION BY a.component ORDER BY (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat), a.node_id, b.node_id) AS nth FROM placed a JOIN placed b ON b.component < a.component),
+built AS (SELECT * FROM first_edges UNION ALL SELECT src, dst, {km('lon1', 'lat1', 'lon2', 'lat2')}, {bearing('lon1', 'lat1', 'lon2', 'lat2')} FROM closest WHERE nth = 1)"""
+
+
+@query(f"WITH RECURSIVE {WATER}, {_BUILT} SELECT src, dst, weight, bearing, true AS connected FROM built")
 def component_repair(spark, sf_dir):
     """All edges of the repaired lattice, and that it is connected."""
     nodes = water(spark)
@@ -84,6 +98,25 @@ def component_repair(spark, sf_dir):
     return edges.join(F.broadcast(one))
 
 
+#: Two waters apart for the build from polygons, in the right half of the extent.
+BASINS = [("triangle", [(120.0, -14.0), (130.0, -14.0), (125.0, 6.0), (120.0, -14.0)]), ("box", [(134.0, -12.0), (138.0, -12.0), (138.0, -8.0), (134.0, -8.0), (134.0, -12.0)])]
+_BASIN_WATER = """water AS (SELECT CAST(i AS BIGINT) * 1000000 + j AS node_id, CAST(j AS INTEGER) AS row_j, CAST(i AS INTEGER) AS col_i, round(1165e-1 + i, 6) AS lon, round(-15e0 + j, 6) AS lat FROM range(25) a(j), range(25) b(i)
+    WHERE (1165e-1 + i BETWEEN 134 AND 138 AND j - 15 BETWEEN -12 AND -8) OR (j - 15 BETWEEN -14 AND 6 AND 1165e-1 + i >= 120 + (j - 15 + 14) / 4e0 AND 1165e-1 + i <= 130 - (j - 15 + 14) / 4e0))"""
+
+
+@query(f"WITH RECURSIVE {_BASIN_WATER}, {_BUILT} SELECT src, dst, round(weight, 6) AS weight, round(bearing, 6) AS bearing, a.lon, a.lat FROM built JOIN water a ON a.node_id = src")
+def lattice_build(spark, sf_dir):
+    """The whole build: the lattice's cells within the polygons, rays, repairs, written to the store as a graph and read again."""
+    rings = spark.createDataFrame(BASINS, "polygon_id string, ring array<struct<lon: double, lat: double>>")
+    nodes = lattice.numbered(lattice.grid(spark, 92.0, -15.0, 141.0, 10.0, 1.0))
+    inside = lattice.in_polygons(nodes.select(F.col("node_id").alias("point_id"), "lon", "lat"), rings).withColumnRenamed("point_id", "node_id")
+    nodes = saved(nodes.join(inside, "node_id", "left_semi"))
+    path = f"{work_dir(spark).rstrip('/')}/lattice-{uuid.uuid4().hex}"
+    stores.write_graph(nodes, lattice.built(nodes), path)
+    nodes, edges = stores.read_graph(spark, path)
+    return edges.join(nodes.select(F.col("node_id").alias("src"), "lon", "lat"), "src").select("src", "dst", F.round("weight", 6).alias("weight"), F.round("bearing", 6).alias("bearing"), "lon", "lat")
+
+
 def _moved(spark, sf_dir):
     nodes = water(spark)
     return motion.scored(motion.features(lattice.ray_edges(nodes), nodes, cells(spark, sf_dir)))
@@ -143,6 +176,29 @@ def safest_route(spark, sf_dir):
     return _route(spark, sf_dir, True)[2].withColumn("dist", F.round("dist", 6))
 
 
+#: A request's coordinates, start and end.
+ASKED = ((93.2, -11.3), (109.6, -9.8))
+_NEAREST = "(SELECT node_id FROM water ORDER BY (lon - {0!r}) * (lon - {0!r}) + (lat - {1!r}) * (lat - {1!r}), node_id LIMIT 1)"
+
+
+def _asked_sql() -> str:
+    start, end = (_NEAREST.format(*at) for at in ASKED)
+    search = ", ".join((_SEARCH, _PARENTS, _PATH)).format(start="(SELECT a FROM ends)", end="(SELECT b FROM ends)")
+    return f"WITH RECURSIVE {WATER}, {RAYS}, {CELLS}, {MOVED}, graph AS (SELECT * FROM moved WHERE NOT blocked), ends AS (SELECT {start} AS a, {end} AS b), {search}\n"
+
+
+@query(_asked_sql() + _STEPS)
+def requested_route(spark, sf_dir):
+    """The safest route between the water nodes nearest to a request's coordinates."""
+    nodes = water(spark)
+    places = spark.createDataFrame([(k, *at) for k, at in enumerate(ASKED)], "probe_id long, x double, y double")
+    near = nearest(places, nodes.select(F.col("node_id").alias("target_id"), F.col("lon").alias("tx"), F.col("lat").alias("ty")))
+    start, end = (r.target_id for r in near.orderBy("probe_id").collect())  # two rows
+    graph = saved(_moved(spark, sf_dir).filter("NOT blocked"))
+    dist = route.distances(graph, start, end)
+    return route.path(saved(route.parents(dist, graph)), dist, start, end).withColumn("dist", F.round("dist", 6))
+
+
 @query(_route_sql("SELECT * FROM rays", FAR) + _STEPS)
 def unreachable_route(spark, sf_dir):
     return _route(spark, sf_dir, False, FAR)[2].withColumn("dist", F.round("dist", 6))
@@ -211,6 +267,7 @@ def ship_icon_bearing(spark, sf_dir):
     return points.select("step", "node_id", F.round(F.pmod(raw_bearing_deg(*ends) - 90, F.lit(360.0)), 6).alias("bearing"))
 
 
-@query()
+@query(_POINTS_SQL + """, marks AS (SELECT i, n FROM (SELECT count(*) AS n FROM points), range(21) r(i)), kept AS (SELECT * FROM marks WHERE i = 0 OR i = 20 OR (n >= 2 AND i * (n // 20) < n - 1))
+SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS position, CASE i WHEN 0 THEN 'arrival' WHEN 20 THEN 'Departure' ELSE (i * 5) || '%' END AS label FROM kept""")
 def percent_labels(spark, sf_dir):
-    return charts.percent_labels(_profile(spark, sf_dir), "step")
+    return charts.percent_labels(_profile(spark, sf_dir))

@@ -42,7 +42,10 @@ def latest_per_variable(events: DataFrame) -> DataFrame:
 
 
 def search_progress(messages: DataFrame) -> DataFrame:
-    """search_id, expansions, last_partial, closed: expansions add up, a partial path replaces the one before, final closes."""
+    """search_id, expansions, last_partial, closed: expansions add up, a partial path replaces the one before, final closes.
+
+    Messages count in the order of seq within a micro-batch; what comes in a later one counts as later.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, partial, closed = state.get if state.exists else (0, None, False)
@@ -69,11 +72,11 @@ def missing_snapshots(spark: SparkSession, manifest: DataFrame, day: str, days:
     return wanted.join(manifest, ["date", "slot", "variable"], "left_anti")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def run_once(stream: DataFrame, name: str, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
     """What a stream over the files there are gives in the end, as a table in the shared folder.
 
     Each micro-batch is kept under its number; the rows are those of the batches that count for
-    the mode: the last in complete mode, all in append mode.
+    the mode: the last in complete mode, all in append mode, each key's last in update mode.
     """
     import uuid
 
@@ -88,4 +91,7 @@ def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, _batch long").parquet(f"{path}/rows")
     if mode == "complete":
         rows = rows.join(F.broadcast(rows.agg(F.max("_batch").alias("_batch"))), "_batch", "left_semi")
+    if mode == "update":
+        others = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("last")).select(*keys, "last.*")
     return rows.drop("_batch")
