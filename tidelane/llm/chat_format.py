@@ -7,7 +7,7 @@ dynamic program over the automaton of legal sequences picks the changes with the
 cost; among equal ones it prefers, from the last turn backwards, the action that comes first in
 ACTIONS and then the earlier state.
 
-A long conversation is split into blocks of turns: each block's costs from state to state are a
+A long conversation is split into blocks of turns by their bytes: each block's costs from state to state are a
 small matrix, the matrices of a conversation combine in (min, +), which gives the states at the
 blocks' edges, and the blocks are then repaired and rendered by themselves.
 
@@ -37,7 +37,8 @@ NEXT = {START: {"system": SYSTEM, "user": USER}, SYSTEM: {"user": USER}, USER: {
 ACTIONS = ("keep", "merge", "relabel", "insert")
 MERGE, MERGE_OTHER, RELABEL, INSERT = 1, 3, 2, 3
 HEADER, FOOTER = "<|im_start|>{role}\n", "<|im_end|>\n"
-BLOCK_TURNS = 4096
+#: Bytes of text in a block, about, and those that a turn counts besides its text.
+BLOCK_BYTES, TURN_BYTES = 1 << 20, 256
 FAR = 1 << 40
 
 
@@ -99,6 +100,14 @@ def edges(matrices: list[list[int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def least_cost(matrices: list[list[int]]) -> int:
+    """Of all ways to repair a conversation."""
+    costs = [0, FAR, FAR, FAR]
+    for m in matrices:
+        costs = [min(costs[a] + m[4 * a + b] for a in range(4)) for b in range(4)]
+    return min(costs[s] + ENDING[s][0] for s in ENDING)
+
+
 def repair(roles: list[str | None], entry: int, exit_: int) -> list[tuple[str, tuple[str, ...]]]:
     """The action and the roles of the turns made, for each turn of a block."""
     costs, back = [FAR] * 4, []
@@ -114,15 +123,18 @@ def repair(roles: list[str | None], entry: int, exit_: int) -> list[tuple[str, t
     return out[::-1]
 
 
-def format_conversations(conversations: DataFrame, *, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """conv_id, position, part, turn, source_role, role, action, rendered: the pieces of every conversation.
+def format_conversations(conversations: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """conv_id, position, part, turn, source_role, role, action, rendered, cost: the pieces of every conversation.
 
     position counts a conversation's turns from 1; part is 0 for the turn itself, below it for an
-    empty turn in front, above it for turns added at the end. cost stands once, at each turn.
+    empty turn in front, above it for turns added at the end. cost is the least cost of the
+    conversation's repair, the same at each of its pieces.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    turns = turns.filter("conv_id IS NOT NULL").withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
-    blocks = turns.groupBy("conv_id", ((F.col("position") - 1) / F.lit(block_turns)).cast("long").alias("block")).agg(F.sort_array(F.collect_list(F.struct("position", "turn", "role", "text"))).alias("turns"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.coalesce(F.sum(F.octet_length("text") + TURN_BYTES).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turns = turns.filter("conv_id IS NOT NULL").withColumn("position", F.row_number().over(order)).withColumn("block", F.floor(before / F.lit(block_bytes)))
+    blocks = turns.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("position", "turn", "role", "text"))).alias("turns"))
 
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("costs", pa.list_(pa.int64()))])
@@ -130,16 +142,21 @@ def format_conversations(conversations: DataFrame, *, block_turns: int = BLOCK_T
             yield batch(schema, conv_id=b["conv_id"], block=b["block"], costs=[block_matrix(r) for r in b["roles"].to_pylist()])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("last", pa.bool_())])
+        schema = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("last", pa.bool_()), ("cost", pa.int64())])
         for b in batches:
-            out = [(c, k, *ends, k == len(ms) - 1) for c, ms in zip(b["conv_id"].to_pylist(), b["matrices"].to_pylist()) for k, ends in enumerate(edges([m["costs"] for m in ms]))]
+            out = []
+            for c, ms in zip(b["conv_id"].to_pylist(), b["matrices"].to_pylist()):
+                costs = [m["costs"] for m in ms]
+                cost = least_cost(costs)
+                out += [(c, m["block"], *ends, k == len(ms) - 1, cost) for k, (m, ends) in enumerate(zip(ms, edges(costs)))]
             yield batch(schema, **{n: [r[i] for r in out] for i, n in enumerate(schema.names)})
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("part", pa.int32()), ("turn", pa.int64()), ("source_role", pa.string()), ("role", pa.string()), ("action", pa.string()), ("rendered", pa.string())])
+        schema = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("part", pa.int32()), ("turn", pa.int64()), ("source_role", pa.string()), ("role", pa.string()), ("action", pa.string()), ("rendered", pa.string()), ("cost", pa.int64())])
         for b in batches:
             out = []
-            for conv, rows, entry, exit_, last in zip(*(b[n].to_pylist() for n in ("conv_id", "turns", "entry", "exit", "last"))):
+            for conv, rows, entry, exit_, last, cost in zip(*(b[n].to_pylist() for n in ("conv_id", "turns", "entry", "exit", "last", "cost"))):
+                begin = len(out)
                 opened, role = entry != START, ROLES[entry - 1] if entry != START else None
                 for row, (action, made) in zip(rows, repair([r["role"] for r in rows], entry, exit_)):
                     place = (conv, row["position"])
@@ -157,8 +174,9 @@ def format_conversations(conversations: DataFrame, *, block_turns: int = BLOCK_T
                     for k, role in enumerate(added):
                         out.append((conv, rows[-1]["position"], k + 1, None, None, role, "insert", FOOTER + HEADER.format(role=role)))
                     out[-1] = (*out[-1][:-1], out[-1][-1] + FOOTER)
+                out[begin:] = [(*piece, cost) for piece in out[begin:]]
             yield batch(schema, **{n: [r[i] for r in out] for i, n in enumerate(schema.names)})
 
     matrices = blocks.select("conv_id", "block", F.col("turns.role").alias("roles")).mapInArrow(costs, "conv_id long, block long, costs array<long>")
-    settled = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "costs"))).alias("matrices")).mapInArrow(settle, "conv_id long, block long, entry int, exit int, last boolean")
-    return blocks.join(settled, ["conv_id", "block"]).select("conv_id", "turns", "entry", "exit", "last").mapInArrow(render, "conv_id long, position long, part int, turn long, source_role string, role string, action string, rendered string")
+    settled = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "costs"))).alias("matrices")).mapInArrow(settle, "conv_id long, block long, entry int, exit int, last boolean, cost long")
+    return blocks.join(settled, ["conv_id", "block"]).select("conv_id", "turns", "entry", "exit", "last", "cost").mapInArrow(render, "conv_id long, position long, part int, turn long, source_role string, role string, action string, rendered string, cost long")
