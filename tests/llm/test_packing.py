@@ -59,3 +59,13 @@ def test_pack_empty_table(spark):
 def test_decreasing_order_is_used():
     bins, offsets = packed(np.array([10, 90, 50, 50]), 100)
     assert bins.tolist() == [0, 0, 1, 1] and offsets.tolist() == [90, 0, 0, 50]
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = {1: "The Tide, TURNS  slowly.\n\nX", 2: "", 3: None, 4: " <|endoftext|> é"}
+    rows = pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path).orderBy("doc_id", "start").collect()
+    got = {i: np.frombuffer(b"".join(bytes(r.ids) for r in rows if r.doc_id == i), "<u4").tolist() for i in texts}
+    known = Tokenizer.from_file(path)
+    assert got == {i: [*known.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}

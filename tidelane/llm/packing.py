@@ -11,6 +11,7 @@ are ignored. Texts of any length are cut into full sequences and one remainder.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -135,10 +136,18 @@ def pieces_of(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x, dtype=np.int64) for x in (docs, starts, lengths, bins, offsets))
 
 
+#: The normaliser and pre-tokeniser of the files that work chunk by chunk.
+BY_CHUNK = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
+
 class ChunkIds:
-    """The ids, as little-endian unsigned 32-bit bytes, of the chunks between ASCII white space.
+    """The ids of texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are its chunks' ids in a row.
+    A tokenizer with the settings of BY_CHUNK drops white space and no token crosses it, so a text's
+    ids are those of the chunks between ASCII white space, in a row. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -146,10 +155,17 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.by_chunk = (settings["normalizer"], settings["pre_tokenizer"]) == BY_CHUNK and all(t["content"].startswith("<|") for t in settings["added_tokens"])
         self.known: dict[bytes, bytes] = {}
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         for first in range(0, len(texts), 256):
+            if not self.by_chunk:
+                encoded = self.tokenizer.encode_batch_fast([t or "" for t in texts[first : first + 256]], add_special_tokens=False)
+                yield from (array("I", e.ids).tobytes() for e in encoded)
+                continue
             raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts[first : first + 256]]
             chunks = [(r if b"<|" in r else r.lower()).split() for r in raw]  # the tokenizer lower-cases all but the special tokens' strings
             if len(self.known) > CACHE:
