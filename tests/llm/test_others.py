@@ -3,25 +3,31 @@ import itertools
 import numpy as np
 import pytest
 
-from tidelane.llm.chat_format import ENDING, FAR, FOOTER, HEADER, NEXT, ROLES, START, STEPS, block_matrix, edges, format_conversations, repair
-from tidelane.llm.license_scan import TEMPLATES, scan, winnowed
+from tidelane.llm.chat_format import ENDING, FOOTER, HEADER, NEXT, ROLES, START, STEPS, block_matrix, edges, format_conversations, least_cost, repair
+from tidelane.llm.license_scan import TEMPLATES, banded, scan, winnowed
 from tidelane.llm.top_k import Best, Blocks, products, top_k
 
 
 def cheapest(roles):
-    """The least cost over all sequences of states."""
-    best = FAR
-    for states in itertools.product(range(4), repeat=len(roles)):
-        cost, at = 0, START
-        for role, s in zip(roles, states):
-            step = STEPS[role if role in ROLES else None].get((at, s))
-            if step is None:
-                break
-            cost, at = cost + step[0], s
-        else:
-            if at in ENDING:
-                best = min(best, cost + ENDING[at][0])
-    return best
+    """The least cost of any legal sequence, from the costs as they are said: 2 for another role, 1 to merge with an equal
+    role and 3 with another, 3 for an empty turn; every sequence that can be made is looked at."""
+    made = {(): 0}
+    for role in roles:
+        after = {}
+        for seq, cost in made.items():
+            own = [((r,), 0 if r == role else 2) for r in ROLES]
+            ways = [*own, *(((x, *r), c + 3) for x in ROLES for r, c in own), *([((), 1 if seq[-1] == role else 3)] if seq else [])]
+            for more, c in ways:
+                after[seq + more] = min(cost + c, after.get(seq + more, 99))
+        made = after
+    found = []
+    for seq, cost in made.items():
+        for n in range(3):
+            for added in itertools.product(ROLES, repeat=n):
+                whole = (seq + added)[(seq + added)[:1] == ("system",) :]
+                if whole and whole == ("user", "assistant") * (len(whole) // 2):
+                    found.append(cost + 3 * n)
+    return min(found)
 
 
 def cost_of(roles, size):
@@ -44,7 +50,8 @@ def test_repairs_are_cheapest_and_legal(size):
     for n in range(1, 6):
         for roles in itertools.product(("system", "user", "assistant", None), repeat=n):
             cost, made = cost_of(list(roles), size)
-            if n < 5:
+            assert cost == least_cost([block_matrix(list(roles[k : k + size])) for k in range(0, n, size)])
+            if n < 4:
                 assert cost == cheapest(roles)
             state = START
             for role in made:
@@ -56,10 +63,11 @@ def test_rendered_conversations(spark):
     turns = [(1, 0, "user", "Hi"), (1, 1, "user", "there"), (1, 2, "assistant", None), (2, 0, "assistant", "first"), (3, 5, "tool", "x"), (3, 5, "tool", "x"), (None, 0, "user", "lost")]
     turns += [(4, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(50)]
     rows = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, action string")
-    for size in (3, 4096):
-        got = sorted(format_conversations(rows, block_turns=size).collect(), key=lambda r: (r.conv_id, r.position, r.part))
+    for size in (800, 1 << 20):
+        got = sorted(format_conversations(rows, block_bytes=size).collect(), key=lambda r: (r.conv_id, r.position, r.part))
         text = {c: "".join(r.rendered for r in got if r.conv_id == c) for c in (1, 2, 3, 4)}
         h = {r: HEADER.format(role=r) for r in ROLES}
+        assert {(r.conv_id, r.cost) for r in got} == {(1, 1), (2, 3), (3, 4), (4, 0)}
         assert text[1] == h["user"] + "Hi\nthere" + FOOTER + h["assistant"] + FOOTER
         assert text[4] == "".join(h[("user", "assistant")[k % 2]] + f"t{k}" + FOOTER for k in range(50))
         assert text[2].startswith(h["user"]) and text[2].count("first") == 1 and text[3].count("x") == 2
@@ -83,6 +91,26 @@ def test_license_spans(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_banded_alignment_is_that_of_the_whole_table():
+    """Score and matched words of the best local alignment over all cells, with every tie counted."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        template = rng.integers(0, 40, 30)
+        text = [*rng.integers(0, 40, 15), *(w for w in template for _ in range(rng.choice([0, 1, 1, 1, 1, 1, 1, 2]))), *rng.integers(0, 40, 15)]
+        text = np.array([w if rng.random() > 0.1 else 99 for w in text])
+        cells = {(-1, j): {(0, 0)} for j in range(-1, len(text))} | {(i, -1): {(0, 0)} for i in range(len(template))}
+        best = {(0, 0)}
+        for i, w in enumerate(template):
+            for j, x in enumerate(text):
+                diagonal = {(s + 1, m + 1) if w == x else (s - 1, m) for s, m in cells[i - 1, j - 1]}
+                ways = diagonal | {(s - 1, m) for s, m in cells[i - 1, j] | cells[i, j - 1]}
+                top = max(s for s, _ in ways)
+                cells[i, j] = {c for c in ways if c[0] == top} if top > 0 else {(0, 0)}
+                best = max(best, cells[i, j], key=lambda c: max(c)[0]) if max(cells[i, j])[0] != max(best)[0] else best | cells[i, j]
+        matched, start, end = banded(template, text, 15, len(text))
+        assert matched in {m for _, m in best} and 0 <= start < end <= len(text)
+
+
 def test_winnowing_keeps_one_in_every_window():
     h = np.random.default_rng(2).integers(0, 50, 200).astype(np.uint64)
     kept = winnowed(h, 4)
