@@ -15,12 +15,14 @@ from tidelane.plans.registry import query
 from tidelane.sources import poi, requests, stores
 from tidelane.streaming import snapshots
 
-_MANIFEST = SLOTS + ", manifest AS (SELECT DISTINCT CAST(snapshot AS DATE) AS date, lpad(CAST(hour(snapshot) AS VARCHAR), 2, '0') || 'z' AS slot, variable FROM slots WHERE event_id % 40 < 2 OR snapshot < TIMESTAMP '2024-01-05')"
-_COMPLETE = _MANIFEST + ", complete AS (SELECT date, slot FROM manifest GROUP BY ALL HAVING count(DISTINCT variable) = 3)"
+_MANIFEST = SLOTS + ", manifest AS (SELECT DISTINCT CAST(snapshot AS DATE) AS date, lpad(CAST(hour(snapshot) AS VARCHAR), 2, '0') || 'z' AS slot, CASE WHEN event_id % 40 < 2 OR snapshot < TIMESTAMP '2024-01-05' THEN variable ELSE 'other' END AS variable FROM slots)"
+_COMPLETE = _MANIFEST + ", complete AS (SELECT date, slot FROM manifest WHERE variable <> 'other' GROUP BY ALL HAVING count(DISTINCT variable) = 3)"
 
 
 def _manifest(spark, sf_dir):
-    rows = slots(spark, sf_dir).filter((F.col("event_id") % 40 < 2) | (F.col("snapshot") < F.lit("2024-01-05").cast("timestamp_ntz")))
+    """date, slot, variable of the files that the events stand for; most of the later ones are of another variable, so that snapshots are incomplete."""
+    own = (F.col("event_id") % 40 < 2) | (F.col("snapshot") < F.lit("2024-01-05").cast("timestamp_ntz"))
+    rows = slots(spark, sf_dir).withColumn("variable", F.when(own, F.col("variable")).otherwise("other"))
     slot = F.concat(F.lpad(F.hour("snapshot").cast("string"), 2, "0"), F.lit("z"))
     return rows.select(F.col("snapshot").cast("date").alias("date"), slot.alias("slot"), "variable").distinct()
 

@@ -13,10 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, lon, lat: a place for each part, the least part where several share it."""
+    """id, lon, lat: a place for each part; several may share one."""
     k = F.col("p_partkey")
-    at = table(spark, sf_dir, "part").select(k, (92 + (k * 37 % 490) / 10.0).alias("lon"), (-15 + (k * 53 % 250) / 10.0).alias("lat"))
-    return at.groupBy("lon", "lat").agg(F.min("p_partkey").alias("id")).select("id", "lon", "lat")
+    return table(spark, sf_dir, "part").select(k.alias("id"), (92 + (k * 37 % 490) / 10.0).alias("lon"), (-15 + (k * 53 % 250) / 10.0).alias("lat"))
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(snapshot.alias("snapshot"), variable.alias("variable"), "event_id", "ts")
 
 
-PARTS = "parts AS (SELECT min(p_partkey) AS id, lon, lat FROM (SELECT p_partkey, 92 + (p_partkey * 37 % 490) / 1e1 AS lon, -15 + (p_partkey * 53 % 250) / 1e1 AS lat FROM part) GROUP BY lon, lat)"
+PARTS = "parts AS (SELECT p_partkey AS id, 92 + (p_partkey * 37 % 490) / 1e1 AS lon, -15 + (p_partkey * 53 % 250) / 1e1 AS lat FROM part)"
 SUPPLIERS = "suppliers AS (SELECT s_suppkey AS id, 92 + (s_suppkey * 91 % 490) / 1e1 AS lon, -15 + (s_suppkey * 29 % 250) / 1e1 AS lat FROM supplier)"
 CELLS = """sums AS (SELECT CAST(l_suppkey % 25 AS INTEGER) AS row_i, CAST(l_partkey % 49 AS INTEGER) AS col_j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2),
 cells AS (SELECT row_i, col_j, col_j + 92e0 AS lon, row_i - 15e0 AS lat, (q % 97) / 2e1 AS height, (q * 37 % 360) / 1e0 AS direction, 2 + ((q + n * 7) % 11) / 1e0 AS period FROM sums)"""

@@ -133,11 +133,11 @@ def visible_points(spark, sf_dir):
 
 
 @query(f"""WITH {PARTS}, {SUPPLIERS} SELECT p.id AS part_id, s.id AS supplier_id, {km('p.lon', 'p.lat', 's.lon', 's.lat')} AS km, {bearing('p.lon', 'p.lat', 's.lon', 's.lat')} AS bearing
-FROM parts p JOIN suppliers s ON p.id % 50 = s.id""")
+FROM parts p JOIN suppliers s ON p.id % 10 = s.id""")
 def haversine_bearing_pairs(spark, sf_dir):
     p, s = parts(spark, sf_dir).alias("p"), suppliers(spark, sf_dir).alias("s")
     ends = [F.col(c) for c in ("p.lon", "p.lat", "s.lon", "s.lat")]
-    return p.join(s, F.col("p.id") % 50 == F.col("s.id")).select(F.col("p.id").alias("part_id"), F.col("s.id").alias("supplier_id"), geo.haversine_km(*ends).alias("km"), geo.bearing_deg(*ends).alias("bearing"))
+    return p.join(s, F.col("p.id") % 10 == F.col("s.id")).select(F.col("p.id").alias("part_id"), F.col("s.id").alias("supplier_id"), geo.haversine_km(*ends).alias("km"), geo.bearing_deg(*ends).alias("bearing"))
 
 
 @query(f"WITH {CELLS} SELECT row_i, col_j, fmod(fmod(row_i * 15e0 - direction + 90, 360) + 360, 360) AS rel_heading FROM cells")

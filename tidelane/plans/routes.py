@@ -23,11 +23,11 @@ def lattice_nodes(spark, sf_dir):
     return water(spark)
 
 
-@query("""WITH grid AS (SELECT CAST(j AS INTEGER) AS row_j, CAST(i AS INTEGER) AS col_i, round(1165e-1 + i * 5e-1, 6) AS lon, round(-15 + j * 5e-1, 6) AS lat FROM range(50) a(j), range(49) b(i))
-SELECT CAST(col_i AS BIGINT) * 1000000 + row_j AS node_id, row_j, col_i, lon, lat FROM grid ORDER BY 1 LIMIT 1000""")
+@query("""WITH grid AS (SELECT CAST(j AS INTEGER) AS row_j, CAST(i AS INTEGER) AS col_i, round(1165e-1 + i * 5e-2, 6) AS lon, round(-15 + j * 5e-2, 6) AS lat FROM range(500) a(j), range(490) b(i))
+SELECT CAST(col_i AS BIGINT) * 1000000 + row_j AS node_id, row_j, col_i, lon, lat FROM grid ORDER BY 1 LIMIT 100000""")
 def lattice_grid(spark, sf_dir):
-    """The node cap is the feature: the first thousand cells, column by column."""
-    return lattice.numbered(lattice.grid(spark, 92.0, -15.0, 141.0, 10.0, 0.5), 1000)
+    """The node cap is the feature: the first hundred thousand cells, column by column."""
+    return lattice.numbered(lattice.grid(spark, 92.0, -15.0, 141.0, 10.0, 0.05), 100_000)
 
 
 #: A square with a square hole, and a triangle.
@@ -138,10 +138,10 @@ def edge_prediction_join(spark, sf_dir):
 
 @query(f"""WITH {WATER}, {RAYS}, {CELLS}, {MOVED} SELECT edge_id, a.lon AS src_lon, a.lat AS src_lat, b.lon AS dst_lon, b.lat AS dst_lat, blocked
 FROM moved m JOIN water a ON a.node_id = src JOIN water b ON b.node_id = dst
-WHERE blocked AND ((a.lon BETWEEN 95 AND 105 AND a.lat BETWEEN -12 AND -7) OR (b.lon BETWEEN 95 AND 105 AND b.lat BETWEEN -12 AND -7)) ORDER BY edge_id LIMIT 100""")
+WHERE blocked AND ((a.lon BETWEEN 95 AND 105 AND a.lat BETWEEN -12 AND -7) OR (b.lon BETWEEN 95 AND 105 AND b.lat BETWEEN -12 AND -7)) ORDER BY edge_id LIMIT 300000""")
 def blocked_edges_in_view(spark, sf_dir):
     """The limit is the feature: the first edges, by number, that a map shows."""
-    return motion.edges_in_view(_moved(spark, sf_dir).withColumn("edge_id", F.col("src") * 100_000_000 + F.col("dst")), water(spark), BOX, max_edges=100)
+    return motion.edges_in_view(_moved(spark, sf_dir).withColumn("edge_id", F.col("src") * 100_000_000 + F.col("dst")), water(spark), BOX)
 
 
 _SEARCH = """ways AS (SELECT u, v, min(w) AS w FROM (SELECT src AS u, dst AS v, weight AS w FROM graph UNION ALL SELECT dst, src, weight FROM graph) GROUP BY u, v),
