@@ -13,6 +13,7 @@ from tidelane.llm.jaccard_join import similar_documents
 from tidelane.llm.license_scan import scan
 from tidelane.llm.packing import pack
 from tidelane.llm.quality import quality
+from tidelane.llm.quality_rules import quality_rules
 from tidelane.llm.suffix_dedup import remove_repeats
 from tidelane.llm.suffix_tree_lm import scored
 from tidelane.llm.top_k import top_k
@@ -60,6 +61,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontamination": op2_decontamination,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_packing": op10_packing,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 OP1_SQL = """
