@@ -38,6 +38,11 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def scaled(value: Column, scale: int) -> Column:
+    """floor(scale * value) of a double as a long; an error, not a wrong number, from 2**53 on, where doubles leave integers out."""
+    return F.when(F.abs(value * scale) < float(1 << 53), F.floor(value * scale).cast("long")).otherwise(F.raise_error(F.lit("a component is too large to be scaled exactly")).cast("long"))
+
+
 def part_of(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
@@ -88,9 +93,9 @@ def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return placed_words(data, bounds)[:2]
 
 
-def placed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of each text, A-Z lower-cased, the bounds of each text's words,
-    and the first byte of each word and the byte after it.
+def placed_words(data: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each text, A-Z lower-cased, the bounds of each text's words, and the
+    first byte of each word and the byte after it. Words are [^\\x20\\x09-\\x0D]+, or runs of other bytes than the gaps.
 
     A word's hash is a polynomial in the multiplier over its bytes' random numbers, taken
     from running sums, so that no word becomes a Python object.
@@ -103,7 +108,7 @@ def placed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum(_values[data] * power, out=sums[1:])
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~_space[data]
+    inside[1:-1] = ~gaps[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[bounds] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelane.llm.chat_format import format_conversations
+from tidelane.llm.collocations import collocations
 from tidelane.llm.common import table
 from tidelane.llm.decontamination import overlaps
+from tidelane.llm.hard_negatives import hard_negatives
 from tidelane.llm.jaccard_join import similar_documents
 from tidelane.llm.license_scan import scan
 from tidelane.llm.packing import pack
@@ -61,6 +64,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, id_, label = table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("label").cast("long")
+    moved = F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(vectors.withColumn("label", moved), id_ % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -76,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_packing": op10_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -120,8 +135,55 @@ FROM p
 QUALIFY rank <= 10
 """
 
+OP11_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""
+
+OP12_SQL = """
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+    SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d
+), s AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p
+), n AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM s GROUP BY lang
+), g AS (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM s, range(1, 6) r(m) WHERE len(w) >= m
+), f AS (
+    SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+    SELECT lang, m, phrase, a, unnest(range(1, m)) AS k FROM f
+    WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM f x WHERE x.lang = f.lang AND x.m > f.m AND 100 * x.a >= 100 * f.a AND contains(' ' || x.phrase || ' ', ' ' || f.phrase || ' '))
+), q AS (
+    SELECT c.lang, c.phrase, c.a, c.k, l.a AS l, r.a AS r, n.n, CAST((CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+    FROM c JOIN n ON n.lang = c.lang
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:c.k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[c.k + 1:], ' ')
+), o AS (
+    SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000
+"""
+
 #: The other operators learn, hash, align or pack in ways that SQL can't express; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op5_top_k": OP5_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
