@@ -36,17 +36,18 @@ def node_key(lon: Column, lat: Column) -> Column:
     return F.concat_ws("_", lon.cast("string"), lat.cast("string"))
 
 
-def in_polygons(points: DataFrame, rings: DataFrame) -> DataFrame:
+def in_polygons(points: DataFrame, rings: DataFrame, band: float = 1.0) -> DataFrame:
     """point_id of the points inside a polygon or on its edge.
 
     points: point_id, lon, lat; rings: polygon_id, ring (closed array of struct lon, lat); holes are
     rings of the same polygon. A ray to the east crosses a polygon's rings an odd number of times.
-    The rings' boxes go to the points they may hold, by one-degree columns of longitude.
+    A ring's points become its segments first, one row each; segments and points meet in bands of
+    latitude, `band` degrees wide.
     """
-    segments = rings.select("polygon_id", F.posexplode(F.slice("ring", F.lit(1), F.greatest(F.size("ring") - 1, F.lit(0)))).alias("k", "a"), "ring")
-    segments = segments.select("polygon_id", F.col("a.lon").alias("x1"), F.col("a.lat").alias("y1"), F.col("ring")[F.col("k") + 1]["lon"].alias("x2"), F.col("ring")[F.col("k") + 1]["lat"].alias("y2"))
-    bands = segments.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))))
-    met = points.select("point_id", "lon", "lat", F.floor("lat").alias("band")).join(bands, "band")
+    ends = F.arrays_zip(F.expr("slice(ring, 1, greatest(size(ring) - 1, 0))").alias("a"), F.expr("slice(ring, 2, greatest(size(ring) - 1, 0))").alias("b"))
+    segments = rings.select("polygon_id", F.explode(ends).alias("s")).select("polygon_id", F.col("s.a.lon").alias("x1"), F.col("s.a.lat").alias("y1"), F.col("s.b.lon").alias("x2"), F.col("s.b.lat").alias("y2"))
+    bands = segments.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band))))
+    met = points.select("point_id", "lon", "lat", F.floor(F.col("lat") / band).alias("band")).join(bands, "band")
     side = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) - (F.col("lon") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     on = (side == 0) & F.col("lon").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("lat").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
     spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
@@ -93,23 +94,45 @@ def component_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
-def connect_components(nodes: DataFrame, edges: DataFrame, unit: str = "km") -> DataFrame:
-    """Edges that join the components, one after the other by their least node, to the growing one of the least node.
+def closest_pairs(labels: DataFrame, width: float) -> DataFrame:
+    """component, m (d2, src, dst): of each component but the least, the closest pair with any node of a smaller component.
 
-    Each edge is the closest pair (d2, a, b) between the component and what is joined so far. The
-    order makes the work sequential: one nearest-neighbour join for each component.
+    labels: node_id, component, lon, lat. Ties go to the smaller src, then the smaller dst. All
+    components seek at once, in rounds over a grid whose cells double from `width`: cells first, and
+    only cells near a smaller component's send their nodes to be compared. A component is settled
+    once its best pair is no longer than a cell is wide, as nothing outside the nine cells can be closer.
     """
-    labels = saved(component_of(nodes, edges).join(nodes, "node_id"))
-    names = [r[0] for r in labels.select("component").distinct().orderBy("component").collect()]
-    pairs, joined = None, names[:1]
-    for name in names[1:]:
-        main = labels.filter(F.col("component").isin(joined)).select(F.col("node_id").alias("target_id"), F.col("lon").alias("tx"), F.col("lat").alias("ty"))
-        own = labels.filter(F.col("component") == name).select(F.col("node_id").alias("probe_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-        best = nearest(own, main).groupBy().agg(F.min(F.struct("d2", "probe_id", "target_id")).alias("m")).select(F.col("m.probe_id").alias("src"), F.col("m.target_id").alias("dst"), F.col("m.d2").alias("d2"))
-        pairs = best if pairs is None else pairs.unionByName(best)
-        joined.append(name)
-    if pairs is None:
-        return edges.limit(0).select("src", "dst", "weight", "bearing")
+    bounds = labels.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat"), F.min("component")).first()
+    span = max(bounds[1] - bounds[0], bounds[3] - bounds[2]) if bounds[0] is not None else 0.0
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    left = labels.filter(F.col("component") > bounds[4]).select("component").distinct() if bounds[4] is not None else labels.select("component").limit(0)
+    found = None
+    while True:
+        at = labels.select("node_id", "component", "lon", "lat", F.floor(F.col("lon") / width).alias("cx"), F.floor(F.col("lat") / width).alias("cy"))
+        seekers = at.join(left, "component", "left_semi")
+        cells = seekers.select("component", "cx", "cy").distinct().select("component", "cx", "cy", around.alias("o"))
+        near = cells.select("component", "cx", "cy", (F.col("cx") + F.col("o.i")).alias("nx"), (F.col("cy") + F.col("o.j")).alias("ny"))
+        others = at.select(F.col("component").alias("other"), F.col("cx").alias("nx"), F.col("cy").alias("ny")).distinct()
+        met = near.join(others, ["nx", "ny"]).filter("other < component")
+        targets = at.select(F.col("component").alias("other"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("node_id").alias("dst"), F.col("lon").alias("tx"), F.col("lat").alias("ty"))
+        pairs = seekers.select("component", "cx", "cy", F.col("node_id").alias("src"), "lon", "lat").join(met, ["component", "cx", "cy"]).join(targets, ["other", "nx", "ny"])
+        d2 = (F.col("lon") - F.col("tx")) * (F.col("lon") - F.col("tx")) + (F.col("lat") - F.col("ty")) * (F.col("lat") - F.col("ty"))
+        best = saved(pairs.groupBy("component").agg(F.min(F.struct(d2.alias("d2"), "src", "dst")).alias("m")))
+        sure = best if width > span else best.filter(F.col("m.d2") <= width * width)
+        found = sure if found is None else found.unionByName(sure)
+        left = saved(left.join(sure.select("component"), "component", "left_anti"))
+        if width > span or left.isEmpty():
+            return found
+        width *= 2
+
+
+def connect_components(nodes: DataFrame, edges: DataFrame, unit: str = "km") -> DataFrame:
+    """Edges that join the components: of each but the one of the least node, the closest pair with the components of smaller least nodes."""
+    labels = saved(component_of(nodes, edges).join(nodes, "node_id").select("node_id", "component", "lon", "lat"))
+    size = labels.agg(F.count("*"), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    # About two nodes a cell at first, were they spread evenly.
+    width = max(size[2] - size[1], size[4] - size[3], 1e-9) / max(1.0, (size[0] / 2.0) ** 0.5) if size[0] else 1.0
+    pairs = closest_pairs(labels, width).select(F.col("m.src").alias("src"), F.col("m.dst").alias("dst"), F.col("m.d2").alias("d2"))
     return _connector(pairs, nodes, unit)
 
 

@@ -10,7 +10,7 @@ from tidelane.functions import display
 from tidelane.operators import charts
 from tidelane.operators.materialise import work_dir
 from tidelane.operators.nearest import nearest_poi
-from tidelane.plans.derived import SLOTS, SUPPLIERS, slots, suppliers, table
+from tidelane.plans.derived import PARTS, SLOTS, SUPPLIERS, parts, slots, suppliers, table
 from tidelane.plans.registry import query
 from tidelane.sources import poi, requests, stores
 from tidelane.streaming import snapshots
@@ -73,20 +73,26 @@ def location_gate(spark, sf_dir):
     return requests.addable(rows, rows.filter("c_custkey < 3")).select("c_custkey")
 
 
-_SITES = ", ".join(f"({(0 if c == 'LNG' else 100) + k}, '{n}', {lon!r}::DOUBLE, {lat!r}::DOUBLE)" for c, rows in poi.SITES.items() for k, (n, lon, lat) in enumerate(rows))
+def _sites(spark, sf_dir):
+    """poi_id, category, name, lon, lat: the suppliers as places, by their nations' regions."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    region = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("category"))
+    named = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_nationkey").join(region, "s_nationkey")
+    return named.join(suppliers(spark, sf_dir), "id").select(F.col("id").alias("poi_id"), "category", "name", "lon", "lat")
 
 
-@query(f"""WITH {SUPPLIERS}, sites AS (SELECT * FROM (VALUES {_SITES}) t(id, name, lon, lat)), near AS (
-SELECT p.id AS probe_id, s.name, (p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat) AS d2, row_number() OVER (PARTITION BY p.id ORDER BY (p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat), s.id) AS k FROM suppliers p, sites s)
-SELECT probe_id, CASE WHEN d2 <= 9 THEN name ELSE 'Unknown location' END AS place FROM near WHERE k = 1""")
+@query(f"""WITH {PARTS}, {SUPPLIERS}, near AS (
+SELECT p.id AS probe_id, s_name AS name, (p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat) AS d2, row_number() OVER (PARTITION BY p.id ORDER BY (p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat), s.id) AS k FROM parts p, suppliers s JOIN supplier ON s_suppkey = s.id)
+SELECT probe_id, CASE WHEN d2 <= 2.25 THEN name ELSE 'Unknown location' END AS place FROM near WHERE k = 1""")
 def nearest_poi_or_default(spark, sf_dir):
-    clicks = suppliers(spark, sf_dir).select(F.col("id").alias("probe_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return nearest_poi(clicks, poi.sites(spark), 3.0, "Unknown location")
+    clicks = parts(spark, sf_dir).select(F.col("id").alias("probe_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return nearest_poi(clicks, _sites(spark, sf_dir), 1.5, "Unknown location")
 
 
-@query(f"SELECT category, count(*) AS n FROM (SELECT CASE WHEN id < 100 THEN 'LNG' ELSE 'Gas' END AS category FROM (VALUES {_SITES}) t(id, name, lon, lat)) GROUP BY category")
+@query(f"WITH {SUPPLIERS} SELECT r_name AS category, s_name AS name, round(s.lon, 6) AS lon, round(s.lat, 6) AS lat FROM suppliers s JOIN supplier ON s_suppkey = s.id JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
 def poi_dimension(spark, sf_dir):
-    return poi.sites(spark).groupBy("category").agg(F.count("*").alias("n"))
+    """The places listed by category, and the lists as rows again."""
+    return poi.flat(poi.by_category(_sites(spark, sf_dir))).select("category", "name", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 @query("""SELECT event_id, strftime(ts, '%Y%m%d') AS date_key, strftime(ts, '%B ') || day(ts) || CASE WHEN day(ts) BETWEEN 11 AND 13 THEN 'th' WHEN day(ts) % 10 = 1 THEN 'st' WHEN day(ts) % 10 = 2 THEN 'nd' WHEN day(ts) % 10 = 3 THEN 'rd' ELSE 'th' END || strftime(ts, ', %Y') AS spelled, CAST(CAST(ts AS DATE) - 3 AS VARCHAR) AS before FROM events""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.operators.lattice import numbered
@@ -36,12 +36,33 @@ def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).withColumn("height", F.when((F.col("row_i") * 3 + F.col("col_j")) % 7 != 0, F.col("height")))
 
 
-def water(spark: SparkSession) -> DataFrame:
-    """The lattice's nodes: two basins, and one cell alone."""
-    r, c = (F.col("id") % 25).cast("int"), F.floor(F.col("id") / 25).cast("int")
-    at = spark.range(25 * 49).select(r.alias("row_j"), c.alias("col_i"), (c + 92.0).alias("lon"), (r - 15.0).alias("lat"))
-    basin = (F.col("row_j") <= 9) & ((F.col("col_i") <= 19) | (F.col("col_i") >= 32)) & ((F.col("row_j") * 7 + F.col("col_i") * 11) % 5 != 0)
-    return numbered(at.filter(basin | ((F.col("row_j") == 24) & (F.col("col_i") == 26))))
+def water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lattice's nodes: a cell for each part, 50 columns wide and as long as the table, without those on land.
+
+    A basin in the west runs along all rows, basins in the east end every hundred rows, and between them lie cells alone.
+    """
+    k = F.col("p_partkey")
+    r, c = F.floor(k / 50).cast("int"), (k % 50).cast("int")
+    at = table(spark, sf_dir, "part").select(r.alias("row_j"), c.alias("col_i"), (c / 64.0 + 92.0).alias("lon"), (r / 64.0 - 15.0).alias("lat"))
+    open_ = (F.col("row_j") * 7 + F.col("col_i") * 11) % 5 != 0
+    basins = (F.col("col_i") <= 16) | ((F.col("col_i") >= 37) & (F.col("row_j") % 100 < 88))
+    return numbered(at.filter(basins & open_ | ((F.col("col_i") == 26) & (F.col("row_j") % 30 == 10))))
+
+
+def in_cells(nodes: DataFrame) -> DataFrame:
+    """The nodes with the row and column of the wave cell that covers them: the cells repeat over the lattice."""
+    return nodes.withColumn("row_j", F.col("row_j") % 25).withColumn("col_i", F.col("col_i") % 49)
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """polygon_id, ring: a square of water around each supplier, every other one with a square island."""
+    def square(half: float) -> Column:
+        corners = [(-half, -half), (half, -half), (half, half), (-half, half), (-half, -half)]
+        return F.array(*[F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat")) for x, y in corners])
+
+    own = suppliers(spark, sf_dir)
+    outer = own.select(F.col("id").alias("polygon_id"), square(0.453125).alias("ring"))
+    return outer.unionByName(own.filter("id % 2 = 0").select(F.col("id").alias("polygon_id"), square(0.140625).alias("ring")))
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +78,11 @@ SUPPLIERS = "suppliers AS (SELECT s_suppkey AS id, 92 + (s_suppkey * 91 % 490) /
 CELLS = """sums AS (SELECT CAST(l_suppkey % 25 AS INTEGER) AS row_i, CAST(l_partkey % 49 AS INTEGER) AS col_j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2),
 cells AS (SELECT row_i, col_j, col_j + 92e0 AS lon, row_i - 15e0 AS lat, (q % 97) / 2e1 AS height, (q * 37 % 360) / 1e0 AS direction, 2 + ((q + n * 7) % 11) / 1e0 AS period FROM sums)"""
 GAPPY = CELLS + ",\ngappy AS (SELECT * REPLACE (CASE WHEN (row_i * 3 + col_j) % 7 <> 0 THEN height END AS height) FROM cells)"
-WATER = """water AS (SELECT CAST(c * 1000000 + r AS BIGINT) AS node_id, CAST(r AS INTEGER) AS row_j, CAST(c AS INTEGER) AS col_i, c + 92e0 AS lon, r - 15e0 AS lat FROM range(25) a(r), range(49) b(c)
-    WHERE (r <= 9 AND (c <= 19 OR c >= 32) AND (r * 7 + c * 11) % 5 <> 0) OR (r = 24 AND c = 26))"""
+WATER = """lattice AS (SELECT CAST(p_partkey // 50 AS INTEGER) AS r, CAST(p_partkey % 50 AS INTEGER) AS c FROM part),
+water AS (SELECT CAST(c AS BIGINT) * 1000000 + r AS node_id, r AS row_j, c AS col_i, c / 64e0 + 92e0 AS lon, r / 64e0 - 15e0 AS lat FROM lattice
+    WHERE ((c <= 16 OR (c >= 37 AND r % 100 < 88)) AND (r * 7 + c * 11) % 5 <> 0) OR (c = 26 AND r % 30 = 10))"""
+#: A point (x, y) is in a supplier's ring and not on its island.
+IN_RING = """(abs_x <= 453125e-6 AND abs_y <= 453125e-6 AND NOT (s.id % 2 = 0 AND abs_x < 140625e-6 AND abs_y < 140625e-6))"""
 SLOTS = "slots AS (SELECT date_trunc('day', ts) + to_hours(CAST(floor(hour(ts) / 6) * 6 AS INTEGER)) AS snapshot, ['htsgwsfc', 'dirpwsfc', 'perpwsfc'][event_id % 3 + 1] AS variable, event_id, ts FROM events)"
 
 
@@ -85,7 +109,7 @@ LINKED = f"""pairs AS (SELECT a.node_id AS src, b.node_id AS dst, a.lon AS lon1,
 linked AS (SELECT src, dst, {km('lon1', 'lat1', 'lon2', 'lat2')} AS weight, {bearing('lon1', 'lat1', 'lon2', 'lat2')} AS bearing FROM pairs WHERE nth = 1)"""
 #: Rays with motions and blocks by the default scorer; edge_id is made of source and target.
 MOVED = """featured AS (SELECT r.src, r.dst, r.weight, r.bearing, c.height, c.period, fmod(fmod(r.bearing - c.direction + 90, 360) + 360, 360) AS heading
-    FROM rays r JOIN water n ON n.node_id = r.src LEFT JOIN cells c ON c.row_i = n.row_j AND c.col_j = n.col_i),
+    FROM rays r JOIN water n ON n.node_id = r.src LEFT JOIN cells c ON c.row_i = n.row_j % 25 AND c.col_j = n.col_i % 49),
 motions AS (SELECT src, dst, weight, bearing,
     round(coalesce(8e-1 * height + 22e-1 * abs(sin(radians(heading))) + 1e-1 * period, 0), 6) AS roll,
     round(coalesce(12e-2 * height + 1e-2 * period + 1e-2 * 1, 0), 6) AS heave,

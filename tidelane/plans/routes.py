@@ -9,55 +9,68 @@ from pyspark.sql import functions as F
 from tidelane.operators import charts, lattice, motion, route
 from tidelane.operators.materialise import saved, work_dir
 from tidelane.operators.nearest import nearest
-from tidelane.plans.derived import ALONE, CELLS, LINKED, MOVED, RAYS, WATER, bearing, cells, km, water
+from tidelane.plans.derived import ALONE, CELLS, IN_RING, LINKED, MOVED, PARTS, RAYS, SUPPLIERS, WATER, bearing, cells, in_cells, km, parts, rings, water
 from tidelane.plans.registry import query
 from tidelane.sources import stores
 
-#: A node in the west of the western basin, one in its east, and one in the other basin.
-START, END, FAR = 1_000_004, 18_000_005, 40_000_001
-BOX = (95.0, -12.0, 105.0, -7.0)
+#: A node in the west, the last one of another of its columns, and one in an eastern basin.
+START = 1_000_003
+END, FAR = ("SELECT max(node_id) FROM water WHERE col_i = 15", "SELECT min(node_id) FROM water WHERE col_i = 40")
+BOX = (92.1, -14.9, 92.6, -14.4)
+
+
+def _end(nodes):
+    """The number of END, one value."""
+    return nodes.filter("col_i = 15").agg(F.max("node_id")).first()[0]
+
+
+def _far(nodes):
+    return nodes.filter("col_i = 40").agg(F.min("node_id")).first()[0]
 
 
 @query(f"WITH {WATER} SELECT node_id, row_j, col_i, lon, lat FROM water")
 def lattice_nodes(spark, sf_dir):
-    return water(spark)
+    return water(spark, sf_dir)
 
 
-@query("""WITH grid AS (SELECT CAST(j AS INTEGER) AS row_j, CAST(i AS INTEGER) AS col_i, round(1165e-1 + i * 5e-2, 6) AS lon, round(-15 + j * 5e-2, 6) AS lat FROM range(500) a(j), range(490) b(i))
-SELECT CAST(col_i AS BIGINT) * 1000000 + row_j AS node_id, row_j, col_i, lon, lat FROM grid ORDER BY 1 LIMIT 100000""")
-def lattice_grid(spark, sf_dir):
-    """The node cap is the feature: the first hundred thousand cells, column by column."""
-    return lattice.numbered(lattice.grid(spark, 92.0, -15.0, 141.0, 10.0, 0.05), 100_000)
+_EXTENT = """ends AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1, 1e0 / greatest(1, count(*) // 500) AS d FROM parts),
+lines AS (SELECT *, unnest(range(CAST(ceil((y1 - y0) / d) AS BIGINT))) AS j FROM ends), places AS (SELECT *, unnest(range(CAST(ceil((x1 - (x0 + (x1 - x0) * 5e-1)) / d) AS BIGINT))) AS i FROM lines),
+grid AS (SELECT CAST(j AS INTEGER) AS row_j, CAST(i AS INTEGER) AS col_i, round(x0 + (x1 - x0) * 5e-1 + i * d, 6) AS lon, round(y0 + j * d, 6) AS lat FROM places)"""
+
+
+def _extent(spark, sf_dir):
+    """The extent of the parts' places, and a spacing that narrows as they get more."""
+    ends = parts(spark, sf_dir).agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat"), F.count("*")).first()
+    return *ends[:4], 1.0 / max(1, ends[4] // 500)
 
 
-#: A square with a square hole, and a triangle.
-RINGS = [("square", [(95.0, -12.0), (105.0, -12.0), (105.0, -2.0), (95.0, -2.0), (95.0, -12.0)]), ("square", [(98.0, -9.0), (102.0, -9.0), (102.0, -5.0), (98.0, -5.0), (98.0, -9.0)]), ("triangle", [(120.0, -14.0), (130.0, -14.0), (125.0, 6.0), (120.0, -14.0)])]
+@query(f"WITH {PARTS}, {_EXTENT} SELECT CAST(col_i AS BIGINT) * 1000000 + row_j AS node_id, row_j, col_i, lon, lat FROM grid ORDER BY 1 LIMIT 100000")
+def lattice_grid(spark, sf_dir):
+    """The node cap is the feature: the first hundred thousand cells, column by column."""
+    return lattice.numbered(lattice.grid(spark, *_extent(spark, sf_dir)), 100_000)
 
 
-@query(f"""WITH {WATER}, all_cells AS (SELECT CAST(c * 1000000 + r AS BIGINT) AS point_id, c + 92e0 AS x, r - 15e0 AS y FROM range(25) a(r), range(49) b(c))
-SELECT point_id FROM all_cells WHERE (x BETWEEN 95 AND 105 AND y BETWEEN -12 AND -2 AND NOT (x > 98 AND x < 102 AND y > -9 AND y < -5))
-OR (y >= -14 AND y <= 6 AND x >= 120 + (y + 14) / 4 AND x <= 130 - (y + 14) / 4)""")
+@query(f"""WITH {PARTS}, {SUPPLIERS}, near AS (SELECT p.id AS point_id, s.id, abs(p.lon - s.lon) AS abs_x, abs(p.lat - s.lat) AS abs_y FROM parts p, suppliers s)
+SELECT DISTINCT point_id FROM near s WHERE {IN_RING}""")
 def point_in_polygon(spark, sf_dir):
-    r, c = F.col("id") % 25, F.floor(F.col("id") / 25)
-    points = spark.range(25 * 49).select((c * 1_000_000 + r).alias("point_id"), (c + 92.0).alias("lon"), (r - 15.0).alias("lat"))
-    rings = spark.createDataFrame(RINGS, "polygon_id string, ring array<struct<lon: double, lat: double>>")
-    return lattice.in_polygons(points, rings)
+    """The parts in the suppliers' waters."""
+    return lattice.in_polygons(parts(spark, sf_dir).withColumnRenamed("id", "point_id"), rings(spark, sf_dir))
 
 
 @query(f"WITH {WATER}, {RAYS} SELECT src, dst, weight, bearing FROM rays")
 def ray_edges(spark, sf_dir):
-    return lattice.ray_edges(water(spark))
+    return lattice.ray_edges(water(spark, sf_dir))
 
 
 @query(f"WITH {WATER}, {RAYS}, {ALONE} SELECT node_id, row_j, col_i, lon, lat FROM alone")
 def isolated_nodes(spark, sf_dir):
-    nodes = water(spark)
+    nodes = water(spark, sf_dir)
     return lattice.isolated(nodes, lattice.ray_edges(nodes))
 
 
 @query(f"WITH {WATER}, {RAYS}, {ALONE}, {LINKED} SELECT src, dst, weight, bearing FROM linked")
 def connect_isolated(spark, sf_dir):
-    nodes = water(spark)
+    nodes = water(spark, sf_dir)
     return lattice.connect_isolated(nodes, saved(lattice.ray_edges(nodes)))
 
 
@@ -68,13 +81,13 @@ reached AS (SELECT node_id AS node, node_id AS label FROM water UNION SELECT r.n
 
 @query(_LABELS + "SELECT node AS node_id, min(label) AS component FROM reached GROUP BY node")
 def component_labels(spark, sf_dir):
-    nodes = water(spark)
+    nodes = water(spark, sf_dir)
     return lattice.component_of(nodes, lattice.ray_edges(nodes))
 
 
 @query(_LABELS + "SELECT count(*) AS components, max(n) AS largest, count(*) = 1 AS connected FROM (SELECT component, count(*) AS n FROM (SELECT node, min(label) AS component FROM reached GROUP BY node) GROUP BY component)")
 def component_count(spark, sf_dir):
-    nodes = water(spark)
+    nodes = water(spark, sf_dir)
     sizes = lattice.component_of(nodes, lattice.ray_edges(nodes)).groupBy("component").agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("components"), F.max("n").alias("largest"), (F.count("*") == 1).alias("connected"))
 
@@ -92,24 +105,22 @@ built AS (SELECT * FROM first_edges UNION ALL SELECT src, dst, {km('lon1', 'lat1
 @query(f"WITH RECURSIVE {WATER}, {_BUILT} SELECT src, dst, weight, bearing, true AS connected FROM built")
 def component_repair(spark, sf_dir):
     """All edges of the repaired lattice, and that it is connected."""
-    nodes = water(spark)
+    nodes = water(spark, sf_dir)
     edges = lattice.built(nodes)
     one = lattice.component_of(nodes, edges).agg((F.count_distinct("component") == 1).alias("connected"))
     return edges.join(F.broadcast(one))
 
 
-#: Two waters apart for the build from polygons, in the right half of the extent.
-BASINS = [("triangle", [(120.0, -14.0), (130.0, -14.0), (125.0, 6.0), (120.0, -14.0)]), ("box", [(134.0, -12.0), (138.0, -12.0), (138.0, -8.0), (134.0, -8.0), (134.0, -12.0)])]
-_BASIN_WATER = """water AS (SELECT CAST(i AS BIGINT) * 1000000 + j AS node_id, CAST(j AS INTEGER) AS row_j, CAST(i AS INTEGER) AS col_i, round(1165e-1 + i, 6) AS lon, round(-15e0 + j, 6) AS lat FROM range(25) a(j), range(25) b(i)
-    WHERE (1165e-1 + i BETWEEN 134 AND 138 AND j - 15 BETWEEN -12 AND -8) OR (j - 15 BETWEEN -14 AND 6 AND 1165e-1 + i >= 120 + (j - 15 + 14) / 4e0 AND 1165e-1 + i <= 130 - (j - 15 + 14) / 4e0))"""
+_BASIN_WATER = f"""{PARTS}, {SUPPLIERS}, {_EXTENT}, cells_of AS (SELECT CAST(col_i AS BIGINT) * 1000000 + row_j AS node_id, * FROM grid),
+met AS (SELECT g.node_id, s.id, abs(g.lon - s.lon) AS abs_x, abs(g.lat - s.lat) AS abs_y FROM cells_of g, suppliers s),
+water AS (SELECT node_id, row_j, col_i, lon, lat FROM cells_of WHERE node_id IN (SELECT node_id FROM met s WHERE {IN_RING}))"""
 
 
 @query(f"WITH RECURSIVE {_BASIN_WATER}, {_BUILT} SELECT src, dst, round(weight, 6) AS weight, round(bearing, 6) AS bearing, a.lon, a.lat FROM built JOIN water a ON a.node_id = src")
 def lattice_build(spark, sf_dir):
-    """The whole build: the lattice's cells within the polygons, rays, repairs, written to the store as a graph and read again."""
-    rings = spark.createDataFrame(BASINS, "polygon_id string, ring array<struct<lon: double, lat: double>>")
-    nodes = lattice.numbered(lattice.grid(spark, 92.0, -15.0, 141.0, 10.0, 1.0))
-    inside = lattice.in_polygons(nodes.select(F.col("node_id").alias("point_id"), "lon", "lat"), rings).withColumnRenamed("point_id", "node_id")
+    """The whole build: a lattice over the parts' extent, its cells within the suppliers' waters, rays, repairs, written to the store as a graph and read again."""
+    nodes = lattice.numbered(lattice.grid(spark, *_extent(spark, sf_dir)))
+    inside = lattice.in_polygons(nodes.select(F.col("node_id").alias("point_id"), "lon", "lat"), rings(spark, sf_dir)).withColumnRenamed("point_id", "node_id")
     nodes = saved(nodes.join(inside, "node_id", "left_semi"))
     path = f"{work_dir(spark).rstrip('/')}/lattice-{uuid.uuid4().hex}"
     stores.write_graph(nodes, lattice.built(nodes), path)
@@ -118,8 +129,8 @@ def lattice_build(spark, sf_dir):
 
 
 def _moved(spark, sf_dir):
-    nodes = water(spark)
-    return motion.scored(motion.features(lattice.ray_edges(nodes), nodes, cells(spark, sf_dir)))
+    nodes = water(spark, sf_dir)
+    return motion.scored(motion.features(lattice.ray_edges(nodes), in_cells(nodes), cells(spark, sf_dir)))
 
 
 @query(f"WITH {WATER}, {RAYS}, {CELLS}, {MOVED} SELECT src, dst, roll, heave, pitch, blocked FROM moved")
@@ -133,15 +144,15 @@ FROM rays r LEFT JOIN kept k ON k.src = r.src AND k.dst = r.dst""")
 def edge_prediction_join(spark, sf_dir):
     """Predictions stored for two thirds of the edges; the others miss."""
     stored = _moved(spark, sf_dir).filter((F.col("src") + F.col("dst")) % 3 != 0)
-    return motion.with_predictions(lattice.ray_edges(water(spark)), stored)
+    return motion.with_predictions(lattice.ray_edges(water(spark, sf_dir)), stored)
 
 
 @query(f"""WITH {WATER}, {RAYS}, {CELLS}, {MOVED} SELECT edge_id, a.lon AS src_lon, a.lat AS src_lat, b.lon AS dst_lon, b.lat AS dst_lat, blocked
 FROM moved m JOIN water a ON a.node_id = src JOIN water b ON b.node_id = dst
-WHERE blocked AND ((a.lon BETWEEN 95 AND 105 AND a.lat BETWEEN -12 AND -7) OR (b.lon BETWEEN 95 AND 105 AND b.lat BETWEEN -12 AND -7)) ORDER BY edge_id LIMIT 300000""")
+WHERE blocked AND ((a.lon BETWEEN 921e-1 AND 926e-1 AND a.lat BETWEEN -149e-1 AND -144e-1) OR (b.lon BETWEEN 921e-1 AND 926e-1 AND b.lat BETWEEN -149e-1 AND -144e-1)) ORDER BY edge_id LIMIT 300000""")
 def blocked_edges_in_view(spark, sf_dir):
     """The limit is the feature: the first edges, by number, that a map shows."""
-    return motion.edges_in_view(_moved(spark, sf_dir).withColumn("edge_id", F.col("src") * 100_000_000 + F.col("dst")), water(spark), BOX)
+    return motion.edges_in_view(_moved(spark, sf_dir).withColumn("edge_id", F.col("src") * 100_000_000 + F.col("dst")), water(spark, sf_dir), BOX)
 
 
 _SEARCH = """ways AS (SELECT u, v, min(w) AS w FROM (SELECT src AS u, dst AS v, weight AS w FROM graph UNION ALL SELECT dst, src, weight FROM graph) GROUP BY u, v),
@@ -150,34 +161,32 @@ _PARENTS = """parents AS (SELECT v, u AS parent FROM (SELECT e.v, e.u, row_numbe
 _PATH = """walk(node_id, back) AS (SELECT CAST({end} AS BIGINT), 0 WHERE EXISTS (SELECT 1 FROM found WHERE v = {end}) UNION ALL SELECT p.parent, w.back + 1 FROM walk w JOIN parents p ON p.v = w.node_id WHERE w.node_id <> {start})"""
 
 
-def _route_sql(graph: str, end: int = END) -> str:
-    search = ", ".join((_SEARCH, _PARENTS, _PATH)).format(start=START, end=end)
-    return f"WITH RECURSIVE {WATER}, {RAYS}, {CELLS}, {MOVED}, graph AS ({graph}), {search}\n"
+def _route_sql(graph: str, end: str = END) -> str:
+    search = ", ".join((_SEARCH, _PARENTS, _PATH)).format(start=START, end="(SELECT b FROM ends)")
+    return f"WITH RECURSIVE {WATER}, {RAYS}, {CELLS}, {MOVED}, graph AS ({graph}), ends AS (SELECT ({end}) AS b), {search}\n"
 
 
 _STEPS = "SELECT CAST((SELECT max(back) FROM walk) - back AS BIGINT) AS step, node_id, round(d, 6) AS dist FROM walk JOIN found ON v = node_id"
 
 
-def _route(spark, sf_dir, safe, end=END):
-    edges = saved(_moved(spark, sf_dir))
-    graph = edges.filter("NOT blocked") if safe else edges
-    dist = route.distances(graph, START, end)
-    parent = saved(route.parents(dist, graph))
-    return edges, dist, route.path(parent, dist, START, end)
+def _route(graph, start, end):
+    dist = route.distances(graph, start, end)
+    return route.path(saved(route.parents(dist, graph)), dist, start, end)
 
 
 @query(_route_sql("SELECT * FROM rays") + _STEPS)
 def shortest_route(spark, sf_dir):
-    return _route(spark, sf_dir, False)[2].withColumn("dist", F.round("dist", 6))
+    nodes = water(spark, sf_dir)
+    return _route(saved(lattice.ray_edges(nodes)), START, _end(nodes)).withColumn("dist", F.round("dist", 6))
 
 
 @query(_route_sql("SELECT * FROM moved WHERE NOT blocked") + _STEPS)
 def safest_route(spark, sf_dir):
-    return _route(spark, sf_dir, True)[2].withColumn("dist", F.round("dist", 6))
+    return _route(saved(_moved(spark, sf_dir).filter("NOT blocked")), START, _end(water(spark, sf_dir))).withColumn("dist", F.round("dist", 6))
 
 
 #: A request's coordinates, start and end.
-ASKED = ((93.2, -11.3), (109.6, -9.8))
+ASKED = ((92.02, -14.97), (92.23, -14.5))
 _NEAREST = "(SELECT node_id FROM water ORDER BY (lon - {0!r}) * (lon - {0!r}) + (lat - {1!r}) * (lat - {1!r}), node_id LIMIT 1)"
 
 
@@ -190,37 +199,51 @@ def _asked_sql() -> str:
 @query(_asked_sql() + _STEPS)
 def requested_route(spark, sf_dir):
     """The safest route between the water nodes nearest to a request's coordinates."""
-    nodes = water(spark)
+    nodes = water(spark, sf_dir)
     places = spark.createDataFrame([(k, *at) for k, at in enumerate(ASKED)], "probe_id long, x double, y double")
     near = nearest(places, nodes.select(F.col("node_id").alias("target_id"), F.col("lon").alias("tx"), F.col("lat").alias("ty")))
     start, end = (r.target_id for r in near.orderBy("probe_id").collect())  # two rows
     graph = saved(_moved(spark, sf_dir).filter("NOT blocked"))
-    dist = route.distances(graph, start, end)
-    return route.path(saved(route.parents(dist, graph)), dist, start, end).withColumn("dist", F.round("dist", 6))
+    return _route(graph, start, end).withColumn("dist", F.round("dist", 6))
 
 
 @query(_route_sql("SELECT * FROM rays", FAR) + _STEPS)
 def unreachable_route(spark, sf_dir):
-    return _route(spark, sf_dir, False, FAR)[2].withColumn("dist", F.round("dist", 6))
+    nodes = water(spark, sf_dir)
+    return _route(saved(lattice.ray_edges(nodes)), START, _far(nodes)).withColumn("dist", F.round("dist", 6))
 
 
-@query(_route_sql("SELECT * FROM rays") + f"""SELECT row_number() OVER (ORDER BY d, v) AS explore_order, v, round(d, 6) AS dist FROM found
-WHERE (d, v) <= (SELECT (d, v) FROM found WHERE v = {END})""")
+_EXPLORED = """, explored AS (SELECT row_number() OVER (ORDER BY d, v) AS explore_order, v, d FROM found
+WHERE NOT EXISTS (SELECT 1 FROM found WHERE v = (SELECT b FROM ends)) OR (d, v) <= (SELECT (d, v) FROM found WHERE v = (SELECT b FROM ends)))"""
+
+
+@query(_route_sql("SELECT * FROM rays").rstrip() + _EXPLORED + " SELECT explore_order, v, round(d, 6) AS dist FROM explored")
 def explored_set(spark, sf_dir):
-    edges = lattice.ray_edges(water(spark))
-    return route.explored(route.distances(edges, START, END), END).select(F.col("explore_order").cast("long").alias("explore_order"), "v", F.round("dist", 6).alias("dist"))
+    nodes = water(spark, sf_dir)
+    edges, end = lattice.ray_edges(nodes), _end(nodes)
+    return route.explored(route.distances(edges, START, end), end).select("explore_order", "v", F.round("dist", 6).alias("dist"))
+
+
+@query(_route_sql("SELECT * FROM rays").rstrip() + _EXPLORED + f""", ups(explore_order, back, node_id) AS (SELECT explore_order, CAST(0 AS BIGINT), v FROM explored UNION ALL SELECT u.explore_order, back + 1, parent FROM ups u JOIN parents p ON p.v = u.node_id WHERE u.node_id <> {START})
+SELECT explore_order, max(back) OVER (PARTITION BY explore_order) - back AS step, node_id FROM ups""")
+def explored_paths(spark, sf_dir):
+    """The path to each node that the search settles, in the order in which it does."""
+    nodes = water(spark, sf_dir)
+    edges, end = saved(lattice.ray_edges(nodes)), _end(nodes)
+    dist = route.distances(edges, START, end)
+    return route.explored_paths(dist, route.parents(dist, edges), START, end)
 
 
 _POINTS = f"""steps AS ({_STEPS}), before AS (SELECT *, lag(node_id) OVER (ORDER BY step) AS src FROM steps),
 points AS (SELECT step, b.node_id, n.lon, n.lat, coalesce(c.height, 0) AS htsgwsfc, coalesce(c.period, 0) AS perpwsfc, coalesce(c.direction, 0) AS dirpwsfc, coalesce(m.roll, 0) AS roll, coalesce(m.heave, 0) AS heave, coalesce(m.pitch, 0) AS pitch, 0e0 AS rel_heading
-FROM before b JOIN water n ON n.node_id = b.node_id LEFT JOIN cells c ON c.row_i = n.row_j AND c.col_j = n.col_i LEFT JOIN moved m ON m.src = b.src AND m.dst = b.node_id)
+FROM before b JOIN water n ON n.node_id = b.node_id LEFT JOIN cells c ON c.row_i = n.row_j % 25 AND c.col_j = n.col_i % 49 LEFT JOIN moved m ON m.src = b.src AND m.dst = b.node_id)
 """
 _POINTS_SQL = _route_sql("SELECT * FROM rays").rstrip() + ", " + _POINTS
 
 
 def _profile(spark, sf_dir):
-    edges, _, path = _route(spark, sf_dir, False)
-    return route.enriched(path, water(spark), cells(spark, sf_dir), edges)
+    edges, nodes = saved(_moved(spark, sf_dir)), water(spark, sf_dir)
+    return route.enriched(_route(edges, START, _end(nodes)), in_cells(nodes), cells(spark, sf_dir), edges)
 
 
 @query(_POINTS_SQL + "SELECT * FROM points")
@@ -244,9 +267,11 @@ def cursor_values(spark, sf_dir):
     return charts.at_cursor(_profile(spark, sf_dir), 3, ["htsgwsfc", "roll"])
 
 
-@query(_route_sql("SELECT * FROM rays") + f"SELECT round(d, 6) AS km, round(d / (10 * 1852e-3), 6) AS duration_hr, round(d / 10, 6) AS raw_ratio FROM found WHERE v = {END}")
+@query(_route_sql("SELECT * FROM rays") + f"SELECT round(d, 6) AS km, round(d / (10 * 1852e-3), 6) AS duration_hr, round(d / 10, 6) AS raw_ratio FROM found WHERE v = (SELECT b FROM ends)")
 def route_duration(spark, sf_dir):
-    dist = route.distances(lattice.ray_edges(water(spark)), START, END).filter(F.col("v") == END)
+    nodes = water(spark, sf_dir)
+    end = _end(nodes)
+    dist = route.distances(lattice.ray_edges(nodes), START, end).filter(F.col("v") == end)
     hours, bare = route.duration(F.col("dist"), 10.0)
     return dist.select(F.round("dist", 6).alias("km"), F.round(hours, 6).alias("duration_hr"), F.round(bare, 6).alias("raw_ratio"))
 

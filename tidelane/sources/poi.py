@@ -1,55 +1,24 @@
-"""Points of interest: gas and LNG sites."""
+"""Points of interest by category."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Category, name, longitude and latitude of each site.
-SITES = {
-    "LNG": [
-        ("PT.Arun LNG", 97.0878893779188, 5.23452210256447),
-        ("PT.Badak LNG", 117.583525061493, 0.0661626514613214),
-        ("PT.Donggi LNG", 122.590812692246, -1.2574259251891),
-        ("BP Berau Ltd.", 133.129982920522, -2.41335822022591),
-    ],
-    "Gas": [
-        ("PLTMG Manokwari", 134.021578013941, -0.940264164935518),
-        ("PLTMG Biak", 135.949121919339, -1.15092386154126),
-        ("PLTMG Jayapura", 140.769890939502, -2.61422975783795),
-        ("MPP Jayapura", 140.769890939502, -2.61422975783795),
-        ("PLTMG Serui", 136.374793424129, -1.88454850975341),
-        ("MPP Timika", 136.684344308827, -4.91803975931168),
-        ("PLTMG Merauke", 140.342122916611, -8.48383709209507),
-        ("PLTMG Dobo", 134.254136214314, -5.82761697955298),
-        ("PLTMG Langgur", 132.766565683236, -5.55073754437235),
-        ("PLTMG Saumlaki", 131.292482029886, -7.95031328637907),
-        ("MPP Nabire", 135.457155895159, -3.36882374812364),
-        ("PLTMG Seram", 128.944178327957, -3.30354354243523),
-        ("PLTMG Namlea", 127.112348905854, -3.23222139704257),
-        ("PLTMG Ambon", 128.337087361472, -3.55036026456554),
-        ("MPP Ternate", 127.297374176621, 0.765892200904042),
-        ("PLTMG Kupang", 123.449393595494, -10.3548552600992),
-        ("PLTMG Alor", 124.525880653745, -8.24047823913007),
-        ("PLTMG Maumere", 122.338023824654, -8.61473456294206),
-        ("PLTMG Rangko", 119.939488692386, -8.44664404847228),
-        ("PLTMG Bau", 122.614218789659, -5.41121542840981),
-        ("MPP Sultra", 122.575685504257, -3.82557953449627),
-        ("PLTG Gorontalo", 122.005798824797, 0.461544044705146),
-        ("PLTMG Kolaka", 121.589788388114, -4.07446655486547),
-        ("PLTMG Waingapu", 120.150484483254, -9.47501017944696),
-        ("PLTMG Bima", 118.696739946805, -8.40943632380683),
-        ("PLTMG Sumbawa", 117.336285309896, -8.44487981186036),
-        ("MPP Jeranjang", 116.064089344799, -8.65620249044035),
-        ("PLTMG Lombok", 116.068369878523, -8.58922437114982),
-        ("MPP Jungkat", 109.1645760446, 0.0664691142064572),
-        ("PLTMG Nias", 97.6928621176378, 1.2155522617459),
-    ],
-}
-
-
-def sites(spark: SparkSession) -> DataFrame:
-    """poi_id, category, name, lon, lat."""
-    one = spark.createDataFrame([(SITES,)], "sites map<string, array<struct<name: string, lon: double, lat: double>>>")
-    rows = one.select(F.explode("sites").alias("category", "places")).select("category", F.posexplode("places").alias("k", "p"))
-    return rows.select((F.when(F.col("category") == "LNG", 0).otherwise(100) + F.col("k")).cast("long").alias("poi_id"), "category", "p.name", "p.lon", "p.lat")
+PLACE = "struct<name: string, lon: double, lat: double>"
+
+
+def from_lists(spark: SparkSession, sites: dict[str, list[tuple[str, float, float]]]) -> DataFrame:
+    """category, name, lon, lat of the places listed by category."""
+    one = spark.createDataFrame([(sites,)], f"sites map<string, array<{PLACE}>>")
+    return flat(one.select(F.explode("sites").alias("category", "places")))
+
+
+def flat(lists: DataFrame) -> DataFrame:
+    """category, name, lon, lat: a row for each place of rows (category, places), as a file of categories has them."""
+    return lists.select("category", F.inline("places"))
+
+
+def by_category(places: DataFrame) -> DataFrame:
+    """category, places: each category's list, in the order of the names."""
+    return places.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("name", "lon", "lat"))).alias("places"))
