@@ -2,7 +2,7 @@
 
 Texts are cut into pieces and pieces into words, and dealt into parts, the shards. In a part every
 word has a place; a place stands empty after each piece, so that no phrase runs on across it. A
-word's bitmap keeps its places, 16 to a block, and only the blocks that have any. A phrase's bitmap
+word's bitmap keeps its places, 8 to a block, and only the blocks that have any. A phrase's bitmap
 marks the places of its last word: shifted by one, a bit may carry into the next block, and ANDed
 with a word's bitmap, it is that of the phrase one word longer; its popcount is the phrase's count
 in the part. Phrases are extended depth-first, a group of first words at a time, down to the
@@ -49,7 +49,7 @@ PIECE_ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAPS = PIECE_ENDS.copy()
 GAPS[[0x20, 0x09]] = True
 #: Places in a block of a bitmap, and entries that a step of an extension looks at, about.
-PLACES, STEP = 16, 1 << 21
+PLACES, STEP = 8, 1 << 20
 #: Shares of a lang's phrases that are ranked apart at first.
 SHARES = 64
 
@@ -162,24 +162,26 @@ class Bitmaps:
     """Compressed bitmaps of a part's words of a set: entries (word, block, bits), by word and by block."""
 
     def __init__(self, places: Places, words: Known):
-        at = words.at(phrase_keys(places.tokens[:, None]))
-        kept = np.flatnonzero(at >= 0)
-        self.used, first, word = np.unique(at[kept], return_index=True, return_inverse=True)
-        self.first = kept[first] if len(kept) else kept
-        self.tokens = places.tokens[self.first]
-        self.n_words = len(self.used)
-        place = places.place[kept]
+        tokens, number = distinct(places.tokens) if len(places.tokens) else (places.tokens, places.tokens.view(np.int64))
+        at = words.at(phrase_keys(tokens[:, None]))
+        known = at >= 0
+        self.used, self.tokens, self.n_words = at[known], tokens[known], int(known.sum())
+        word = np.where(known, np.cumsum(known) - 1, -1)[number]
+        kept = np.flatnonzero(word >= 0)
+        word, place = word[kept], places.place[kept]
+        self.first = np.zeros(self.n_words, np.int64)
+        self.first[word[::-1]] = kept[::-1]  # the first place of a word is written last
         block, bit = place // PLACES, (1 << (place % PLACES)).astype(np.uint32)
         key = block * max(1, self.n_words) + word
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
-        self.block, self.word = ordered[new] // max(1, self.n_words), ordered[new] % max(1, self.n_words)
+        order, rank = _sorted(key)
+        new = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])[: len(rank)])
+        key = key[order[new]]
+        self.block, self.word = (x.astype(np.int32) for x in np.divmod(key, max(1, self.n_words)))
         self.bits = np.bitwise_or.reduceat(bit[order], new) if len(new) else np.zeros(0, np.uint32)
         self.n_blocks = int(self.block[-1]) + 2 if len(new) else 0
-        self.start = np.searchsorted(self.block, np.arange(self.n_blocks + 1))
-        self.by_word = np.argsort(self.word, kind="stable")
-        self.word_start = np.searchsorted(self.word[self.by_word], np.arange(self.n_words + 1))
+        self.start = np.searchsorted(self.block, np.arange(self.n_blocks + 1)).astype(np.int32)
+        self.by_word = _sorted(self.word)[0]
+        self.word_start = np.concatenate([[0], np.cumsum(np.bincount(self.word, minlength=self.n_words))])
 
     def groups(self, step: int = STEP) -> Iterator[Phrases]:
         """All words as phrases of one word, in groups whose extension looks at about `step` entries."""
@@ -192,9 +194,14 @@ class Bitmaps:
             first = last
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """numbered() of keys that are not negative."""
+    return numbered(key.astype(U64), max(1, int(key.max(initial=0)).bit_length()))
+
+
 def _told_apart(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rising distinct keys, and the place of each row's key among them."""
-    order, rank = numbered(key.view(U64), max(1, int(key.max(initial=0)).bit_length()))
+    order, rank = _sorted(key)
     number = np.empty(len(key), np.int64)
     number[order] = rank
     return key[order[np.concatenate([[True], rank[1:] != rank[:-1]])[: len(key)]]], number
@@ -226,9 +233,10 @@ class Phrases:
         phrase = np.concatenate([self.phrase, self.phrase[carry]])
         block = np.concatenate([self.block, self.block[carry] + 1])
         bits = np.concatenate([wide & np.uint32((1 << PLACES) - 1), wide[carry] >> np.uint32(PLACES)])
-        n = b.start[block + 1] - b.start[block]
-        row = np.repeat(np.arange(len(block)), n)
-        entry = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(b.start[block], n)
+        first = b.start[block]
+        n = b.start[block + 1] - first
+        row = np.repeat(np.arange(len(block), dtype=np.int32), n)
+        entry = np.arange(len(row), dtype=np.int32) + (first - (np.cumsum(n, dtype=np.int32) - n))[row]
         both = bits[row] & b.bits[entry]
         hit = np.flatnonzero(both)
         row, entry, both = row[hit], entry[hit], both[hit]
