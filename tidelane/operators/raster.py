@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.geo import mercator_x, mercator_y, utm, utm_inverse
+from tidelane.operators.griddata import griddata
 from tidelane.operators.materialise import saved
 from tidelane.operators.nearest import nearest
 
@@ -106,6 +107,20 @@ def linear_filled(cells: DataFrame, value: str) -> DataFrame:
     return linear.join(nearest_, ["row_i", "col_j"]).select("row_i", "col_j", F.round(F.coalesce("value", "_near"), 6).alias("value"))
 
 
+def griddata_filled(cells: DataFrame, value: str, method: str = "cubic", x: str = "col_j", y: str = "row_i", **options) -> DataFrame:
+    """row_i, col_j, value, how: missing cells get what griddata() finds between or near the valid ones, which stay 'known'.
+
+    The cascade of methods is one step: within the valid cells' hull the cubic or the linear value is always there, outside it is the nearest.
+    """
+    at = {"x": F.col(x), "y": F.col(y)}
+    gaps = cells.filter(F.col(value).isNull()).select((F.col("row_i").cast("long") * 100_000 + F.col("col_j")).alias("target_id"), *(c.alias(n) for n, c in at.items()))
+    known = cells.filter(F.col(value).isNotNull())
+    found = griddata(known.select(*(c.alias(n) for n, c in at.items()), F.col(value).alias("value")), gaps, method, **options)
+    filled = found.select(F.floor(F.col("target_id") / 100_000).cast("int").alias("row_i"), (F.col("target_id") % 100_000).cast("int").alias("col_j"), F.round("value", 6).alias("value"), "how")
+    lost = cells.filter(F.col(value).isNull()).join(filled.select("row_i", "col_j"), ["row_i", "col_j"], "left_anti").select("row_i", "col_j", F.lit(None).cast("double").alias("value"), F.lit("missing").alias("how"))
+    return known.select("row_i", "col_j", F.round(F.col(value).cast("double"), 6).alias("value"), F.lit("known").alias("how")).unionByName(filled).unionByName(lost)
+
+
 def corners(cells: DataFrame, value: str) -> DataFrame:
     """Each cell that has its three neighbours to the south and east, with all four values."""
     def moved(di, dj, name):

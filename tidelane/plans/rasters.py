@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidelane.functions import display, geo
 from tidelane.operators import charts, raster
 from tidelane.operators.nearest import nearest
-from tidelane.plans.derived import CELLS, GAPPY, PARTS, SUPPLIERS, bearing, cells, gappy, km, parts, suppliers, table
+from tidelane.plans.derived import CELLS, GAPPY, MESH, PARTS, SUPPLIERS, bearing, cells, gappy, km, mesh, parts, suppliers, table
 from tidelane.plans.registry import query
 
 EXTENT = raster.EXTENT
@@ -107,6 +107,30 @@ def linear_fill(spark, sf_dir):
     return raster.linear_filled(gappy(spark, sf_dir), "height")
 
 
+#: For each gap, of the triangles of known cells around it that hold it, the one whose corners' forms are least there: the Delaunay triangle.
+_TRIANGLES = f"""{MESH}, near AS (SELECT m.row_i, m.col_j, CAST(k.col_j - m.col_j AS BIGINT) AS x, CAST(k.row_i - m.row_i AS BIGINT) AS y, k.height AS v, k.row_i * 50 + k.col_j AS id
+    FROM mesh m JOIN mesh k ON k.row_i BETWEEN m.row_i - 4 AND m.row_i + 4 AND k.col_j BETWEEN m.col_j - 4 AND m.col_j + 4 WHERE m.height IS NULL AND k.height IS NOT NULL),
+tri AS (SELECT a.row_i, a.col_j, b.x * c.y - b.y * c.x AS wa, c.x * a.y - c.y * a.x AS wb, a.x * b.y - a.y * b.x AS wc, a.x AS ax, a.y AS ay, a.v AS av, b.x AS bx, b.y AS "by", b.v AS bv, c.x AS cx, c.y AS cy, c.v AS cv
+    FROM near a JOIN near b ON b.row_i = a.row_i AND b.col_j = a.col_j AND b.id > a.id JOIN near c ON c.row_i = a.row_i AND c.col_j = a.col_j AND c.id > b.id),
+held AS (SELECT *, wa + wb + wc AS w FROM tri WHERE wa + wb + wc <> 0 AND wa * (wa + wb + wc) >= 0 AND wb * (wa + wb + wc) >= 0 AND wc * (wa + wb + wc) >= 0),
+best AS (SELECT row_i, col_j, min(struct_pack(p := (wa * (ax * ax + ay * ay) + wb * (bx * bx + "by" * "by") + wc * (cx * cx + cy * cy)) / w, q := (wa * ax * ay + wb * bx * "by" + wc * cx * cy) / w,
+    r := (wa * (ax * ax - ay * ay) + wb * (bx * bx - "by" * "by") + wc * (cx * cx - cy * cy)) / w, v := (wa * av + wb * bv + wc * cv) / w)) AS b FROM held GROUP BY row_i, col_j),
+closest AS (SELECT row_i, col_j, arg_min(v, struct_pack(d := x * x + y * y, y := y, x := x)) AS v FROM near GROUP BY row_i, col_j)"""
+
+
+@query(f"""WITH {_TRIANGLES} SELECT m.row_i, m.col_j, round(coalesce(m.height, b.b.v, c.v), 6) AS value, CASE WHEN m.height IS NOT NULL THEN 'known' WHEN b.b IS NOT NULL THEN 'inside' ELSE 'outside' END AS how
+FROM mesh m LEFT JOIN best b USING (row_i, col_j) LEFT JOIN closest c USING (row_i, col_j)""")
+def griddata_fill(spark, sf_dir):
+    """Gaps filled linearly over the Delaunay triangulation of the known cells, from the nearest outside."""
+    return raster.griddata_filled(mesh(spark, sf_dir), "height", "linear")
+
+
+@query()
+def griddata_cubic_fill(spark, sf_dir):
+    """The same by cubic patches; tests hold them against quadratic surfaces and their own smoothness."""
+    return raster.griddata_filled(mesh(spark, sf_dir), "height", "cubic")
+
+
 @query(f"""WITH {CELLS} SELECT a.row_i, a.col_j, a.height AS v00, b.height AS v10, c.height AS v11, d.height AS v01 FROM cells a
 JOIN cells b ON b.row_i = a.row_i + 1 AND b.col_j = a.col_j JOIN cells c ON c.row_i = a.row_i + 1 AND c.col_j = a.col_j + 1 JOIN cells d ON d.row_i = a.row_i AND d.col_j = a.col_j + 1""")
 def cell_corners(spark, sf_dir):
