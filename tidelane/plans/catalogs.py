@@ -13,7 +13,7 @@ from tidelane.operators.nearest import nearest_poi
 from tidelane.plans.derived import PARTS, SLOTS, SUPPLIERS, parts, slots, suppliers, table
 from tidelane.plans.registry import query
 from tidelane.sources import poi, requests, stores
-from tidelane.streaming import snapshots
+from tidelane.streaming import progress, snapshots
 
 _MANIFEST = SLOTS + ", manifest AS (SELECT DISTINCT CAST(snapshot AS DATE) AS date, lpad(CAST(hour(snapshot) AS VARCHAR), 2, '0') || 'z' AS slot, CASE WHEN event_id % 40 < 2 OR snapshot < TIMESTAMP '2024-01-05' THEN variable ELSE 'other' END AS variable FROM slots)"
 _COMPLETE = _MANIFEST + ", complete AS (SELECT date, slot FROM manifest WHERE variable <> 'other' GROUP BY ALL HAVING count(DISTINCT variable) = 3)"
@@ -189,12 +189,12 @@ def stream_debounce(spark, sf_dir):
     return snapshots.run_once(snapshots.debounced(_stream(spark, sf_dir)), "debounce")
 
 
-@query("""WITH m AS (SELECT user_id, event_id, props, CASE WHEN event_id % 97 = 0 THEN 'final' WHEN event_id % 5 = 0 THEN 'partial_path' ELSE 'expansion' END AS kind FROM events),
-f AS (SELECT *, min(CASE WHEN kind = 'final' THEN event_id END) OVER (PARTITION BY user_id) AS fin FROM m)
-SELECT user_id AS search_id, count(*) FILTER (kind = 'expansion' AND event_id < coalesce(fin, event_id + 1)) AS expansions,
-arg_max(props, event_id) FILTER (kind = 'partial_path' AND event_id < coalesce(fin, event_id + 1)) AS last_partial, bool_or(fin IS NOT NULL) AS closed FROM f GROUP BY user_id""")
+@query("""WITH m AS (SELECT user_id, ts, event_id, props, CASE WHEN event_id % 97 = 0 THEN 'final' WHEN event_id % 5 = 0 THEN 'partial_path' ELSE 'expansion' END AS kind FROM events),
+f AS (SELECT *, min(CASE WHEN kind = 'final' THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS fin FROM m)
+SELECT user_id AS search_id, count(*) FILTER (kind = 'expansion' AND (fin IS NULL OR (ts, event_id) < fin)) AS expansions,
+arg_max(props, (ts, event_id)) FILTER (kind = 'partial_path' AND (fin IS NULL OR (ts, event_id) < fin)) AS last_partial, bool_or(fin IS NOT NULL) AS closed FROM f GROUP BY user_id""")
 def stream_search_progress(spark, sf_dir):
     """Search messages by user: each event is an expansion, a partial path or the end."""
     kind = F.when(F.col("event_id") % 97 == 0, "final").when(F.col("event_id") % 5 == 0, "partial_path").otherwise("expansion")
-    messages = _stream(spark, sf_dir).select(F.col("user_id").alias("search_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("props").alias("payload"))
-    return snapshots.run_once(snapshots.search_progress(messages), "progress", "update", ("search_id",))
+    messages = _stream(spark, sf_dir).select(F.col("user_id").alias("search_id"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.col("props").alias("payload"))
+    return snapshots.run_once(progress.search_progress(messages), "progress", "update", ("search_id",), progress.STORE)

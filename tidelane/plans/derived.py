@@ -37,10 +37,11 @@ def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_i, col_j, height: a cell for each part that was sold, 50 columns wide and as long as the table; a quarter or so have no height."""
+    """row_i, col_j, lon, lat, height, period: a cell for each part that was sold, 50 columns wide and as long as the table; a quarter or so have no height."""
     k, q = F.col("l_partkey"), F.sum(F.col("l_quantity").cast("long"))
     sums = table(spark, sf_dir, "lineitem").groupBy(F.floor(k / 50).cast("int").alias("row_i"), (k % 50).cast("int").alias("col_j")).agg(q.alias("q"))
-    return sums.select("row_i", "col_j", F.when(F.col("q") % 4 != 0, F.col("q") % 97 / 20.0).alias("height"))
+    place = [(F.col("col_j") / 64.0 + 92.0).alias("lon"), (F.col("row_i") / 64.0 - 15.0).alias("lat")]
+    return sums.select("row_i", "col_j", *place, F.when(F.col("q") % 4 != 0, F.col("q") % 97 / 20.0).alias("height"), (2 + F.col("q") % 11 / 1.0).alias("period"))
 
 
 def water(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,7 @@ SUPPLIERS = "suppliers AS (SELECT s_suppkey AS id, 92 + (s_suppkey * 91 % 490) /
 CELLS = """sums AS (SELECT CAST(l_suppkey % 25 AS INTEGER) AS row_i, CAST(l_partkey % 49 AS INTEGER) AS col_j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2),
 cells AS (SELECT row_i, col_j, col_j + 92e0 AS lon, row_i - 15e0 AS lat, (q % 97) / 2e1 AS height, (q * 37 % 360) / 1e0 AS direction, 2 + ((q + n * 7) % 11) / 1e0 AS period FROM sums)"""
 MESH = """mesh_sums AS (SELECT CAST(l_partkey // 50 AS INTEGER) AS row_i, CAST(l_partkey % 50 AS INTEGER) AS col_j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2),
-mesh AS (SELECT row_i, col_j, CASE WHEN q % 4 <> 0 THEN (q % 97) / 2e1 END AS height FROM mesh_sums)"""
+mesh AS (SELECT row_i, col_j, col_j / 64e0 + 92e0 AS lon, row_i / 64e0 - 15e0 AS lat, CASE WHEN q % 4 <> 0 THEN (q % 97) / 2e1 END AS height, 2 + (q % 11) / 1e0 AS period FROM mesh_sums)"""
 GAPPY = CELLS + ",\ngappy AS (SELECT * REPLACE (CASE WHEN (row_i * 3 + col_j) % 7 <> 0 THEN height END AS height) FROM cells)"
 WATER = """lattice AS (SELECT CAST(p_partkey // 50 AS INTEGER) AS r, CAST(p_partkey % 50 AS INTEGER) AS c FROM part),
 water AS (SELECT CAST(c AS BIGINT) * 1000000 + r AS node_id, r AS row_j, c AS col_i, c / 64e0 + 92e0 AS lon, r / 64e0 - 15e0 AS lat FROM lattice

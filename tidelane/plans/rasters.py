@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidelane.functions import display, geo
 from tidelane.operators import charts, raster
+from tidelane.operators.materialise import work_dir
 from tidelane.operators.nearest import nearest
 from tidelane.plans.derived import CELLS, GAPPY, MESH, PARTS, SUPPLIERS, bearing, cells, gappy, km, mesh, parts, suppliers, table
 from tidelane.plans.registry import query
+from tidelane.sources import bands
 
 EXTENT = raster.EXTENT
 MEASURES = ["height", "direction", "period"]
@@ -131,6 +135,17 @@ def griddata_cubic_fill(spark, sf_dir):
     return raster.griddata_filled(mesh(spark, sf_dir), "height", "cubic")
 
 
+@query(f"""WITH {MESH} SELECT 'htsgwsfc' AS variable, row_i, col_j, lat, lon, height AS value FROM mesh WHERE lat > -1475e-2 AND lat <= -138e-1 AND lon >= 921e-1""")
+def band_scan(spark, sf_dir):
+    """The mesh landed as binary bands, and one variable's cells in a box read from the bands and columns that have any."""
+    path = f"{work_dir(spark).rstrip('/')}/bands-{uuid.uuid4().hex}"
+    rows = mesh(spark, sf_dir).select("row_i", "col_j", "lat", "lon", F.col("height").alias("htsgwsfc"), F.col("period").alias("perpwsfc"))
+    bands.write_bands(rows.unpivot(["row_i", "col_j", "lat", "lon"], ["htsgwsfc", "perpwsfc"], "variable", "value"), path, 8)
+    # A band's grid is whole: cells of parts that were never sold come back without a value, and go.
+    box = bands.read_bands(spark, path).filter("variable = 'htsgwsfc' AND lat > -14.75 AND lat <= -13.8 AND lon >= 92.1")
+    return box.join(rows.select("row_i", "col_j"), ["row_i", "col_j"], "left_semi").select("variable", "row_i", "col_j", "lat", "lon", "value")
+
+
 @query(f"""WITH {CELLS} SELECT a.row_i, a.col_j, a.height AS v00, b.height AS v10, c.height AS v11, d.height AS v01 FROM cells a
 JOIN cells b ON b.row_i = a.row_i + 1 AND b.col_j = a.col_j JOIN cells c ON c.row_i = a.row_i + 1 AND c.col_j = a.col_j + 1 JOIN cells d ON d.row_i = a.row_i AND d.col_j = a.col_j + 1""")
 def cell_corners(spark, sf_dir):

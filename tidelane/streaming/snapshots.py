@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelane.operators.materialise import work_dir
 
@@ -41,28 +39,6 @@ def latest_per_variable(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("event_type", F.col("m.event_id").alias("event_id"))
 
 
-def search_progress(messages: DataFrame) -> DataFrame:
-    """search_id, expansions, last_partial, closed: expansions add up, a partial path replaces the one before, final closes.
-
-    Messages count in the order of seq within a micro-batch; what comes in a later one counts as later.
-    """
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, partial, closed = state.get if state.exists else (0, None, False)
-        rows = pd.concat(batches).sort_values("seq")
-        for kind, payload in zip(rows["kind"], rows["payload"]):
-            if closed:
-                break
-            n += kind == "expansion"
-            partial = payload if kind == "partial_path" else partial
-            closed = kind == "final"
-        state.update((int(n), partial, bool(closed)))
-        yield pd.DataFrame({"search_id": [key[0]], "expansions": [int(n)], "last_partial": [partial], "closed": [bool(closed)]})
-
-    schema = "search_id long, expansions long, last_partial string, closed boolean"
-    return messages.groupBy("search_id").applyInPandasWithState(step, schema, "expansions long, last_partial string, closed boolean", "update", GroupStateTimeout.NoTimeout)
-
-
 def missing_snapshots(spark: SparkSession, manifest: DataFrame, day: str, days: int = 7) -> DataFrame:
     """date, slot, variable still to fetch of the last days: what a sweep does, item by item."""
     from tidelane.sources.stores import SLOTS, VARIABLES
@@ -72,9 +48,11 @@ def missing_snapshots(spark: SparkSession, manifest: DataFrame, day: str, days:
     return wanted.join(manifest, ["date", "slot", "variable"], "left_anti")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
+def run_once(stream: DataFrame, name: str, mode: str = "complete", keys: tuple[str, ...] = (), settings: Mapping[str, str] | None = None) -> DataFrame:
     """What a stream over the files there are gives in the end, as a table in the shared folder.
 
+    The session has the settings while the stream runs, and what it had before afterwards.
+
     Each micro-batch is kept under its number; the rows are those of the batches that count for
     the mode: the last in complete mode, all in append mode, each key's last in update mode.
     """
@@ -86,8 +64,14 @@ def run_once(stream: DataFrame, name: str, mode: str = "complete", keys: tuple[s
     def keep(rows: DataFrame, batch_id: int) -> None:
         rows.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{path}/rows")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, _batch long").parquet(f"{path}/rows")
     if mode == "complete":
         rows = rows.join(F.broadcast(rows.agg(F.max("_batch").alias("_batch"))), "_batch", "left_semi")
