@@ -41,10 +41,11 @@ def scored(featured: DataFrame, scorer: Callable = linear_scorer) -> DataFrame:
 
 def with_predictions(edges: DataFrame, predictions: DataFrame, speed: float = SPEED, condition: int = CONDITION) -> DataFrame:
     """Edges with their stored prediction for a speed and condition; 0 and false, and missed, where there is none."""
-    own = predictions.filter((F.col("ship_speed") == speed) & (F.col("condition") == condition)).select("src", "dst", "roll", "heave", "pitch", "blocked", F.lit(True).alias("_hit"))
-    joined = edges.join(own, ["src", "dst"], "left")
-    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("roll", "heave", "pitch")]
-    return joined.select("src", "dst", "weight", "bearing", *zero, F.coalesce("blocked", F.lit(False)).alias("blocked"), F.col("_hit").isNull().alias("missed"))
+    found = F.struct("roll", "heave", "pitch", "blocked").alias("found")
+    own = predictions.filter((F.col("ship_speed") == speed) & (F.col("condition") == condition)).select("src", "dst", found)
+    joined = edges.select("src", "dst", "weight", "bearing").join(own, ["src", "dst"], "left")
+    zero = [F.coalesce(f"found.{c}", F.lit(0.0)).alias(c) for c in ("roll", "heave", "pitch")]
+    return joined.select("src", "dst", "weight", "bearing", *zero, F.coalesce("found.blocked", F.lit(False)).alias("blocked"), F.col("found").isNull().alias("missed"))
 
 
 def edges_in_view(edges: DataFrame, nodes: DataFrame, box: tuple[float, float, float, float], *, blocked_only: bool = True, max_edges: int = 300_000) -> DataFrame:

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidelane.functions import display
-from tidelane.operators import charts
+from tidelane.operators import charts, fitted
+from tidelane.operators.asof import newest_at
 from tidelane.operators.materialise import work_dir
 from tidelane.operators.nearest import nearest_poi
 from tidelane.plans.derived import PARTS, SLOTS, SUPPLIERS, parts, slots, suppliers, table
 from tidelane.plans.registry import query
-from tidelane.sources import poi, requests, stores
-from tidelane.streaming import progress, snapshots
+from tidelane.sources import layout, poi, requests, stores
+from tidelane.streaming import progress, snapshots, sweep
 
 _MANIFEST = SLOTS + ", manifest AS (SELECT DISTINCT CAST(snapshot AS DATE) AS date, lpad(CAST(hour(snapshot) AS VARCHAR), 2, '0') || 'z' AS slot, CASE WHEN event_id % 40 < 2 OR snapshot < TIMESTAMP '2024-01-05' THEN variable ELSE 'other' END AS variable FROM slots)"
 _COMPLETE = _MANIFEST + ", complete AS (SELECT date, slot FROM manifest WHERE variable <> 'other' GROUP BY ALL HAVING count(DISTINCT variable) = 3)"
@@ -198,3 +199,68 @@ def stream_search_progress(spark, sf_dir):
     kind = F.when(F.col("event_id") % 97 == 0, "final").when(F.col("event_id") % 5 == 0, "partial_path").otherwise("expansion")
     messages = _stream(spark, sf_dir).select(F.col("user_id").alias("search_id"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.col("props").alias("payload"))
     return snapshots.run_once(progress.search_progress(messages), "progress", "update", ("search_id",), progress.STORE)
+
+
+_EACH_DAY = "SELECT CAST(a + CAST(k AS INTEGER) AS DATE) AS date FROM (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events), range(10000) r(k) WHERE a + CAST(k AS INTEGER) <= b"
+
+
+@query(f"""WITH {_MANIFEST}, wanted AS (SELECT date, slot, variable FROM ({_EACH_DAY}), (SELECT unnest(['00z', '06z', '12z', '18z']) AS slot), (SELECT unnest(['htsgwsfc', 'dirpwsfc', 'perpwsfc']) AS variable))
+SELECT CAST(date AS VARCHAR) AS date, slot, variable, CASE WHEN slot = '06z' AND day(date) % 5 = 0 THEN 'failed' ELSE 'stored' END AS status, CASE WHEN NOT (slot = '06z' AND day(date) % 5 = 0) THEN day(date) * 100e0 + len(variable) END AS value
+FROM wanted ANTI JOIN (SELECT * FROM manifest WHERE day(date) % 2 = 0) USING (date, slot, variable)""")
+def sweep_log(spark, sf_dir):
+    """A sweep over the events' days: what the manifest of the even ones lacks is fetched item by item, and some fetches fail."""
+    days = table(spark, sf_dir, "events").agg(F.min(F.col("ts").cast("date")), F.max(F.col("ts").cast("date"))).first()
+
+    def fetch(day, slot, variable):
+        if slot == "06z" and day.day % 5 == 0:
+            raise TimeoutError("no answer")
+        return day.day * 100 + len(variable)
+
+    items = sweep.wanted(spark, str(days[0]), str(days[1]), ("00z", "06z", "12z", "18z"), stores.VARIABLES)
+    rows = sweep.swept(items, _manifest(spark, sf_dir).filter(F.day("date") % 2 == 0), fetch, f"{work_dir(spark).rstrip('/')}/sweep-{uuid.uuid4().hex}")
+    return _spelled(rows.select("date", "slot", "variable", "status", "value"))
+
+
+@query("""WITH snapshots AS (SELECT ts, arg_max(event_id, event_id) AS snapshot_id, arg_max(value, event_id) AS wave FROM events WHERE event_id % 50 = 0 GROUP BY ts)
+SELECT e.event_id, s.snapshot_id, s.wave FROM events e ASOF LEFT JOIN snapshots s ON e.ts >= s.ts""")
+def event_wave(spark, sf_dir):
+    """The wave of the newest snapshot at each event's time: every fiftieth event stands for a snapshot."""
+    events = table(spark, sf_dir, "events")
+    snapshots_ = events.filter("event_id % 50 = 0").select("ts", F.col("event_id").alias("snapshot_id"), F.col("value").alias("wave"))
+    return newest_at(events.select("event_id", "ts"), snapshots_, "ts", "snapshot_id", ["snapshot_id", "wave"]).select("event_id", "snapshot_id", "wave")
+
+
+_FIT = """sums AS (SELECT covar_pop(l_quantity, l_quantity) AS s11, covar_pop(l_quantity, l_discount) AS s12, covar_pop(l_discount, l_discount) AS s22, avg(l_quantity) AS m1, avg(l_discount) AS m2 FROM lineitem),
+targets AS (SELECT 'price' AS target, covar_pop(l_quantity, l_extendedprice) AS s1t, covar_pop(l_discount, l_extendedprice) AS s2t, avg(l_extendedprice) AS mt, covar_pop(l_extendedprice, l_extendedprice) AS stt FROM lineitem
+    UNION ALL SELECT 'tax', covar_pop(l_quantity, l_tax), covar_pop(l_discount, l_tax), avg(l_tax), covar_pop(l_tax, l_tax) FROM lineitem),
+solved AS (SELECT *, (s22 * s1t - s12 * s2t) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2t - s12 * s1t) / (s11 * s22 - s12 * s12) AS b2 FROM sums, targets)"""
+
+
+def _fitted(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumns({"price": F.col("l_extendedprice"), "tax": F.col("l_tax")})
+    return rows, fitted.fit(rows, ["l_quantity", "l_discount"], ["price", "tax"])
+
+
+@query(f"""WITH {_FIT} SELECT target, 'l_quantity' AS feature, round(b1 * sqrt(s11) / sqrt(stt), 6) AS coefficient, round(m1, 6) AS mean, round(sqrt(s11), 6) AS scale, round(mt, 4) AS target_mean, round(sqrt(stt), 4) AS target_scale FROM solved
+UNION ALL SELECT target, 'l_discount', round(b2 * sqrt(s22) / sqrt(stt), 6), round(m2, 6), round(sqrt(s22), 6), round(mt, 4), round(sqrt(stt), 4) FROM solved""")
+def fitted_scorer(spark, sf_dir):
+    """A scorer's parameters by least squares on standardised columns."""
+    rounded = [F.round(c, 4 if c.startswith("target") else 6).alias(c) for c in ("coefficient", "mean", "scale", "target_mean", "target_scale")]
+    return _fitted(spark, sf_dir)[1].select("target", "feature", *rounded)
+
+
+@query(f"""WITH {_FIT} SELECT l_orderkey, l_linenumber, l_partkey, round(max(CASE WHEN target = 'price' THEN mt + b1 * (l_quantity - m1) + b2 * (l_discount - m2) END), 4) AS price, round(max(CASE WHEN target = 'tax' THEN mt + b1 * (l_quantity - m1) + b2 * (l_discount - m2) END), 6) AS tax
+FROM (SELECT row_number() OVER () AS k, * FROM lineitem) l, solved GROUP BY k, l_orderkey, l_linenumber, l_partkey""")
+def fitted_predictions(spark, sf_dir):
+    """What the fitted scorer says of every row: scaled, predicted, unscaled."""
+    rows, parameters = _fitted(spark, sf_dir)
+    found = fitted.predictions(parameters)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(found["price"], 4).alias("price"), F.round(found["tax"], 6).alias("tax"))
+
+
+@query(f"WITH {PARTS} SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM parts WHERE lon BETWEEN 9505e-2 AND 1103e-1 AND lat BETWEEN -121e-1 AND -415e-2")
+def places_in_box(spark, sf_dir):
+    """The parts' places laid out along a curve, and a box read by runs of it."""
+    path = f"{work_dir(spark).rstrip('/')}/laid-out-{uuid.uuid4().hex}"
+    layout.write_laid_out(parts(spark, sf_dir), path)
+    return layout.in_box(spark, path, (95.05, -12.1, 110.3, -4.15)).select("id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))

@@ -155,6 +155,28 @@ def blocked_edges_in_view(spark, sf_dir):
     return motion.edges_in_view(_moved(spark, sf_dir).withColumn("edge_id", F.col("src") * 100_000_000 + F.col("dst")), water(spark, sf_dir), BOX)
 
 
+@query(f"""WITH {WATER}, {RAYS}, {CELLS}, {MOVED}, kept AS (SELECT * FROM moved WHERE (src + dst) % 3 <> 0)
+SELECT r.src, r.dst, r.weight, coalesce(k.roll, 0) AS roll, coalesce(k.blocked, false) AS blocked, k.src IS NULL AS missed FROM rays r LEFT JOIN kept k ON k.src = r.src AND k.dst = r.dst""")
+def prediction_store(spark, sf_dir):
+    """Predictions and edges kept in equal buckets, joined without a shuffle."""
+    name = uuid.uuid4().hex
+    kept = lambda rows, what: stores.write_bucketed(rows, f"{what}_{name}", f"{work_dir(spark).rstrip('/')}/{what}-{name}", 8, "src", "dst")
+    edges = kept(lattice.ray_edges(water(spark, sf_dir)), "edges")
+    stored = kept(_moved(spark, sf_dir).filter((F.col("src") + F.col("dst")) % 3 != 0), "predictions")
+    return motion.with_predictions(edges, stored).select("src", "dst", "weight", "roll", "blocked", "missed")
+
+
+@query(f"""WITH {WATER}, {RAYS} SELECT (SELECT count(*) FROM water) AS nodes, (SELECT count(*) FROM rays) AS edges, (SELECT count(*) FROM rays WHERE (src + dst) % 3 = 0) AS misses""")
+def build_counters(spark, sf_dir):
+    """Nodes, edges and missed predictions, counted by the jobs that write them."""
+    nodes, path = water(spark, sf_dir), f"{work_dir(spark).rstrip('/')}/counted-{uuid.uuid4().hex}"
+    counts = stores.write_graph(nodes, lattice.ray_edges(nodes), path)
+    edges = stores.read_graph(spark, path)[1]
+    stored = _moved(spark, sf_dir).filter((F.col("src") + F.col("dst")) % 3 != 0)
+    counts |= stores.written(motion.with_predictions(edges, stored), f"{path}/predicted", misses=F.count_if("missed"))
+    return spark.createDataFrame([(counts["nodes"], counts["edges"], counts["misses"])], "nodes long, edges long, misses long")
+
+
 _SEARCH = """ways AS (SELECT u, v, min(w) AS w FROM (SELECT src AS u, dst AS v, weight AS w FROM graph UNION ALL SELECT dst, src, weight FROM graph) GROUP BY u, v),
 found(v, d) USING KEY (v) AS (SELECT CAST({start} AS BIGINT), 0e0 UNION SELECT e.v, min(f.d + e.w) FROM found f JOIN ways e ON e.u = f.v LEFT JOIN recurring.found k ON k.v = e.v WHERE k.d IS NULL OR f.d + e.w < k.d GROUP BY e.v)"""
 _PARENTS = """parents AS (SELECT v, u AS parent FROM (SELECT e.v, e.u, row_number() OVER (PARTITION BY e.v ORDER BY a.d, e.u) AS k FROM ways e JOIN found a ON a.v = e.u JOIN found b ON b.v = e.v WHERE a.d + e.w = b.d) WHERE k = 1)"""
