@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidelane.functions import display, geo
-from tidelane.operators import charts, lattice, motion, raster, route
+from tidelane.operators import build, charts, lattice, motion, raster, route
 from tidelane.operators.components import connected_components
 from tidelane.operators.nearest import nearest
 from tidelane.plans.registry import QUERIES, SQL
@@ -256,8 +256,22 @@ def test_stores_round_trip(spark, tmp_path):
     assert stores.newest_file(spark, f"{tmp_path}/cache").first().path.endswith("only.json")
 
 
+def test_columns_of_ones_own(spark):
+    """Rows may have columns of any name; where a result would hide one it is an error."""
+    rows = spark.createDataFrame([(0, 0, 1.0, 1.0, 2.0, "mine"), (0, 1, None, 1.0, 3.0, "mine"), (1, 0, 3.0, 2.0, 2.0, "mine")], "row_i int, col_j int, v double, lat double, lon double, id string")
+    wide = rows.withColumns({c: F.lit("mine") for c in ("mean", "value", "_x", "along", "_now", "_from", "own", "use")})
+    for fill in (raster.idw_filled, raster.linear_filled, raster.griddata_filled):
+        assert sorted(map(tuple, fill(wide, "v").collect())) == sorted(map(tuple, fill(rows, "v").collect()))
+    assert raster.with_fallback(wide.select("v", "_now", "_from", "own", "use"), wide, "v").columns == ["v", "_now", "_from", "own", "use"]
+    with pytest.raises(ValueError):
+        raster.visible(rows.withColumn("X", F.lit(1)), (0.0, 0.0, 1.0, 1.0), 0.1)
+    assert "x" in raster.visible(rows.withColumn("x", F.lit("mine")), (0.0, 0.0, 9.0, 9.0), 0.1, "east", "north").columns
+
+
 def test_requests(spark):
-    assert requests.build_problems({"GRID_SPACING": 1}) == ["GEOJSON_FILE", "EXTENT", "OUTPUT_FILE"]
+    assert requests.build_problems(spark, {"GRID_SPACING": 1}) == ["GEOJSON_FILE", "EXTENT", "OUTPUT_FILE"]
+    with pytest.raises(ValueError, match="no file /nowhere"):
+        build.build_lattice(spark, {"GEOJSON_FILE": "/nowhere", "GRID_SPACING": 1.0, "EXTENT": (0, 0, 1, 1), "OUTPUT_FILE": "x"})
     places = spark.createDataFrame([("to", 1), ("from", 2), ("via", 3)], "type string, position int")
     assert [r.type for r in requests.ordered_locations(places).collect()] == ["from", "to", "via"]
     cache = spark.createDataFrame([("k", True, 2, "b"), ("k", True, 1, "a"), ("k", False, 0, "c")], "key string, fixed boolean, stored_at int, path string")

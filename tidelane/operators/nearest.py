@@ -66,3 +66,9 @@ def nearest_poi(clicks: DataFrame, poi: DataFrame, max_degrees: float, default:
     near = nearest(clicks, poi.select(F.col("poi_id").alias("target_id"), F.col("lon").alias("tx"), F.col("lat").alias("ty")))
     near = near.filter(F.col("d2") <= max_degrees * max_degrees).join(poi.select(F.col("poi_id").alias("target_id"), "name"), "target_id")
     return clicks.select("probe_id").join(near.select("probe_id", "name"), "probe_id", "left").select("probe_id", F.coalesce("name", F.lit(default)).alias("place"))
+
+
+def resolved_clicks(clicks: DataFrame, poi: DataFrame, max_degrees: float, default: str) -> DataFrame:
+    """probe_id and place: the feature that was clicked (column feature), else the nearest point of interest within max_degrees, else the default."""
+    near = nearest_poi(clicks.filter("feature IS NULL").select("probe_id", "x", "y"), poi, max_degrees, default)
+    return clicks.filter("feature IS NOT NULL").select("probe_id", F.col("feature").alias("place")).unionByName(near)

@@ -31,13 +31,13 @@ def cleaned(value: Column, fill: float | None = None, zero_is_missing: bool = Tr
 
 def with_fallback(now: DataFrame, before: DataFrame, value: str = "value") -> DataFrame:
     """now, or before if now has no value at all; an error if that has none either."""
-    def full(df, tag):
-        return df.agg((F.count(value) > 0).alias(tag))
+    def packed(df: DataFrame, own: bool) -> DataFrame:
+        return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.lit(own).alias("own"))
 
-    has = full(now, "_now").join(full(before, "_before"))
-    ok = has.select("_now", F.when(~F.col("_now") & ~F.col("_before"), F.raise_error(F.lit("no valid values"))).alias("_err"))
-    rows = now.withColumn("_from", F.lit(True)).unionByName(before.withColumn("_from", F.lit(False)))
-    return rows.join(F.broadcast(ok)).filter((F.col("_from") == F.col("_now")) & F.col("_err").isNull()).drop("_from", "_now", "_err")
+    counts = now.agg(F.count(value).alias("now")).join(before.agg(F.count(value).alias("before")))
+    use = counts.select(F.when((F.col("now") == 0) & (F.col("before") == 0), F.raise_error(F.lit("no valid values")).cast("boolean")).otherwise(F.col("now") > 0).alias("use"))
+    both = packed(now, True).unionByName(packed(before.select(*now.columns), False))
+    return both.join(F.broadcast(use), F.col("own") == F.col("use")).select("row.*")
 
 
 def aligned(long: DataFrame, variables: list[str]) -> DataFrame:
@@ -67,7 +67,8 @@ def wave_at(points: DataFrame, cells: DataFrame, measures: list[str], mode: str
 
 def idw_filled(cells: DataFrame, value: str, k: int = 8, power: int = 2, x: str = "col_j", y: str = "row_i") -> DataFrame:
     """row_i, col_j, value, filled: missing cells get the inverse-distance mean of their k nearest valid ones."""
-    numbered = cells.withColumn("id", F.col("row_i").cast("long") * 100_000 + F.col("col_j"))
+    numbered = cells.select("row_i", "col_j", F.col(value).alias("value"), F.col(x).alias("px"), F.col(y).alias("py"), (F.col("row_i").cast("long") * 100_000 + F.col("col_j")).alias("id"))
+    value, x, y = "value", "px", "py"
     gaps = numbered.filter(F.col(value).isNull()).select(F.col("id").alias("probe_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     known = numbered.filter(F.col(value).isNotNull())
     near = nearest(gaps, known.select(F.col("id").alias("target_id"), F.col(x).cast("double").alias("tx"), F.col(y).cast("double").alias("ty")), k)
@@ -100,11 +101,11 @@ def linear_filled(cells: DataFrame, value: str) -> DataFrame:
         b = F.first(known, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
         return a["v"] + (b["v"] - a["v"]) * (F.col(at) - a["at"]) / (b["at"] - a["at"])
 
-    crossed = cells.select("row_i", "col_j", value, between("row_i", "col_j").alias("_x"), between("col_j", "row_i").alias("_y"))
-    mean = F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), (F.col("_x") + F.col("_y")) / 2).otherwise(F.coalesce("_x", "_y"))
-    linear = crossed.select("row_i", "col_j", F.coalesce(value, mean).alias("value"))
-    nearest_ = idw_filled(cells, value, k=1).select("row_i", "col_j", F.col("value").alias("_near"))
-    return linear.join(nearest_, ["row_i", "col_j"]).select("row_i", "col_j", F.round(F.coalesce("value", "_near"), 6).alias("value"))
+    crossed = cells.select("row_i", "col_j", F.col(value).alias("own"), between("row_i", "col_j").alias("along"), between("col_j", "row_i").alias("across"))
+    mean = F.when(F.col("along").isNotNull() & F.col("across").isNotNull(), (F.col("along") + F.col("across")) / 2).otherwise(F.coalesce("along", "across"))
+    linear = crossed.select("row_i", "col_j", F.coalesce("own", mean).alias("value"))
+    nearest_ = idw_filled(cells, value, k=1).select("row_i", "col_j", F.col("value").alias("near"))
+    return linear.join(nearest_, ["row_i", "col_j"]).select("row_i", "col_j", F.round(F.coalesce("value", "near"), 6).alias("value"))
 
 
 def griddata_filled(cells: DataFrame, value: str, method: str = "cubic", x: str = "col_j", y: str = "row_i", **options) -> DataFrame:
@@ -132,13 +133,18 @@ def corners(cells: DataFrame, value: str) -> DataFrame:
     return out
 
 
-def visible(cells: DataFrame, box: tuple[float, float, float, float], margin: float) -> DataFrame:
-    """Rows with lon, lat inside the box (min lon, min lat, max lon, max lat) in Web Mercator, grown by margin of its size on every side."""
+def visible(cells: DataFrame, box: tuple[float, float, float, float], margin: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Rows with lon, lat inside the box (min lon, min lat, max lon, max lat) in Web Mercator, grown by margin of its size on every side.
+
+    Their places there are the columns x and y; a row's own column of such a name is an error.
+    """
+    if clash := {c.lower() for c in cells.columns} & {x.lower(), y.lower()}:
+        raise ValueError(f"the rows have columns {sorted(clash)}; name others")
     one = cells.sparkSession.range(1)
     ends = one.select(*[f(F.lit(v)).alias(n) for n, f, v in zip(("x0", "y0", "x1", "y1"), (mercator_x, mercator_y) * 2, box)]).first()
     x0, y0, x1, y1 = ends
     dx, dy = (x1 - x0) * margin, (y1 - y0) * margin
-    return cells.withColumn("x", mercator_x(F.col("lon"))).withColumn("y", mercator_y(F.col("lat"))).filter(F.col("x").between(x0 - dx, x1 + dx) & F.col("y").between(y0 - dy, y1 + dy))
+    return cells.withColumn(x, mercator_x(F.col("lon"))).withColumn(y, mercator_y(F.col("lat"))).filter(F.col(x).between(x0 - dx, x1 + dx) & F.col(y).between(y0 - dy, y1 + dy))
 
 
 def snapshot_problems(values: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from tidelane.functions import display
 from tidelane.operators import charts, fitted
 from tidelane.operators.asof import newest_at
 from tidelane.operators.materialise import work_dir
-from tidelane.operators.nearest import nearest_poi
+from tidelane.operators.nearest import nearest_poi, resolved_clicks
 from tidelane.plans.derived import PARTS, SLOTS, SUPPLIERS, parts, slots, suppliers, table
 from tidelane.plans.registry import query
 from tidelane.sources import layout, poi, requests, stores
@@ -264,3 +264,48 @@ def places_in_box(spark, sf_dir):
     path = f"{work_dir(spark).rstrip('/')}/laid-out-{uuid.uuid4().hex}"
     layout.write_laid_out(parts(spark, sf_dir), path)
     return layout.in_box(spark, path, (95.05, -12.1, 110.3, -4.15)).select("id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query(f"""WITH {PARTS}, {SUPPLIERS}, near AS (
+SELECT p.id AS probe_id, s_name AS name, (p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat) AS d2, row_number() OVER (PARTITION BY p.id ORDER BY (p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat), s.id) AS k FROM parts p, suppliers s JOIN supplier ON s_suppkey = s.id)
+SELECT probe_id, CASE WHEN probe_id % 4 = 0 THEN p_name WHEN d2 <= 2.25 THEN name ELSE 'Unknown location' END AS place FROM near JOIN part ON p_partkey = probe_id WHERE k = 1""")
+def click_resolution(spark, sf_dir):
+    """Clicks at the parts' places: a quarter of them hit a feature."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).alias("feature"))
+    clicks = parts(spark, sf_dir).join(names, "id").select(F.col("id").alias("probe_id"), F.col("lon").alias("x"), F.col("lat").alias("y"), "feature")
+    return resolved_clicks(clicks, _sites(spark, sf_dir), 1.5, "Unknown location")
+
+
+_PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN type = 'from' THEN 0 ELSE 1 END, o_orderkey) - 1 AS index FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'from' WHEN o_orderkey % 5 = 1 THEN 'to' ELSE 'via' END AS type FROM orders))"
+
+
+def _locations(spark, sf_dir):
+    """Each customer's orders as a list of locations."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 5 == 0, "from").when(k % 5 == 1, "to").otherwise("via")
+    return requests.placed_locations(table(spark, sf_dir, "orders").select("o_custkey", k.alias("position"), kind.alias("type")), "o_custkey")
+
+
+@query(f"WITH {_PLACED} SELECT o_custkey, type, o_orderkey AS position, CAST(CASE WHEN index > 1 THEN index - 1 ELSE index END AS INTEGER) AS index FROM placed WHERE index <> 1")
+def location_lists(spark, sf_dir):
+    """The lists in their order, without what was second."""
+    return requests.removed(_locations(spark, sf_dir), 1).select("o_custkey", "type", "position", "index")
+
+
+@query(f"WITH {_PLACED} SELECT o_custkey, type, arg_min(o_orderkey, index) AS position FROM placed GROUP BY o_custkey, type")
+def first_locations(spark, sf_dir):
+    return requests.first_of_type(_locations(spark, sf_dir), "o_custkey")
+
+
+@query("SELECT o_orderkey, to_json(list_transform(list_filter([o_totalprice, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey AS DOUBLE) END, 5e-1], lambda x: x IS NOT NULL), lambda x: CAST(floor(x) AS BIGINT))) AS points FROM orders")
+def path_projection(spark, sf_dir):
+    """Lists of numbers, some missing: what is there, as whole numbers, encoded and decoded and encoded again."""
+    c = F.col("o_custkey").cast("double")
+    there = F.filter(F.array(F.col("o_totalprice"), F.when(F.col("o_custkey") % 3 > 0, c), F.lit(0.5)), lambda x: x.isNotNull())
+    encoded = F.to_json(F.transform(there, lambda x: F.floor(x).cast("long")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.from_json(encoded, "array<long>")).alias("points"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def decoded_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k string")["k"].alias("k"))

@@ -63,14 +63,14 @@ def in_cells(nodes: DataFrame) -> DataFrame:
 
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """polygon_id, ring: a square of water around each supplier, every other one with a square island."""
+    """polygon_id, ring, hole: a square of water around each supplier, every other one with a square island."""
     def square(half: float) -> Column:
         corners = [(-half, -half), (half, -half), (half, half), (-half, half), (-half, -half)]
         return F.array(*[F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat")) for x, y in corners])
 
     own = suppliers(spark, sf_dir)
-    outer = own.select(F.col("id").alias("polygon_id"), square(0.453125).alias("ring"))
-    return outer.unionByName(own.filter("id % 2 = 0").select(F.col("id").alias("polygon_id"), square(0.140625).alias("ring")))
+    outer = own.select(F.col("id").alias("polygon_id"), square(0.453125).alias("ring"), F.lit(False).alias("hole"))
+    return outer.unionByName(own.filter("id % 2 = 0").select(F.col("id").alias("polygon_id"), square(0.140625).alias("ring"), F.lit(True).alias("hole")))
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidelane.functions import display, geo
-from tidelane.operators import charts, raster
+from tidelane.operators import charts, lattice, raster
 from tidelane.operators.materialise import work_dir
 from tidelane.operators.nearest import nearest
 from tidelane.plans.derived import CELLS, GAPPY, MESH, PARTS, SUPPLIERS, bearing, cells, gappy, km, mesh, parts, suppliers, table
 from tidelane.plans.registry import query
-from tidelane.sources import bands
+from tidelane.sources import bands, stores
 
 EXTENT = raster.EXTENT
 MEASURES = ["height", "direction", "period"]
@@ -135,6 +135,46 @@ def griddata_cubic_fill(spark, sf_dir):
     return raster.griddata_filled(mesh(spark, sf_dir), "height", "cubic")
 
 
+@query(f"WITH {MESH} SELECT 'perpwsfc' AS variable, '20240101' AS date, '06z' AS slot, row_i, col_j, lat, lon, period + 1e0 AS value FROM mesh")
+def raster_store(spark, sf_dir):
+    """Two variables of two snapshots kept in the store, and one of them read again."""
+    rows = mesh(spark, sf_dir).select("row_i", "col_j", "lat", "lon", F.col("height").alias("htsgwsfc"), F.col("period").alias("perpwsfc"))
+    long = rows.unpivot(["row_i", "col_j", "lat", "lon"], ["htsgwsfc", "perpwsfc"], "variable", "value").withColumn("date", F.lit("20240101"))
+    path = f"{work_dir(spark).rstrip('/')}/rasters-{uuid.uuid4().hex}"
+    for slot, more in (("00z", 0.0), ("06z", 1.0)):
+        stores.write_raster(long.withColumn("slot", F.lit(slot)).withColumn("value", F.col("value") + more), path)
+    return stores.read_raster(spark, path, "perpwsfc", "20240101", "06z").select("variable", "date", "slot", "row_i", "col_j", "lat", "lon", "value")
+
+
+@query(f"""WITH {MESH}, wide AS (SELECT 'htsgwsfc' AS variable, row_i, col_j, lat, lon, height AS value FROM mesh UNION ALL SELECT 'perpwsfc', row_i, col_j, lat + CASE WHEN col_j = 7 THEN 1e-3 ELSE 0 END, lon, period FROM mesh
+    UNION ALL SELECT 'dirpwsfc', row_i, col_j, lat, lon, NULL FROM mesh WHERE row_i % 3 > 0),
+sizes AS (SELECT variable, count(*) AS n, count(value) AS valid FROM wide GROUP BY variable),
+apart AS (SELECT row_i, col_j FROM wide GROUP BY row_i, col_j HAVING max(lat) - min(lat) > 1e-6 + 1e-5 * abs(max(lat)) OR max(lon) - min(lon) > 1e-6 + 1e-5 * abs(max(lon)))
+SELECT variable, 'cells' AS problem FROM sizes WHERE n < (SELECT max(n) FROM sizes) UNION ALL SELECT variable, 'values' FROM sizes WHERE valid = 0 UNION ALL SELECT NULL, 'coordinates' WHERE EXISTS (SELECT 1 FROM apart)""")
+def snapshot_check(spark, sf_dir):
+    """A snapshot of the mesh in which one variable lacks lines and values, and another is off in a column."""
+    rows = mesh(spark, sf_dir)
+    at = ["row_i", "col_j"]
+    height = rows.select(F.lit("htsgwsfc").alias("variable"), *at, "lat", "lon", F.col("height").alias("value"))
+    period = rows.select(F.lit("perpwsfc").alias("variable"), *at, (F.col("lat") + F.when(F.col("col_j") == 7, 1e-3).otherwise(0.0)).alias("lat"), "lon", F.col("period").alias("value"))
+    direction = rows.filter("row_i % 3 > 0").select(F.lit("dirpwsfc").alias("variable"), *at, "lat", "lon", F.lit(None).cast("double").alias("value"))
+    return raster.snapshot_problems(height.unionByName(period).unionByName(direction))
+
+
+@query(f"WITH {CELLS}, tops AS (SELECT greatest(max(height), 5) AS h FROM cells) SELECT row_i, col_j, round(25e-2 * h, 6) AS first, round(5e-1 * h, 6) AS second, round(h, 6) AS third FROM cells, tops")
+def gauge_arcs(spark, sf_dir):
+    """The ends of a gauge's arcs beside each cell: shares of its largest value."""
+    rows = cells(spark, sf_dir)
+    arcs = charts.sub_arcs([0.25, 0.5, 1.0], F.col("top"))
+    tops = charts.gauge_max(rows).select(F.col("height").alias("top"))
+    return rows.join(F.broadcast(tops)).select("row_i", "col_j", *(F.round(arcs[k], 6).alias(n) for k, n in enumerate(("first", "second", "third"))))
+
+
+@query(f"WITH {PARTS} SELECT id, round(lon, 1)::VARCHAR || '_' || round(lat, 1)::VARCHAR AS key FROM parts")
+def node_keys(spark, sf_dir):
+    return parts(spark, sf_dir).select("id", lattice.node_key(F.round("lon", 1), F.round("lat", 1)).alias("key"))
+
+
 @query(f"""WITH {MESH} SELECT 'htsgwsfc' AS variable, row_i, col_j, lat, lon, height AS value FROM mesh WHERE lat > -1475e-2 AND lat <= -138e-1 AND lon >= 921e-1""")
 def band_scan(spark, sf_dir):
     """The mesh landed as binary bands, and one variable's cells in a box read from the bands and columns that have any."""

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidelane.operators import charts, lattice, motion, route
+from tidelane.operators import build, charts, lattice, motion, route
 from tidelane.operators.materialise import saved, work_dir
 from tidelane.operators.nearest import nearest
 from tidelane.plans.derived import ALONE, CELLS, IN_RING, LINKED, MOVED, PARTS, RAYS, SUPPLIERS, WATER, bearing, cells, in_cells, km, parts, rings, water
@@ -118,12 +118,11 @@ water AS (SELECT node_id, row_j, col_i, lon, lat FROM cells_of WHERE node_id IN
 
 @query(f"WITH RECURSIVE {_BASIN_WATER}, {_BUILT} SELECT src, dst, round(weight, 6) AS weight, round(bearing, 6) AS bearing, a.lon, a.lat FROM built JOIN water a ON a.node_id = src")
 def lattice_build(spark, sf_dir):
-    """The whole build: a lattice over the parts' extent, its cells within the suppliers' waters, rays, repairs, written to the store as a graph and read again."""
-    nodes = lattice.numbered(lattice.grid(spark, *_extent(spark, sf_dir)))
-    inside = lattice.in_polygons(nodes.select(F.col("node_id").alias("point_id"), "lon", "lat"), rings(spark, sf_dir)).withColumnRenamed("point_id", "node_id")
-    nodes = saved(nodes.join(inside, "node_id", "left_semi"))
+    """The whole build from settings: polygons from a file of features, a lattice over the parts' extent, its cells within them, rays, repairs, written as a graph and read again."""
     path = f"{work_dir(spark).rstrip('/')}/lattice-{uuid.uuid4().hex}"
-    stores.write_graph(nodes, lattice.built(nodes), path)
+    stores.write_geojson_lines(rings(spark, sf_dir), f"{path}/polygons")
+    *extent, spacing = _extent(spark, sf_dir)
+    build.build_lattice(spark, {"GEOJSON_FILE": f"{path}/polygons", "LINES": True, "GRID_SPACING": spacing, "EXTENT": extent, "OUTPUT_FILE": path})
     nodes, edges = stores.read_graph(spark, path)
     return edges.join(nodes.select(F.col("node_id").alias("src"), "lon", "lat"), "src").select("src", "dst", F.round("weight", 6).alias("weight"), F.round("bearing", 6).alias("bearing"), "lon", "lat")
 
