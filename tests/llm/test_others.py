@@ -165,3 +165,9 @@ def test_blocks_are_pruned_where_rows_are_alike():
     for i, q in enumerate(queries.tolist()):
         want = sorted((-int(x[q] @ x[k]), k) for k in range(2560) if k != q)[:10]
         assert list(zip((-best.scores[i]).tolist(), best.ids[i].tolist())) == want
+
+
+def test_components_out_of_range_are_an_error(spark):
+    table = spark.createDataFrame([(0, [0.001, 0.0]), (1, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large to be scaled exactly"):
+        top_k(table, table.filter("vec_id = 0")).collect()

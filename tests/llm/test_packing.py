@@ -69,3 +69,11 @@ def test_other_tokenizers_get_whole_texts(spark):
     got = {i: np.frombuffer(b"".join(bytes(r.ids) for r in rows if r.doc_id == i), "<u4").tolist() for i in texts}
     known = Tokenizer.from_file(path)
     assert got == {i: [*known.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts.items()}
+
+
+def test_repeated_rows_part(spark):
+    """Rows that are equal in all columns are spread over the groups like any others."""
+    docs = spark.createDataFrame([(None, "word " * 400)] * 400, "doc_id long, text string")
+    rows = pack(docs, group_bytes=40_000, with_ids=False).selectExpr("sequence_id >> 32 AS g", "length").groupBy("g").sum("length").collect()
+    sizes = [r["sum(length)"] for r in rows]
+    assert len(sizes) == 21 and max(sizes) < 2.5 * sum(sizes) / len(sizes)

@@ -1,7 +1,7 @@
 """Packing of tokenised documents into fixed-length training sequences.
 
-Documents are dealt at random (by a hash) into groups of bounded size; each group is
-packed on its own by first-fit decreasing. A tournament tree over the bins' free room
+Documents are dealt at random (by a hash of their row's number, so that equal rows part) into groups
+of bounded size; each group is packed on its own by first-fit decreasing. A tournament tree over the bins' free room
 finds the first bin that takes a piece in O(log bins).
 
 Defined results: a null or empty text has the end id alone; a null doc_id is packed like
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import arrow_table, part_of
+from tidelane.llm.common import arrow_table
 
 CAPACITY = 2048
 END_ID = 1
@@ -220,5 +220,6 @@ def pack(documents: DataFrame, tokenizer: str | None = None, *, capacity: int =
             sequence_id=bins + (key[0].as_py() << 32), offset=offset, ids=cut if with_ids else [None] * len(cut),
         )
 
-    dealt = docs.select(part_of(groups, "doc_id", "text").alias("group"), "doc_id", "text")
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    dealt = docs.select(own.alias("group"), "doc_id", "text")
     return dealt.groupBy("group").applyInArrow(group, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -1,19 +1,19 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-A vector's dimensions are terms. Rows are laid out in ranges by a coarse key of their largest terms,
-so that neighbours are alike, and each range in blocks; a block keeps the rows' values as its forward
-index, and for each term the largest and the least value in it. A query's bound for a block sums,
-over its terms, the query's value times the extreme that suits its sign. A task takes a query's
-blocks in order of their bounds and scores whole blocks through the forward index until the next
-bound falls below the kth score so far; ties at the bound are still scored. The kth scores stand
-from one batch of rows to the next, and a task gives each query's k best once, at its end.
+A vector's dimensions are terms. A task lays its rows out in blocks of neighbours; a block keeps the
+rows' values as its forward index, and for each term the largest and the least value in it. A
+query's bound for a block sums, over its terms, the query's value times the extreme that suits its
+sign. Each query takes blocks in order of its bounds and scores whole blocks through the forward index
+until its next bound falls below its kth score so far; ties at the bound are still scored. All
+queries take a step at a time together, as one product. The kth scores stand from one batch of rows
+to the next, and a task gives each query's k best once, at its end.
 
 Queries go over all rows in groups of bounded size, one after the other, so that the driver and a
 task hold one group; a window picks the k best of the tasks' results.
 
 Scores are exact 64-bit integers. Values and their products are summed in doubles only where the
-sums stay below 2**53; larger ones are split into halves and added up as integers. A score outside
-the 64-bit range is an error, not a wrong number.
+sums stay below 2**53; larger ones are added up as integers. A component that is 2**53 or more when
+scaled is an error, and so is a score outside the 64-bit range: never a wrong number.
 
 Defined results: vectors that are null, or hold null or non-finite components, and rows without a
 vec_id, take no part; shorter vectors count as padded with zeros; a candidate with the query's own
@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import batch
+from tidelane.llm.common import batch, bounded, scaled
 from tidelane.operators.materialise import saved
 
 SCALE = 1024
 BLOCK_ROWS = 64
 #: Queries in a group, at most: about 10 MB of 64 dimensions.
 GROUP_QUERIES = 20_000
-#: Of a vector's terms, the largest that say which range it is in.
-RANGE_TERMS = 2
+#: Queries that take a step together, at most.
+STEP_QUERIES = 512
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -46,7 +46,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and floor(scale * x) of the components, of the rows that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     sound = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & sound).select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("x"))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & sound).select("vec_id", F.transform("x", lambda v: scaled(v, scale)).alias("x"))
 
 
 def matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
@@ -108,15 +108,27 @@ class Blocks:
         """Better rows for the queries `first` and on, whose vectors are q."""
         wide = q.astype(float)
         bounds = np.maximum(wide, 0) @ self.top.T + np.minimum(wide, 0) @ self.low.T
-        if not small(self.x, q):  # above what rounding may have taken off
+        exact = small(self.x, q)
+        if not exact:  # above what rounding may have taken off
             bounds += np.abs(bounds) * 2.0**-40 + 1
-        for i, by in enumerate(np.argsort(-bounds, axis=1, kind="stable")):
-            for b in by.tolist():
-                if best.full(first + i) and bounds[i, b] < best.kth(first + i):
-                    break
-                at = slice(self.at[b], self.at[b] + self.rows)
-                self.scored += 1
-                best.take(first + i, self.ids[at], products(self.x[at], q[i]))
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        forward = self.x.astype(float) if exact else self.x
+        going = np.arange(len(q))
+        for step in range(len(self.at)):
+            block = order[going, step]
+            on = ~best.full(first + going) | (bounds[going, block] >= best.kth(first + going))
+            going, block = going[on], block[on]
+            if not len(going):
+                return
+            self.scored += len(going)
+            rows = self.at[block][:, None] + np.arange(self.rows)
+            there = rows < len(self.ids)
+            rows = np.minimum(rows, len(self.ids) - 1)
+            if exact:
+                scores = np.matmul(forward[rows], wide[going][:, :, None])[:, :, 0].astype(np.int64)
+            else:
+                scores = np.stack([products(forward[r], q[i]) for r, i in zip(rows, going.tolist())])
+            best.take(first + going, self.ids[rows], scores, there)
 
 
 class Best:
@@ -127,23 +139,31 @@ class Best:
         self.ids, self.scores = np.zeros((len(own), k), np.int64), np.zeros((len(own), k), np.int64)
         self.n = np.zeros(len(own), np.int64)
 
-    def full(self, i: int) -> bool:
+    def full(self, i: np.ndarray) -> np.ndarray:
         return self.n[i] == self.k
 
-    def kth(self, i: int) -> int:
-        return int(self.scores[i, self.k - 1])
+    def kth(self, i: np.ndarray) -> np.ndarray:
+        return self.scores[i, self.k - 1]
 
-    def take(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        other = ids != self.own[i]
-        if self.full(i):
-            other &= scores >= self.scores[i, self.k - 1]
-        if not other.any():
+    def take(self, i: np.ndarray, ids: np.ndarray, scores: np.ndarray, there: np.ndarray) -> None:
+        """Rows for the queries i, a line of them for each: their ids and scores, and whether they are there."""
+        better = there & (ids != self.own[i][:, None]) & (~self.full(i)[:, None] | (scores >= self.kth(i)[:, None]))
+        some = np.flatnonzero(better.any(axis=1))
+        if not len(some):
             return
-        n = self.n[i]
-        ids, scores = np.concatenate([self.ids[i, :n], ids[other]]), np.concatenate([self.scores[i, :n], scores[other]])
-        top = np.lexsort((ids, ~scores))[: self.k]  # ~ turns the order without overflow
-        self.n[i] = len(top)
-        self.ids[i, : len(top)], self.scores[i, : len(top)] = ids[top], scores[top]
+        i, better = i[some], better[some]
+        line, at = np.nonzero(better)
+        held_line, held_at = np.nonzero(np.arange(self.k) < self.n[i][:, None])
+        lines = np.concatenate([held_line, line])
+        ids = np.concatenate([self.ids[i][held_line, held_at], ids[some][line, at]])
+        scores = np.concatenate([self.scores[i][held_line, held_at], scores[some][line, at]])
+        order = np.lexsort((ids, ~scores, lines))  # ~ turns the order without overflow
+        lines, ids, scores = lines[order], ids[order], scores[order]
+        counts = np.bincount(lines, minlength=len(i))
+        place = np.arange(len(lines)) - np.repeat(np.cumsum(counts) - counts, counts)
+        kept = place < self.k
+        self.ids[i[lines[kept]], place[kept]], self.scores[i[lines[kept]], place[kept]] = ids[kept], scores[kept]
+        self.n[i] = np.minimum(counts, self.k)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for first in range(0, len(self.own), 10_000):
@@ -152,17 +172,10 @@ class Best:
             yield batch(FOUND, query_id=np.repeat(self.own[first : first + 10_000], n), vec_id=self.ids[first : first + 10_000][there], score=self.scores[first : first + 10_000][there])
 
 
-def laid_out(rows: DataFrame, terms: int = RANGE_TERMS) -> DataFrame:
-    """The rows in ranges by their largest terms, in order of their sizes and with their signs: rows of a range are alike."""
-    sized = F.sort_array(F.transform("x", lambda v, i: F.struct((-F.abs(v)).alias("size"), F.when(v < 0, -i - 1).otherwise(i).alias("term"))))
-    key = F.transform(F.slice(sized, 1, terms), lambda s: s["term"])
-    return rows.withColumn("range", key).repartitionByRange("range", "vec_id").sortWithinPartitions("range").drop("range")
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = SCALE, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows of vectors, its own row left out."""
     spark = vectors.sparkSession
-    rows = laid_out(quantised(vectors, scale))
+    rows = quantised(vectors, scale)
     asked = saved(quantised(queries, scale).groupBy("vec_id").agg(F.min("x").alias("x")))
     n_groups = max(1, -(-asked.count() // group_queries))
     rows = saved(rows) if n_groups > 1 else rows
@@ -181,11 +194,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = S
                 wide = np.zeros((len(q), x.shape[1]), np.int64)
                 wide[:, : q.shape[1]] = q
                 blocks = Blocks(b["vec_id"].to_numpy(), x)
-                for first in range(0, len(wide), 512):
-                    blocks.improve(best, first, wide[first : first + 512])
+                for first in range(0, len(wide), STEP_QUERIES):
+                    blocks.improve(best, first, wide[first : first + STEP_QUERIES])
             yield from best.rows()
 
-        part = rows.mapInArrow(scan, "query_id long, vec_id long, score long")
+        part = bounded(rows).mapInArrow(scan, "query_id long, vec_id long, score long")
         if n_groups > 1:
             part = saved(part)
             shared.destroy()
