@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidelane.llm.chat_format import ENDING, FOOTER, HEADER, NEXT, ROLES, START, STEPS, block_matrix, edges, format_conversations, least_cost, repair
-from tidelane.llm.license_scan import TEMPLATES, banded, scan, winnowed
+from tidelane.llm.license_scan import GAIN, LOSS, TEMPLATES, TemplateIndex, aligned, needed, scan, winnowed
 from tidelane.llm.top_k import Best, Blocks, products, top_k
 
 
@@ -91,24 +91,56 @@ def test_license_spans(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_banded_alignment_is_that_of_the_whole_table():
-    """Score and matched words of the best local alignment over all cells, with every tie counted."""
+def whole_table(template, text):
+    """The most points of an alignment of the whole template, by all cells, and every number of matched words that reaches it."""
+    above = [{(0, 0)}] * (len(text) + 1)
+    for w in template:
+        row = [{(s - LOSS, m) for s, m in above[0]}]
+        for j, x in enumerate(text):
+            ways = {(s + GAIN, m + 1) if w == x else (s - LOSS, m) for s, m in above[j]} | {(s - LOSS, m) for s, m in above[j + 1] | row[j]}
+            top = max(s for s, _ in ways)
+            row.append({c for c in ways if c[0] == top})
+        above = row
+    top = max(s for cell in above for s, _ in cell)
+    return {m for cell in above for s, m in cell if s == top}
+
+
+def test_alignment_is_that_of_the_whole_table():
     rng = np.random.default_rng(6)
     for _ in range(60):
         template = rng.integers(0, 40, 30)
         text = [*rng.integers(0, 40, 15), *(w for w in template for _ in range(rng.choice([0, 1, 1, 1, 1, 1, 1, 2]))), *rng.integers(0, 40, 15)]
         text = np.array([w if rng.random() > 0.1 else 99 for w in text])
-        cells = {(-1, j): {(0, 0)} for j in range(-1, len(text))} | {(i, -1): {(0, 0)} for i in range(len(template))}
-        best = {(0, 0)}
-        for i, w in enumerate(template):
-            for j, x in enumerate(text):
-                diagonal = {(s + 1, m + 1) if w == x else (s - 1, m) for s, m in cells[i - 1, j - 1]}
-                ways = diagonal | {(s - 1, m) for s, m in cells[i - 1, j] | cells[i, j - 1]}
-                top = max(s for s, _ in ways)
-                cells[i, j] = {c for c in ways if c[0] == top} if top > 0 else {(0, 0)}
-                best = max(best, cells[i, j], key=lambda c: max(c)[0]) if max(cells[i, j])[0] != max(best)[0] else best | cells[i, j]
-        matched, start, end = banded(template, text, 15, len(text))
-        assert matched in {m for _, m in best} and 0 <= start < end <= len(text)
+        matched, first, last = aligned(template, text, np.array([15, 15]), np.array([0, 0]), np.array([len(text)] * 2), len(text))
+        assert matched[0] == matched[1] and matched[0] in whole_table(template, text.tolist()) and 0 <= first[0] < last[0] <= len(text)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+def test_license_recall_by_length_and_change(spark, share):
+    """Every template with words changed anywhere is found as long as it meets the threshold, its ends included."""
+    rng = np.random.default_rng(int(100 * share))
+    templates = TEMPLATES | {f"t{n}": " ".join(f"w{n}x{k}" for k in range(n)) for n in (1, 2, 3, 4, 5, 6, 9, 10, 11, 25, 60)}
+    docs, want = [], {}
+    for name, text in templates.items():
+        n = len(TemplateIndex({name: text}).words[0])
+        for _ in range(30):
+            words = "".join(c if c.isalnum() else " " for c in text).split()
+            changed = rng.choice(n, min(n - needed(n), max(int(share * n), int(rng.integers(0, 2)))), replace=False)
+            for k in changed:
+                words[k] = "other"
+            want[len(docs), name] = n - len(changed)
+            docs.append((len(docs), " ".join(["before"] * int(rng.integers(0, 4)) + words + ["after"] * int(rng.integers(0, 4)))))
+    got = {(r.doc_id, r.license): r.matched_words for r in scan(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()}
+    assert all(got.get(k, 0) >= m for k, m in want.items())
+
+
+def test_licenses_with_added_and_missing_words_and_repeats(spark):
+    gpl = TEMPLATES["GPL-3.0-or-later"]
+    words = gpl.split()
+    docs = [(1, " ".join(w for k, w in enumerate(words) if k % 8 != 5)), (2, " ".join(w + (" really" if k % 20 == 3 else "") for k, w in enumerate(words))), (3, f"{gpl} {gpl}\n{gpl}"), (3, f"{gpl} {gpl}\n{gpl}"), (4, " ".join(words[: len(words) // 2]))]
+    got = sorted((r.doc_id, r.license, r.matched_words) for r in scan(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    n = len(TemplateIndex({"a": gpl}).words[0])
+    assert [g[0] for g in got if g[1] == "GPL-3.0-or-later"] == [1, 2, *[3] * 6] and all(m == n for d, _, m in got if d > 1) and scan(spark.createDataFrame(docs, "doc_id long, text string"), {"none": " ,. "}).count() == 0
 
 
 def test_winnowing_keeps_one_in_every_window():
