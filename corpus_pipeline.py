@@ -3,6 +3,12 @@
 Toxic documents go; of each group of near copies the document with the least id stays; byte
 strings that an earlier document has go from the texts; documents that overlap with benchmark
 items go; what is left is packed.
+
+Defined results, in every stage: null and empty texts are clean, unlike any other and without
+repeats, and are packed as their end id; texts of any length are worked on whole; rows without a doc_id
+go through all stages unchanged; repeated rows and ids count as the stages' modules say (near
+copies: one row for an id stays; packing: each row); ties go to the smaller doc_id; empty tables
+give no rows; extra columns, whatever their names, are kept until the packing.
 """
 
 from __future__ import annotations
