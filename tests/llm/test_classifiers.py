@@ -74,3 +74,53 @@ def test_interactions_are_learned():
     model = AdditiveModel().fit(x[:2000], y[:2000])
     assert (0, 1) in model.pairs and ((model.score(x[2000:]) > 0.5) == (y[2000:] > 0.5)).mean() > 0.9
     assert len(features_of("A b\nb b|!")) == len(features_of(None)) == len(FEATURES)
+
+
+def test_lexicon_against_a_plain_search():
+    """Every place where an entry begins counts its heaviest entry, unless an exception phrase covers the place."""
+    rng = random.Random(11)
+    vocabulary = ["idiot", "idiots", "scum", "scu", "clown", "fish", "proof", "an", "sc", "idi"]
+    weights = {" idiot": 2.5, " idiot ": 3.0, " scum ": 2.0, " clown ": 1.5, " scu": 0.5, " idio": 1.0}
+    exceptions = ("idiot proof", "clown fish", "an idiot an")
+    lexicon = Lexicon(weights, exceptions)
+    for _ in range(400):
+        text = "".join(rng.choice(vocabulary) + rng.choice([" ", " ", ", ", "-", "\n"]) for _ in range(rng.randint(0, 25)))
+        text = "".join(rng.choice([c, c.upper(), {"i": "1", "o": "0", "s": "ѕ", "c": "с"}.get(c, c)]) for c in text)
+        plain = folded(text)
+        at = {k: max(w for e, w in weights.items() if plain.startswith(e, k)) for k in range(len(plain)) if any(plain.startswith(e, k) for e in weights)}
+        phrases = [" " + " ".join(folded(p).split()) + " " for p in exceptions]
+        covered = {s for p in phrases for k in range(len(plain)) if plain.startswith(p, k) for s in range(k, k + len(p) - 1)}
+        kept = {k: w for k, w in at.items() if k not in covered}
+        weight, n, words = lexicon.weigh(text)
+        assert weight == pytest.approx(sum(kept.values())) and n == len(kept) and words == len(plain.split())
+
+
+def test_tables_are_the_sums_of_their_trees():
+    """The trees of each feature and pair as they were grown, added up one by one, and scored row by row."""
+    grown, paired = [], []
+
+    class Kept(AdditiveModel):
+        def _tree(self, g, h, leaves=3):
+            step = super()._tree(g, h, leaves)
+            if leaves == 3:
+                grown.append(step)
+            return step
+
+        def _pair_tree(self, g, h):
+            found = super()._pair_tree(g, h)
+            paired.append(found[1].copy())
+            return found
+
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 4))
+    y = ((x[:, 0] > 0.6) ^ (x[:, 2] > 0.3)).astype(float)
+    model = Kept(rounds=15, pair_rounds=6, n_pairs=3).fit(x, y)
+    assert len(grown) == 15 * 4 and len(paired) == 6 + 6 * len(model.pairs)  # six pairs are ranked first
+    for k, table in enumerate(model.tables):
+        assert np.allclose(table, model.rate * sum(grown[k::4]))
+    for m, grid in enumerate(model.pairs.values()):
+        assert np.allclose(grid, model.rate * sum(paired[6 + m :: len(model.pairs)]))
+    for row, score in zip(x[:50], model.score(x[:50])):
+        z = model.intercept + sum(t[sum(e <= v for e in edges)] for t, edges, v in zip(model.tables, model.edges, row))
+        z += sum(grid[sum(e <= row[i] for e in model.pair_edges[i]), sum(e <= row[j] for e in model.pair_edges[j])] for (i, j), grid in model.pairs.items())
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))

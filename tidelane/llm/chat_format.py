@@ -16,8 +16,8 @@ and, once the next turn or the end comes, a footer.
 
 Defined results: null texts count as empty, roles other than the three (null, too) fit none and
 must be relabelled or merged; turns with equal numbers, repeated rows included, are ordered by
-role and text; rows without a conv_id are left out; an empty table gives no rows; extra columns
-are ignored.
+role and text; a turn of any length is rendered whole, by one task; rows without a conv_id are left
+out; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import batch
+from tidelane.llm.common import batch, bounded
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the last turn.
@@ -177,6 +177,6 @@ def format_conversations(conversations: DataFrame, *, block_bytes: int = BLOCK_B
                 out[begin:] = [(*piece, cost) for piece in out[begin:]]
             yield batch(schema, **{n: [r[i] for r in out] for i, n in enumerate(schema.names)})
 
-    matrices = blocks.select("conv_id", "block", F.col("turns.role").alias("roles")).mapInArrow(costs, "conv_id long, block long, costs array<long>")
+    matrices = bounded(blocks.select("conv_id", "block", F.col("turns.role").alias("roles"))).mapInArrow(costs, "conv_id long, block long, costs array<long>")
     settled = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "costs"))).alias("matrices")).mapInArrow(settle, "conv_id long, block long, entry int, exit int, last boolean, cost long")
-    return blocks.join(settled, ["conv_id", "block"]).select("conv_id", "turns", "entry", "exit", "last", "cost").mapInArrow(render, "conv_id long, position long, part int, turn long, source_role string, role string, action string, rendered string, cost long")
+    return bounded(blocks.join(settled, ["conv_id", "block"]).select("conv_id", "turns", "entry", "exit", "last", "cost")).mapInArrow(render, "conv_id long, position long, part int, turn long, source_role string, role string, action string, rendered string, cost long")

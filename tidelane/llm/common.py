@@ -23,7 +23,7 @@ BATCH_BYTES = "4m"
 
 
 def bounded(rows: DataFrame) -> DataFrame:
-    """The rows, as they are, in a session whose Arrow batches are bounded by bytes, too; a limit that it has stays."""
+    """The rows, as they are, in a session whose Arrow batches are bounded by bytes, too. The session keeps that bound from now on; one that it has stays."""
     conf = rows.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -17,8 +17,9 @@ group of near copies costs a few pairs a member. The verified links are a spanni
 links: other pairs within a component may be linked, too, and are not verified or returned.
 
 Defined results: texts without words, null texts included, have the empty set and link with
-nothing; equal texts are one class and share its component; rows without a doc_id are left out;
-rows that repeat a doc_id count once; an empty table gives no rows; extra columns are ignored.
+nothing; equal texts are one class and share its component; a text of any length is taken whole, by
+one task; rows without a doc_id are left out; of rows that repeat a doc_id the text with the least
+hashes counts; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

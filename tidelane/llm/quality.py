@@ -4,8 +4,9 @@ Shallow trees are boosted in turn over one feature's bins at a time, then over t
 pairs whose interaction explains most of what is left. The trees of a feature or pair add up to
 one lookup table, so a document's score is an intercept and a sum of table entries.
 
-Defined results: null and empty texts have the features of no text and are scored like any other;
-repeated rows are scored each; an empty table gives no rows; with no labelled rows of both kinds
+Defined results: null and empty texts have the features of no text and are scored like any other; a
+text of any length is taken whole, by one task; equal gains go to the earlier bin and the feature
+first in order; repeated rows are scored each; extra columns are ignored; an empty table gives no rows; with no labelled rows of both kinds
 every score is the base rate (0 without labels).
 """
 

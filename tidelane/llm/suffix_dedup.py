@@ -19,7 +19,8 @@ it, the one with the least hash. Equal strings have equal anchors, so
 Texts are dealt by doc_id and travel once, in compressed batches, to parts of bounded size; equal
 texts are one text until the end. Nothing is sampled: every repeated string is found.
 
-Defined results: null and empty texts are empty; a text of fewer than LENGTH bytes stays whole;
+Defined results: null and empty texts are empty; a text of fewer than LENGTH bytes stays whole; a
+text of any length is taken whole, by one task;
 later copies of a text of LENGTH bytes or more go whole; rows without a doc_id are left out; rows
 that repeat a doc_id count once; an empty table gives no rows; extra columns are ignored. Bytes are
 removed as bytes, so kept text that is read as UTF-8 may start or end inside a letter; see

@@ -6,8 +6,9 @@ words and word beginnings whose share of toxic training documents is high; their
 smoothed log odds. Matches within exception phrases do not count. The summed weight, by itself
 and per hundred words, goes through a logistic curve fitted to the training rows.
 
-Defined results: null, empty and letterless texts score as texts without a match; repeated rows
-are scored each; an empty table gives no rows; with no labelled rows of both kinds the lexicon is
+Defined results: null, empty and letterless texts score as texts without a match; a text of any
+length is taken whole, by one task; of entries that begin at one place the heaviest counts; repeated
+rows are scored each; extra columns are ignored; an empty table gives no rows; with no labelled rows of both kinds the lexicon is
 empty and every score is the base rate (0 without labels).
 """
 
