@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from brute import kept_bytes
-from tidelane.llm.suffix_dedup import RunLengthIndex, deduplicated, marks_of, remove_repeats, repeated, single, sorted_strings
+from tidelane.llm.suffix_dedup import RunLengthIndex, deduplicated, marks_of, ranks, remove_repeats, repeated, single, sorted_strings
 
 SCHEMA = "doc_id long, text string, kept string, n_chars long"
 
@@ -55,33 +55,77 @@ def test_index_and_marks_match_brute_force(seed):
     starts = np.concatenate([[0], np.sort(rng.choice(np.arange(1, 300), 12, replace=False)), [300]])
     docs = np.sort(rng.integers(0, 6, 13))
     index = RunLengthIndex(text, width)
-    for step, (k, row, length) in enumerate(index.stream(starts[:-1], starts[1:])):
-        at = starts[1:][k] - 1 - step
-        assert (length == np.minimum(step + 1, width)).all()  # every stretch is in the index itself
-        assert all(raw[index.order[r] :][:n] == raw[a : a + n] for a, r, n in zip(at.tolist(), row.tolist(), length.tolist()))
-    first = {}
-    spans = [(int(s), int(e), int(d)) for s, e, d in zip(starts, starts[1:], docs)]
-    for s, e, d in spans:
-        for k in range(s, e - width + 1):
-            first[raw[k : k + width]] = min(first.get(raw[k : k + width], 99), d)
-    expected = [sum((first[raw[k : k + width]] < d) << k - s for k in range(s, e - width + 1)) for s, e, d in spans]
-    if np.diff(starts).max() < 60:
-        assert repeated(text, starts, docs, width).tolist() == expected
+    pattern = np.concatenate([rng.integers(97, 98 + seed % 4 + 1, 60, dtype=np.uint8), text[40:90], np.zeros(1, np.uint8), text[-9:]])
+    asked = pattern.tobytes()
+    ends = np.sort(rng.choice(np.arange(1, len(asked)), 5, replace=False))
+    begins, ends = np.concatenate([[0], ends]), np.concatenate([ends, [len(asked)]])
+    for step, (k, length) in enumerate(index.stream(pattern, begins, ends)):
+        for end, n in zip(ends[k].tolist(), length.tolist()):
+            a = end - 1 - step
+            assert n == max(m for m in range(min(width, end - a) + 1) if asked[a : a + m] in raw)
+
+
+def fragments(rng, n, letters):
+    """Fragments as buckets get them: some letters, a code of 8, and more, so that every window of 26 has the whole code."""
+    slot, left, made = rng.integers(0, 4, n), [], []
+    for s in slot.tolist():
+        m = int(rng.integers(1, 20))
+        left.append(int(rng.integers(m - 1, 19)))
+        made.append(np.concatenate([rng.integers(97, 97 + letters, left[-1]), np.full(8, 200 + s), rng.integers(97, 97 + letters, 25 + m - 8 - left[-1])]).astype(np.uint8))
+    return slot, np.array(left), np.concatenate(made), np.concatenate([[0], np.cumsum([len(x) for x in made])])
+
+
+def plain_marks(slot, text, starts, docs):
+    raw, first = text.tobytes(), {}
+    spans = list(zip(starts.tolist(), starts[1:].tolist(), docs.tolist(), slot.tolist()))
+    for a, b, d, s in spans:
+        for k in range(a, b - 25):
+            first[s, raw[k : k + 26]] = min(first.get((s, raw[k : k + 26]), 10**9), d)
+    return [sum((first[s, raw[k : k + 26]] < d) << k - a for k in range(a, b - 25)) for a, b, d, s in spans]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_earlier_documents_mark_later_ones(seed, monkeypatch):
+    """Against a dictionary of all windows; matches fall short of the window, and without them no mark is made."""
+    rng = np.random.default_rng(seed)
+    slot, left, text, starts = fragments(rng, 60, 1 + seed % 3)
+    docs = rng.integers(0, [3, 9, 100][seed % 3], 60)
+    lengths = []
+    plain = RunLengthIndex.stream
+
+    def noted(self, *args):
+        for k, length in plain(self, *args):
+            lengths.append(length.copy())
+            yield k, length
+
+    monkeypatch.setattr(RunLengthIndex, "stream", noted)
+    got = repeated(text, starts, docs, slot, left)
+    assert got.tolist() == plain_marks(slot, text, starts, docs)
+    assert marks_of(slot, text, starts, docs, left).tolist() == got.tolist()
+    last = np.concatenate(lengths)
+    assert (last < 26).any() and ((last == 26).any() or not got.any())
+    monkeypatch.setattr(RunLengthIndex, "stream", lambda self, *args: iter(()))
+    assert not repeated(text, starts, docs, slot, left).any()
+
+
+def test_runs_and_samples_are_all_that_is_kept():
+    """On a text of many like copies what the index holds, beside the letters, follows its runs."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 123, 400, dtype=np.uint8)
+    few, many = (RunLengthIndex(np.concatenate([np.append(base, i % 7) for i in range(n)]).astype(np.uint16), 26) for n in (20, 200))
+    held = [sum(len(v) for name, v in vars(x).items() if isinstance(v, np.ndarray) and name != "seven") for x in (few, many)]
+    assert held[1] < 1.5 * held[0] and many.n == 10 * few.n
 
 
 def test_equal_fragments_and_crowded_slots():
     rng = np.random.default_rng(3)
-    made = [rng.integers(97, 99, 40, dtype=np.uint8) for _ in range(4)]
-    made.append(np.concatenate([made[0][5:], made[1][:5]]))
-    pick = rng.integers(0, 5, 60)
-    docs, text = rng.integers(0, 9, 60), np.concatenate([made[k] for k in pick])
-    starts = np.arange(0, 2401, 40)
-    slot = np.where((pick == 0) | (pick == 4), 7, pick)
-    raw, first = text.tobytes(), {}
-    for d, s in zip(docs.tolist(), starts.tolist()):
-        for k in range(40 - 26 + 1):
-            first[raw[s + k : s + k + 26]] = min(first.get(raw[s + k : s + k + 26], 99), d)
-    assert marks_of(slot, text, starts, docs).tolist() == [sum((first[raw[s + k : s + k + 26]] < d) << k for k in range(15)) for d, s in zip(docs.tolist(), starts.tolist())]
+    slot, left, text, starts = fragments(rng, 12, 2)
+    pick = rng.integers(0, 12, 200)
+    made = [text[a:b] for a, b in zip(starts, starts[1:])]
+    docs, text = rng.integers(0, 40, 200), np.concatenate([made[k] for k in pick])
+    starts = np.concatenate([[0], np.cumsum([len(made[k]) for k in pick])])
+    assert marks_of(slot[pick], text, starts, docs, left[pick]).tolist() == plain_marks(slot[pick], text, starts, docs)
+    assert ranks(np.array([1, 1, 0, 1, 1]), np.array([5, 3, 9, 5, 8])).tolist() == [1, 0, 0, 1, 2]
 
 
 def test_strings_of_a_heavy_anchor_travel_alone():

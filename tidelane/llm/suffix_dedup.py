@@ -10,10 +10,12 @@ it, the one with the least hash. Equal strings have equal anchors, so
    strings with one anchor are one fragment, in which the anchor itself is its 8-byte hash; the
    strings of an anchor that very many documents share are fragments of their own and go to
    buckets by the hash of the whole, so that no bucket has all of such an anchor;
-3. in a bucket, equal fragments are one: its least document decides for the others. Fragments that
-   differ but share an anchor go through a run-compressed Burrows-Wheeler transform: each streams
-   its matching statistics, letter by letter from its end, through the runs and the samples at
-   their ends; where the match is a whole string, the least document that has it marks the others;
+3. in a bucket, equal fragments are one: its least document decides for the others. Of the fragments
+   that differ but share an anchor, those of smaller documents are indexed and those of larger ones
+   streamed: the documents of an anchor are halved, and the halves again. The index is a
+   run-compressed Burrows-Wheeler transform, which keeps its runs and the places at their ends; a
+   fragment streams its matching statistics through it, letter by letter from its end, and where
+   the match is a whole string a smaller document has it;
 4. the marks return to the documents, whose covered bytes go.
 
 Texts are dealt by doc_id and travel once, in compressed batches, to parts of bounded size; equal
@@ -125,6 +127,10 @@ def _leftmost(h: np.ndarray, starts: np.ndarray, low: np.ndarray) -> np.ndarray:
     return place
 
 
+#: A letter that no text has: it ends each indexed fragment, so that no match runs on into the next.
+END = 256
+
+
 def sorted_strings(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of the text by the `width` letters from each, equal ones by place; and for each in turn the number of different strings before it."""
     n = len(text)
@@ -145,59 +151,66 @@ def sorted_strings(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return order, number
 
 
+def sevens(text: np.ndarray, width: int) -> np.ndarray:
+    """The seven letters from each place, 9 bits each, and from the places up to `width` after the end."""
+    padded = np.concatenate([text.astype(U64), np.zeros(width + 8, U64)])
+    out = np.zeros(len(text) + width + 1, U64)
+    for k in range(7):
+        out = out << U64(9) | padded[k : k + len(out)]
+    return out
+
+
 class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform with the places at either end of each run.
+    """A run-compressed Burrows-Wheeler transform with the places at either end of each run; nothing is kept by row.
 
     Rows are sorted by `width` letters, equal ones by place: matches up to that length are exact.
     """
 
     def __init__(self, text: np.ndarray, width: int):
-        order, self.string = sorted_strings(text, width)
-        self.text, self.width, n = text, width, len(text)
+        order, _ = sorted_strings(text, width)
+        self.width, n = width, len(text)
         before = text[order - 1].astype(np.int64)
-        before[order == 0] = 256  # nothing stands before the whole text
+        before[order == 0] = END + 1  # nothing stands before the whole text
         self.run_start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         run_end = np.concatenate([self.run_start[1:], [n]])
         self.run_char = before[self.run_start]
-        self.first, self.last = order[self.run_start], order[run_end - 1]
+        self.first, self.last = order[self.run_start].astype(np.int64), order[run_end - 1].astype(np.int64)
         # Where a run's rows go, one letter to the left: after the runs of lesser letters and the earlier runs of its
         # own. The last letter has a run of its own, in front: the suffix of no letters precedes it.
+        self.last_char, self.n = int(text[-1]), n
         chars, sizes = np.concatenate([text[-1:].astype(np.int64), self.run_char]), np.concatenate([[1], run_end - self.run_start])
         by_char = np.argsort(chars, kind="stable")
         target = np.empty(len(sizes), dtype=np.int64)
         target[by_char] = np.concatenate([[0], np.cumsum(sizes[by_char])[:-1]])
         self.run_target, self.run_end, self.own_row = target[1:], run_end, int(target[0])
         self.by_char = np.sort(self.run_char * (len(self.run_char) + 1) + np.arange(len(self.run_char)))  # each letter's runs, in order
-        words = np.concatenate([text, np.zeros(width + 8, np.uint8)])
-        self.eight = np.zeros(n + width + 1, dtype=U64)  # the eight letters from each place
-        for k in range(8):
-            self.eight = self.eight << U64(8) | words[k : n + width + 1 + k]
-        self.order = order
-
-    def alike(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Letters that the places a and b have in common, `most` at most."""
+        self.seven = sevens(text, width)
+
+    def alike(self, a: np.ndarray, b: np.ndarray, seven: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Letters that the places a here and b in the text of `seven` have in common, `most` at most."""
         out, going = np.zeros(len(a), np.int64), np.ones(len(a), bool)
-        for k in range(0, self.width, 8):
-            x = self.eight[np.minimum(a + k, len(self.eight) - 1)] ^ self.eight[np.minimum(b + k, len(self.eight) - 1)]
-            same = np.where(x == 0, 8, 0)
-            for j in range(1, 8):
-                same += (x < U64(1 << 8 * j)) & (x != 0)
+        for k in range(0, self.width, 7):
+            x = self.seven[np.minimum(a + k, len(self.seven) - 1)] ^ seven[np.minimum(b + k, len(seven) - 1)]
+            same = np.where(x == 0, 7, 0)
+            for j in range(1, 7):
+                same += (x < U64(1 << 9 * j)) & (x != 0)
             out += np.where(going, same, 0)
             going &= x == 0
-        return np.minimum(out, np.minimum(most, len(self.text) - np.maximum(a, b)))
+        return np.minimum(out, np.minimum(most, self.n - a))
 
-    def stream(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def stream(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Matching statistics of the stretches text[starts[k] : ends[k]], each from its end, a letter a step: the stretches
-        still going, the row of a longest match that begins at the letter, and its length, `width` at most.
+        still going, and the length of a longest match that begins at the letter, `width` at most.
         """
         live, at = np.flatnonzero(ends > starts), ends.copy()
-        row, place, length = (np.zeros(len(starts), np.int64) for _ in range(3))
-        n_runs = len(self.run_char) + 1
+        row, length = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        n_runs, seven = len(self.run_char) + 1, sevens(text, self.width)
         while len(live):
             at[live] -= 1
-            c = self.text[at[live]].astype(np.int64)
+            c = text[at[live]].astype(np.int64)
             run = np.searchsorted(self.run_start, row[live], "right") - 1
             turn = np.flatnonzero((self.run_char[run] != c) | (length[live] == 0))
+            nowhere = np.zeros(len(live), bool)
             if len(turn):
                 k, letter = live[turn], c[turn]
                 after = np.searchsorted(self.by_char, letter * n_runs + run[turn])
@@ -206,35 +219,71 @@ class RunLengthIndex:
                     other = self.by_char[np.clip(near, 0, len(self.by_char) - 1)]
                     there = np.flatnonzero((near >= 0) & (near < len(self.by_char)) & (other // n_runs == letter))
                     r = other[there] % n_runs
-                    common = self.alike(place_of[r], at[k[there]] + 1, length[k[there]])
+                    common = self.alike(place_of[r], at[k[there]] + 1, seven, length[k[there]])
                     better = common > best[there]
                     j = there[better]
-                    best[j], run[turn[j]], row[k[j]], place[k[j]] = common[better], r[better], row_of[r[better]], place_of[r[better]]
+                    best[j], run[turn[j]], row[k[j]] = common[better], r[better], row_of[r[better]]
                 length[k] = np.maximum(best, 0)
-                lost = k[best < 0]  # the letter stands before the text's end alone
-                row[lost], place[lost], length[lost] = -1, len(self.text), 0
+                # A letter without a run stands at the end of the text alone, or nowhere.
+                at_end = best < 0
+                nowhere[turn[at_end & (letter != self.last_char)]] = True
+                lost = k[at_end]
+                row[lost], length[lost] = -1, 0
             row[live] = np.where(row[live] < 0, self.own_row, self.run_target[run] + row[live] - self.run_start[run])
-            place[live] -= 1
             length[live] = np.minimum(length[live] + 1, self.width)
-            yield live, row[live], length[live]
+            length[live[nowhere]] = 0
+            yield live, length[live]
             live = live[at[live] > starts[live]]
 
 
-def repeated(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """For each fragment, text[starts[k] : starts[k + 1]] of document docs[k], bits of its windows that a smaller document has. Bit 0 is the first window."""
-    index = RunLengthIndex(text, window)
+def ranks(slot: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Each fragment's document's place, from 0, among the documents of its slot."""
+    by = np.lexsort((docs, slot))
+    new_slot = np.concatenate([[True], slot[by][1:] != slot[by][:-1]])[: len(by)]
+    new = new_slot | np.concatenate([[True], docs[by][1:] != docs[by][:-1]])[: len(by)]
+    count = np.cumsum(new)
+    out = np.empty(len(by), np.int64)
+    out[by] = count - np.maximum.accumulate(np.where(new_slot, count, 0))
+    return out
+
+
+def repeated(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, slot: np.ndarray, left: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each fragment, text[starts[k] : starts[k + 1]] of document docs[k], bits of its windows that a smaller document of its slot has. Bit 0 is the first window.
+
+    left[k] letters stand before the anchor's code. The documents of a slot are halved and halved again, by the
+    bits of their ranks: at each level the lower halves are indexed, and the upper halves streamed as far as they
+    have windows without a mark. The halves that belong together have a code of their own there.
+    """
     sizes = np.diff(starts)
     windows = np.maximum(sizes - window + 1, 0)
-    owner = np.full(len(text), np.iinfo(np.int64).max)
-    offset = np.arange(len(text)) - np.repeat(starts[:-1], sizes)
-    valid = offset < np.repeat(windows, sizes)
-    owner[valid] = np.repeat(docs, sizes)[valid]
-    least = np.minimum.reduceat(owner[index.order], np.flatnonzero(np.concatenate([[True], index.string[1:] != index.string[:-1]])))
-    bits = np.zeros(len(sizes), dtype=np.int64)
-    for step, (k, row, length) in enumerate(index.stream(starts[:-1], starts[1:])):
-        at = sizes[k] - 1 - step
-        hit = np.flatnonzero((length == window) & (at < windows[k]))
-        bits[k[hit]] |= (least[index.string[row[hit]].astype(np.int64)] < docs[k[hit]]).astype(np.int64) << at[hit]
+    whole, bits, rank = (1 << windows) - 1, np.zeros(len(sizes), np.int64), ranks(slot, docs)
+
+    def coded(k: np.ndarray, pair: np.ndarray, ends: int) -> tuple[np.ndarray, np.ndarray]:
+        """The fragments k in a row, each with its pair in its code and `ends` letters after it, and their starts."""
+        size = sizes[k] + ends
+        begin = np.cumsum(size) - size
+        out = np.full(int(size.sum()), END, np.uint16)
+        out[np.arange(int(sizes[k].sum())) + np.repeat(begin - (np.cumsum(sizes[k]) - sizes[k]), sizes[k])] = _taken(text, starts[k], sizes[k])
+        own = mixed(pair.astype(U64) + U64(1))
+        for b in range(CODE):
+            out[begin + left[k] + b] ^= (own >> U64(8 * b) & U64(255)).astype(np.uint16)
+        return out, begin
+
+    for level in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        upper = (rank >> level & 1 == 1) & (bits != whole)
+        pairs, pair = np.unique(np.stack([slot, rank >> level + 1]), axis=1, return_inverse=True)
+        pair = pair.ravel()
+        busy = np.zeros(pairs.shape[1], bool)
+        busy[pair[upper]] = True
+        high, low = np.flatnonzero(upper), np.flatnonzero((rank >> level & 1 == 0) & busy[pair])
+        if not len(high):
+            continue
+        index = RunLengthIndex(coded(low, pair[low], 1)[0], window)
+        streamed, begin = coded(high, pair[high], 0)
+        for step, (k, length) in enumerate(index.stream(streamed, begin, begin + sizes[high])):
+            at = sizes[high[k]] - 1 - step
+            hit = np.flatnonzero((length == window) & (at < windows[high[k]]))
+            bits[high[k[hit]]] |= np.int64(1) << at[hit]
     return bits
 
 
@@ -284,7 +333,7 @@ def single(heavy: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return (*(c[k] for c in others), begin, np.where(heavy[k], begin, last[k]))
 
 
-def marks_of(slot: np.ndarray, text: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def marks_of(slot: np.ndarray, text: np.ndarray, starts: np.ndarray, docs: np.ndarray, left: np.ndarray) -> np.ndarray:
     """repeated() of a bucket's fragments; those that may have windows in common have one slot."""
     sizes = np.diff(starts)
     # Equal fragments: the least document's stands for them, and decides for the others.
@@ -303,9 +352,8 @@ def marks_of(slot: np.ndarray, text: np.ndarray, starts: np.ndarray, docs: np.nd
         end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + INDEX_LETTERS, "right")))
         end = int(np.searchsorted(crowd, crowd[end - 1], "right"))
         some = by[begin:end]
-        some = some[np.argsort(docs[lead[some]], kind="stable")]
         k = lead[some]
-        lead_bits[some] = repeated(_taken(text, starts[k], sizes[k]), np.concatenate([[0], np.cumsum(sizes[k])]), docs[k])
+        lead_bits[some] = repeated(_taken(text, starts[k], sizes[k]), np.concatenate([[0], np.cumsum(sizes[k])]), docs[k], slot[k], left[k])
         begin = end
     bits = np.empty(len(sizes), np.int64)
     bits[order] = np.where(docs[order] == docs[lead][nth], lead_bits[nth], (1 << (sizes[order] - WINDOW + 1)) - 1)
@@ -351,7 +399,7 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
         part = key[0].as_py()
         df = received(answers["payload"].to_pylist())
         rows = answers.filter(answers["payload"].is_null())
-        letters, sizes, docs, places, codes, hashed_ = [], [], [], [], [], []
+        letters, sizes, docs, places, codes, hashed_, lefts = [], [], [], [], [], [], []
         for ids, text_start, data, at, h, first, last in chunks(table, rows):
             n_docs = looked_up(cut(h), df)
             keep = n_docs >= 2
@@ -359,10 +407,10 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
             text, starts = fragments_of(data, at, h, first, last)
             hashes = _fragment_hashes(text, starts)
             letters.append(text), sizes.append(np.diff(starts)), docs.append(ids), codes.append(np.where(n_docs > heavy, hashes, h))
-            places.append(first - text_start), hashed_.append(hashes)
+            places.append(first - text_start), hashed_.append(hashes), lefts.append(at - first)
         out = {"bucket": [], "part": [], "payload": []}
         if letters and sum(map(len, sizes)):
-            text, size, doc, place, code, hashes = (np.concatenate(x) for x in (letters, sizes, docs, places, codes, hashed_))
+            text, size, doc, place, code, hashes, left = (np.concatenate(x) for x in (letters, sizes, docs, places, codes, hashed_, lefts))
             starts = np.concatenate([[0], np.cumsum(size)])
             # Equal fragments of a part: the least document's stands for them, and decides for the others.
             order = np.lexsort((place, doc, hashes))
@@ -384,23 +432,24 @@ def _removed(documents: DataFrame, fields: pa.Schema, ddl: StructType, row_of, c
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 k = lead[a:b]
                 out["bucket"].append(int(bucket[a])), out["part"].append(part)
-                out["payload"].append(struct.pack("<I", len(k)) + _planes(slot[a:b] & 65535, 2) + _planes(size[k], 1) + _planes(doc[k], 8) + _planes(place[k], 4) + _taken(text, starts[k], size[k]).tobytes())
+                out["payload"].append(struct.pack("<I", len(k)) + _planes(slot[a:b] & 65535, 2) + _planes(size[k], 1) + _planes(left[k], 1) + _planes(doc[k], 8) + _planes(place[k], 4) + _taken(text, starts[k], size[k]).tobytes())
         return pa.Table.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["part"], pa.int32()), pa.array(out["payload"], pa.binary())], names=["bucket", "part", "payload"])
 
     @given_back
     def mark(key, table):
         if key[0].as_py() < 0:
             return table.select(["part", "payload"])
-        parts_, slots, sizes, docs, places, letters = [], [], [], [], [], []
+        parts_, slots, sizes, lefts, docs, places, letters = [], [], [], [], [], [], []
         for part, payload in zip(table["part"].to_pylist(), table["payload"].to_pylist()):
             (n,), at = struct.unpack_from("<I", payload), 4
             slot, at = _unplaned(payload, at, n, 2)
             size, at = _unplaned(payload, at, n, 1)
+            left, at = _unplaned(payload, at, n, 1)
             doc, at = _unplaned(payload, at, n, 8)
             place, at = _unplaned(payload, at, n, 4)
-            parts_.append(np.full(n, part)), slots.append(slot), sizes.append(size), docs.append(doc), places.append(place), letters.append(np.frombuffer(payload, np.uint8, offset=at))
-        part, slot, size, doc, place, text = (np.concatenate(x) for x in (parts_, slots, sizes, docs, places, letters))
-        bits = marks_of(slot, text, np.concatenate([[0], np.cumsum(size)]), doc)
+            parts_.append(np.full(n, part)), slots.append(slot), sizes.append(size), lefts.append(left), docs.append(doc), places.append(place), letters.append(np.frombuffer(payload, np.uint8, offset=at))
+        part, slot, size, left, doc, place, text = (np.concatenate(x) for x in (parts_, slots, sizes, lefts, docs, places, letters))
+        bits = marks_of(slot, text, np.concatenate([[0], np.cumsum(size)]), doc, left)
         hit = np.flatnonzero(bits)
         hit = hit[np.argsort(part[hit], kind="stable")]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part[hit])) + 1, [len(hit)]]) if len(hit) else np.zeros(1, np.int64)
