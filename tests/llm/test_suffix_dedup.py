@@ -93,8 +93,8 @@ def test_earlier_documents_mark_later_ones(seed, monkeypatch):
     lengths = []
     plain = RunLengthIndex.stream
 
-    def noted(self, *args):
-        for k, length in plain(self, *args):
+    def noted(self, *args, **how):
+        for k, length in plain(self, *args, **how):
             lengths.append(length.copy())
             yield k, length
 
@@ -104,7 +104,7 @@ def test_earlier_documents_mark_later_ones(seed, monkeypatch):
     assert marks_of(slot, text, starts, docs, left).tolist() == got.tolist()
     last = np.concatenate(lengths)
     assert (last < 26).any() and ((last == 26).any() or not got.any())
-    monkeypatch.setattr(RunLengthIndex, "stream", lambda self, *args: iter(()))
+    monkeypatch.setattr(RunLengthIndex, "stream", lambda self, *args, **how: iter(()))
     assert not repeated(text, starts, docs, slot, left).any()
 
 

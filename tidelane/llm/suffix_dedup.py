@@ -198,9 +198,10 @@ class RunLengthIndex:
             going &= x == 0
         return np.minimum(out, np.minimum(most, self.n - a))
 
-    def stream(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def stream(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Matching statistics of the stretches text[starts[k] : ends[k]], each from its end, a letter a step: the stretches
-        still going, and the length of a longest match that begins at the letter, `width` at most.
+        still going, and the length of a longest match that begins at the letter, `width` at most. If only whole
+        matches are wanted, a stretch is given up once its first `width` letters can't be one: then no others to come can.
         """
         live, at = np.flatnonzero(ends > starts), ends.copy()
         row, length = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
@@ -233,7 +234,8 @@ class RunLengthIndex:
             length[live] = np.minimum(length[live] + 1, self.width)
             length[live[nowhere]] = 0
             yield live, length[live]
-            live = live[at[live] > starts[live]]
+            ahead = at[live] - starts[live]
+            live = live[(ahead > 0) & (length[live] + ahead >= self.width)] if whole else live[ahead > 0]
 
 
 def ranks(slot: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -280,9 +282,16 @@ def repeated(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, slot: np.nd
             continue
         index = RunLengthIndex(coded(low, pair[low], 1)[0], window)
         streamed, begin = coded(high, pair[high], 0)
-        for step, (k, length) in enumerate(index.stream(streamed, begin, begin + sizes[high])):
-            at = sizes[high[k]] - 1 - step
-            hit = np.flatnonzero((length == window) & (at < windows[high[k]]))
+        # From the first to the last window without a mark.
+        open_ = whole[high] & ~bits[high]
+        first, last = np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
+        for m in range(int(windows[high].max()) - 1, -1, -1):
+            here = open_ >> m & 1 == 1
+            first[here] = m
+            last[here & (open_ >> (m + 1) == 0)] = m
+        for step, (k, length) in enumerate(index.stream(streamed, begin + first, begin + last + window, whole=True)):
+            at = last[k] + window - 1 - step
+            hit = np.flatnonzero((length == window) & (at <= last[k]))
             bits[high[k[hit]]] |= np.int64(1) << at[hit]
     return bits
 
