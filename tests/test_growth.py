@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.operators import lattice, route
+from tidelane.operators import lattice, motion, route
 from tidelane.operators.numbering import numbered_in_order
 from tidelane.sources import poi
 
@@ -78,3 +78,30 @@ def test_places_by_category(spark):
     rows = poi.from_lists(spark, sites)
     assert sorted(map(tuple, rows.collect())) == [("a", "one", 1.0, 2.0), ("a", "two", 3.0, 4.0), ("b", "three", 5.0, 6.0)]
     assert {r.category: len(r.places) for r in poi.by_category(rows).collect()} == {"a": 2, "b": 1}
+
+
+@pytest.mark.parametrize("stretch", [10, 16, 4096])
+def test_rays_over_stretches(spark, stretch):
+    """The next node on each of a cell's lines, wherever the lines are cut, also where rows and columns are below 0."""
+    rng = random.Random(stretch)
+    at = {(j, i): k for k, (j, i) in enumerate((j, i) for j in range(-30, 30) for i in range(-5, 25) if rng.random() < 0.15)}
+    nodes = spark.createDataFrame([(k, j, i, i / 64, j / 64) for (j, i), k in at.items()], "node_id long, row_j int, col_i int, lon double, lat double")
+    want = set()
+    for (j, i), k in at.items():
+        for dj, di in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+            ends = [at[j + s * dj, i + s * di] for s in range(1, 10) if (j + s * dj, i + s * di) in at]
+            want |= {(k, ends[0])} if ends else set()
+    got = [(r.src, r.dst) for r in lattice.ray_edges(nodes, stretch=stretch).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_edges_are_not_broadcast(spark):
+    """Spark takes a lattice's edges for as few as its nodes; joins of both must not send them to the driver."""
+    nodes = spark.range(2000).select(F.col("id").alias("node_id"), (F.col("id") % 100).cast("int").alias("row_j"), F.floor(F.col("id") / 100).cast("int").alias("col_i"), (F.col("id") / 64).alias("lon"), (F.col("id") / 64).alias("lat"))
+    edges = lattice.ray_edges(nodes)
+    waves = spark.range(50).select((F.col("id") % 25).cast("int").alias("row_i"), F.col("id").cast("int").alias("col_j"), *(F.lit(1.0).alias(c) for c in ("height", "period", "direction")))
+    moved = motion.scored(motion.features(edges, nodes, waves))
+    view = motion.edges_in_view(moved.withColumn("edge_id", F.col("src")), nodes, (0.0, 0.0, 1.0, 1.0))
+    for df, most in ((edges, 0), (lattice.isolated(nodes, edges), 0), (lattice.component_of(nodes, edges), 0), (motion.with_predictions(edges, moved), 1), (view, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastExchange") <= most, plan  # the waves' cells alone, which the lattice repeats
