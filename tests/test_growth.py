@@ -105,3 +105,30 @@ def test_edges_are_not_broadcast(spark):
     for df, most in ((edges, 0), (lattice.isolated(nodes, edges), 0), (lattice.component_of(nodes, edges), 0), (motion.with_predictions(edges, moved), 1), (view, 1)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("BroadcastExchange") <= most, plan  # the waves' cells alone, which the lattice repeats
+
+
+def test_tiles_follow_the_lattice(spark):
+    """A long, narrow lattice has tiles of all its columns; a wide one has square tiles. Bounded by the cells of a tile; the same distances."""
+    def lattice_edges(rows, columns):
+        ids = spark.range(rows * columns).select((F.col("id") % columns * 1_000_000 + F.floor(F.col("id") / columns)).alias("src"), (F.col("id") % columns).alias("c"), F.floor(F.col("id") / columns).alias("r"))
+        ways = ids.select("src", F.explode(F.array(F.when(F.col("c") < columns - 1, F.lit(1_000_000)), F.when(F.col("r") < rows - 1, F.lit(1)))).alias("d")).dropna()
+        return ways.select("src", (F.col("src") + F.col("d")).alias("dst"), (1 + F.pmod(F.hash("src", "d"), F.lit(9)).cast("double")).alias("weight"))
+
+    for rows, columns, held, most in ((400, 5, 500, 4), (5, 400, 500, 4), (60, 60, 400, 9), (1, 50, 10, 5)):
+        edges = lattice_edges(rows, columns)
+        tile = route.tiles_of(edges, held)
+        sizes = [r[0] for r in edges.select("src").distinct().groupBy(tile(F.col("src"))).count().select("count").collect()]
+        assert max(sizes) <= held and len(sizes) <= most
+    edges = lattice_edges(60, 60)
+    plain = {r.v: r.dist for r in route.distances(edges, 0).collect()}
+    assert plain == {r.v: r.dist for r in route.distances(edges, 0, tile=route.tiles_of(edges, 400)).collect()} and len(plain) == 3600
+
+
+def test_a_search_goes_in_few_rounds(spark, tmp_path, monkeypatch):
+    """The lattice's routes cross a tile of all columns in a round, where small square tiles need one for every 64 rows."""
+    from tidelane.plans import routes
+
+    spark.range(50 * 640).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    rounds, improving = [], route._improving
+    monkeypatch.setattr(route, "_improving", lambda *a: rounds.append(1) or improving(*a))
+    assert routes.route_duration(spark, str(tmp_path)).count() == 1 and len(rounds) <= 2
