@@ -125,3 +125,13 @@ def test_odd_inputs(spark):
     assert got[0, 1] == (3.0, "inside") and got[1, 1] == (3.0, "known")
     empty = raster.griddata_filled(cells.withColumn("v", F.lit(None).cast("double")), "v").collect()
     assert {(r.value, r.how) for r in empty} == {(None, "missing")} and len(empty) == 5
+
+
+def test_places_within_reach_alone(spark):
+    """Down the side of a strip: known cells more than the reach apart hold nothing between them, and too far ones are not taken."""
+    known = spark.createDataFrame([(0, 0, 1.0), (0, 12, 3.0), (4, 6, 5.0), (4, 2, 7.0)], "x int, y int, value double")
+    gaps = spark.createDataFrame([(1, 0, 6), (2, 0, 3), (3, 3, 3), (4, 40, 40), (5, 4, 6)], "target_id long, x int, y int")
+    got = {r.target_id: (r.value, r.how) for r in g.griddata(known, gaps, "linear", reach=4).collect()}
+    assert got == {1: (5.0, "outside"), 2: (1.0, "outside"), 3: (4.75, "inside"), 4: (None, "outside"), 5: (5.0, "at")}
+    whole = {r.target_id: r.how for r in g.griddata(known, gaps, "linear").collect()}
+    assert whole[1] == "inside"
