@@ -1,12 +1,15 @@
 """Operators that go in rounds, on inputs where one task or a driver's loop would show."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidelane.operators import lattice, motion, route
+from tidelane.operators.materialise import saved
+from tidelane.operators.nearest import nearest
 from tidelane.operators.numbering import numbered_in_order
 from tidelane.sources import poi
 
@@ -54,6 +57,42 @@ def test_explored_paths_by_walking_up(spark):
     assert sorted(map(tuple, route.explored_paths(dist, parents, 0, 50).collect())) == sorted(want)
 
 
+def _shuffled(spark) -> int:
+    """Bytes written to shuffles in this session so far, once the last tasks' figures are in."""
+    time.sleep(1)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+@pytest.mark.parametrize("length", [2, 4, None])
+def test_paths_in_stretches_are_whole(spark, length):
+    """A chain with side arms at all depths: every step of every path, whatever the stretches' length."""
+    chain = [(i, i + 1, 1.0) for i in range(90)] + [(i, 1000 + i, 0.5) for i in range(0, 90, 3)]
+    graph = spark.createDataFrame(chain, "src long, dst long, weight double")
+    dist = route.distances(graph, 0, 90, tile=lambda c: F.floor(c / 1_000_000))
+    order = {r.v: r.explore_order for r in route.explored(dist, 90).collect()}
+    want = [(k, step, node) for v, k in order.items() for step, node in enumerate([*range(v % 1000 + 1), *([v] if v >= 1000 else [])])]
+    assert sorted(map(tuple, route.explored_paths(dist, route.parents(dist, graph), 0, 90, length).collect())) == sorted(want)
+
+
+def test_parents_at_no_distance_make_no_ring(spark):
+    """5 and 6 lie at one place with 9, and would be each other's least neighbour."""
+    graph = spark.createDataFrame([(0, 9, 1.0), (9, 5, 0.0), (9, 6, 0.0), (5, 6, 0.0), (6, 7, 2.0)], "src long, dst long, weight double")
+    dist = route.distances(graph, 0)
+    up = {r.v: r.parent for r in route.parents(dist, graph, 0).collect()}
+    assert up == {9: 0, 5: 9, 6: 9, 7: 6}
+
+
+def test_paths_are_not_shuffled_by_the_node(spark):
+    """Of 801 paths with 321,201 nodes in all, rows for their stretches are shuffled and saved."""
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(800)], "src long, dst long, weight double")
+    dist = route.distances(graph, 0, 800, tile=lambda c: F.floor(c / 1_000_000))
+    up = saved(route.parents(dist, graph))
+    before = _shuffled(spark)
+    assert route.explored_paths(dist, up, 0, 800).groupBy().count().first()[0] == 801 * 802 // 2
+    assert _shuffled(spark) - before < 1_000_000
+
+
 def test_a_round_reads_its_own_folders(spark):
     """A long chain in small tiles: the search reads folders by their numbers, and finds what a straight sum gives."""
     graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)], "src long, dst long, weight double")
