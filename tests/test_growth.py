@@ -93,6 +93,16 @@ def test_paths_are_not_shuffled_by_the_node(spark):
     assert _shuffled(spark) - before < 1_000_000
 
 
+def test_near_places_are_not_shuffled_by_the_pair(spark):
+    grid = saved(spark.range(40_000).select("id", (F.col("id") % 200).cast("double").alias("x"), F.floor(F.col("id") / 200).cast("double").alias("y")))
+    before = _shuffled(spark)
+    got = saved(nearest(grid.withColumnRenamed("id", "probe_id"), grid.select(F.col("id").alias("target_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), 13))
+    moved = _shuffled(spark) - before
+    assert got.count() == 13 * 40_000
+    assert {(r.target_id, r.d2) for r in got.filter("probe_id = 20100 AND rank <= 5").collect()} == {(20100, 0.0), (19900, 1.0), (20099, 1.0), (20101, 1.0), (20300, 1.0)}
+    assert moved < 400 * 40_000
+
+
 def test_a_round_reads_its_own_folders(spark):
     """A long chain in small tiles: the search reads folders by their numbers, and finds what a straight sum gives."""
     graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)], "src long, dst long, weight double")
