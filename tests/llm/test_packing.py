@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidelane.llm.packing import FirstFit, pack, packed, pieces_of
+from tidelane.llm.packing import ChunkIds, FirstFit, pack, packed, pieces_of
 
 TEXTS = [None, "", "One two, don't 3,000 stop.", "Ünïcode spaces\x1c\x1d here é <|endoftext|>x", "word " * 9000, "a\tb\x0bc\r\nd", "Word... word.) it's. 3,000; É! x?! <|EndOfText|> <|startoftext|>. A.B", "same", "same"]
 
@@ -77,3 +77,40 @@ def test_repeated_rows_part(spark):
     rows = pack(docs, group_bytes=40_000, with_ids=False).selectExpr("sequence_id >> 32 AS g", "length").groupBy("g").sum("length").collect()
     sizes = [r["sum(length)"] for r in rows]
     assert len(sizes) == 21 and max(sizes) < 2.5 * sum(sizes) / len(sizes)
+
+
+class Counted:
+    """A tokenizer that counts the strings it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.strings = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.strings += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_new_words_are_tokenised_together():
+    """Many different words are few strings for the tokenizer, and have the ids of the whole text."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = np.random.default_rng(5)
+    words = ["".join(w) + end for w, end in zip(rng.choice(list("abcdefghijklmnopqrstuvwxyzéüñß"), (6000, 9)), rng.choice(["", ",", ".", "?!", ")"], 6000))]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 6000, 100)]
+    known = ChunkIds(path)
+    counted = [Counted(t) for t in vars(known).values() if hasattr(t, "encode_batch_fast")]
+    vars(known).update({k: next(c for c in counted if c.tokenizer is t) for k, t in vars(known).items() if hasattr(t, "encode_batch_fast")})
+    got = list(known.of(texts))
+    plain = Tokenizer.from_file(path)
+    assert got == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert sum(c.strings for c in counted) < 2000
+
+
+ODD = ["İstanbul", "don't", "rock'n'roll's.", "x'", "'s", "-'s", "á", "́abc", "한", "ÀB<|endoftext|>CD's", "9a9.", "naïve's.", "ﬁne", "²", "ªº", "ŉ", "ΣΑΣ.", "A'LL", "...", "ab.cd", "3.é,", "ǅ", "\U0001d400b", "क्षि", "ab\x00c", "x̸=", "≠"]
+
+
+def test_odd_chunks_have_the_ids_of_the_whole_text():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = np.random.default_rng(6)
+    texts = [*ODD, *(" ".join(rng.choice([*ODD, "same", "Words,"], 40)) for _ in range(300))]
+    plain, known = Tokenizer.from_file(path), ChunkIds(path)
+    assert list(known.of(texts)) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

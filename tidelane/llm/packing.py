@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -143,6 +144,12 @@ BY_CHUNK = (
 )
 
 
+#: A chunk of printable ASCII without A-Z, and the pre-tokeniser's pieces of it.
+PLAIN, PIECES = re.compile(rb"[!-@\[-~]+"), re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words that are given to the tokenizer as one text.
+TOGETHER = 64
+
+
 class ChunkIds:
     """The ids of texts, as little-endian unsigned 32-bit bytes.
 
@@ -152,13 +159,22 @@ class ChunkIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
         self.by_chunk = (settings["normalizer"], settings["pre_tokenizer"]) == BY_CHUNK and all(t["content"].startswith("<|") for t in settings["added_tokens"])
         self.known: dict[bytes, bytes] = {}
+        #: For words of a-z, which the normaliser and the bytes' alphabet leave as they are.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        #: Which ids end a word; None where a word's end can't be told by its last id.
+        self.ends = None
+        suffix, vocab = settings["model"].get("end_of_word_suffix"), settings["model"].get("vocab")
+        if self.by_chunk and suffix and all(byte + suffix in vocab for byte in pre_tokenizers.ByteLevel.alphabet()):
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         for first in range(0, len(texts), 256):
@@ -170,22 +186,67 @@ class ChunkIds:
             chunks = [(r if b"<|" in r else r.lower()).split() for r in raw]  # the tokenizer lower-cases all but the special tokens' strings
             if len(self.known) > CACHE:
                 self.known.clear()
-            if new := set().union(*chunks).difference(self.known):
+            found = [list(map(self.known.get, c)) for c in chunks]
+            gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else [] for f in found]
+            if new := {c[i] for c, lacking in zip(chunks, gaps) for i in lacking}:
                 self.learn(new)
-            for c in chunks:
-                yield b"".join(map(self.known.__getitem__, c))
+            for c, f, lacking in zip(chunks, found, gaps):
+                for i in lacking:
+                    f[i] = self.known[c[i]]
+                yield b"".join(f)
 
     def learn(self, new: set[bytes]) -> None:
-        """Remembers the chunks' ids. A token never spans a letter and the points after it, so word and points have ids of their own."""
-        split = {}
+        """Remembers the chunks' ids. A token never spans two pieces of a chunk, nor a letter and the points after it, so these have ids of their own."""
+        split, single, plain, words, others = {}, set(), [], [], []
         for c in new:
             word = c.rstrip(POINTS)
-            if word and len(word) < len(c) and word[-1:].isalnum():
-                split[c] = word, c[len(word) :]
-        single = list(new.difference(split).union(*split.values()).difference(self.known))
-        encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in single], add_special_tokens=False)
-        self.known.update(zip(single, (array("I", e.ids).tobytes() for e in encoded)))
-        self.known.update((c, self.known[word] + self.known[points]) for c, (word, points) in split.items())
+            if word.isalpha() or word and not word.isascii() and (word[-1:].isalnum() or _is_word(word)):
+                if len(word) < len(c):
+                    split[c] = word, c[len(word) :]
+                    single.update(split[c])
+                else:
+                    single.add(c)
+            elif PLAIN.fullmatch(c) and b"<|" not in c:
+                split[c] = PIECES.findall(c)
+                single.update(split[c])
+            else:
+                single.add(c)
+        for c in single.difference(self.known):
+            if c.isalpha() and c.islower():
+                plain.append(c)
+            elif not c.isascii() and _is_word(c):
+                words.append(c)
+            else:
+                others.append(c)
+        for kind, tokenizer in ((plain, self.plain), (words, self.tokenizer)):
+            others += self.learn_words(kind, tokenizer)
+        encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in others], add_special_tokens=False)
+        self.known.update(zip(others, (array("I", e.ids).tobytes() for e in encoded)))
+        self.known.update((c, b"".join(map(self.known.__getitem__, pieces))) for c, pieces in split.items())
+
+    def learn_words(self, words: list[bytes], tokenizer) -> list[bytes]:
+        """Remembers the words' ids, many words given as one text, and gives those whose ids can't be told apart."""
+        if self.ends is None:
+            return words
+        runs = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        left = []
+        for run, e in zip(runs, tokenizer.encode_batch_fast([b" ".join(run).decode() for run in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            bounds = np.flatnonzero(self.ends[ids]) + 1
+            if len(bounds) != len(run) or bounds[-1] != len(ids):  # a word of several pieces
+                left += run
+                continue
+            data, bounds = ids.tobytes(), [0, *(4 * bounds).tolist()]
+            self.known.update((c, data[a:b]) for c, a, b in zip(run, bounds, bounds[1:]))
+        return left
+
+
+def _is_word(c: bytes) -> bool:
+    """Whether the chunk is of letters alone."""
+    try:
+        return c.decode().isalpha()
+    except UnicodeDecodeError:
+        return False
 
 
 _chunk_ids: dict[str, ChunkIds] = {}
