@@ -181,3 +181,50 @@ def test_a_search_goes_in_few_rounds(spark, tmp_path, monkeypatch):
     rounds, improving = [], route._improving
     monkeypatch.setattr(route, "_improving", lambda *a: rounds.append(1) or improving(*a))
     assert routes.route_duration(spark, str(tmp_path)).count() == 1 and len(rounds) <= 2
+
+
+def _lattice(spark, rows, columns, share, seed):
+    """Random nodes, with a few that no ray meets and a part that lies apart."""
+    rng = random.Random(seed)
+    cells = {(j, i) for j in range(rows) for i in range(columns) if rng.random() < share} | {(j + rows + 12, i) for j in range(9) for i in range(9)} | {(-40, k * 17 - 60) for k in range(4)}
+    return lattice.numbered(spark.createDataFrame([(j, i, 100 + i / 64, j / 64) for j, i in cells], "row_j int, col_i int, lon double, lat double")).withColumn("node_id", F.expr("(col_i + 100) * 1000000L + row_j + 100"))
+
+
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.9])
+@pytest.mark.parametrize("stretch", [11, 256])
+def test_repairs_by_the_rims_are_those_by_all_nodes(spark, share, stretch):
+    nodes = saved(_lattice(spark, 50, 40, share, 7))
+    rays = saved(lattice.ray_edges(nodes))
+    linked = saved(lattice.connect_isolated(nodes, rays))
+    want = linked.unionByName(lattice.connect_components(nodes, saved(rays.unionByName(linked))))
+    got = lattice.repairs(nodes, stretch=stretch)
+    columns = ["src", "dst", "weight", "bearing"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())) != []
+    own = {r.node_id: (r.lon, r.lat) for r in nodes.collect()}
+    assert all((r.lon, r.lat) == own[r.src] for r in got.collect())
+
+
+def test_grid_cells_in_polygons_by_tiles(spark):
+    """Rings with slanted sides, holes, sides that run through cells, and parts beyond the grid: as point by point."""
+    rings = spark.createDataFrame([
+        ("a", [(5.5, 0.0), (9.0, 1.0), (7.25, 6.5), (5.5, 0.0)]), ("a", [(6.5, 1.5), (7.0, 1.5), (7.0, 2.5), (6.5, 2.5), (6.5, 1.5)]), ("b", [(8.0, 3.0), (30.0, 3.0), (30.0, 30.0), (8.0, 30.0), (8.0, 3.0)]),
+        ("c", [(-9.0, -9.0), (-8.0, -9.0), (-8.0, 20.0), (-9.0, -9.0)]), ("d", [(-5.0, 4.1), (5.2, 4.1), (5.2, 4.9), (-5.0, 4.9), (-5.0, 4.1)]),
+    ], "polygon_id string, ring array<struct<lon: double, lat: double>>")
+    extent = (0.0, 0.0, 10.0, 8.0)
+    points = saved(lattice.numbered(lattice.grid(spark, *extent, 0.125)))
+    inside = {r.point_id for r in lattice.in_polygons(points.withColumnRenamed("node_id", "point_id"), rings).collect()}
+    want = sorted(map(tuple, points.filter(F.col("node_id").isin(list(inside))).collect()))
+    for stretch in (7, 256):
+        assert sorted(map(tuple, lattice.numbered(lattice.grid_in_polygons(spark, rings, extent, 0.125, stretch)).collect())) == want != []
+    assert lattice.grid_in_polygons(spark, rings.filter("polygon_id = 'c'"), extent, 0.125).count() == 0
+
+
+def test_a_build_shuffles_little_beside_its_cells(spark, tmp_path):
+    """Of 250,000 cells in the waters, each goes to its tile and to those around it; their two million edges are shuffled nowhere."""
+    from tidelane.plans import routes
+
+    spark.range(10_000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(2_000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    before = _shuffled(spark)
+    edges = routes.lattice_build(spark, str(tmp_path)).count()
+    assert edges > 1_400_000 and _shuffled(spark) - before < 12 * edges
